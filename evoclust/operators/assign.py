@@ -85,8 +85,17 @@ def assign_points(points: DataFrame, state: DataFrame, params: ClusterParams,
     d = params.num_dims
     spark = points.sparkSession
     counts = counts or {}
-    P = collect_state(state, "p", d, params, counts.get("p"))
-    O = collect_state(state, "o", d, params, counts.get("o"))
+    if "p" in counts and "o" in counts:
+        if (counts["p"] + counts["o"]) * _bytes_per_row(d) <= params.max_broadcast_bytes:
+            # both kinds in one small collect (size known from the model meta)
+            rows = state.select("kind", *_STATE_COLS).orderBy("kind", "ord").collect()
+            P = K.state_arrays([r for r in rows if r["kind"] == "p"], d)
+            O = K.state_arrays([r for r in rows if r["kind"] == "o"], d)
+        else:
+            P = O = None
+    else:
+        P = collect_state(state, "p", d, params, counts.get("p"))
+        O = collect_state(state, "o", d, params, counts.get("o"))
     schema = T.StructType(points.schema.fields + [
         T.StructField("kind", T.StringType()), T.StructField("ord", T.LongType())])
     if P is not None and O is not None:

@@ -8,18 +8,21 @@ Per batch (``process_batch``):
 4. J5/F9 fold the deltas into the state (K rows);
 5. C3 admission of the unassigned rest;
 6. C4 promotion, C5 pruning every ``prune_every`` non-empty batches;
-7. the new state is written as version ``batch_id`` in the run folder and
-   read back (lineage cut, restartable); A11/A5 rows go to the result
-   tables.  A replayed batch id reloads the prior version, so a batch is
-   idempotent.
+7. the new state is written as version ``batch_id`` in the run folder
+   (lineage cut, restartable).  A replayed batch id reloads its stored
+   version, so a batch is idempotent.
+
+The state has K rows (K micro-clusters); the points of a batch are only
+touched by the map-side assignment and two partial aggregations.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time as _time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evoclust.operators import admit as admit_op
@@ -29,12 +32,15 @@ from evoclust.operators.delta import decayed_delta
 from evoclust.operators.macro import macro_clusters
 from evoclust.operators.seeding import init_clusters
 from evoclust.params import ClusterParams
-from evoclust.session import cut, scratch_path, ship_package
+from evoclust.session import scratch_path, ship_package
 from evoclust.sources.points import with_row_index
 
+_UPD = ("cf1", "cf2", "weight", "last_edit", "pts", "lbl_counts")
+
 
 class ClusterModel:
-    def __init__(self, spark: SparkSession, params: ClusterParams, root: str | None = None):
+    def __init__(self, spark: SparkSession, params: ClusterParams, root: str | None = None,
+                 resume: bool = True):
         self.spark = spark
         ship_package(spark)
         self.params = params
@@ -44,6 +50,11 @@ class ClusterModel:
         self.timings = {"update": 0.0, "detect": 0.0, "total": 0.0}
         self.history: list[dict] = []
         self.init_info: dict = {}
+        self._versions_seen: set[int] = set()
+        if resume and root is not None:
+            latest = self._latest_version()
+            if latest is not None:
+                self._load(latest)
 
     # ------------------------------------------------------------ store
     def _state_path(self):
@@ -56,43 +67,67 @@ class ClusterModel:
         (state.select(*st.STATE_COLS).withColumn("v", F.lit(meta.version).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("v").parquet(self._state_path()))
-        (self.spark.createDataFrame([meta.as_row()]).coalesce(1)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("version").parquet(self._meta_path()))
-        self._load(meta.version)
+        self._write_meta(meta)
+        self.meta = meta
+        self.state = self._read_state(meta.version)
+        self._versions_seen.add(meta.version)
 
-    def _versions(self):
-        try:
-            m = self.spark.read.parquet(self._meta_path())
-        except Exception:  # no version yet
-            return None
-        return m
+    def _read_state(self, version: int) -> DataFrame:
+        return (self.spark.read.parquet(self._state_path())
+                .filter(F.col("v") == version).select(*st.STATE_COLS))
+
+    # model scalars: one small JSON document per version, written through
+    # the Hadoop file system of the run folder (shared storage on a cluster)
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self._meta_path())
+        return path.getFileSystem(conf), path, jvm
+
+    def _write_meta(self, meta: st.ModelMeta) -> None:
+        fs, root, jvm = self._fs()
+        fs.mkdirs(root)
+        tmp = jvm.org.apache.hadoop.fs.Path(root, f"_v{meta.version}.json.tmp")
+        out = fs.create(tmp, True)
+        out.write(bytearray(json.dumps(meta.as_row()).encode()))
+        out.close()
+        dst = jvm.org.apache.hadoop.fs.Path(root, f"v{meta.version}.json")
+        if fs.exists(dst):
+            fs.delete(dst, False)
+        fs.rename(tmp, dst)
+
+    def _stored_versions(self) -> list[int]:
+        fs, root, _ = self._fs()
+        if not fs.exists(root):
+            return []
+        out = []
+        for stt in fs.listStatus(root):
+            name = stt.getPath().getName()
+            if name.startswith("v") and name.endswith(".json"):
+                out.append(int(name[1:-5]))
+        return sorted(out)
+
+    def _latest_version(self, below: int | None = None):
+        vs = [v for v in self._stored_versions() if below is None or v < below]
+        return vs[-1] if vs else None
 
     def _load(self, version: int) -> bool:
-        m = self._versions()
-        if m is None:
-            return False
-        rows = m.filter(F.col("version") == version).collect()
-        if not rows:
+        if version not in self._stored_versions():
             return False
-        r = rows[0].asDict()
+        fs, root, jvm = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(root, f"v{version}.json"))
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
+        text = reader.readLine()
+        reader.close()
+        r = json.loads(text)
         self.meta = st.ModelMeta(**{k: int(r[k]) for k in st.ModelMeta().as_row()})
-        self.state = (self.spark.read.parquet(self._state_path())
-                      .filter(F.col("v") == version).select(*st.STATE_COLS))
+        self.state = self._read_state(version)
+        self._versions_seen.add(version)
         return True
 
-    def _load_before(self, batch_id: int) -> None:
-        m = self._versions()
-        if m is None:
-            return
-        prev = m.filter(F.col("version") < batch_id).agg(F.max("version")).collect()[0][0]
-        if prev is not None and prev != self.meta.version:
-            self._load(int(prev))
-
     # ------------------------------------------------------------- init
     def initialize(self, init_points: DataFrame) -> dict:
         state, info = init_clusters(init_points, self.params)
-        state = cut(state, "init-state")
         agg = state.agg(F.max("ord"), F.count(F.lit(1))).collect()[0]
         meta = st.ModelMeta(version=-1, clock=0, period=0,
                             max_p_ord=int(agg[0]) if agg[0] is not None else -1,
@@ -108,9 +143,15 @@ class ClusterModel:
     def process_batch(self, batch: DataFrame, batch_id: int) -> dict | None:
         p = self.params
         t_start = _time.time()
-        if self._versions() is not None and self._load(batch_id):
-            return None  # replayed batch: the stored version is the result
-        self._load_before(batch_id)
+        if batch_id <= self.meta.version:
+            # replay of a batch already folded in: restore its stored result
+            if batch_id in self._versions_seen or self._load(batch_id):
+                if self.meta.version != batch_id:
+                    self._load(batch_id)
+                return None
+            prev = self._latest_version(below=batch_id)
+            if prev is not None:
+                self._load(prev)
         pts = batch.select("time", "features", "label", "seq").cache()
         n = pts.count()
         if n == 0:
@@ -119,39 +160,45 @@ class ClusterModel:
         meta = self.meta
         counts = {"p": meta.n_p, "o": meta.n_o}
         assigned = assign_points(pts, self.state, p, counts).cache()
-        by_kind = {r["kind"]: r["n"] for r in
-                   assigned.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
         small = (meta.n_p + meta.n_o) * (16 * p.num_dims + 40) <= p.max_broadcast_bytes
         deltas = decayed_delta(assigned.filter(F.col("kind").isNotNull()), p.lam, p.num_dims,
-                               p.num_labels, broadcast_tmax=small)
-        deltas = cut(deltas, "deltas")
-        dmax = deltas.agg(F.max("tmax")).collect()[0][0]
-        clock = max(meta.clock, int(dmax)) if dmax is not None else meta.clock
-        s1 = cut(st.apply_deltas(self.state, deltas, p), "state-delta")
-        n_rest = by_kind.get(None, 0)
+                               p.num_labels, broadcast_tmax=small).cache()
+        dsum = {r["kind"]: r for r in deltas.groupBy("kind").agg(
+            F.sum("dpts").alias("n"), F.max("tmax").alias("t")).collect()}
+        to_p = int(dsum["p"]["n"]) if "p" in dsum else 0
+        to_o = int(dsum["o"]["n"]) if "o" in dsum else 0
+        clock = max([meta.clock] + [int(r["t"]) for r in dsum.values()])
+        s1 = st.apply_deltas(self.state, deltas, p).cache()
+        n_rest = n - to_p - to_o
         max_o = meta.max_o_ord
         n_new = 0
         mode = None
+        extra = None
         if n_rest:
             rest = assigned.filter(F.col("kind").isNull()).drop("kind", "ord")
             o0 = admit_op.first_outlier(s1)
             newmcs, mode = admit_op.admit_outliers(rest, o0, p, n_rest)
-            newmcs = cut(newmcs, "admitted")
+            newmcs = newmcs.cache()
+            agg = newmcs.agg(F.count_if(F.col("is_o0")).alias("u"), F.count_if(~F.col("is_o0")).alias("f"),
+                             F.max("last_edit").alias("t")).collect()[0]
             rmax = rest.agg(F.max("time")).collect()[0][0]
             clock = max(clock, int(rmax))
-            upd = newmcs.filter(F.col("is_o0"))
-            if o0 is not None and upd.limit(1).count():
-                u = upd.select(F.lit(int(o0["ord"])).cast("long").alias("ord"),
-                               *[F.col(c).alias("u_" + c) for c in
-                                 ("cf1", "cf2", "weight", "last_edit", "pts", "lbl_counts")])
-                j = s1.join(F.broadcast(u), (s1.kind == "o") & (s1.ord == u.ord), "left").drop(u.ord)
-                s1 = j.select(*[F.coalesce(F.col("u_" + c), F.col(c)).alias(c)
-                                if c in ("cf1", "cf2", "weight", "last_edit", "pts", "lbl_counts")
+            if o0 is not None and agg["u"]:
+                u = newmcs.filter(F.col("is_o0")).select(
+                    F.lit(int(o0["ord"])).cast("long").alias("_uord"),
+                    *[F.col(c).alias("u_" + c) for c in _UPD])
+                j = s1.join(F.broadcast(u), (s1.kind == "o") & (s1.ord == u._uord), "left")
+                s1 = j.select(*[F.coalesce(F.col("u_" + c), F.col(c)).alias(c) if c in _UPD
                                 else F.col(c) for c in st.STATE_COLS], "promote")
-            fresh = newmcs.filter(~F.col("is_o0"))
-            n_new = fresh.count()
+            n_new = int(agg["f"])
             if n_new:
-                idx = with_row_index(fresh, ["first_time", "first_seq"], "_k")
+                fresh = newmcs.filter(~F.col("is_o0"))
+                if n_new <= p.admit_ordered_limit:
+                    # bounded by the ordered limit: a small global numbering
+                    idx = fresh.withColumn("_k", (F.row_number().over(
+                        Window.orderBy("first_time", "first_seq")) - 1).cast("long"))
+                else:
+                    idx = with_row_index(fresh, ["first_time", "first_seq"], "_k")
                 new_rows = idx.select(
                     F.lit("o").alias("kind"),
                     (F.lit(max_o + 1) + F.col("_k")).cast("long").alias("ord"),
@@ -160,43 +207,48 @@ class ClusterModel:
                     (F.col("weight") >= F.lit(p.promote_weight)).alias("promote"))
                 s1 = s1.select(*st.STATE_COLS, "promote").unionByName(new_rows)
                 max_o += n_new
-        n_prom = s1.filter(F.col("promote")).count()
-        s2 = st.promote(s1, meta.max_p_ord)
+            extra = newmcs
+        s1 = s1.cache()
+        s2 = st.promote(s1, meta.max_p_ord).cache()
         t_update = _time.time() - t_start
         t_detect = _time.time()
         pruned = {"p": 0, "o": 0}
-        if meta.period != 0 and meta.period % p.prune_every == 0:
-            before = {r["kind"]: r["n"] for r in s2.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-            s2 = cut(st.prune(s2, clock, p), "state-pruned")
-            after = {r["kind"]: r["n"] for r in s2.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-            pruned = {k: before.get(k, 0) - after.get(k, 0) for k in ("p", "o")}
-        t_detect = _time.time() - t_detect
-        s2 = st.conform(s2)
-        summ = s2.groupBy("kind").agg(
+        prune_now = meta.period != 0 and meta.period % p.prune_every == 0
+        summary = [
             F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.sum("pts").alias("pts"),
             F.avg(F.array_max("lbl_counts") / F.aggregate("lbl_counts", F.lit(0).cast("long"),
-                                                          lambda a, b: a + b)).alias("pur")).collect()
-        summ = {r["kind"]: r for r in summ}
+                                                          lambda a, b: a + b)).alias("pur"),
+            F.count_if(F.col("ord") > F.lit(meta.max_p_ord)).alias("new_p")]
+        kept = {r["kind"]: r for r in s2.groupBy("kind").agg(*summary).collect()}
+        n_prom = int(kept["p"]["new_p"]) if "p" in kept else 0
+        if prune_now:
+            s2 = st.prune(s2, clock, p)
+            kept = {r["kind"]: r for r in s2.groupBy("kind").agg(*summary).collect()}
+        t_detect = _time.time() - t_detect
+        s2 = st.conform(s2)
+        n_p = int(kept["p"]["n"]) if "p" in kept else 0
+        n_o = int(kept["o"]["n"]) if "o" in kept else 0
+        if prune_now:
+            pruned = {"p": meta.n_p + n_prom - n_p, "o": meta.n_o + n_new - n_prom - n_o}
         newmeta = st.ModelMeta(
             version=batch_id, clock=clock, period=meta.period + 1,
-            max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o,
-            n_p=int(summ["p"]["n"]) if "p" in summ else 0,
-            n_o=int(summ["o"]["n"]) if "o" in summ else 0)
+            max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o)
         self._save(s2, newmeta)
-        assigned.unpersist()
-        pts.unpersist()
+        for df in (assigned, pts, deltas, s1, extra, s2):
+            if df is not None:
+                df.unpersist()
         self.timings["update"] += t_update
         self.timings["detect"] += t_detect
         self.timings["total"] += _time.time() - t_start
         rec = {
-            "batch_id": batch_id, "rows": n, "to_p": by_kind.get("p", 0), "to_o": by_kind.get("o", 0),
+            "batch_id": batch_id, "rows": n, "to_p": to_p, "to_o": to_o,
             "unassigned": n_rest, "opened": n_new, "promoted": n_prom,
             "p_pruned": pruned["p"], "o_pruned": pruned["o"],
-            "n_p": newmeta.n_p, "n_o": newmeta.n_o,
-            "sum_w_p": float(summ["p"]["w"]) if "p" in summ else 0.0,
-            "sum_w_o": float(summ["o"]["w"]) if "o" in summ else 0.0,
-            "sum_pts": int(sum((r["pts"] or 0) for r in summ.values())),
-            "avg_purity": float(summ["p"]["pur"]) if "p" in summ else None,
+            "n_p": n_p, "n_o": n_o,
+            "sum_w_p": float(kept["p"]["w"]) if "p" in kept else 0.0,
+            "sum_w_o": float(kept["o"]["w"]) if "o" in kept else 0.0,
+            "sum_pts": int(sum((r["pts"] or 0) for r in kept.values())),
+            "avg_purity": float(kept["p"]["pur"]) if "p" in kept else None,
             "admit_mode": mode, "clock": clock,
         }
         self.history.append(rec)

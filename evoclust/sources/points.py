@@ -91,8 +91,10 @@ def _decode(df, num_dims, value_col, seq_col, keep):
         & time.isNotNull() & label.isNotNull()
         & F.forall(feats, lambda x: x.isNotNull() & ~F.isnan(x))
     )
-    seq = F.col(seq_col).cast("long") if seq_col else F.monotonically_increasing_id()
-    cols = [time.alias("time"), feats.alias("features"), label.alias("label"), seq.alias("seq")]
+    cols = [time.alias("time"), feats.alias("features"), label.alias("label")]
+    if seq_col != "none":  # streams number their rows per micro-batch instead
+        seq = F.col(seq_col).cast("long") if seq_col else F.monotonically_increasing_id()
+        cols.append(seq.alias("seq"))
     cols += [F.col(c) for c in (keep or []) if c not in ("time", "features", "label", "seq")]
     return df.select(*cols, F.coalesce(ok, F.lit(False)).alias("_ok"))
 
