@@ -31,25 +31,54 @@ def distance_expr(a: str, b: str, d: int) -> Column:
 
 
 def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
-              feat_col: str = "features", strict: bool = True) -> DataFrame:
+              feat_col: str = "features", strict: bool = True, cell_rows: int = 4096) -> DataFrame:
     """Directed edges ``src, dst, dist`` (both directions) between distinct
-    points at distance < eps (``<=`` when not strict)."""
+    points at distance < eps (``<=`` when not strict).
+
+    Each unordered pair is examined once: a cell meets itself (with
+    ``id < id``) and only the neighbour cells with a lexicographically
+    positive offset; both directions are then emitted by one explode.
+
+    Hot cells (more than ``cell_rows`` points) are salted: their points are
+    spread over ``ceil(n / cell_rows)`` sub-groups by a hash of the id and
+    the rows meeting them are replicated to every sub-group, so one dense
+    cell becomes many tasks while each pair is still examined once.
+    """
     g = min(d, 3)
+    keys = [f"c{k}" for k in range(g)]
     cells = [F.floor(F.col(feat_col)[k] / F.lit(eps)).cast("long").alias(f"c{k}") for k in range(g)]
     base = points.select(F.col(id_col).alias("id"), F.col(feat_col).alias("x"), *cells)
-    offsets = list(itertools.product((-1, 0, 1), repeat=g))
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > F.lit(cell_rows)).select(
+        *keys, F.ceil(F.col("_n") / F.lit(cell_rows)).cast("int").alias("_salts"))
+    # hot cells are at most (rows / cell_rows); keep the side broadcast only
+    # while that bound is small
+    n_hot = hot.count()
+    hot_side = F.broadcast(hot) if n_hot <= 200_000 else hot
+    left = (base.join(hot_side, keys, "left")
+            .withColumn("_salt", F.pmod(F.xxhash64("id"), F.coalesce(F.col("_salts"), F.lit(1))).cast("int"))
+            .drop("_salts")) if n_hot else base.withColumn("_salt", F.lit(0))
+    offsets = [o for o in itertools.product((-1, 0, 1), repeat=g) if o >= (0,) * g]
     off = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("_off")
-    right = (base.select(F.col("id").alias("id_r"), F.col("x").alias("x_r"),
-                         *[F.col(f"c{k}") for k in range(g)], off)
-             .select("id_r", "x_r", *[(F.col(f"c{k}") + F.col("_off")[k]).alias(f"c{k}") for k in range(g)]))
-    cond = [F.col(f"l.c{k}") == F.col(f"r.c{k}") for k in range(g)]
-    pairs = (base.alias("l").join(right.alias("r"), cond)
-             .filter(F.col("l.id") < F.col("r.id_r"))
-             .select(F.col("l.id").alias("src"), F.col("r.id_r").alias("dst"),
-                     distance_expr("l.x", "r.x_r", d).alias("dist")))
-    pairs = pairs.filter(F.col("dist") < F.lit(eps) if strict else F.col("dist") <= F.lit(eps))
-    mirrored = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
-    return pairs.unionByName(mirrored)
+    right = (base.select(F.col("id").alias("id_r"), F.col("x").alias("x_r"), *[F.col(c) for c in keys], off)
+             .select("id_r", "x_r", *[(F.col(f"c{k}") - F.col("_off")[k]).alias(f"c{k}") for k in range(g)],
+                     (F.array_max(F.transform("_off", lambda v: F.abs(v))) == 0).alias("_same")))
+    if n_hot:
+        right = (right.join(hot_side, keys, "left")
+                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
+                 .drop("_salts"))
+    else:
+        right = right.withColumn("_salt", F.lit(0))
+    cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys + ["_salt"]]
+    dist = distance_expr("l.x", "r.x_r", d)
+    pairs = (left.alias("l").join(right.alias("r"), cond)
+             .filter((~F.col("r._same") | (F.col("l.id") < F.col("r.id_r"))) & (F.col("l.id") != F.col("r.id_r")))
+             .select(F.col("l.id").alias("a"), F.col("r.id_r").alias("b"), dist.alias("dist"))
+             .filter(F.col("dist") < F.lit(eps) if strict else F.col("dist") <= F.lit(eps)))
+    both = F.explode(F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")
+    return pairs.select(both, "dist").select("e.src", "e.dst", "dist")
 
 
 def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
@@ -57,27 +86,35 @@ def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
     return eps_edges(mcs, 2.0 * eps, d, id_col="ord", feat_col="centroid")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``id, comp`` (comp = smallest id of the component) for every node
-    that has an edge.  Min-label propagation with pointer jumping; labels
-    only decrease, so an unchanged label sum means convergence.  Each round
-    is written to the shared checkpoint folder (lineage stays flat)."""
-    e = cut(edges.select("src", "dst"), "cc-edges")
-    labels = (e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("comp"))
-              .withColumnRenamed("src", "id"))
-    labels = cut(labels, "cc-labels")
-    total = labels.agg(F.sum("comp")).collect()[0][0]
+    that has an edge.
+
+    Graph contraction: each round maps every node to the smallest of itself
+    and its neighbours, rewrites the edges onto those representatives and
+    drops loops and duplicates, so the edge table shrinks round by round.
+    The smallest id of a component always maps to itself, hence it is the
+    final representative.  Each round's edges and mapping are written to the
+    shared checkpoint folder (flat lineage, restartable)."""
+    e = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "cc-edges")
+    maps = []
     for _ in range(max_rounds):
-        m = (e.join(labels, e.src == labels.id).groupBy("dst").agg(F.min("comp").alias("m")))
-        step = (labels.join(m, labels.id == m.dst, "left")
-                .select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp")))
-        a, b = step.alias("a"), step.alias("b")
-        jumped = (a.join(b, F.col("a.comp") == F.col("b.id"), "left")
-                  .select(F.col("a.id").alias("id"),
-                          F.least(F.col("a.comp"), F.coalesce(F.col("b.comp"), F.col("a.comp"))).alias("comp")))
-        labels = cut(jumped, "cc-labels")
-        new_total = labels.agg(F.sum("comp")).collect()[0][0]
-        if new_total == total:
+        m = cut(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("to"))
+                .withColumnRenamed("src", "id"), "cc-map")
+        maps.append(m)
+        ms = m.select(F.col("id").alias("src"), F.col("to").alias("s2"))
+        md = m.select(F.col("id").alias("dst"), F.col("to").alias("d2"))
+        nxt = (e.join(ms, "src").join(md, "dst")
+               .select(F.col("s2").alias("src"), F.col("d2").alias("dst"))
+               .filter(F.col("src") != F.col("dst")).distinct())
+        e = cut(nxt, "cc-edges")
+        if e.limit(1).count() == 0:
             break
-        total = new_total
+    else:
+        raise RuntimeError("connected_components did not converge")
+    labels = maps[0].select("id", F.col("to").alias("comp"))
+    for m in maps[1:]:
+        labels = (labels.join(m.select(F.col("id").alias("comp"), F.col("to")), "comp", "left")
+                  .select("id", F.coalesce("to", "comp").alias("comp")))
+        labels = cut(labels, "cc-labels")
     return labels

@@ -41,8 +41,21 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
+def round_half_away(c, digits: int = R):
+    """``round(c * 10^digits) / 10^digits`` with halves away from zero, as
+    plain double arithmetic (stays in generated code; Spark's ``round`` on
+    doubles goes through BigDecimal per row).  Infinity and NaN pass."""
+    m = float(10 ** digits)
+    v = c * F.lit(m)
+    a = F.abs(v)
+    fl = F.floor(a).cast("double")
+    r = F.when(a - fl >= F.lit(0.5), fl + F.lit(1.0)).otherwise(fl)
+    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))) | (a >= F.lit(2.0 ** 52)), c) \
+        .otherwise(F.when(v < 0, -r).otherwise(r) / F.lit(m))
+
+
 def _r(c, name):
-    return F.round(c, R).alias(name)
+    return round_half_away(c).alias(name)
 
 
 # ------------------------------------------------------------ point views

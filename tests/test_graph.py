@@ -52,3 +52,14 @@ def test_components_union_find(spark):
         comp_min.setdefault(find(v), []).append(v)
     expect = {v: min(comp_min[find(v)]) for v in nodes}
     assert got == expect
+
+
+def test_eps_edges_salted_hot_cell(spark):
+    """A dense cell split into salted sub-groups gives the same edges."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.random((400, 2)) * 0.3, rng.normal(size=(100, 2))])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))],
+                               "seq long, features array<double>")
+    got = [(r["src"], r["dst"]) for r in eps_edges(df, 0.5, 2, cell_rows=37).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == _brute(x, 0.5)
