@@ -161,9 +161,6 @@ def _assign_chunked(points, state, params, schema):
             bc = spark.sparkContext.broadcast(K.state_arrays(rows, d))
             df = df.mapInArrow(_best_pass(bc, params, d, prefix), df.schema)
             df = cut(df, "assign-chunk")
-        if kind == "p":
-            # points accepted by a p-MC do not look at o-MCs
-            pass
     p_ok = F.col("_p_ok")
     o_ok = ~p_ok & F.col("_q_ok")
     out = df.select(
@@ -204,9 +201,34 @@ def predict(points: DataFrame, clusters: DataFrame, params: ClusterParams) -> Da
     d = params.num_dims
     n = clusters.count()
     if n * _bytes_per_row(d) > params.max_broadcast_bytes:
-        raise ValueError("cluster table above the broadcast budget; raise max_broadcast_bytes")
+        # chunked passes keep the running nearest as columns (see module doc)
+        state = clusters.select(F.lit("p").alias("kind"), *_STATE_COLS)
+        return _nearest_chunked(points, state, params)
     rows = clusters.select(*_STATE_COLS).orderBy("ord").collect()
     bc = points.sparkSession.sparkContext.broadcast(K.state_arrays(rows, d))
     schema = T.StructType(points.schema.fields + [
         T.StructField("ord", T.LongType()), T.StructField("dist", T.DoubleType())])
     return points.mapInArrow(_predict_batches(bc, d), schema)
+
+
+def _nearest_chunked(points, state, params):
+    """J6 over a cluster table above the broadcast budget: chunk by chunk,
+    keeping the running nearest (ties to the lower ord)."""
+    d = params.num_dims
+    spark = points.sparkSession
+    rows_per_chunk = max(1, params.max_broadcast_bytes // _bytes_per_row(d))
+    df = (points.withColumn("_p_d", F.lit(float("inf"))).withColumn("_p_o", F.lit(-1).cast("long"))
+          .withColumn("_p_ok", F.lit(False)))
+    from evoclust.sources.points import with_row_index
+    idx = with_row_index(state.select("ord"), ["ord"], "_i")
+    bounds = [r["ord"] for r in idx.filter(F.col("_i") % rows_per_chunk == 0).orderBy("ord").collect()] + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.col("ord") >= lo
+        if hi is not None:
+            cond = cond & (F.col("ord") < hi)
+        rows = state.filter(cond).select(*_STATE_COLS).orderBy("ord").collect()
+        bc = spark.sparkContext.broadcast(K.state_arrays(rows, d))
+        df = cut(df.mapInArrow(_best_pass(bc, params, d, "_p"), df.schema), "nearest-chunk")
+    return df.select(*[F.col(f.name) for f in points.schema.fields],
+                     F.when(F.col("_p_o") >= 0, F.col("_p_o")).alias("ord"),
+                     F.when(F.col("_p_o") >= 0, F.col("_p_d")).alias("dist"))

@@ -86,7 +86,45 @@ def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
     return eps_edges(mcs, 2.0 * eps, d, id_col="ord", feat_col="centroid")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _components_one_task(edges: DataFrame) -> DataFrame:
+    """Small graphs (edge count checked by the caller): one task labels
+    them with vectorised min-label propagation and pointer jumping."""
+    import numpy as np
+    import pyarrow as pa
+
+    def fn(batches):
+        src, dst = [], []
+        for rb in batches:
+            src.append(rb.column("src").to_numpy(zero_copy_only=False))
+            dst.append(rb.column("dst").to_numpy(zero_copy_only=False))
+        if not src or sum(len(a) for a in src) == 0:
+            return
+        s = np.concatenate(src).astype(np.int64)
+        d = np.concatenate(dst).astype(np.int64)
+        ids = np.unique(np.concatenate([s, d]))
+        si, di = np.searchsorted(ids, s), np.searchsorted(ids, d)
+        lab = np.arange(len(ids))
+        while True:
+            old = lab
+            lab = lab.copy()
+            np.minimum.at(lab, si, lab[di])
+            np.minimum.at(lab, di, lab[si])
+            while True:
+                nxt = lab[lab]
+                if np.array_equal(nxt, lab):
+                    break
+                lab = nxt
+            if np.array_equal(lab, old):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[lab], pa.int64())],
+                                         names=["id", "comp"])
+
+    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1) \
+        .mapInArrow(fn, "id long, comp long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 64,
+                         local_edges: int = 1_000_000) -> DataFrame:
     """``id, comp`` (comp = smallest id of the component) for every node
     that has an edge.
 
@@ -95,8 +133,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     drops loops and duplicates, so the edge table shrinks round by round.
     The smallest id of a component always maps to itself, hence it is the
     final representative.  Each round's edges and mapping are written to the
-    shared checkpoint folder (flat lineage, restartable)."""
+    shared checkpoint folder (flat lineage, restartable).  Graphs of at most
+    ``local_edges`` edges are labelled in one task instead."""
     e = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "cc-edges")
+    if e.count() <= local_edges:
+        return cut(_components_one_task(e), "cc-labels")
     maps = []
     for _ in range(max_rounds):
         m = cut(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("to"))

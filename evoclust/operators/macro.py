@@ -19,6 +19,7 @@ from evoclust.functions import cf
 from evoclust.functions import kernels as K
 from evoclust.operators.graph import connected_components, mc_edges
 from evoclust.params import ClusterParams
+from evoclust.session import cut
 
 MACRO_SCHEMA = T.StructType([
     T.StructField("seed_ord", T.LongType()),
@@ -32,14 +33,20 @@ MACRO_SCHEMA = T.StructType([
 
 
 def macro_clusters(p_state: DataFrame, params: ClusterParams, mu: float | None = None,
-                   eps: float | None = None) -> DataFrame:
+                   eps: float | None = None, clock: int | None = None) -> DataFrame:
+    """Macro-clusters of the p-MCs of ``p_state``.  Reference semantics use
+    the stored weights (each at its own last edit); paper semantics first
+    decay every p-MC to ``clock`` (Q12)."""
     mu = params.offline_mu if mu is None else mu
     eps = params.offline_epsilon if eps is None else eps
     d = params.num_dims
+    if params.semantics == "paper" and clock is not None:
+        from evoclust.operators.state import decay_to
+        p_state = decay_to(p_state, clock, params.lam)
     mcs = p_state.filter(F.col("kind") == "p").select(
         "ord", "cf1", "cf2", "weight", "pts", "lbl_counts",
         cf.centroid("cf1", "weight").alias("centroid"))
-    edges = mc_edges(mcs, eps, d).select("src", "dst")
+    edges = cut(mc_edges(mcs, eps, d).select("src", "dst"), "macro-edges")
     comps = connected_components(edges)
     withc = (mcs.join(comps.withColumnRenamed("id", "ord"), "ord", "left")
              .withColumn("comp", F.coalesce("comp", "ord")))

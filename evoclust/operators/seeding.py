@@ -22,6 +22,7 @@ from evoclust.functions import kernels as K
 from evoclust.operators.graph import connected_components, eps_edges
 from evoclust.operators.state import conform
 from evoclust.params import ClusterParams
+from evoclust.session import cut
 
 _OUT = T.StructType([
     T.StructField("comp", T.LongType()),
@@ -45,7 +46,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     d, L, mu = params.num_dims, params.num_labels, params.mu
     pts = points.select("seq", "features", "label")
     n_points = pts.count()
-    edges = eps_edges(pts, params.init_epsilon, d).select("src", "dst")
+    edges = cut(eps_edges(pts, params.init_epsilon, d).select("src", "dst"), "init-edges")
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     first = deg.filter(F.col("deg") > F.lit(mu)).agg(F.min("src")).collect()[0][0]
     if first is None:
@@ -88,7 +89,6 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
 
     out = (p_side.groupBy("comp").cogroup(e_side.groupBy("comp"))
            .applyInPandas(replay, _OUT))
-    from evoclust.session import cut
     out = cut(out, "init-mcs")
     per_comp = out.groupBy("comp").agg(F.first("untagged").alias("u"), F.first("size").alias("s"))
     tot = per_comp.agg(F.sum(F.col("s") - F.col("u")).alias("tagged")).collect()[0]["tagged"] or 0

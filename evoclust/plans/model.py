@@ -259,4 +259,4 @@ class ClusterModel:
         return st.micro_clusters(self.state)
 
     def macro_clusters(self, mu: float | None = None, eps: float | None = None) -> DataFrame:
-        return macro_clusters(self.state, self.params, mu, eps)
+        return macro_clusters(self.state, self.params, mu, eps, clock=self.meta.clock)

@@ -154,6 +154,15 @@ def encode_points(df: DataFrame, time_col: str = "time", features_col: str = "fe
     return df.withColumn("value", value)
 
 
+def write_points_kafka(df: DataFrame, options: dict) -> None:
+    """S6 sink: publish the ``value`` envelope column to a Kafka topic
+    (``options`` carries ``kafka.bootstrap.servers`` and ``topic``)."""
+    w = df.select(F.col("value").cast("string")).write.format("kafka")
+    for k, v in options.items():
+        w = w.option(k, v)
+    w.save()
+
+
 # ---------------------------------------------------------------------- S7
 
 def with_logical_time(df: DataFrame, rate: int, total: int | None = None,

@@ -122,3 +122,31 @@ def test_ordered_fold_equals_closed_form(spark):
         assert got[g]["dcf1"] == pytest.approx(list(c1), rel=1e-9, abs=1e-12)
         assert got[g]["dcf2"] == pytest.approx(list(c2), rel=1e-9, abs=1e-12)
         assert got[g]["tmax"] == dt
+
+
+def test_chunked_assignment_equals_broadcast(spark):
+    """A state above the broadcast budget is matched chunk by chunk with the
+    same result as the single-broadcast pass."""
+    from evoclust.operators import state as st
+    from evoclust.operators.assign import assign_points, predict
+    from evoclust.params import ClusterParams
+    rng = np.random.default_rng(4)
+    mcs = []
+    for i in range(40):
+        c = rng.normal(size=2) * 3
+        w = float(rng.integers(2, 20))
+        cf1 = (c * w).tolist()
+        cf2 = ((c * c + 0.01) * w).tolist()
+        mcs.append(("p" if i % 3 else "o", i * 2, str(i), cf1, cf2, w, 0, int(rng.integers(0, 5)), 0, [1, 0]))
+    state = spark.createDataFrame(mcs, st.STATE_SCHEMA)
+    pts = spark.createDataFrame([(int(rng.integers(0, 6)), [float(v) for v in rng.normal(size=2) * 3], 0, k)
+                                 for k in range(300)], "time long, features array<double>, label int, seq long")
+    big = ClusterParams(num_dims=2, num_labels=2, epsilon=0.6)
+    tiny = big.with_(max_broadcast_bytes=200)  # about 2 MCs per chunk
+    a = {r["seq"]: (r["kind"], r["ord"]) for r in assign_points(pts, state, big).collect()}
+    b = {r["seq"]: (r["kind"], r["ord"]) for r in assign_points(pts, state, tiny).collect()}
+    assert a == b and any(k == "p" for k, _ in a.values()) and any(k is None for k, _ in a.values())
+    cl = state.select("ord", "cf1", "cf2", "weight", "last_edit")
+    pa_ = {r["seq"]: r["ord"] for r in predict(pts, cl, big).collect()}
+    pb_ = {r["seq"]: r["ord"] for r in predict(pts, cl, tiny).collect()}
+    assert pa_ == pb_

@@ -63,3 +63,18 @@ def test_eps_edges_salted_hot_cell(spark):
     got = [(r["src"], r["dst"]) for r in eps_edges(df, 0.5, 2, cell_rows=37).collect()]
     assert len(got) == len(set(got))
     assert set(got) == _brute(x, 0.5)
+
+
+def test_components_distributed_path(spark):
+    """The contraction path (forced by local_edges=0) equals the one-task path."""
+    rng = np.random.default_rng(9)
+    edges = set()
+    for _ in range(300):
+        a, b = (int(v) for v in rng.integers(0, 500, 2))
+        if a != b:
+            edges.add((a, b))
+            edges.add((b, a))
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    one = {r["id"]: r["comp"] for r in connected_components(df).collect()}
+    dist = {r["id"]: r["comp"] for r in connected_components(df, local_edges=0).collect()}
+    assert one == dist
