@@ -47,7 +47,7 @@ def macro_clusters(p_state: DataFrame, params: ClusterParams, mu: float | None =
         "ord", "cf1", "cf2", "weight", "pts", "lbl_counts",
         cf.centroid("cf1", "weight").alias("centroid"))
     edges = cut(mc_edges(mcs, eps, d).select("src", "dst"), "macro-edges")
-    comps = connected_components(edges)
+    comps = connected_components(edges, unique=True)
     withc = (mcs.join(comps.withColumnRenamed("id", "ord"), "ord", "left")
              .withColumn("comp", F.coalesce("comp", "ord")))
     heavy = withc.groupBy("comp").agg(F.max("weight").alias("_mw")).filter(F.col("_mw") >= F.lit(mu))

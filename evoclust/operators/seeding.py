@@ -51,7 +51,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     first = deg.filter(F.col("deg") > F.lit(mu)).agg(F.min("src")).collect()[0][0]
     if first is None:
         return _empty(spark), {"seeds": 0, "untagged": n_points, "points": n_points}
-    comps = connected_components(edges)
+    comps = connected_components(edges, unique=True)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.filter(F.col("size") > F.lit(mu + 1))
     members = comps.join(big, "comp").select("id", "comp", "size")

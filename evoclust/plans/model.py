@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time as _time
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +39,17 @@ from evoclust.sources.points import with_row_index
 _UPD = ("cf1", "cf2", "weight", "last_edit", "pts", "lbl_counts")
 
 
+def _release(frames) -> None:
+    """Drop the batch's cached frames without waiting for the block manager."""
+    def run():
+        for df in frames:
+            try:
+                df.unpersist()
+            except Exception:  # the session may already be gone
+                pass
+    threading.Thread(target=run, daemon=True).start()
+
+
 class ClusterModel:
     def __init__(self, spark: SparkSession, params: ClusterParams, root: str | None = None,
                  resume: bool = True):
@@ -63,18 +75,22 @@ class ClusterModel:
     def _meta_path(self):
         return os.path.join(self.root, "meta")
 
+    def _version_path(self, version: int) -> str:
+        return os.path.join(self._state_path(), f"v={version}")
+
     def _save(self, state: DataFrame, meta: st.ModelMeta) -> None:
-        (state.select(*st.STATE_COLS).withColumn("v", F.lit(meta.version).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("v").parquet(self._state_path()))
+        out = state.select(*st.STATE_COLS)
+        if (meta.n_p + meta.n_o) * (16 * self.params.num_dims + 40) <= self.params.max_broadcast_bytes:
+            out = out.coalesce(1)  # a broadcast-sized state: one file per version
+        # each version in its own folder: reading one never lists the others
+        out.write.mode("overwrite").parquet(self._version_path(meta.version))
         self._write_meta(meta)
         self.meta = meta
         self.state = self._read_state(meta.version)
         self._versions_seen.add(meta.version)
 
     def _read_state(self, version: int) -> DataFrame:
-        return (self.spark.read.parquet(self._state_path())
-                .filter(F.col("v") == version).select(*st.STATE_COLS))
+        return self.spark.read.schema(st.STATE_SCHEMA).parquet(self._version_path(version))
 
     # model scalars: one small JSON document per version, written through
     # the Hadoop file system of the run folder (shared storage on a cluster)
@@ -234,9 +250,7 @@ class ClusterModel:
             version=batch_id, clock=clock, period=meta.period + 1,
             max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o)
         self._save(s2, newmeta)
-        for df in (assigned, pts, deltas, s1, extra, s2):
-            if df is not None:
-                df.unpersist()
+        _release([df for df in (assigned, pts, deltas, s1, extra, s2) if df is not None])
         self.timings["update"] += t_update
         self.timings["detect"] += t_detect
         self.timings["total"] += _time.time() - t_start

@@ -73,23 +73,35 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers (``--py-files``).
 
-    The package is zipped once per application and registered with
-    ``addPyFile``; Spark serves it to every executor.
+    The package is zipped in memory once per application, written to the
+    shared checkpoint folder through the Hadoop file system, and registered
+    with ``addPyFile`` so Spark serves it to every executor.
     """
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    import hashlib
+    import io
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="evoclust-pyfiles-")
-    zpath = os.path.join(out_dir, "evoclust.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _, files in os.walk(pkg_dir):
-            for f in files:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in sorted(os.walk(pkg_dir)):
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("evoclust", os.path.relpath(full, pkg_dir)))
-    sc.addPyFile(zpath)
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    root = ensure_checkpoint_dir(spark)
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, "evoclust-pyfiles", f"evoclust-{digest}.zip"))
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(path.toString())
     _SHIPPED.add(key)
