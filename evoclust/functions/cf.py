@@ -131,3 +131,23 @@ def add_weight(weight, n) -> Column:
 def merge_cf(a, b) -> Column:
     """Sum of two CF vectors (used when merging micro-clusters)."""
     return add(a, b)
+
+
+def insert_point(cf1, cf2, weight, last_edit, pts, lbl_counts, x, t, label, lam: float, n: int = 1,
+                 clamp_late: bool = False) -> Column:
+    """F8: the MC after inserting point (x, t, label) n times, as a struct
+    ``weight, cf1, cf2, last_edit, pts, lbl_counts`` (decay to t, add n, x,
+    x*x; count the label)."""
+    dt = _c(t) - _c(last_edit)
+    f = decay_clamped(lam, dt) if clamp_late else decay(lam, dt)
+    g = decay_clamped(lam, -dt) if clamp_late else F.lit(1.0)
+    le = F.greatest(_c(last_edit), _c(t)) if clamp_late else _c(t)
+    lab = _c(label)
+    return F.struct(
+        (_c(weight) * f + F.lit(float(n)) * g).alias("weight"),
+        F.zip_with(_c(cf1), _c(x), lambda a, b: a * f + b * g).alias("cf1"),
+        F.zip_with(_c(cf2), _c(x), lambda a, b: a * f + b * b * g).alias("cf2"),
+        le.cast("long").alias("last_edit"),
+        (_c(pts) + F.lit(n)).cast("long").alias("pts"),
+        F.transform(_c(lbl_counts), lambda c, i: F.when(i == lab, c + 1).otherwise(c)).alias("lbl_counts"),
+    )

@@ -85,3 +85,50 @@ def macro_clusters(p_state: DataFrame, params: ClusterParams, mu: float | None =
         cf.correct_pts("lbl_counts").alias("correct_pts"),
         cf.dominant_label("lbl_counts").alias("label"),
         cf.purity("lbl_counts").alias("purity"))
+
+
+def macro_paper(p_state: DataFrame, params: ClusterParams, mu: float | None = None,
+                eps: float | None = None, clock: int | None = None) -> DataFrame:
+    """C6 in the paper's reading: core p-MCs (weight >= mu) are connected
+    when their centroids are closer than 2*eps; each component is a macro;
+    every other p-MC joins the component of its nearest core within 2*eps
+    (ties to the lower ord) or stays out.  Weights are added once.  No
+    ordered replay: edges, components and grouped sums only."""
+    mu = params.offline_mu if mu is None else mu
+    eps = params.offline_epsilon if eps is None else eps
+    d, L = params.num_dims, params.num_labels
+    if clock is not None:
+        from evoclust.operators.state import decay_to
+        p_state = decay_to(p_state, clock, params.lam)
+    mcs = cut(p_state.filter(F.col("kind") == "p").select(
+        "ord", "cf1", "cf2", "weight", "pts", "lbl_counts",
+        cf.centroid("cf1", "weight").alias("centroid"),
+        (F.col("weight") >= F.lit(float(mu))).alias("core")), "macro-mcs")
+    cores = mcs.filter("core")
+    ce = cut(mc_edges(cores, eps, d).select("src", "dst"), "macro-core-edges")
+    comps = connected_components(ce, unique=True)
+    core_c = (cores.select("ord").join(comps.withColumnRenamed("id", "ord"), "ord", "left")
+              .select("ord", F.coalesce("comp", "ord").alias("comp")))
+    kinds = mcs.select("ord", "core")
+    e = (mc_edges(mcs, eps, d)
+         .join(kinds.select(F.col("ord").alias("src"), F.col("core").alias("src_core")), "src")
+         .join(kinds.select(F.col("ord").alias("dst"), F.col("core").alias("dst_core")), "dst")
+         .filter(~F.col("src_core") & F.col("dst_core")))
+    nearest = e.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("core_ord"))
+    border_c = (nearest.join(core_c.select(F.col("ord").alias("core_ord"), "comp"), "core_ord")
+                .select(F.col("src").alias("ord"), "comp"))
+    members = core_c.unionByName(border_c).join(mcs, "ord")
+    aggs = [F.sum(F.col("cf1")[k]).alias(f"_a{k}") for k in range(d)]
+    aggs += [F.sum(F.col("cf2")[k]).alias(f"_b{k}") for k in range(d)]
+    aggs += [F.sum(F.col("lbl_counts")[k]).cast("long").alias(f"_l{k}") for k in range(L)]
+    g = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n_members"), F.sum("weight").alias("weight"),
+                                    F.sum("pts").cast("long").alias("pts"), *aggs)
+    out = g.select(
+        F.col("comp").alias("macro_id"), "n_members",
+        F.array(*[F.col(f"_a{k}") for k in range(d)]).alias("cf1"),
+        F.array(*[F.col(f"_b{k}") for k in range(d)]).alias("cf2"),
+        "weight", "pts", F.array(*[F.col(f"_l{k}") for k in range(L)]).alias("lbl_counts"))
+    return out.select("*", cf.centroid("cf1", "weight").alias("centroid"),
+                      cf.correct_pts("lbl_counts").alias("correct_pts"),
+                      cf.dominant_label("lbl_counts").alias("label"),
+                      cf.purity("lbl_counts").alias("purity"))

@@ -322,6 +322,21 @@ def q_mc_snapshot(spark, sf):
         F.col("correct_pts").cast("long").alias("correct_pts"), "label", _r(F.col("purity"), "purity"), "pts")
 
 
+MACRO_EPS = 0.1  # fixed value: offline epsilon of the user micro-clusters
+MACRO_MU = 1.5
+
+
+def q_macro_paper(spark, sf):
+    from evoclust.operators.macro import macro_paper
+    ship_package(spark)
+    s = _user_state(spark, sf).select(F.lit("p").alias("kind"), F.col("user_id").alias("ord"),
+                                      "cf1", "cf2", "weight", "pts", "lbl_counts")
+    m = macro_paper(s, ClusterParams(num_dims=2, num_labels=EV_TYPES), mu=MACRO_MU, eps=MACRO_EPS)
+    return m.select("macro_id", "n_members", _r(F.col("weight"), "weight"),
+                    _r(F.col("centroid")[0], "c0"), _r(F.col("centroid")[1], "c1"), "pts",
+                    F.col("correct_pts").cast("long").alias("correct_pts"), "label", _r(F.col("purity"), "purity"))
+
+
 # --------------------------------------------- clustering runs (rows-only)
 
 STREAM_PARAMS = ClusterParams(num_dims=2, num_labels=EV_TYPES, lam=LAM, epsilon=0.2, init_epsilon=0.2,
@@ -398,6 +413,7 @@ QUERIES = {
     "predict": q_predict,
     "cluster_counts": q_cluster_counts,
     "mc_snapshot": q_mc_snapshot,
+    "macro_paper": q_macro_paper,
     "init_clusters": q_init_clusters,
     "admit_outliers": q_admit_outliers,
     "run_stream": q_run_stream,

@@ -230,4 +230,31 @@ SELECT user_id, CASE WHEN dn >= CAST(2.0 AS DOUBLE) THEN 'primary' ELSE 'outlier
   round(CAST(mx AS DOUBLE) / CAST(l0 + l1 + l2 + l3 + l4 AS DOUBLE), 6) AS purity,
   CAST(dpts AS BIGINT) AS pts
 FROM x""",
+
+    "macro_paper": f"""WITH RECURSIVE {USER_MC},
+mc AS (SELECT user_id AS ord, dn AS weight, d0, d1, dpts AS pts, l0, l1, l2, l3, l4,
+         CASE WHEN dn > 0 THEN d0 / dn ELSE d0 END AS x0, CASE WHEN dn > 0 THEN d1 / dn ELSE d1 END AS x1 FROM m),
+core AS (SELECT * FROM mc WHERE weight >= CAST(1.5 AS DOUBLE)),
+ce AS (SELECT a.ord AS src, b.ord AS dst FROM core a JOIN core b ON a.ord <> b.ord
+       WHERE sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) < CAST(0.2 AS DOUBLE)),
+reach(a, b) AS (SELECT ord, ord FROM core
+                UNION SELECT r.a, ce.dst FROM reach r JOIN ce ON r.b = ce.src),
+cc AS (SELECT a AS ord, min(b) AS comp FROM reach GROUP BY a),
+bd AS (SELECT b.ord, c.ord AS core_ord,
+         sqrt((b.x0 - c.x0) * (b.x0 - c.x0) + (b.x1 - c.x1) * (b.x1 - c.x1)) AS dist
+       FROM mc b JOIN core c ON b.weight < CAST(1.5 AS DOUBLE)),
+bn AS (SELECT ord, core_ord FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY dist, core_ord) AS rn
+       FROM bd WHERE dist < CAST(0.2 AS DOUBLE)) x WHERE rn = 1),
+mem AS (SELECT ord, comp FROM cc UNION ALL SELECT bn.ord, cc.comp FROM bn JOIN cc ON bn.core_ord = cc.ord),
+agg AS (SELECT mem.comp, count(*) AS n, sum(mc.weight) AS w, sum(mc.d0) AS s0, sum(mc.d1) AS s1,
+          sum(mc.pts) AS pts, sum(mc.l0) AS l0, sum(mc.l1) AS l1, sum(mc.l2) AS l2, sum(mc.l3) AS l3,
+          sum(mc.l4) AS l4 FROM mem JOIN mc ON mem.ord = mc.ord GROUP BY mem.comp),
+x AS (SELECT *, greatest(l0, l1, l2, l3, l4) AS mx FROM agg)
+SELECT CAST(comp AS BIGINT) AS macro_id, CAST(n AS BIGINT) AS n_members, round(w, 6) AS weight,
+  round(CASE WHEN w > 0 THEN s0 / w ELSE s0 END, 6) AS c0, round(CASE WHEN w > 0 THEN s1 / w ELSE s1 END, 6) AS c1,
+  CAST(pts AS BIGINT) AS pts, CAST(mx AS BIGINT) AS correct_pts,
+  CAST(CASE WHEN l0 = mx THEN 0 WHEN l1 = mx THEN 1 WHEN l2 = mx THEN 2 WHEN l3 = mx THEN 3 ELSE 4 END AS INTEGER)
+    AS label,
+  round(CAST(mx AS DOUBLE) / CAST(l0 + l1 + l2 + l3 + l4 AS DOUBLE), 6) AS purity
+FROM x""",
 }

@@ -150,3 +150,10 @@ def test_chunked_assignment_equals_broadcast(spark):
     pa_ = {r["seq"]: r["ord"] for r in predict(pts, cl, big).collect()}
     pb_ = {r["seq"]: r["ord"] for r in predict(pts, cl, tiny).collect()}
     assert pa_ == pb_
+
+
+def test_insert_point(spark):
+    s = one(spark, cf.insert_point(F.array(F.lit(2.0)), F.array(F.lit(2.0)), F.lit(2.0), F.lit(0), F.lit(0),
+                                   F.array(F.lit(1), F.lit(0)), F.array(F.lit(2.0)), F.lit(4), F.lit(1), 0.25))
+    assert s["weight"] == 2.0 and s["cf1"] == [3.0] and s["cf2"] == [5.0]
+    assert s["last_edit"] == 4 and s["pts"] == 1 and s["lbl_counts"] == [1, 1]
