@@ -23,9 +23,13 @@ def label_histogram(label: Column, num_labels: int) -> Column:
 
 
 def decayed_delta(assigned: DataFrame, lam: float, num_dims: int, num_labels: int,
-                  keys=("kind", "ord"), broadcast_tmax: bool = True) -> DataFrame:
+                  keys=("kind", "ord"), broadcast_tmax: bool = False) -> DataFrame:
     """One row per cluster key: ``dcf1, dcf2 ARRAY<DOUBLE>, dn DOUBLE,
-    tmax LONG, dpts LONG, lbl_counts ARRAY<LONG>``.  Needs ``time >= 0``."""
+    tmax LONG, dpts LONG, lbl_counts ARRAY<LONG>``.  Needs ``time >= 0``.
+
+    ``broadcast_tmax`` forces the broadcast of the per-key maxima; callers
+    set it only when the key count is known to be small (the model's K);
+    otherwise AQE picks the join from the measured size."""
     keys = list(keys)
     tmax = assigned.groupBy(*keys).agg(F.max("time").alias("tmax"))
     side = F.broadcast(tmax) if broadcast_tmax else tmax

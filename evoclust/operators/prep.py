@@ -61,12 +61,16 @@ def label_map(df: DataFrame, col: str, order: str = "first", order_col: str | No
     alphabetically.  One row per distinct value."""
     if order == "first":
         first = df.groupBy(col).agg(F.min(order_col).alias("_first"))
-        w = Window.orderBy("_first", col)
+        keys = ["_first", col]
     else:
         first = df.select(col).distinct()
-        w = Window.orderBy(col)
-    # the map has one row per label, so this global window is small
-    return first.select(col, (F.row_number().over(w) - 1).cast("int").alias("label"))
+        keys = [col]
+    if first.count() <= MAX_LABELS:
+        # one row per label: a small global window
+        w = Window.orderBy(*keys)
+        return first.select(col, (F.row_number().over(w) - 1).cast("int").alias("label"))
+    from evoclust.sources.points import with_row_index
+    return with_row_index(first, keys, "_k").select(col, F.col("_k").cast("int").alias("label"))
 
 
 def encode_labels(df: DataFrame, col: str, order: str = "first", order_col: str | None = None,

@@ -60,13 +60,16 @@ def conform(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ J5 + F9
 
-def apply_deltas(state: DataFrame, deltas: DataFrame, params: ClusterParams) -> DataFrame:
+def apply_deltas(state: DataFrame, deltas: DataFrame, params: ClusterParams,
+                 broadcast: bool = False) -> DataFrame:
     """Fold each delta into its MC; untouched MCs keep all but ``pts = 0``.
 
     Adds a transient ``promote`` flag: an o-MC touched by a delta whose new
-    weight reaches beta*mu.  ``deltas`` has at most K rows (broadcast)."""
+    weight reaches beta*mu.  ``deltas`` has at most K rows; ``broadcast``
+    is set by callers that know K is within the broadcast budget."""
     lam = params.lam
-    j = state.join(F.broadcast(deltas.withColumnRenamed("lbl_counts", "dl")), ["kind", "ord"], "left")
+    d = deltas.withColumnRenamed("lbl_counts", "dl")
+    j = state.join(F.broadcast(d) if broadcast else d, ["kind", "ord"], "left")
     has = F.col("dn").isNotNull()
     dt = F.col("tmax") - F.col("last_edit")
     if params.q_clamp_late:
@@ -96,12 +99,20 @@ def apply_deltas(state: DataFrame, deltas: DataFrame, params: ClusterParams) ->
 
 # ---------------------------------------------------------------- C4
 
-def promote(state: DataFrame, max_p_ord: int) -> DataFrame:
-    """Flagged o-MCs become p-MCs, appended in descending o-list order."""
-    w = Window.orderBy(F.col("ord").desc())
-    moved = (state.filter(F.col("promote"))
-             .withColumn("ord", (F.lit(max_p_ord) + F.row_number().over(w)).cast("long"))
-             .withColumn("kind", F.lit("p")))
+def promote(state: DataFrame, max_p_ord: int, small: bool = True) -> DataFrame:
+    """Flagged o-MCs become p-MCs, appended in descending o-list order.
+
+    ``small`` (state within the broadcast budget) numbers them with one
+    global window; otherwise with the distributed row index."""
+    flagged = state.filter(F.col("promote"))
+    if small:
+        w = Window.orderBy(F.col("ord").desc())
+        moved = flagged.withColumn("ord", (F.lit(max_p_ord) + F.row_number().over(w)).cast("long"))
+    else:
+        from evoclust.sources.points import with_row_index
+        moved = (with_row_index(flagged, [F.col("ord").desc()], "_k")
+                 .withColumn("ord", (F.lit(max_p_ord + 1) + F.col("_k")).cast("long")).drop("_k"))
+    moved = moved.withColumn("kind", F.lit("p"))
     kept = state.filter(~F.col("promote"))
     return kept.unionByName(moved).drop("promote")
 

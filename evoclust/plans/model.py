@@ -184,7 +184,7 @@ class ClusterModel:
         to_p = int(dsum["p"]["n"]) if "p" in dsum else 0
         to_o = int(dsum["o"]["n"]) if "o" in dsum else 0
         clock = max([meta.clock] + [int(r["t"]) for r in dsum.values()])
-        s1 = st.apply_deltas(self.state, deltas, p).cache()
+        s1 = st.apply_deltas(self.state, deltas, p, broadcast=small).cache()
         n_rest = n - to_p - to_o
         max_o = meta.max_o_ord
         n_new = 0
@@ -225,7 +225,7 @@ class ClusterModel:
                 max_o += n_new
             extra = newmcs
         s1 = s1.cache()
-        s2 = st.promote(s1, meta.max_p_ord).cache()
+        s2 = st.promote(s1, meta.max_p_ord, small=small).cache()
         t_update = _time.time() - t_start
         t_detect = _time.time()
         pruned = {"p": 0, "o": 0}
