@@ -192,13 +192,14 @@ class ClusterModel:
         extra = None
         if n_rest:
             rest = assigned.filter(F.col("kind").isNull()).drop("kind", "ord")
-            o0 = admit_op.first_outlier(s1)
+            o0 = admit_op.first_outlier(s1) if meta.n_o else None
             newmcs, mode = admit_op.admit_outliers(rest, o0, p, n_rest)
             newmcs = newmcs.cache()
             agg = newmcs.agg(F.count_if(F.col("is_o0")).alias("u"), F.count_if(~F.col("is_o0")).alias("f"),
                              F.max("last_edit").alias("t")).collect()[0]
-            rmax = rest.agg(F.max("time")).collect()[0][0]
-            clock = max(clock, int(rmax))
+            # the fold runs in time order, so the newest edit among the
+            # clusters it opened or changed is the newest unassigned point
+            clock = max(clock, int(agg["t"]))
             if o0 is not None and agg["u"]:
                 u = newmcs.filter(F.col("is_o0")).select(
                     F.lit(int(o0["ord"])).cast("long").alias("_uord"),
