@@ -168,7 +168,9 @@ class ClusterModel:
             prev = self._latest_version(below=batch_id)
             if prev is not None:
                 self._load(prev)
+        held = []  # cached frames of this batch, released at the end
         pts = batch.select("time", "features", "label", "seq").cache()
+        held.append(pts)
         n = pts.count()
         if n == 0:
             pts.unpersist()
@@ -176,25 +178,28 @@ class ClusterModel:
         meta = self.meta
         counts = {"p": meta.n_p, "o": meta.n_o}
         assigned = assign_points(pts, self.state, p, counts).cache()
+        held.append(assigned)
         small = (meta.n_p + meta.n_o) * (16 * p.num_dims + 40) <= p.max_broadcast_bytes
         deltas = decayed_delta(assigned.filter(F.col("kind").isNotNull()), p.lam, p.num_dims,
                                p.num_labels, broadcast_tmax=small).cache()
+        held.append(deltas)
         dsum = {r["kind"]: r for r in deltas.groupBy("kind").agg(
             F.sum("dpts").alias("n"), F.max("tmax").alias("t")).collect()}
         to_p = int(dsum["p"]["n"]) if "p" in dsum else 0
         to_o = int(dsum["o"]["n"]) if "o" in dsum else 0
         clock = max([meta.clock] + [int(r["t"]) for r in dsum.values()])
         s1 = st.apply_deltas(self.state, deltas, p, broadcast=small).cache()
+        held.append(s1)
         n_rest = n - to_p - to_o
         max_o = meta.max_o_ord
         n_new = 0
         mode = None
-        extra = None
         if n_rest:
             rest = assigned.filter(F.col("kind").isNull()).drop("kind", "ord")
             o0 = admit_op.first_outlier(s1) if meta.n_o else None
             newmcs, mode = admit_op.admit_outliers(rest, o0, p, n_rest)
             newmcs = newmcs.cache()
+            held.append(newmcs)
             agg = newmcs.agg(F.count_if(F.col("is_o0")).alias("u"), F.count_if(~F.col("is_o0")).alias("f"),
                              F.max("last_edit").alias("t")).collect()[0]
             # the fold runs in time order, so the newest edit among the
@@ -224,9 +229,12 @@ class ClusterModel:
                     (F.col("weight") >= F.lit(p.promote_weight)).alias("promote"))
                 s1 = s1.select(*st.STATE_COLS, "promote").unionByName(new_rows)
                 max_o += n_new
-            extra = newmcs
         s1 = s1.cache()
+        held.append(s1)
+        # the state may have grown by the opened clusters
+        small = small and (meta.n_p + meta.n_o + n_new) * (16 * p.num_dims + 40) <= p.max_broadcast_bytes
         s2 = st.promote(s1, meta.max_p_ord, small=small).cache()
+        held.append(s2)
         t_update = _time.time() - t_start
         t_detect = _time.time()
         pruned = {"p": 0, "o": 0}
@@ -251,7 +259,7 @@ class ClusterModel:
             version=batch_id, clock=clock, period=meta.period + 1,
             max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o)
         self._save(s2, newmeta)
-        _release([df for df in (assigned, pts, deltas, s1, extra, s2) if df is not None])
+        _release(held)
         self.timings["update"] += t_update
         self.timings["detect"] += t_detect
         self.timings["total"] += _time.time() - t_start
