@@ -75,7 +75,7 @@ def _assign_batches(p_bc, o_bc, params: ClusterParams, d: int):
 
 
 def assign_points(points: DataFrame, state: DataFrame, params: ClusterParams,
-                  counts: dict | None = None) -> DataFrame:
+                  counts: dict | None = None, arrays: tuple | None = None) -> DataFrame:
     """Adds ``kind`` ('p', 'o' or null) and ``ord`` to every point.
 
     A point goes to its nearest p-MC (undecayed centroid, lowest ``ord`` on
@@ -85,7 +85,10 @@ def assign_points(points: DataFrame, state: DataFrame, params: ClusterParams,
     d = params.num_dims
     spark = points.sparkSession
     counts = counts or {}
-    if "p" in counts and "o" in counts:
+    if arrays is not None:
+        # the caller already holds this (size-checked) state as arrays
+        P, O = arrays
+    elif "p" in counts and "o" in counts:
         if (counts["p"] + counts["o"]) * _bytes_per_row(d) <= params.max_broadcast_bytes:
             # both kinds in one small collect (size known from the model meta)
             rows = state.select("kind", *_STATE_COLS).orderBy("kind", "ord").collect()

@@ -26,6 +26,7 @@ import time as _time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evoclust.functions import kernels as K
 from evoclust.operators import admit as admit_op
 from evoclust.operators import state as st
 from evoclust.operators.assign import assign_points
@@ -39,6 +40,20 @@ from evoclust.sources.points import with_row_index
 _UPD = ("cf1", "cf2", "weight", "last_edit", "pts", "lbl_counts")
 
 
+def _summarise(rows, max_p_ord: int) -> dict:
+    """Per-kind count, weight sum, pts sum, mean purity and promoted count
+    of collected state rows (the same numbers as the Spark summary)."""
+    out = {}
+    for kind in ("p", "o"):
+        rs = [r for r in rows if r["kind"] == kind]
+        if not rs:
+            continue
+        pur = [max(r["lbl_counts"]) / sum(r["lbl_counts"]) for r in rs]
+        out[kind] = {"n": len(rs), "w": sum(r["weight"] for r in rs), "pts": sum(r["pts"] for r in rs),
+                     "pur": sum(pur) / len(pur), "new_p": sum(1 for r in rs if r["ord"] > max_p_ord)}
+    return out
+
+
 def _release(frames) -> None:
     """Drop the batch's cached frames without waiting for the block manager."""
     def run():
@@ -63,6 +78,7 @@ class ClusterModel:
         self.history: list[dict] = []
         self.init_info: dict = {}
         self._versions_seen: set[int] = set()
+        self._arrays = None  # (P, O) arrays of self.state when it is small
         if resume and root is not None:
             latest = self._latest_version()
             if latest is not None:
@@ -88,6 +104,7 @@ class ClusterModel:
         self.meta = meta
         self.state = self._read_state(meta.version)
         self._versions_seen.add(meta.version)
+        self._arrays = None
 
     def _read_state(self, version: int) -> DataFrame:
         return self.spark.read.schema(st.STATE_SCHEMA).parquet(self._version_path(version))
@@ -139,6 +156,7 @@ class ClusterModel:
         self.meta = st.ModelMeta(**{k: int(r[k]) for k in st.ModelMeta().as_row()})
         self.state = self._read_state(version)
         self._versions_seen.add(version)
+        self._arrays = None
         return True
 
     # ------------------------------------------------------------- init
@@ -169,25 +187,29 @@ class ClusterModel:
             if prev is not None:
                 self._load(prev)
         held = []  # cached frames of this batch, released at the end
-        pts = batch.select("time", "features", "label", "seq").cache()
-        held.append(pts)
-        n = pts.count()
-        if n == 0:
-            pts.unpersist()
-            return None
+        pts = batch.select("time", "features", "label", "seq")
         meta = self.meta
         counts = {"p": meta.n_p, "o": meta.n_o}
-        assigned = assign_points(pts, self.state, p, counts).cache()
+        assigned = assign_points(pts, self.state, p, counts, arrays=self._arrays).cache()
         held.append(assigned)
         small = (meta.n_p + meta.n_o) * (16 * p.num_dims + 40) <= p.max_broadcast_bytes
-        deltas = decayed_delta(assigned.filter(F.col("kind").isNotNull()), p.lam, p.num_dims,
-                               p.num_labels, broadcast_tmax=small).cache()
-        held.append(deltas)
-        dsum = {r["kind"]: r for r in deltas.groupBy("kind").agg(
+        # one aggregation gives the deltas and (kind "u") the unassigned rows
+        keyed = assigned.select(F.coalesce("kind", F.lit("u")).alias("kind"),
+                                F.coalesce("ord", F.lit(-1).cast("long")).alias("ord"),
+                                "time", "features", "label")
+        all_groups = decayed_delta(keyed, p.lam, p.num_dims, p.num_labels,
+                                   broadcast_tmax=small).cache()
+        held.append(all_groups)
+        dsum = {r["kind"]: r for r in all_groups.groupBy("kind").agg(
             F.sum("dpts").alias("n"), F.max("tmax").alias("t")).collect()}
+        n = int(sum(r["n"] for r in dsum.values()))
+        if n == 0:  # empty batch: nothing changes, the prune period does not advance
+            _release(held)
+            return None
+        deltas = all_groups.filter(F.col("kind") != "u")
         to_p = int(dsum["p"]["n"]) if "p" in dsum else 0
         to_o = int(dsum["o"]["n"]) if "o" in dsum else 0
-        clock = max([meta.clock] + [int(r["t"]) for r in dsum.values()])
+        clock = max([meta.clock] + [int(r["t"]) for k, r in dsum.items() if k != "u"])
         s1 = st.apply_deltas(self.state, deltas, p, broadcast=small).cache()
         held.append(s1)
         n_rest = n - to_p - to_o
@@ -244,11 +266,24 @@ class ClusterModel:
             F.avg(F.array_max("lbl_counts") / F.aggregate("lbl_counts", F.lit(0).cast("long"),
                                                           lambda a, b: a + b)).alias("pur"),
             F.count_if(F.col("ord") > F.lit(meta.max_p_ord)).alias("new_p")]
-        kept = {r["kind"]: r for r in s2.groupBy("kind").agg(*summary).collect()}
-        n_prom = int(kept["p"]["new_p"]) if "p" in kept else 0
         if prune_now:
-            s2 = st.prune(s2, clock, p)
             kept = {r["kind"]: r for r in s2.groupBy("kind").agg(*summary).collect()}
+            n_prom = int(kept["p"]["new_p"]) if "p" in kept else 0
+            s2 = st.prune(s2, clock, p).cache()
+            held.append(s2)
+        arrays = None
+        if small:
+            # the state is small: one collect gives the summary and the
+            # arrays the next batch broadcasts
+            rows = s2.select("kind", "ord", "cf1", "cf2", "weight", "last_edit", "pts",
+                             "lbl_counts").orderBy("kind", "ord").collect()
+            kept = _summarise(rows, meta.max_p_ord)
+            arrays = (K.state_arrays([r for r in rows if r["kind"] == "p"], p.num_dims),
+                      K.state_arrays([r for r in rows if r["kind"] == "o"], p.num_dims))
+        else:
+            kept = {r["kind"]: r for r in s2.groupBy("kind").agg(*summary).collect()}
+        if not prune_now:
+            n_prom = int(kept["p"]["new_p"]) if "p" in kept else 0
         t_detect = _time.time() - t_detect
         s2 = st.conform(s2)
         n_p = int(kept["p"]["n"]) if "p" in kept else 0
@@ -259,6 +294,7 @@ class ClusterModel:
             version=batch_id, clock=clock, period=meta.period + 1,
             max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o)
         self._save(s2, newmeta)
+        self._arrays = arrays
         _release(held)
         self.timings["update"] += t_update
         self.timings["detect"] += t_detect
