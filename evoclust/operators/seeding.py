@@ -44,12 +44,13 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     """
     spark = points.sparkSession
     d, L, mu = params.num_dims, params.num_labels, params.mu
-    pts = points.select("seq", "features", "label")
+    pts = points.select("seq", "features", "label").cache()  # read by several jobs below
     n_points = pts.count()
     edges = cut(eps_edges(pts, params.init_epsilon, d).select("src", "dst"), "init-edges")
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     first = deg.filter(F.col("deg") > F.lit(mu)).agg(F.min("src")).collect()[0][0]
     if first is None:
+        pts.unpersist()
         return _empty(spark), {"seeds": 0, "untagged": n_points, "points": n_points}
     comps = connected_components(edges, unique=True)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
@@ -104,6 +105,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
         F.lit(0).alias("t0"), F.lit(0).alias("last_edit"), F.lit(0).alias("pts"),
         "lbl_counts"))
     n_seeds = mcs.count()
+    pts.unpersist()
     return state, {"seeds": n_seeds, "untagged": untagged, "points": n_points}
 
 

@@ -343,35 +343,46 @@ def q_macro_paper(spark, sf):
 # the original's fixed offline values (epsilon 0.4, mu 10)
 STREAM_PARAMS = ClusterParams(num_dims=2, num_labels=EV_TYPES, lam=LAM, epsilon=0.2, init_epsilon=0.2,
                               mu=10, beta=0.2, offline_epsilon=0.4, offline_mu=10)
-INIT_HOURS = 24  # the first day of events seeds the model
-BATCH_HOURS = 72  # one micro-batch per three days
+INIT_SHARE = 20  # the init sample holds 1/20 of the events, stratified by type
+BATCH_HOURS = 72  # one micro-batch per three days of the whole table
+
+
+def init_sample(spark, sf, ev=None):
+    """The initialisation sample: a seeded stratified sample (O4) of the
+    events, 1/INIT_SHARE of the rows split evenly over the event types."""
+    ev = ev if ev is not None else events_points(spark, sf)
+    n = ev.count()
+    per_type = max(20, n // (INIT_SHARE * EV_TYPES))
+    return prep.stratified_sample(ev, "label", per_type, 42, "event_id")
 
 
 def q_init_clusters(spark, sf):
     from evoclust.operators.seeding import init_clusters
     ship_package(spark)
-    ev = events_points(spark, sf).filter(F.col("time") < INIT_HOURS)
-    state, _ = init_clusters(ev, STREAM_PARAMS)
+    state, _ = init_clusters(init_sample(spark, sf), STREAM_PARAMS)
     return state.select("ord", "mc_id", "weight", "pts", "lbl_counts")
 
 
 def q_admit_outliers(spark, sf):
-    from evoclust.operators.admit import admit_ordered
+    """C3 over every event as if no cluster had taken any: ordered fold up
+    to the ordered limit, salted grid cells above it."""
+    from evoclust.operators.admit import admit_outliers
     ship_package(spark)
-    ev = events_points(spark, sf).filter(F.col("time") < INIT_HOURS)
-    return admit_ordered(ev, None, STREAM_PARAMS).select("first_seq", "weight", "pts", "lbl_counts")
+    ev = events_points(spark, sf)
+    out, _ = admit_outliers(ev, None, STREAM_PARAMS, ev.count())
+    return out.select("first_seq", "weight", "pts", "lbl_counts")
 
 
 def run_events_stream(spark, sf, params: ClusterParams = STREAM_PARAMS):
-    """The whole online phase over the events table: init on the first day,
-    then one micro-batch per ``BATCH_HOURS``."""
+    """The whole online phase over the events table: init on the stratified
+    sample, then every event, one micro-batch per ``BATCH_HOURS``."""
     from evoclust.plans.model import ClusterModel
     ev = events_points(spark, sf).cache()
     model = ClusterModel(spark, params)
-    model.initialize(ev.filter(F.col("time") < INIT_HOURS))
+    model.initialize(init_sample(spark, sf, ev))
     last = ev.agg(F.max("time")).collect()[0][0]
     b = 0
-    for start in range(INIT_HOURS, int(last) + 1, BATCH_HOURS):
+    for start in range(0, int(last) + 1, BATCH_HOURS):
         batch = ev.filter((F.col("time") >= start) & (F.col("time") < start + BATCH_HOURS))
         model.process_batch(batch, b)
         b += 1
