@@ -75,10 +75,13 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
              .filter((~F.col("r._same") | (F.col("l.id") < F.col("r.id_r"))) & (F.col("l.id") != F.col("r.id_r")))
              .select(F.col("l.id").alias("a"), F.col("r.id_r").alias("b"), dist.alias("dist"))
              .filter(F.col("dist") < F.lit(eps) if strict else F.col("dist") <= F.lit(eps)))
-    both = F.explode(F.array(
-        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
-        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")
-    return pairs.select(both, "dist").select("e.src", "e.dst", "dist")
+    # both directions from one match: a literal two-element explode and a
+    # swap stay in generated code (no per-row structs)
+    flip = F.explode(F.array(F.lit(False), F.lit(True))).alias("_flip")
+    return pairs.select("a", "b", "dist", flip).select(
+        F.when(F.col("_flip"), F.col("b")).otherwise(F.col("a")).alias("src"),
+        F.when(F.col("_flip"), F.col("a")).otherwise(F.col("b")).alias("dst"),
+        "dist")
 
 
 def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
