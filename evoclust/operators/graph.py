@@ -31,9 +31,11 @@ def distance_expr(a: str, b: str, d: int) -> Column:
 
 
 def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
-              feat_col: str = "features", strict: bool = True, cell_rows: int = 4096) -> DataFrame:
-    """Directed edges ``src, dst, dist`` (both directions) between distinct
-    points at distance < eps (``<=`` when not strict).
+              feat_col: str = "features", strict: bool = True, cell_rows: int = 4096,
+              both: bool = True) -> DataFrame:
+    """Directed edges ``src, dst, dist`` (both directions; with ``both=False``
+    each pair once) between distinct points at distance < eps (``<=`` when
+    not strict).
 
     Each unordered pair is examined once: a cell meets itself (with
     ``id < id``) and only the neighbour cells with a lexicographically
@@ -75,6 +77,8 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
              .filter((~F.col("r._same") | (F.col("l.id") < F.col("r.id_r"))) & (F.col("l.id") != F.col("r.id_r")))
              .select(F.col("l.id").alias("a"), F.col("r.id_r").alias("b"), dist.alias("dist"))
              .filter(F.col("dist") < F.lit(eps) if strict else F.col("dist") <= F.lit(eps)))
+    if not both:  # every undirected pair once, as (smaller, larger)
+        return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "dist")
     # both directions from one match: a literal two-element explode and a
     # swap stay in generated code (no per-row structs)
     flip = F.explode(F.array(F.lit(False), F.lit(True))).alias("_flip")
@@ -128,30 +132,43 @@ def _components_one_task(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, max_rounds: int = 64,
                          local_edges: int = 1_000_000, unique: bool = False,
-                         jumps: int = 3) -> DataFrame:
+                         jumps: int = 3, once: bool = False) -> DataFrame:
     """``id, comp`` (comp = smallest id of the component) for every node
     that has an edge.
 
-    Graph contraction: each round maps every node to the smallest of itself
-    and its neighbours, rewrites the edges onto those representatives and
-    drops loops and duplicates, so the edge table shrinks round by round.
-    The smallest id of a component always maps to itself, hence it is the
-    final representative.  Each round's edges and mapping are written to the
-    shared checkpoint folder (flat lineage, restartable).  Graphs of at most
-    ``local_edges`` edges are labelled in one task instead.  ``unique``
-    states that the input has no duplicate edge (as ``eps_edges`` gives),
-    which saves the first de-duplication shuffle."""
-    e = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    e = cut(e if unique else e.distinct(), "cc-edges")
+    Graph contraction on undirected edges kept once as (smaller, larger):
+    each round maps every node to the smallest of itself and its smaller
+    neighbours (pointer jumping on that node map moves it further), rewrites
+    the edges onto those representatives and drops loops and duplicates, so
+    the edge table shrinks round by round.  The smallest id of a component
+    always maps to itself, hence it is the final representative.  Each
+    round's edges and map are written to the shared checkpoint folder (flat
+    lineage, restartable).  Graphs of at most ``local_edges`` edges are
+    labelled in one task instead.
+
+    ``once``: the input lists every undirected edge once (any orientation);
+    ``unique``: it lists every directed edge once (both orientations, as
+    ``eps_edges`` gives).  Either saves a de-duplication shuffle.
+    """
+    lo = F.least("src", "dst").alias("src")
+    hi = F.greatest("src", "dst").alias("dst")
+    e = edges.filter(F.col("src") != F.col("dst"))
+    if once:
+        e = e.select(lo, hi)
+    elif unique:
+        e = e.filter(F.col("src") < F.col("dst")).select("src", "dst")
+    else:
+        e = e.select(lo, hi).distinct()
+    e = cut(e, "cc-edges")
     if e.count() <= local_edges:
         return cut(_components_one_task(e), "cc-labels")
+    nodes = cut(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct(),
+                "cc-nodes")
     maps = []
     for _ in range(max_rounds):
-        m = (e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("to"))
-             .withColumnRenamed("src", "id"))
+        m = e.groupBy("dst").agg(F.min("src").alias("to")).withColumnRenamed("dst", "id")
         for _ in range(jumps):
-            # pointer jumping on the node map (node-sized joins): each jump
-            # doubles how far a node moves towards its component minimum
+            # pointer jumping on the node map (node-sized joins)
             a, b = m.alias("a"), m.alias("b")
             m = (a.join(b, F.col("a.to") == F.col("b.id"), "left")
                  .select(F.col("a.id").alias("id"), F.coalesce(F.col("b.to"), F.col("a.to")).alias("to")))
@@ -159,16 +176,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 64,
         maps.append(m)
         ms = m.select(F.col("id").alias("src"), F.col("to").alias("s2"))
         md = m.select(F.col("id").alias("dst"), F.col("to").alias("d2"))
-        nxt = (e.join(ms, "src").join(md, "dst")
-               .select(F.col("s2").alias("src"), F.col("d2").alias("dst"))
-               .filter(F.col("src") != F.col("dst")).distinct())
+        moved = (e.join(ms, "src", "left").join(md, "dst", "left")
+                 .select(F.coalesce("s2", "src").alias("a"), F.coalesce("d2", "dst").alias("b")))
+        nxt = (moved.filter(F.col("a") != F.col("b"))
+               .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         e = cut(nxt, "cc-edges")
         if e.limit(1).count() == 0:
             break
     else:
         raise RuntimeError("connected_components did not converge")
-    labels = maps[0].select("id", F.col("to").alias("comp"))
-    for m in maps[1:]:
+    labels = nodes.select("id", F.col("id").alias("comp"))
+    for m in maps:
         labels = (labels.join(m.select(F.col("id").alias("comp"), F.col("to")), "comp", "left")
                   .select("id", F.coalesce("to", "comp").alias("comp")))
         labels = cut(labels, "cc-labels")

@@ -230,8 +230,8 @@ def q_eps_pairs(spark, sf):
 
 def q_components(spark, sf):
     ev = events_points(spark, sf)
-    e = eps_edges(ev, 0.05, 2, id_col="event_id")
-    return connected_components(e, unique=True).select(F.col("id").alias("event_id"), "comp")
+    e = eps_edges(ev, 0.05, 2, id_col="event_id", both=False)
+    return connected_components(e, once=True).select(F.col("id").alias("event_id"), "comp")
 
 
 def q_admissible_points(spark, sf):
