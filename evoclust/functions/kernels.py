@@ -9,8 +9,6 @@ these functions only see one Arrow batch or one group.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 
@@ -227,6 +225,30 @@ def _adjacency(n, src, dst):
     return [dst[starts[i]:starts[i + 1]] for i in range(n)]
 
 
+def replay_init_paper(x, labels, src, dst, min_weight, num_labels):
+    """Paper reading of the initialisation (Q2): in order, an untagged point
+    whose neighbourhood (itself plus its untagged neighbours) weighs more
+    than ``min_weight`` (beta*mu) becomes a p-MC with those neighbours; all
+    of them leave the sample; no recursive expansion."""
+    n = len(x)
+    adj = _adjacency(n, np.asarray(src, np.int64), np.asarray(dst, np.int64))
+    tag = np.zeros(n, bool)
+    out = []
+    for i in range(n):
+        if tag[i]:
+            continue
+        a = adj[i]
+        nb = a[~tag[a]] if len(a) else a
+        if len(nb) + 1 > min_weight:
+            members = np.concatenate([[i], nb]).astype(np.int64)
+            tag[members] = True
+            lbl = np.zeros(num_labels, np.int64)
+            np.add.at(lbl, labels[members].astype(np.int64), 1)
+            out.append({"seed": i, "cf1": x[members].sum(axis=0), "cf2": (x[members] ** 2).sum(axis=0),
+                        "weight": float(len(members)), "lbl": lbl})
+    return out, int((~tag).sum())
+
+
 def replay_init(x, labels, src, dst, mu, num_labels, zero_local=-1,
                 pretag_zero=False, tag_seed=False):
     """Greedy density initialisation over one connected component.
@@ -340,6 +362,3 @@ def replay_macro(weights, cf1, cf2, pts, lbl, src, dst, mu,
         out.append((i, members, w, c1, c2, p, lb))
     return out
 
-
-def pow2(x: float) -> float:
-    return math.pow(2.0, x)

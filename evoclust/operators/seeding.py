@@ -48,13 +48,17 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     n_points = pts.count()
     edges = cut(eps_edges(pts, params.init_epsilon, d).select("src", "dst"), "init-edges")
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    first = deg.filter(F.col("deg") > F.lit(mu)).agg(F.min("src")).collect()[0][0]
+    paper = params.q_paper_seeding
+    # a seed needs more than mu neighbours (reference) or a neighbourhood
+    # weight above beta*mu counting itself (paper)
+    need = params.beta * mu - 1 if paper else mu
+    first = deg.filter(F.col("deg") > F.lit(need)).agg(F.min("src")).collect()[0][0]
     if first is None:
         pts.unpersist()
         return _empty(spark), {"seeds": 0, "untagged": n_points, "points": n_points}
     comps = connected_components(edges, unique=True)
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.filter(F.col("size") > F.lit(mu + 1))
+    big = sizes.filter(F.col("size") > F.lit(need + 1))
     members = comps.join(big, "comp").select("id", "comp", "size")
     c0 = comps.filter(F.col("id") == 0).select("comp").collect()
     comp0 = c0[0][0] if c0 else None
@@ -67,6 +71,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     e_side = (edges.join(members.select(F.col("id").alias("src"), F.col("comp").alias("_ec")), "src")
               .select(F.col("_ec").alias("comp"), "src", "dst"))
     tag_seed = params.q_tag_seed
+    min_w = params.beta * mu
 
     def replay(pdf: pd.DataFrame, edf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
@@ -76,10 +81,13 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
         src = np.searchsorted(seqs, edf["src"].to_numpy(np.int64))
         dst = np.searchsorted(seqs, edf["dst"].to_numpy(np.int64))
         zero_local = int(np.searchsorted(seqs, 0)) if (len(seqs) and seqs[0] == 0) else -1
-        mcs, untagged = K.replay_init(x, pdf["label"].to_numpy(), src, dst, mu, L,
-                                      zero_local=zero_local,
-                                      pretag_zero=pretag and comp == comp0,
-                                      tag_seed=tag_seed)
+        if paper:
+            mcs, untagged = K.replay_init_paper(x, pdf["label"].to_numpy(), src, dst, min_w, L)
+        else:
+            mcs, untagged = K.replay_init(x, pdf["label"].to_numpy(), src, dst, mu, L,
+                                          zero_local=zero_local,
+                                          pretag_zero=pretag and comp == comp0,
+                                          tag_seed=tag_seed)
         rows = [{"comp": comp, "seed": int(seqs[m["seed"]]), "cf1": m["cf1"].tolist(),
                  "cf2": m["cf2"].tolist(), "weight": m["weight"], "lbl_counts": m["lbl"].tolist(),
                  "untagged": untagged, "size": len(seqs)} for m in mcs]
@@ -93,7 +101,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     out = cut(out, "init-mcs")
     per_comp = out.groupBy("comp").agg(F.first("untagged").alias("u"), F.first("size").alias("s"))
     tot = per_comp.agg(F.sum(F.col("s") - F.col("u")).alias("tagged")).collect()[0]["tagged"] or 0
-    zero_outside = (not tag_seed) and (comp0 is None or
+    zero_outside = (not tag_seed) and (not paper) and (comp0 is None or
                                        members.filter(F.col("id") == 0).limit(1).count() == 0)
     untagged = n_points - int(tot) - (1 if zero_outside else 0)
     mcs = out.filter(F.col("seed") >= 0)

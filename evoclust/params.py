@@ -29,6 +29,7 @@ class ClusterParams:
     semantics: str = "reference"
     # individual switches; None means "follow semantics"
     tag_seed: bool | None = None  # Q1
+    paper_seeding: bool | None = None  # Q2
     radius_sum: bool | None = None  # Q4
     clamp_late: bool | None = None  # Q5
     accumulate_labels: bool | None = None  # Q6
@@ -50,6 +51,10 @@ class ClusterParams:
     def q_tag_seed(self) -> bool:
         return self._flag(self.tag_seed)
 
+    @property
+    def q_paper_seeding(self) -> bool:
+        return self._flag(self.paper_seeding)
+
     @property
     def q_radius_sum(self) -> bool:
         return self._flag(self.radius_sum)

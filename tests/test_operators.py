@@ -106,3 +106,27 @@ def test_macro_paper_small(spark):
     m = macro_paper(s, ClusterParams(num_dims=2, num_labels=2), mu=5.0, eps=0.2).collect()
     got = sorted((r["macro_id"], r["n_members"], r["weight"]) for r in m)
     assert got == [(0, 3, 22.0), (3, 1, 5.0)]
+
+
+def test_paper_seeding_matches_direct_scan(spark):
+    """Q2 paper seeding, replayed per component, equals one direct scan."""
+    from evoclust.operators.seeding import init_clusters
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(c, 0.15, size=(40, 2)) for c in ((0, 0), (2, 2), (0, 3))])
+    lab = rng.integers(0, 3, len(x))
+    p = ClusterParams(num_dims=2, num_labels=3, init_epsilon=0.3, mu=10, beta=0.5, paper_seeding=True)
+    pts = spark.createDataFrame([(i, [float(v) for v in x[i]], int(lab[i])) for i in range(len(x))],
+                                "seq long, features array<double>, label int")
+    state, info = init_clusters(pts, p)
+    got = sorted((r["ord"], r["weight"]) for r in state.collect())
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    tag = np.zeros(len(x), bool)
+    expect = []
+    for i in range(len(x)):
+        if tag[i]:
+            continue
+        nb = [j for j in range(len(x)) if j != i and not tag[j] and d[i, j] < 0.3]
+        if len(nb) + 1 > 5.0:
+            tag[[i] + nb] = True
+            expect.append((i, float(len(nb) + 1)))
+    assert got == expect and info["untagged"] == int((~tag).sum())
