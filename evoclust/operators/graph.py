@@ -49,7 +49,11 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
     g = min(d, 3)
     keys = [f"c{k}" for k in range(g)]
     cells = [F.floor(F.col(feat_col)[k] / F.lit(eps)).cast("long").alias(f"c{k}") for k in range(g)]
-    base = points.select(F.col(id_col).alias("id"), F.col(feat_col).alias("x"), *cells)
+    # small d: coordinates as scalar columns (no array access in the join)
+    scalar = d <= 16
+    xs = [f"x{k}" for k in range(d)] if scalar else ["x"]
+    coords = [F.col(feat_col)[k].alias(f"x{k}") for k in range(d)] if scalar else [F.col(feat_col).alias("x")]
+    base = points.select(F.col(id_col).alias("id"), *coords, *cells)
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > F.lit(cell_rows)).select(
         *keys, F.ceil(F.col("_n") / F.lit(cell_rows)).cast("int").alias("_salts"))
@@ -62,8 +66,10 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
             .drop("_salts")) if n_hot else base.withColumn("_salt", F.lit(0))
     offsets = [o for o in itertools.product((-1, 0, 1), repeat=g) if o >= (0,) * g]
     off = F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("_off")
-    right = (base.select(F.col("id").alias("id_r"), F.col("x").alias("x_r"), *[F.col(c) for c in keys], off)
-             .select("id_r", "x_r", *[(F.col(f"c{k}") - F.col("_off")[k]).alias(f"c{k}") for k in range(g)],
+    right = (base.select(F.col("id").alias("id_r"), *[F.col(c).alias(c + "_r") for c in xs],
+                         *[F.col(c) for c in keys], off)
+             .select("id_r", *[c + "_r" for c in xs],
+                     *[(F.col(f"c{k}") - F.col("_off")[k]).alias(f"c{k}") for k in range(g)],
                      (F.array_max(F.transform("_off", lambda v: F.abs(v))) == 0).alias("_same")))
     if n_hot:
         right = (right.join(hot_side, keys, "left")
@@ -72,7 +78,14 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
     else:
         right = right.withColumn("_salt", F.lit(0))
     cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys + ["_salt"]]
-    dist = distance_expr("l.x", "r.x_r", d)
+    if scalar:
+        sq = None
+        for c in xs:
+            diff = F.col(f"l.{c}") - F.col(f"r.{c}_r")
+            sq = diff * diff if sq is None else sq + diff * diff
+        dist = F.sqrt(sq)
+    else:
+        dist = distance_expr("l.x", "r.x_r", d)
     pairs = (left.alias("l").join(right.alias("r"), cond)
              .filter((~F.col("r._same") | (F.col("l.id") < F.col("r.id_r"))) & (F.col("l.id") != F.col("r.id_r")))
              .select(F.col("l.id").alias("a"), F.col("r.id_r").alias("b"), dist.alias("dist"))
