@@ -130,3 +130,35 @@ def test_paper_seeding_matches_direct_scan(spark):
             tag[[i] + nb] = True
             expect.append((i, float(len(nb) + 1)))
     assert got == expect and info["untagged"] == int((~tag).sum())
+
+
+def test_sources_and_prep_round_trip(spark, tmp_path):
+    """S12 write, S5/S13 read back, S14 row time, P3/P4/P6, O6, U1, A9, W1."""
+    from evoclust.operators import metrics as M
+    from evoclust.operators import prep
+    from evoclust.sources.points import read_points_csv, with_row_time, write_dataset_csv
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), int(c)) for a, b, c in zip(rng.normal(size=50), rng.normal(size=50),
+                                                            rng.integers(0, 3, 50))]
+    df = spark.createDataFrame(rows, "x double, y double, label int")
+    out = str(tmp_path / "ds")
+    write_dataset_csv(df.coalesce(1), out, ["x", "y"])
+    back = read_points_csv(spark, out, 2)
+    assert back.count() == 50 and set(back.columns) == {"features", "label", "seq"}
+    assert sorted(r["seq"] for r in back.collect()) == list(range(50))
+    hdr = str(tmp_path / "hdr.csv")
+    with open(hdr, "w") as f:
+        f.write("a,b,target\n")
+        for a, b, c in rows:
+            f.write(f"{a},{b},t{c}\n")
+    h = read_points_csv(spark, hdr, 2, header=True, label_col="target")
+    assert h.count() == 50 and h.first()["label"].startswith("t")
+    assert [r["time"] for r in with_row_time(back).orderBy("seq").limit(3).collect()] == [1, 2, 3]
+    z = prep.z_score(df.withColumn("k", F.lit(1.0)), ["x", "y", "k"])
+    prep.assert_standardised(z, ["x", "y"])
+    assert prep.drop_null_columns(z, ["x", "y", "k"]).columns == ["x", "y", "label"]
+    assert prep.shuffle_rows(df.withColumn("id", F.monotonically_increasing_id()), 1, "id").count() == 50
+    merged = prep.merge_datasets([df, df], [0, 3])
+    assert sorted(r["label"] for r in prep.distinct_labels(merged).collect()) == [0, 1, 2, 3, 4, 5]
+    ppb = M.points_per_batch(merged.withColumn("batch_id", (F.col("label") / 3).cast("long")))
+    assert [(r["pts"], r["before"], r["after"]) for r in ppb.orderBy("batch_id").collect()] == [(50, 0, 50), (50, 50, 100)]
