@@ -60,11 +60,37 @@ def _r(c, name):
 
 # ------------------------------------------------------------ point views
 
-def events_points(spark: SparkSession, sf: str) -> DataFrame:
+def events_clock(spark: SparkSession, sf: str) -> tuple[int, int]:
+    """First and last event second (one scalar aggregate)."""
+    sec = F.unix_timestamp("ts")
+    r = _t(spark, sf, "events").agg(F.min(sec), F.max(sec)).collect()[0]
+    return int(r[0]), int(r[1])
+
+
+def _ntz(seconds: int):
+    """A TIMESTAMP_NTZ literal for epoch seconds (time-zone free)."""
+    import datetime
+    t = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=int(seconds))
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+
+
+def events_points(spark: SparkSession, sf: str, s0: int | None = None, hours: tuple | None = None,
+                  labels: DataFrame | None = None) -> DataFrame:
+    """Events as points.  ``hours=(a, b)`` keeps ``a <= time < b`` through a
+    filter on the raw ``ts`` column (pushed to the Parquet scan); ``s0`` and
+    ``labels`` (the type map) then come from the whole table."""
     ev = _t(spark, sf, "events")
     sec = F.unix_timestamp("ts")
-    s0 = ev.agg(F.min(sec)).collect()[0][0]
-    ev = prep.encode_labels(ev, "event_type", order="alpha")
+    if s0 is None:
+        s0 = ev.agg(F.min(sec)).collect()[0][0]
+    if hours is not None:
+        # time = floor((sec - s0) / 3600) with integer seconds, so the hour
+        # range is exactly this range of timestamps
+        ev = ev.filter((F.col("ts") >= _ntz(s0 + hours[0] * 3600)) & (F.col("ts") < _ntz(s0 + hours[1] * 3600)))
+    if labels is None:
+        ev = prep.encode_labels(ev, "event_type", order="alpha")
+    else:
+        ev = ev.join(F.broadcast(labels), "event_type")  # one row per event type
     return ev.select(
         "event_id", "user_id", "event_type",
         F.floor((sec - F.lit(s0)) / F.lit(3600)).cast("long").alias("time"),
@@ -377,16 +403,19 @@ def run_events_stream(spark, sf, params: ClusterParams = STREAM_PARAMS):
     """The whole online phase over the events table: init on the stratified
     sample, then every event, one micro-batch per ``BATCH_HOURS``."""
     from evoclust.plans.model import ClusterModel
-    ev = events_points(spark, sf).cache()
+    s0, s1 = events_clock(spark, sf)
+    labels = prep.label_map(_t(spark, sf, "events"), "event_type", order="alpha")
+    labels = labels.cache()  # one row per event type
     model = ClusterModel(spark, params)
-    model.initialize(init_sample(spark, sf, ev))
-    last = ev.agg(F.max("time")).collect()[0][0]
+    model.initialize(init_sample(spark, sf, events_points(spark, sf, s0, labels=labels)))
+    last = (s1 - s0) // 3600
     b = 0
     for start in range(0, int(last) + 1, BATCH_HOURS):
-        batch = ev.filter((F.col("time") >= start) & (F.col("time") < start + BATCH_HOURS))
+        # each micro-batch reads only its own time slice of the table
+        batch = events_points(spark, sf, s0, (start, start + BATCH_HOURS), labels)
         model.process_batch(batch, b)
         b += 1
-    ev.unpersist()
+    labels.unpersist()
     return model
 
 
