@@ -90,7 +90,9 @@ def events_points(spark: SparkSession, sf: str, s0: int | None = None, hours: tu
     if labels is None:
         ev = prep.encode_labels(ev, "event_type", order="alpha")
     else:
-        ev = ev.join(F.broadcast(labels), "event_type")  # one row per event type
+        # one row per event type; broadcast only within the label-map bound
+        small = labels.count() <= prep.MAX_LABELS
+        ev = ev.join(F.broadcast(labels) if small else labels, "event_type")
     return ev.select(
         "event_id", "user_id", "event_type",
         F.floor((sec - F.lit(s0)) / F.lit(3600)).cast("long").alias("time"),
