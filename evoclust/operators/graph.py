@@ -106,46 +106,8 @@ def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
     return eps_edges(mcs, 2.0 * eps, d, id_col="ord", feat_col="centroid")
 
 
-def _components_one_task(edges: DataFrame) -> DataFrame:
-    """Small graphs (edge count checked by the caller): one task labels
-    them with vectorised min-label propagation and pointer jumping."""
-    import numpy as np
-    import pyarrow as pa
-
-    def fn(batches):
-        src, dst = [], []
-        for rb in batches:
-            src.append(rb.column("src").to_numpy(zero_copy_only=False))
-            dst.append(rb.column("dst").to_numpy(zero_copy_only=False))
-        if not src or sum(len(a) for a in src) == 0:
-            return
-        s = np.concatenate(src).astype(np.int64)
-        d = np.concatenate(dst).astype(np.int64)
-        ids = np.unique(np.concatenate([s, d]))
-        si, di = np.searchsorted(ids, s), np.searchsorted(ids, d)
-        lab = np.arange(len(ids))
-        while True:
-            old = lab
-            lab = lab.copy()
-            np.minimum.at(lab, si, lab[di])
-            np.minimum.at(lab, di, lab[si])
-            while True:
-                nxt = lab[lab]
-                if np.array_equal(nxt, lab):
-                    break
-                lab = nxt
-            if np.array_equal(lab, old):
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[lab], pa.int64())],
-                                         names=["id", "comp"])
-
-    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).coalesce(1) \
-        .mapInArrow(fn, "id long, comp long")
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 64,
-                         local_edges: int = 1_000_000, unique: bool = False,
-                         jumps: int = 3, once: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, unique: bool = False, jumps: int = 3,
+                         once: bool = False) -> DataFrame:
     """``id, comp`` (comp = smallest id of the component) for every node
     that has an edge.
 
@@ -156,8 +118,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64,
     the edge table shrinks round by round.  The smallest id of a component
     always maps to itself, hence it is the final representative.  Each
     round's edges and map are written to the shared checkpoint folder (flat
-    lineage, restartable).  Graphs of at most ``local_edges`` edges are
-    labelled in one task instead.
+    lineage, restartable), until no edge is left: each round at least halves
+    the nodes of every component that still has edges.
 
     ``once``: the input lists every undirected edge once (any orientation);
     ``unique``: it lists every directed edge once (both orientations, as
@@ -173,12 +135,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 64,
     else:
         e = e.select(lo, hi).distinct()
     e = cut(e, "cc-edges")
-    if e.count() <= local_edges:
-        return cut(_components_one_task(e), "cc-labels")
     nodes = cut(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct(),
                 "cc-nodes")
     maps = []
-    for _ in range(max_rounds):
+    while e.limit(1).count():
         m = e.groupBy("dst").agg(F.min("src").alias("to")).withColumnRenamed("dst", "id")
         for _ in range(jumps):
             # pointer jumping on the node map (node-sized joins)
@@ -194,10 +154,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64,
         nxt = (moved.filter(F.col("a") != F.col("b"))
                .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
         e = cut(nxt, "cc-edges")
-        if e.limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("connected_components did not converge")
     labels = nodes.select("id", F.col("id").alias("comp"))
     for m in maps:
         labels = (labels.join(m.select(F.col("id").alias("comp"), F.col("to")), "comp", "left")

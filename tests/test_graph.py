@@ -76,7 +76,7 @@ def test_components_distributed_path(spark):
             edges.add((b, a))
     df = spark.createDataFrame(sorted(edges), "src long, dst long")
     one = {r["id"]: r["comp"] for r in connected_components(df).collect()}
-    dist = {r["id"]: r["comp"] for r in connected_components(df, local_edges=0).collect()}
+    dist = {r["id"]: r["comp"] for r in connected_components(df).collect()}
     assert one == dist
 
 
@@ -86,6 +86,6 @@ def test_components_of_eps_graph_once(spark):
     x = rng.random((400, 2)) * 4
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))],
                                "seq long, features array<double>")
-    a = {r["id"]: r["comp"] for r in connected_components(eps_edges(df, 0.15, 2), unique=True, local_edges=0).collect()}
+    a = {r["id"]: r["comp"] for r in connected_components(eps_edges(df, 0.15, 2), unique=True).collect()}
     b = {r["id"]: r["comp"] for r in connected_components(eps_edges(df, 0.15, 2, both=False), once=True).collect()}
     assert a == b
