@@ -73,7 +73,7 @@ class FM:
         return self.w0 + _row_sum(self.w[f] * x, starts) + d @ wd + 0.5 * ((total * total).sum(1) - squares)
 
 
-def fit(starts, f, x, stats, y, bits: int = BITS, rank: int = 8, epochs: int = 8, batch: int = 64,
+def fit(starts, f, x, stats, y, bits: int = BITS, rank: int = 8, epochs: int = 8, min_steps: int = 1500, batch: int = 64,
         rate: float = 0.1, l2: float = 1e-5, seed: int = 5) -> FM:
     rng = np.random.default_rng(seed)
     n, m = len(y), (1 << bits) + stats.shape[1]
@@ -87,7 +87,7 @@ def fit(starts, f, x, stats, y, bits: int = BITS, rank: int = 8, epochs: int = 8
     g0, gw, gv = 1.0, np.full(m, 1e-2), np.full((m, rank), 1e-2)
     d_at = (1 << bits) + np.arange(stats.shape[1])
     dense = model.dense(stats)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-min_steps * batch // n))):
         for rows in np.array_split(rng.permutation(n), max(1, n // batch)):
             ids = np.concatenate([np.concatenate([f[starts[r]:starts[r + 1]], d_at]) for r in rows])
             xs = np.concatenate([np.concatenate([x[starts[r]:starts[r + 1]], dense[r]]) for r in rows])

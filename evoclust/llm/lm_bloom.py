@@ -9,9 +9,10 @@ count, so an unknown key is over-counted with a chance of about 2^-hashes.
 Probability of a token ``v`` after ``u`` (row start and row end are one
 symbol)::
 
-    p(v|u) = (c(u,v) + mu * p0(v)) / (c(u) + mu),  p0(v) = (c(v)+1) / (N+V+1)
+    p(v|u) = (c(u,v) + m * p0(v)) / (c(u) + m),  p0(v) = (c(v)+1) / (N+V+1)
 
-with the filter's counts ``c``.  ``score`` is the sum of log10 p over the
+with the filter's counts ``c`` and ``m = mu + share * c(u)``, which leaves
+unseen followers of a frequent word their part.  ``score`` is the sum of log10 p over the
 words of a text and its end.  The base score uses exact unigram counts,
 kept beside the filter.
 
@@ -21,8 +22,9 @@ a bucket merges them and builds that bucket's part of the filter, sized by
 its own keys, written to the shared folder; (3) texts are scored by probes.
 What a task gets is bounded: the parts are broadcast in segments of at most
 ``max_broadcast`` bytes; a text's score is a sum over its tokens, and every
-token belongs to one segment pair, so with several segments the texts are
-read once per pair and the partial sums added.
+token belongs to one choice of segments (of its word, the word before, and
+the pair), so with several segments the texts are read once per choice and
+the partial sums added.
 
 Nulls, empty texts: only the end token is scored.  Repeated rows are scored
 alike; each counts for training.  An empty table gives an empty result, an
@@ -228,10 +230,12 @@ def _segments(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
     return out or [[]]
 
 
-def _scorer(uni, bi, n_tokens: int, n_types: int, mu: float, first: bool):
-    """arrow_udf: partial sums of one segment pair."""
+def _scorer(uni, before, bi, n_tokens: int, n_types: int, mu: float, share: float, first: bool):
+    """arrow_udf: partial sums over the tokens whose word, word before and
+    pair belong to the given segments; ``first`` adds the base columns."""
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        (keys, counts, ufilter, inside), bfilter = uni.value, bi.value
+        (keys, counts, vfilter, v_in), (_, _, ufilter, u_in), bfilter = uni.value, before.value, bi.value
+        den = n_tokens + n_types + 1.0
         for col in it:
             n = len(col)
             out = {k: np.zeros(n, float if "score" in k else np.int64)
@@ -239,33 +243,31 @@ def _scorer(uni, bi, n_tokens: int, n_types: int, mu: float, first: bool):
             for lo, hi, buf, off in tk.chunks(col):
                 tok, prev, row = _sequence(buf, off)
                 kinds, inv = np.unique(tok, return_inverse=True)
-                mine = inside[_bucket(kinds, len(inside))]
-                exact = np.zeros(len(kinds), np.int64)
-                if len(keys):
-                    p = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
-                    exact = np.where(keys[p] == kinds, counts[p], 0)
-                c = ufilter.counts(kinds)
-                den = n_tokens + n_types + 1.0
+                b = _bucket(kinds, len(v_in))
+                v_here, u_here = v_in[b], u_in[b]
+                cv = vfilter.counts(kinds)
+                cu = cv if ufilter is vfilter else ufilter.counts(kinds)
+                at = np.searchsorted(kinds, prev)  # every previous token is a token of the chunk
                 pair = tk.pair_hash(prev, tok)
-                here = mine[inv] & (bfilter.m[_bucket(pair, bfilter.nb)] > 0)
-                s = np.zeros(len(tok))
-                p0 = (c[inv[here]] + 1.0) / den
-                s[here] = np.log10(bfilter.counts(pair[here]) + mu * p0)
-                add = lambda w: np.bincount(row, w, minlength=hi - lo)[:hi - lo]  # noqa: E731, B023
+                here = v_here[inv] & u_here[at] & (bfilter.m[_bucket(pair, bfilter.nb)] > 0)
+                m = mu + share * cu[at[here]]
+                p = (bfilter.counts(pair[here]) + m * (cv[inv[here]] + 1.0) / den) / (cu[at[here]] + m)
+                add = lambda r, w=None: np.bincount(r, w, minlength=hi - lo)[:hi - lo]  # noqa: E731, B023
+                out["score"][lo:hi] = add(row[here], np.log10(np.minimum(p, 1.0)))
                 if first:
-                    # context terms, base score and counts: once a word
-                    at = np.searchsorted(kinds, prev)  # every previous token is a token of the chunk
-                    s -= np.where(mine[at], np.log10(c[at] + mu), 0.0)
-                    m = mine[inv]
-                    out["base_score"][lo:hi] = add(np.where(m, np.log10((exact[inv] + 1.0) / den), 0.0))
-                    out["n_known"][lo:hi] = add((m & (exact[inv] > 0)).astype(float)).astype(np.int64)
-                    out["n_tokens"][lo:hi] = add(m.astype(float)).astype(np.int64)
-                out["score"][lo:hi] = add(s)
+                    exact = np.zeros(len(kinds), np.int64)
+                    if len(keys):
+                        k = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
+                        exact = np.where(keys[k] == kinds, counts[k], 0).astype(np.int64)
+                    mine = v_here[inv]
+                    out["base_score"][lo:hi] = add(row[mine], np.log10((exact + 1.0) / den)[inv[mine]])
+                    out["n_known"][lo:hi] = add(row[mine & (exact > 0)[inv]])
+                    out["n_tokens"][lo:hi] = add(row[mine])
             yield pa.StructArray.from_arrays([pa.array(v) for v in out.values()], list(out))
     return F.arrow_udf(run, "n_tokens long, n_known long, base_score double, score double")
 
 
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float = 4.0, base: float = 1.5,
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float = 4.0, share: float = 1.0, base: float = 1.5,
           hashes: int = 5, max_broadcast: int = 64 << 20, bucket_bytes: int = 48 << 20) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for every row of ``docs``; the rows where ``train_on`` holds
@@ -305,14 +307,15 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float =
 
     base_rows = docs.select(F.col(id_col), train_on.alias("__train"), text_col().alias("__text"),
                             F.monotonically_increasing_id().alias("__row"))
-    one = len(unis) * len(bis) == 1
     passes = []
-    for a in map(uni_of, unis):
-        for k, b in enumerate(map(bi_of, bis)):
-            udf = _scorer(a, b, n_tokens, n_types, mu, k == 0)
-            passes.append(base_rows.select("__row", id_col, "__train", udf("__text").alias("__s")))
+    words, pairs = [uni_of(s) for s in unis], [bi_of(s) for s in bis]
+    for a in words:
+        for u in words:
+            for b in pairs:
+                udf = _scorer(a, u, b, n_tokens, n_types, mu, share, u is words[0] and b is pairs[0])
+                passes.append(base_rows.select("__row", id_col, "__train", udf("__text").alias("__s")))
     got = passes[0]
-    if not one:
+    if len(passes) > 1:
         sums = [F.sum(f"__s.{c}").alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
         got = (reduce(DataFrame.unionByName, passes).groupBy("__row")
                .agg(F.first(id_col).alias(id_col), F.first("__train").alias("__train"), F.struct(*sums).alias("__s")))
