@@ -11,7 +11,9 @@ text's score is that of its highest window.
 Training is multiple-instance: a toxic text only says that some window is
 toxic.  The first rounds take every window of such a text as toxic, later
 ones the highest-scoring windows; all windows of clean texts are clean, the
-highest-scoring ones are drawn most often.
+highest-scoring ones are drawn most often.  A quarter of the sample is kept
+out of that to place the cut between the classes' highest margins, which
+becomes the score ``CUT``, since a long text has more windows to err in.
 
 The model is fitted on a bounded sample of labelled rows (``max_rows``) and
 applied to all windows of all texts.  Null, empty and blank texts have no
@@ -34,6 +36,7 @@ from evoclust.llm.common import labelled_sample, text_col
 WINDOW, STRIDE = 32, 24
 WORD_BITS, CHAR_BITS = 12, 12
 DIM, HID = 8, 8
+CUT = 0.32  # score at the cut between clean and toxic
 U64 = np.uint64
 
 
@@ -96,6 +99,7 @@ class Net:
         p |= {"A": r.normal(0, 0.35, (2 * HID, HID)), "a": r.normal(0, 0.5, HID), "o": r.normal(0, 0.35, 2 * HID),
               "o0": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.slope, self.shift = 1.0, 0.0  # from a text's highest margin to its score
 
     def embed(self, words, chars, starts):
         """Input vectors of distinct words."""
@@ -185,15 +189,51 @@ def scores(net: Net, buf: np.ndarray, off: np.ndarray, block: int = 2048):
     return out, row
 
 
-def fit(texts: list[bytes], y: np.ndarray, rounds: int = 10, batch: int = 128, rate: float = 0.02,
-        per_round: int = 12_000, seed: int = 3) -> Net | None:
-    """Adam on windows; None without rows of both classes."""
+def _chunk(texts: list[bytes]):
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def _best(margin, row, n):
+    out = np.full(n, -np.inf)
+    np.maximum.at(out, row, margin)
+    return out
+
+
+def fit(texts: list[bytes], y: np.ndarray, **params) -> Net | None:
+    """Windows of three quarters of the texts train the network, the rest
+    calibrates it; None without rows of both classes."""
     if len(y) == 0 or y.min() == y.max():
         return None
+    apart = np.arange(len(y)) % 4 == 3
+    if min(y[apart].sum(), y[~apart].sum(), (1 - y[apart]).sum(), (1 - y[~apart]).sum()) < 1:
+        apart = np.ones(len(y), bool)  # too few to split: calibrated on what it learned from
+        net = fit_windows(texts, y, **params)
+    else:
+        net = fit_windows([t for t, a in zip(texts, apart) if not a], y[~apart], **params)
+    buf, off = _chunk([t for t, a in zip(texts, apart) if a])
+    best = _best(*scores(net, buf, off), len(off) - 1)
+    ok = np.isfinite(best)
+    m, t = best[ok], y[apart][ok]
+    pos, neg = np.sort(m[t == 1]), np.sort(m[t == 0])
+    if len(pos) and len(neg):
+        # the cut with the least share of errors, in the middle of its gap
+        cuts = np.unique(m)
+        cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
+        errors = np.searchsorted(pos, cuts) / len(pos) + 1 - np.searchsorted(neg, cuts) / len(neg)
+        good = cuts[errors <= errors.min() + 1e-9]
+        cut = good[np.argmin(np.abs(good - (good[0] + good[-1]) / 2))]
+        spread = max(float(np.median(pos) - np.median(neg)), 1e-3)
+        net.slope = 8 / spread
+        net.shift = float(np.log(CUT / (1 - CUT)) - net.slope * cut)
+    return net
+
+
+def fit_windows(texts: list[bytes], y: np.ndarray, rounds: int = 9, batch: int = 256, rate: float = 0.03,
+                per_round: int = 10_000, seed: int = 3) -> Net:
+    """Adam on windows."""
     rng = np.random.default_rng(seed)
     net = Net(seed)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    buf, off = _chunk(texts)
     words, chars, starts, inv, counts = inputs(buf, off)
     begin, size, row = windows(counts)
     yw = y[row].astype(np.float32)
@@ -205,8 +245,7 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 10, batch: int = 128, r
             pos, neg = np.flatnonzero(yw == 1), np.flatnonzero(yw == 0)
             neg_p = np.full(len(neg), 1.0)
         else:
-            top = np.full(len(y), -np.inf)
-            np.maximum.at(top, row, margins)
+            top = _best(margins, row, len(y))
             pos = np.flatnonzero((yw == 1) & (margins >= np.minimum(top[row], 2.0)))
             neg = np.flatnonzero(yw == 0)
             neg_p = 0.02 + _sigmoid(margins[neg] + 2)
@@ -234,8 +273,11 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 10, batch: int = 128, r
             lr = rate * min(1, step / 20) * (0.2 if rnd >= rounds - 3 else 1)
             for k, v in net.p.items():
                 m, s = state[k]
+                sq = g[k] ** 2
+                if k in "EC":  # one scale for a table: rare words don't get the steps of frequent ones
+                    sq = np.full(1, sq.sum() / max(np.count_nonzero(sq), 1), np.float32) * 8
                 m += 0.1 * (g[k] - m)
-                s += 0.001 * (g[k] ** 2 - s)
+                s += 0.001 * (sq - s)
                 v -= (lr * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
         margins = scores(net, buf, off)[0]
     return net
@@ -254,10 +296,9 @@ def toxicity(model: Net | None, text: str = "text") -> Column:
             out = np.zeros(len(col))
             for lo, hi, buf, off in tk.chunks(col, 1 << 20):
                 if model is not None:
-                    margin, row = scores(model, buf, off)
-                    best = np.full(hi - lo, -np.inf)
-                    np.maximum.at(best, row, margin)
-                    out[lo:hi] = np.where(np.isfinite(best), _sigmoid(best), 0.0)
+                    best = _best(*scores(model, buf, off), hi - lo)
+                    out[lo:hi] = np.where(np.isfinite(best), _sigmoid(
+                        model.slope * np.maximum(best, -1e6) + model.shift), 0.0)
             yield pa.array(out)
     return F.arrow_udf(run, "double")(text_col(text))
 

@@ -70,7 +70,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN learn THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN learn THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(t2) + 24) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length(t2) + 23) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
 
 SQL = {"op3_spaced_seeds": decontaminate.oracle(), "op7_chat_trie": _CONV}
