@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoclust.llm.common import WORD_SEP, text_col
+from evoclust.llm.common import WORD_SEP, smallest_hashes, text_col
 from evoclust.session import cut
 
 BUCKETS = 4096
@@ -59,8 +59,9 @@ def _bucketed(docs: DataFrame, *keep: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column, id_col: str = "doc_id",
           max_rows: int = 4_000) -> tuple[list[float], list[list[float]]]:
     """Log prior of each domain, and log weight of each bucket per domain."""
-    lab = (labels.select(F.col(id_col).alias("__id"), domain.alias("__d")).filter(F.col("__d").isin(domains))
-           .groupBy("__id").agg(F.min("__d").alias("__d")).orderBy(F.xxhash64("__id"), "__id").limit(max_rows))
+    lab = (labels.select(F.col(id_col).alias("__id"), domain.alias("__d"))
+           .filter(F.col("__id").isNotNull() & F.col("__d").isin(domains)))
+    lab = smallest_hashes(lab.groupBy("__id").agg(F.min("__d").alias("__d")), "__id", max_rows)
     # at most max_rows rows of two short columns
     rows = (docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(lab), "__id"))
     # at most domains x buckets numbers

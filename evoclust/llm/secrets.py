@@ -13,8 +13,9 @@ identifiers, is at least ``min_llr`` in all and ``min_rate`` a character.
 The models are counted in Spark from samples that the base patterns label:
 values inside base spans are random, letter runs elsewhere are ordinary; the
 random model starts from ``prior`` uniform counts, the ordinary one from one.
-The sample has at most ``max_rows`` rows of either sort (a documented bound);
-every text is scanned whole.
+The sample is about ``max_rows`` rows for ordinary words and eight times as
+many for base spans, chosen by the hash of their id (a documented bound on
+what is fitted); every text is scanned whole.
 
 Everything is one pass of SQL expressions a row: no shuffle, no Python.
 
@@ -30,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoclust.llm.common import text_col
+from evoclust.llm.common import hash_share, text_col
 
 ASSIGN = ("((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
           "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -84,11 +85,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_rows: int = 4_000, prior:
     """Log ratio of each letter pair, random over ordinary."""
     text = text_col()
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("t"))
-    order = [F.xxhash64("__id"), F.col("__id"), F.xxhash64("t")]
-    marked = rows.filter(F.col("t").rlike(ACCESS) | F.col("t").rlike(HEX) | F.col("t").rlike(ASSIGN))
-    random = (marked.orderBy(*order).limit(max_rows).select(F.explode(base_spans(F.col("t"))).alias("s"))
+    # chosen by a hash limit, and only counted: no task gets the sample whole
+    random = (rows.filter(hash_share(rows, "__id", 8 * max_rows)).select(F.explode(base_spans(F.col("t"))).alias("s"))
               .select(F.col("s.value").alias("value")))
-    plain = (rows.orderBy(*order).limit(max_rows)
+    plain = (rows.filter(hash_share(rows, "__id", max_rows))
              .select(F.explode(F.regexp_extract_all("t", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{6,}(?![A-Za-z0-9+/_=-])"),
                                                     F.lit(0))).alias("value")))
     n = len(ALPHABET)
