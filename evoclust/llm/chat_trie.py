@@ -68,8 +68,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 def build(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes``: the emitted stream (``rank, k``: depth-first order;
     ``pack, start, stop``: its interval in the pack; ``piece``; ``position``:
-    id of its first token; ``learn``: under the loss mask; ``parent_rank``:
-    owner of the turn before).  ``paths``: a row a turn of each conversation,
+    id of its first token; ``learn``: under the loss mask).  ``paths``: a row a turn of each conversation,
     with the interval (``pack, start, stop``) where it was emitted, which is
     what later turns of the conversation attend to."""
     turns = cut(turns_of(conversations), "chat-turns")
@@ -79,13 +78,13 @@ def build(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranks = cut(seqs.orderBy("path", "conv_id").select("conv_id", F.monotonically_increasing_id().alias("rank")),
                 "chat-ranks")
     ranked = turns.join(ranks, turns.conv_id.eqNullSafe(ranks.conv_id)).drop(ranks.conv_id)
-    owners = ranked.groupBy("p1", "p2").agg(F.min("rank").alias("owner"))
+    # a table of its own, so that the join's shuffle of a very common node can be split
+    owners = cut(ranked.groupBy("p1", "p2").agg(F.min("rank").alias("owner")), "chat-owners")
     placed = cut(ranked.join(owners, ["p1", "p2"])
                  .select("conv_id", "rank", "k", "role", "piece", "n", "position", "owner",
                          F.shiftright("owner", 33).alias("pack")), "chat-placed")
     own = placed.filter("rank = owner")
     stop = F.sum("n").over(Window.partitionBy("pack").orderBy("rank", "k"))
-    parent = F.lag("owner")
     nodes = cut(own.withColumn("stop", stop).select(
         "rank", "k", "pack", (F.col("stop") - F.col("n")).alias("start"), "stop", "position", "piece",
         (F.col("role") == "assistant").alias("learn")), "chat-nodes")

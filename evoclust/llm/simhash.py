@@ -100,7 +100,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     labels = connected_components(ball_edges(fps.select("fp"), max_distance)).withColumnRenamed("id", "fp")
     linked = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
     best = (linked.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("component_id")))
-    classes = linked.join(best, "comp").select("fp", "component_id")
+    # a table of its own, so that the join's shuffle of a very common fingerprint can be split
+    classes = cut(linked.join(best, "comp").select("fp", "component_id"), "simhash-classes")
     return rows.join(classes, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 

@@ -72,27 +72,23 @@ def host_edges(pages: DataFrame, hosts: DataFrame, structural: float = 1.0) -> D
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 12, every: int = 4) -> DataFrame:
-    """``host, rank``: personalised PageRank from ``seeds(host, mass)``; what
-    reaches hosts without links returns to the seeds."""
+    """``host, rank``: personalised PageRank from ``seeds(host, mass)``,
+    ``steps`` terms of ``(1 - d) sum_k (d P')^k s``; mass that reaches a host
+    without links ends there."""
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = seeds.select("host", (F.col("mass") / F.lit(total)).alias("s"))
+    start = seeds.select("host", (F.col("mass") * F.lit((1 - damping) / total)).alias("x"))
     out = edges.groupBy("src").agg(F.sum("w").alias("t"))
     step = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-edges")
-    rank = start.select("host", F.col("s").alias("rank"))
+    rank = start.withColumnRenamed("x", "rank")
     for k in range(1, steps + 1):
         moved = (rank.join(step, rank.host == step.src)
                  .select(F.col("dst").alias("host"), (F.col("rank") * F.col("p") * F.lit(damping)).alias("x")))
         # one sum a host: what came along edges, and its part of the seeds
-        rank = (moved.union(start.select("host", F.col("s") * F.lit(1 - damping)))
-                .groupBy("host").agg(F.sum("x").alias("rank")))
+        rank = moved.union(start).groupBy("host").agg(F.sum("x").alias("rank"))
         if k % every == 0 or k == steps:
             rank = cut(rank, "rank")
-            lost = 1.0 - (rank.agg(F.sum("rank")).first()[0] or 0.0)
-            if lost > 1e-12:
-                rank = (rank.union(start.select("host", F.col("s") * F.lit(lost)))
-                        .groupBy("host").agg(F.sum("rank").alias("rank")))
     return rank
 
 
