@@ -48,7 +48,7 @@ from evoclust.session import cut
 
 U64 = np.uint64
 END = U64(0x5BD1E995A7B3C1D9)  # row start and end
-FLUSH = 2_000_000              # tokens gathered before a pre-aggregation
+FLUSH = 1_000_000              # tokens gathered before a pre-aggregation
 
 
 def _sequence(buf, offsets):
@@ -181,7 +181,7 @@ _PART = ("b int, n_tokens long, n_types long, uni_bytes long, bi_bytes long, "
          "uk binary, uc binary, fu binary, fb binary")
 
 
-def train(texts: DataFrame, base: float = 1.5, hashes: int = 5, bucket_bytes: int = 48 << 20) -> tuple[DataFrame, int]:
+def train(texts: DataFrame, base: float = 1.5, hashes: int = 5, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
     """The filter's parts (one row a bucket, in the shared folder) and the
     number of buckets, taken from the table's size in bytes."""
     nb = max(64, -(-3 * plan_bytes(texts) // bucket_bytes))
@@ -240,7 +240,7 @@ def _scorer(uni, before, bi, n_tokens: int, n_types: int, mu: float, share: floa
             n = len(col)
             out = {k: np.zeros(n, float if "score" in k else np.int64)
                    for k in ("n_tokens", "n_known", "base_score", "score")}
-            for lo, hi, buf, off in tk.chunks(col):
+            for lo, hi, buf, off in tk.chunks(col, 1 << 21):
                 tok, prev, row = _sequence(buf, off)
                 kinds, inv = np.unique(tok, return_inverse=True)
                 b = _bucket(kinds, len(v_in))
@@ -268,7 +268,7 @@ def _scorer(uni, before, bi, n_tokens: int, n_types: int, mu: float, share: floa
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float = 4.0, share: float = 1.0, base: float = 1.5,
-          hashes: int = 5, max_broadcast: int = 64 << 20, bucket_bytes: int = 48 << 20) -> DataFrame:
+          hashes: int = 5, max_broadcast: int = 64 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for every row of ``docs``; the rows where ``train_on`` holds
     train the model."""
