@@ -29,11 +29,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of a table (file sizes for a scan); no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hash_share(df: DataFrame, id_col: str, rows: int) -> Column:
     """Condition that about ``rows`` of the rows meet: the hash of their id
     falls under a limit set by the table's row count."""

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoclust.llm import textkit as tk
-from evoclust.llm.common import plan_bytes, text_col
+from evoclust.llm.common import text_col
 from evoclust.session import cut
 
 U64 = np.uint64
@@ -181,10 +181,11 @@ _PART = ("b int, n_tokens long, n_types long, uni_bytes long, bi_bytes long, "
          "uk binary, uc binary, fu binary, fb binary")
 
 
-def train(texts: DataFrame, base: float = 1.5, hashes: int = 5, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
+def train(texts: DataFrame, base: float = 1.5, hashes: int = 5, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, int]:
     """The filter's parts (one row a bucket, in the shared folder) and the
-    number of buckets, taken from the table's size in bytes."""
-    nb = max(64, -(-3 * plan_bytes(texts) // bucket_bytes))
+    number of buckets, one for ``bucket_bytes`` of text."""
+    size = texts.agg(F.sum(F.octet_length(text_col()).cast("long"))).first()[0] or 0
+    nb = max(64, -(-size // bucket_bytes))
     part = texts.select(text_col().alias("text")).mapInArrow(
         _counter(nb), "b int, uk binary, uc binary, bk binary, bc binary")
     return cut(part.groupBy("b").applyInArrow(_builder(base, hashes), _PART), "lm-filter"), nb
@@ -268,7 +269,7 @@ def _scorer(uni, before, bi, n_tokens: int, n_types: int, mu: float, share: floa
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float = 4.0, share: float = 1.0, base: float = 1.5,
-          hashes: int = 5, max_broadcast: int = 64 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+          hashes: int = 5, max_broadcast: int = 64 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for every row of ``docs``; the rows where ``train_on`` holds
     train the model."""

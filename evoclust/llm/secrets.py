@@ -94,11 +94,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_rows: int = 4_000, prior:
     n = len(ALPHABET)
     table = []
     counts = _pairs(random), _pairs(plain)
+    pairs = [[[c.get(a * n + b, 0) for b in range(n)] for a in range(n)] for c in counts]
+    # letters the ordinary model hasn't seen after another fall back to their own frequency
+    seen = [sum(r[b] for r in pairs[1]) for b in range(n)]
+    single = [(x + 0.5) / (sum(seen) + 0.5 * n) for x in seen]
     for a in range(n):
-        rows_of = [[c.get(a * n + b, 0) for b in range(n)] for c in counts]
+        random_n, plain_n = sum(pairs[0][a]), sum(pairs[1][a])
         for b in range(n):
-            p = (rows_of[0][b] + prior / n) / (sum(rows_of[0]) + prior)
-            q = (rows_of[1][b] + 1.0 / n) / (sum(rows_of[1]) + 1.0)
+            p = (pairs[0][a][b] + prior / n) / (random_n + prior)
+            q = (pairs[1][a][b] + single[b]) / (plain_n + 1.0)
             table.append(math.log(p / q))
     return table
 
