@@ -109,10 +109,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_rows: int = 4_000, prior:
 
 def _llr(value: Column, table: list[float]) -> Column:
     w = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")  # folded to a literal
-    n = len(ALPHABET)
-    code = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0),
-                       lambda s, i: s + F.get(w, F.get(code, i - 1) * n + F.get(code, i)))
+    # one pass over the letters: the state holds the letter before and the sum
+    return F.aggregate(
+        F.split(value, ""), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
+        lambda s, c: F.struct(
+            (F.instr(F.lit(ALPHABET), c) - 1).alias("last"),
+            (s.sum + F.when(s.last >= 0, F.get(w, s.last * len(ALPHABET) + F.instr(F.lit(ALPHABET), c) - 1))
+             .otherwise(0.0)).alias("sum")),
+        lambda s: s.sum)
 
 
 def markov_spans(text: Column, base: Column, table: list[float], min_llr: float = 12.0, min_rate: float = 0.8) -> Column:
