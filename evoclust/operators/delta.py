@@ -17,8 +17,12 @@ from evoclust.functions import cf
 
 
 def label_histogram(label: Column, num_labels: int) -> Column:
-    """A2: ARRAY<LONG> of per-label counts (an aggregate expression)."""
-    return F.array(*[F.sum(F.when(label == k, 1).otherwise(0)).cast("long")
+    """A2: ARRAY<LONG> of per-label counts (an aggregate expression).  A label
+    outside ``0 .. num_labels - 1`` fails the job, as it has no place in the
+    counts; a null label is counted nowhere."""
+    bad = F.raise_error(F.concat(F.lit(f"label not in 0..{num_labels - 1}: "), label.cast("string"))).cast("int")
+    checked = F.when((label < 0) | (label >= num_labels), bad)
+    return F.array(*[F.sum(checked.when(label == k, 1).otherwise(0)).cast("long")
                      for k in range(num_labels)])
 
 

@@ -178,14 +178,9 @@ class ClusterModel:
         p = self.params
         t_start = _time.time()
         if batch_id <= self.meta.version:
-            # replay of a batch already folded in: restore its stored result
-            if batch_id in self._versions_seen or self._load(batch_id):
-                if self.meta.version != batch_id:
-                    self._load(batch_id)
-                return None
-            prev = self._latest_version(below=batch_id)
-            if prev is not None:
-                self._load(prev)
+            # batches come in order, so this one is folded in already (or was
+            # empty): the state stays as it is
+            return None
         held = []  # cached frames of this batch, released at the end
         pts = batch.select("time", "features", "label", "seq")
         meta = self.meta
