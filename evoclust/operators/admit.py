@@ -1,32 +1,33 @@
 """Admission of the points no micro-cluster accepted.
 
-The rule is sequential by definition: in time order, each point tries one
-o-MC (the nearest opened earlier in this batch, or the first existing o-MC
-while none is open) and merges when the radius stays <= epsilon, else opens
-a new o-MC.
-
-``mode="ordered"`` folds the points exactly in (time, seq) order.  It streams
-the sorted rows through one task, holding only the clusters it opened; the
-original application sorts only below 50,000 rows, and ``auto`` uses this
-mode up to ``admit_ordered_limit`` rows.
-
-``mode="grid"`` folds each spatial cell (side 2*epsilon over the first
-dimensions) in parallel; hot cells are split into salted sub-groups by
-arrival order, so no group holds more than ``cell_rows`` rows.  Above the
-limit the original's order is arbitrary anyway (it stops sorting); this mode
-is the parallel reading of it.
+``mode="cells"`` (the default, at every size): space is cut into half-open
+cells of side ``2 * epsilon`` over all dimensions (``2 * epsilon / sqrt(d)``
+where the radius sums the dimensions).  The deviation within a cell is at
+most half its side, so the points of a cell pass the radius test of one
+cluster in any order: a cell opens one o-MC, and its features are the
+decayed sums of A1.  One aggregation with map-side combine; a cell holding a
+third of all points is one row per map task.  O-MCs opened earlier are not
+offered these points a second time.
+
+``mode="ordered"``: the sequential rule of the original.  In (time, seq)
+order, each point tries one o-MC (the nearest opened earlier in this batch,
+or the first existing o-MC while none is open) and merges when the radius
+stays <= epsilon, else opens a new o-MC.  It streams all sorted rows through
+ONE task by definition, so it is only for reproducing small runs of the
+original; nothing switches to it by itself.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evoclust.functions import kernels as K
+from evoclust.operators.delta import decayed_delta
 from evoclust.params import ClusterParams
 
 NEW_MC_SCHEMA = T.StructType([
@@ -125,38 +126,27 @@ def admit_ordered(rest: DataFrame, o0: dict | None, params: ClusterParams) -> Da
     return ordered.mapInArrow(_ordered_fn(o0k, params), NEW_MC_SCHEMA)
 
 
-def admit_grid(rest: DataFrame, params: ClusterParams, cell_rows: int = 20_000) -> DataFrame:
-    """Parallel admission per spatial cell (see module doc); the first
-    existing o-MC is not offered (each cell starts empty)."""
+def cell_side(params: ClusterParams) -> float:
+    return 2.0 * params.epsilon / (math.sqrt(params.num_dims) if params.q_radius_sum else 1.0)
+
+
+def admit_cells(rest: DataFrame, params: ClusterParams) -> DataFrame:
+    """One o-MC per occupied cell (see module doc), numbered by its smallest
+    time and ``seq``."""
     d = params.num_dims
-    g = min(d, 3)
-    side = 2.0 * params.epsilon
-    cell = F.concat_ws(":", *[F.floor(F.col("features")[k] / F.lit(side)).cast("string") for k in range(g)])
-    withcell = rest.select("time", "seq", "features", "label", cell.alias("cell"))
-    sizes = withcell.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    # salt only cells above cell_rows: sub-group = arrival rank // cell_rows
-    # approximated by hashing seq into ceil(n / cell_rows) buckets
-    salted = (withcell.join(sizes.filter(F.col("_n") > cell_rows), "cell", "left")
-              .withColumn("salt", F.when(F.col("_n").isNull(), F.lit(0))
-                          .otherwise(F.pmod(F.xxhash64("seq"), F.ceil(F.col("_n") / F.lit(cell_rows))))))
-    lam, eps, L = params.lam, params.epsilon, params.num_labels
-    rs, cl = params.q_radius_sum, params.q_clamp_late
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "seq"], kind="stable")
-        x = np.stack(pdf["features"].to_numpy()).astype(np.float64).reshape(len(pdf), d)
-        _, new, _ = K.admit_fold(pdf["time"].to_numpy(), pdf["seq"].to_numpy(), x,
-                                 pdf["label"].to_numpy(), None, lam, eps, L, rs, cl)
-        return pd.DataFrame(_new_rows(new))
-
-    return salted.groupBy("cell", "salt").applyInPandas(fold, NEW_MC_SCHEMA)
-
-
-def admit_outliers(rest: DataFrame, o0: dict | None, params: ClusterParams,
-                   n_rest: int) -> tuple[DataFrame, str]:
-    mode = params.admit_mode
-    if mode == "auto":
-        mode = "ordered" if n_rest <= params.admit_ordered_limit else "grid"
-    if mode == "ordered":
-        return admit_ordered(rest, o0, params), mode
-    return admit_grid(rest, params), mode
+    side = F.lit(cell_side(params))
+    cell = F.array(*[F.floor(F.col("features")[k] / side) for k in range(d)])
+    g = decayed_delta(rest.select(cell.alias("cell"), "time", "features", "label", F.col("seq").alias("first_seq")),
+                      params.lam, d, params.num_labels, keys=("cell",), first="first_seq")
+    return g.select(
+        F.lit(False).alias("is_o0"), F.col("tmin").alias("first_time"), "first_seq",
+        F.col("dcf1").alias("cf1"), F.col("dcf2").alias("cf2"), F.col("dn").alias("weight"),
+        F.col("tmin").alias("t0"), F.col("tmax").alias("last_edit"), F.col("dpts").alias("pts"), "lbl_counts")
+
+
+def admit_outliers(rest: DataFrame, o0: dict | None, params: ClusterParams) -> DataFrame:
+    if params.admit_mode == "ordered":
+        return admit_ordered(rest, o0, params)
+    if params.admit_mode != "cells":
+        raise ValueError(f"admit_mode must be cells or ordered, not {params.admit_mode}")
+    return admit_cells(rest, params)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -36,13 +36,11 @@ class ClusterParams:
     prune_fix: bool | None = None  # Q8
     macro_weight_once: bool | None = None  # Q9
     prune_period_from_tp: bool | None = None  # Q13
-    # admission of unassigned points: "ordered" (exact, sequential fold),
-    # "grid" (parallel per spatial cell), "auto" (ordered below the limit)
-    admit_mode: str = "auto"
-    admit_ordered_limit: int = 50_000
+    # admission of unassigned points: "cells" (one aggregation, any size) or
+    # "ordered" (the original's sequential rule, one task; small runs only)
+    admit_mode: str = "cells"
     # largest state (bytes of cf1+cf2) shipped to tasks as one broadcast
     max_broadcast_bytes: int = 64 << 20
-    extra: dict = field(default_factory=dict, compare=False)
 
     def _flag(self, value: bool | None) -> bool:
         return (self.semantics == "paper") if value is None else bool(value)

@@ -130,9 +130,7 @@ def label_clusters(points: DataFrame, num_dims: int, num_labels: int) -> DataFra
 def _user_mcs(spark, sf, pts=None):
     """Micro-clusters per user over all events (lam 0.25)."""
     pts = pts if pts is not None else events_points(spark, sf)
-    d = decayed_delta(pts, LAM, 2, EV_TYPES, keys=("user_id",))
-    t0 = pts.groupBy("user_id").agg(F.min("time").alias("t0"))
-    return d.join(t0, "user_id")
+    return decayed_delta(pts, LAM, 2, EV_TYPES, keys=("user_id",)).withColumnRenamed("tmin", "t0")
 
 
 # ----------------------------------------------------------------- queries
@@ -266,7 +264,7 @@ def q_admissible_points(spark, sf):
     ev = events_points(spark, sf)
     mcs = decayed_delta(ev, LAM, 2, EV_TYPES, keys=("label",))
     clock = ev.agg(F.max("time")).collect()[0][0]
-    j = ev.join(F.broadcast(mcs), "label")  # one row per event type
+    j = ev.join(mcs, "label")  # one row per event type; the runtime picks the join
     r = cf.radius_after_insert("dcf1", "dcf2", "dn", "tmax", "features", F.lit(clock), LAM)
     return j.select("event_id", _r(r, "radius"), (r <= F.lit(1.0)).alias("admissible"))
 
@@ -392,13 +390,12 @@ def q_init_clusters(spark, sf):
 
 
 def q_admit_outliers(spark, sf):
-    """C3 over every event as if no cluster had taken any: ordered fold up
-    to the ordered limit, salted grid cells above it."""
+    """C3 over every event as if no cluster had taken any."""
     from evoclust.operators.admit import admit_outliers
-    ship_package(spark)
-    ev = events_points(spark, sf)
-    out, _ = admit_outliers(ev, None, STREAM_PARAMS, ev.count())
-    return out.select("first_seq", "weight", "pts", "lbl_counts")
+    out = admit_outliers(events_points(spark, sf), None, STREAM_PARAMS)
+    return out.select("first_time", "first_seq", _r(F.col("weight"), "weight"), _r(F.col("cf1")[0], "c0"),
+                      _r(F.col("cf1")[1], "c1"), _r(F.col("cf2")[0], "q0"), _r(F.col("cf2")[1], "q1"), "last_edit",
+                      "pts", *[F.col("lbl_counts")[k].alias(f"l{k}") for k in range(EV_TYPES)])
 
 
 def run_events_stream(spark, sf, params: ClusterParams = STREAM_PARAMS):

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import threading
 import time as _time
 
@@ -79,10 +80,11 @@ class ClusterModel:
         self.init_info: dict = {}
         self._versions_seen: set[int] = set()
         self._arrays = None  # (P, O) arrays of self.state when it is small
+        self.resumed = False
         if resume and root is not None:
             latest = self._latest_version()
             if latest is not None:
-                self._load(latest)
+                self.resumed = self._load(latest)
 
     # ------------------------------------------------------------ store
     def _state_path(self):
@@ -118,37 +120,44 @@ class ClusterModel:
         return path.getFileSystem(conf), path, jvm
 
     def _write_meta(self, meta: st.ModelMeta) -> None:
+        """A new name each time (``v<version>-<k>.json``), renamed into place;
+        the newest complete document of a version counts, so a crash between
+        two steps loses nothing."""
         fs, root, jvm = self._fs()
         fs.mkdirs(root)
-        tmp = jvm.org.apache.hadoop.fs.Path(root, f"_v{meta.version}.json.tmp")
+        k = self._documents().get(meta.version, (-1, ""))[0] + 1
+        tmp = jvm.org.apache.hadoop.fs.Path(root, f"_v{meta.version}-{k}.tmp")
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(meta.as_row()).encode()))
         out.close()
-        dst = jvm.org.apache.hadoop.fs.Path(root, f"v{meta.version}.json")
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(tmp, dst)
+        fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(root, f"v{meta.version}-{k}.json"))
 
-    def _stored_versions(self) -> list[int]:
+    def _documents(self) -> dict:
+        """version -> (k, file name) of its newest document."""
         fs, root, _ = self._fs()
-        if not fs.exists(root):
-            return []
-        out = []
-        for stt in fs.listStatus(root):
-            name = stt.getPath().getName()
-            if name.startswith("v") and name.endswith(".json"):
-                out.append(int(name[1:-5]))
-        return sorted(out)
+        out: dict = {}
+        if fs.exists(root):
+            for stt in fs.listStatus(root):
+                name = stt.getPath().getName()
+                m = re.fullmatch(r"v(-?\d+)-(\d+)[.]json", name)
+                if m:
+                    v, k = int(m[1]), int(m[2])
+                    out[v] = max(out.get(v, (-1, "")), (k, name))
+        return out
+
+    def _stored_versions(self) -> list[int]:
+        return sorted(self._documents())
 
     def _latest_version(self, below: int | None = None):
         vs = [v for v in self._stored_versions() if below is None or v < below]
         return vs[-1] if vs else None
 
     def _load(self, version: int) -> bool:
-        if version not in self._stored_versions():
+        found = self._documents().get(version)
+        if found is None:
             return False
         fs, root, jvm = self._fs()
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(root, f"v{version}.json"))
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(root, found[1]))
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
         text = reader.readLine()
         reader.close()
@@ -192,8 +201,7 @@ class ClusterModel:
         keyed = assigned.select(F.coalesce("kind", F.lit("u")).alias("kind"),
                                 F.coalesce("ord", F.lit(-1).cast("long")).alias("ord"),
                                 "time", "features", "label")
-        all_groups = decayed_delta(keyed, p.lam, p.num_dims, p.num_labels,
-                                   broadcast_tmax=small).cache()
+        all_groups = decayed_delta(keyed, p.lam, p.num_dims, p.num_labels).drop("tmin").cache()
         held.append(all_groups)
         dsum = {r["kind"]: r for r in all_groups.groupBy("kind").agg(
             F.sum("dpts").alias("n"), F.max("tmax").alias("t")).collect()}
@@ -210,17 +218,16 @@ class ClusterModel:
         n_rest = n - to_p - to_o
         max_o = meta.max_o_ord
         n_new = 0
-        mode = None
+        mode = p.admit_mode if n_rest else None
         if n_rest:
             rest = assigned.filter(F.col("kind").isNull()).drop("kind", "ord")
-            o0 = admit_op.first_outlier(s1) if meta.n_o else None
-            newmcs, mode = admit_op.admit_outliers(rest, o0, p, n_rest)
-            newmcs = newmcs.cache()
+            o0 = admit_op.first_outlier(s1) if meta.n_o and mode == "ordered" else None
+            newmcs = admit_op.admit_outliers(rest, o0, p).cache()
             held.append(newmcs)
             agg = newmcs.agg(F.count_if(F.col("is_o0")).alias("u"), F.count_if(~F.col("is_o0")).alias("f"),
                              F.max("last_edit").alias("t")).collect()[0]
-            # the fold runs in time order, so the newest edit among the
-            # clusters it opened or changed is the newest unassigned point
+            # the newest edit among the clusters opened or changed is the
+            # newest unassigned point
             clock = max(clock, int(agg["t"]))
             if o0 is not None and agg["u"]:
                 u = newmcs.filter(F.col("is_o0")).select(
@@ -232,8 +239,8 @@ class ClusterModel:
             n_new = int(agg["f"])
             if n_new:
                 fresh = newmcs.filter(~F.col("is_o0"))
-                if n_new <= p.admit_ordered_limit:
-                    # bounded by the ordered limit: a small global numbering
+                if n_new * (16 * p.num_dims + 40) <= p.max_broadcast_bytes:
+                    # within the broadcast budget: a small global numbering
                     idx = fresh.withColumn("_k", (F.row_number().over(
                         Window.orderBy("first_time", "first_seq")) - 1).cast("long"))
                 else:

@@ -178,6 +178,22 @@ SELECT user_id, round(dn, 6) AS weight, dn >= CAST(2.0 AS DOUBLE) AS promotable,
   round(thr_ref, 6) AS thr_ref, round(thr_fix, 6) AS thr_fix,
   wc >= thr_ref AS keep_o_ref, wc >= thr_fix AS keep_o_fix FROM x""",
 
+    "admit_outliers": f"""WITH {EVP},
+c AS (SELECT *, floor(f0 / CAST(0.4 AS DOUBLE)) AS k0, floor(f1 / CAST(0.4 AS DOUBLE)) AS k1 FROM evp),
+t AS (SELECT k0, k1, max(time) AS tmax FROM c GROUP BY k0, k1),
+p AS (SELECT c.*, t.tmax, pow(2.0, -0.25 * (t.tmax - c.time)) AS w
+      FROM c JOIN t ON c.k0 = t.k0 AND c.k1 = t.k1)
+SELECT min(time) AS first_time, min(event_id) AS first_seq, round(sum(w), 6) AS weight,
+  round(sum(w * f0), 6) AS c0, round(sum(w * f1), 6) AS c1,
+  round(sum(w * f0 * f0), 6) AS q0, round(sum(w * f1 * f1), 6) AS q1, max(time) AS last_edit,
+  count(*) AS pts,
+  CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS l0,
+  CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS l1,
+  CAST(sum(CASE WHEN label = 2 THEN 1 ELSE 0 END) AS BIGINT) AS l2,
+  CAST(sum(CASE WHEN label = 3 THEN 1 ELSE 0 END) AS BIGINT) AS l3,
+  CAST(sum(CASE WHEN label = 4 THEN 1 ELSE 0 END) AS BIGINT) AS l4
+FROM p GROUP BY k0, k1""",
+
     "points_per_batch": f"""WITH {EVP},
 b AS (SELECT CAST(time // 24 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS pts FROM evp GROUP BY 1)
 SELECT batch_id, pts,

@@ -47,6 +47,9 @@ def parse_args(argv=None):
     a.add_argument("--timeout", type=float, default=None)
     a.add_argument("--availableNow", action="store_true")
     a.add_argument("--semantics", choices=("reference", "paper"), default="reference")
+    a.add_argument("--admitMode", choices=("cells", "ordered"), default="cells")
+    a.add_argument("--root", default=None, help="folder of the model's versions; give it again to resume")
+    a.add_argument("--checkpoint", default=None, help="checkpoint folder of the stream; goes with --root")
     a.add_argument("--out", default=None, help="result folder (default: under spark.checkpoint.dir)")
     return a.parse_args(argv)
 
@@ -59,9 +62,10 @@ def main(argv=None) -> None:
     params = ClusterParams(
         num_dims=args.numDimensions, num_labels=args.numLabels, lam=args.lmbda, epsilon=args.epsilon,
         init_epsilon=args.initialEpsilon, mu=args.mu, beta=args.beta, offline_epsilon=args.offlineEpsilon,
-        offline_mu=args.offlineMu, batch_seconds=args.batchTime, rate=args.speedRate, semantics=args.semantics)
-    model = ClusterModel(spark, params)
-    model.initialize(read_points_csv(spark, args.initialDataPath, args.numDimensions))
+        offline_mu=args.offlineMu, admit_mode=args.admitMode, batch_seconds=args.batchTime, rate=args.speedRate, semantics=args.semantics)
+    model = ClusterModel(spark, params, root=args.root)
+    if not model.resumed:
+        model.initialize(read_points_csv(spark, args.initialDataPath, args.numDimensions))
     out = args.out or scratch_path(spark, f"results-{args.dataset or 'run'}_{args.speedRate}")
     writer = ResultWriter(spark, out)
     if args.source == "kafka":
@@ -71,7 +75,7 @@ def main(argv=None) -> None:
         raw = read_point_stream(spark, "text", {}, path=args.streamPath)
     timeout = args.timeout or default_timeout(args.trainingDataAmount, args.speedRate, args.batchTime)
     run_stream(decode_stream(raw, args.numDimensions), model, available_now=args.availableNow,
-               timeout=None if args.availableNow else timeout, results=writer)
+               timeout=None if args.availableNow else timeout, results=writer, checkpoint=args.checkpoint)
     details = run_details(spark, params, args.appName, args.dataset, args.streamPath, args.initialDataPath,
                           args.trainingDataAmount, args.initialDataAmount)
     writer.write_final(details, model.macro_clusters())

@@ -139,7 +139,7 @@ TRACES = [
 
 
 def _run_trace(spark, init, stream, rate, per_batch, beta, fix, n_batches):
-    p = ClusterParams(num_dims=2, num_labels=3, beta=beta, prune_fix=fix)
+    p = ClusterParams(num_dims=2, num_labels=3, beta=beta, prune_fix=fix, admit_mode="ordered")
     m = ClusterModel(spark, p)
     m.initialize(read_points_csv(spark, ref_file(init), 2))
     sp = with_logical_time(read_points_csv(spark, ref_file(stream), 2), rate).cache()

@@ -19,7 +19,7 @@ def _points(spark, xs, times=None, labels=None):
 def test_admission_modes_agree_on_separated_groups(spark):
     """Well separated groups (farther apart than any radius test allows)
     fold the same way sequentially and per cell."""
-    from evoclust.operators.admit import admit_grid, admit_ordered
+    from evoclust.operators.admit import admit_cells, admit_ordered
     rng = np.random.default_rng(2)
     centers = np.array([[0.4, 0.4], [8.4, 8.4], [-7.6, 4.4]])  # cell centres (cell side 0.8)
     xs = np.concatenate([c + rng.normal(scale=0.05, size=(30, 2)) for c in centers])
@@ -32,19 +32,40 @@ def test_admission_modes_agree_on_separated_groups(spark):
     def summary(df):
         return sorted((round(r["weight"], 9), r["pts"]) for r in df.filter(~F.col("is_o0")).collect())
     a = summary(admit_ordered(pts, None, p))
-    b = summary(admit_grid(pts, p))
+    b = summary(admit_cells(pts, p))
     assert a == b
     assert sum(x[1] for x in a) == len(xs)
 
 
-def test_grid_admission_salts_hot_cells(spark):
-    from evoclust.operators.admit import admit_grid
-    rng = np.random.default_rng(3)
-    xs = rng.normal(scale=0.01, size=(500, 2))
-    p = ClusterParams(num_dims=2, num_labels=1, epsilon=0.4)
-    out = admit_grid(_points(spark, xs), p, cell_rows=50).collect()
-    assert sum(r["pts"] for r in out) == 500  # every point is in exactly one opened MC
-    assert len(out) >= 10  # the hot cell was split into salted groups
+@pytest.mark.parametrize("semantics", ["reference", "paper"])
+def test_cell_admission_is_the_fold_of_each_cell(spark, semantics):
+    """Every cell, folded sequentially, opens one cluster with the same
+    features; the result is the same for any partitioning."""
+    from evoclust.functions import kernels as K
+    from evoclust.operators.admit import admit_cells, cell_side
+    rng = np.random.default_rng(7)
+    xs = rng.uniform(-2, 2, (400, 3))
+    times = np.sort(rng.integers(0, 60, len(xs)))
+    labels = rng.integers(0, 2, len(xs))
+    p = ClusterParams(num_dims=3, num_labels=2, epsilon=0.4, semantics=semantics)
+    pts = _points(spark, xs, times, labels)
+
+    def rows(df):
+        return sorted((r["first_time"], r["first_seq"], r["last_edit"], r["pts"], tuple(r["lbl_counts"]),
+                       *np.round([r["weight"], *r["cf1"], *r["cf2"]], 9)) for r in df.collect())
+    got = rows(admit_cells(pts, p))
+    assert got == rows(admit_cells(pts.repartition(13), p)) == rows(admit_cells(pts.coalesce(1), p))
+    cells = {}
+    for i, c in enumerate(map(tuple, np.floor(xs / cell_side(p)).astype(int))):
+        cells.setdefault(c, []).append(i)
+    want = []
+    for at in cells.values():
+        _, new, _ = K.admit_fold(times[at], np.array(at), xs[at], labels[at], None, p.lam, p.epsilon, 2,
+                                 p.q_radius_sum, p.q_clamp_late)
+        assert new.n == 1
+        want.append((int(new.t0[0]), int(new.first_seq[0]), int(new.le[0]), int(new.pts[0]),
+                     tuple(int(v) for v in new.lbl[0]), *np.round([new.w[0], *new.cf1[0], *new.cf2[0]], 9)))
+    assert got == sorted(want)
 
 
 def test_with_row_index_dense_and_ordered(spark):
