@@ -45,7 +45,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     spark = points.sparkSession
     d, L, mu = params.num_dims, params.num_labels, params.mu
     pts = points.select("seq", "features", "label").cache()  # read by several jobs below
-    n_points = pts.count()
+    n_points, point0 = pts.agg(F.count(F.lit(1)), F.min("seq")).first()  # point 0: the smallest seq
     edges = cut(eps_edges(pts, params.init_epsilon, d).select("src", "dst"), "init-edges")
     deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     paper = params.q_paper_seeding
@@ -60,7 +60,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.filter(F.col("size") > F.lit(need + 1))
     members = comps.join(big, "comp").select("id", "comp", "size")
-    c0 = comps.filter(F.col("id") == 0).select("comp").collect()
+    c0 = comps.filter(F.col("id") == point0).select("comp").collect()
     comp0 = c0[0][0] if c0 else None
     cfirst = comps.filter(F.col("id") == first).select("comp").collect()[0][0]
     pretag = (not params.q_tag_seed) and comp0 is not None and comp0 != cfirst
@@ -80,7 +80,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
         x = np.stack(pdf["features"].to_numpy()).astype(np.float64).reshape(len(pdf), d)
         src = np.searchsorted(seqs, edf["src"].to_numpy(np.int64))
         dst = np.searchsorted(seqs, edf["dst"].to_numpy(np.int64))
-        zero_local = int(np.searchsorted(seqs, 0)) if (len(seqs) and seqs[0] == 0) else -1
+        zero_local = 0 if len(seqs) and seqs[0] == point0 else -1
         if paper:
             mcs, untagged = K.replay_init_paper(x, pdf["label"].to_numpy(), src, dst, min_w, L)
         else:
@@ -102,7 +102,7 @@ def init_clusters(points: DataFrame, params: ClusterParams) -> tuple[DataFrame,
     per_comp = out.groupBy("comp").agg(F.first("untagged").alias("u"), F.first("size").alias("s"))
     tot = per_comp.agg(F.sum(F.col("s") - F.col("u")).alias("tagged")).collect()[0]["tagged"] or 0
     zero_outside = (not tag_seed) and (not paper) and (comp0 is None or
-                                       members.filter(F.col("id") == 0).limit(1).count() == 0)
+                                       members.filter(F.col("id") == point0).limit(1).count() == 0)
     untagged = n_points - int(tot) - (1 if zero_outside else 0)
     mcs = out.filter(F.col("seed") >= 0)
     state = conform(mcs.select(

@@ -44,6 +44,7 @@ class ModelMeta:
     max_o_ord: int = -1
     n_p: int = 0
     n_o: int = 0
+    rows: int = 0  # points in the batch of this version
 
     def as_row(self) -> dict:
         return asdict(self)

@@ -27,7 +27,7 @@ from evoclust.operators.assign import predict
 from evoclust.operators.delta import decayed_delta
 from evoclust.operators.graph import connected_components, eps_edges
 from evoclust.params import ClusterParams
-from evoclust.session import ship_package
+from evoclust.session import cut, ship_package
 from evoclust.sources import points as S
 
 R = 6  # rounding of doubles in results
@@ -75,11 +75,11 @@ def _ntz(seconds: int):
 
 
 def events_points(spark: SparkSession, sf: str, s0: int | None = None, hours: tuple | None = None,
-                  labels: DataFrame | None = None) -> DataFrame:
-    """Events as points.  ``hours=(a, b)`` keeps ``a <= time < b`` through a
+                  labels: DataFrame | None = None, ev: DataFrame | None = None) -> DataFrame:
+    """Events (the whole table, or the stream ``ev`` over it) as points.  ``hours=(a, b)`` keeps ``a <= time < b`` through a
     filter on the raw ``ts`` column (pushed to the Parquet scan); ``s0`` and
     ``labels`` (the type map) then come from the whole table."""
-    ev = _t(spark, sf, "events")
+    ev = _t(spark, sf, "events") if ev is None else ev
     sec = F.unix_timestamp("ts")
     if s0 is None:
         s0 = ev.agg(F.min(sec)).collect()[0][0]
@@ -424,6 +424,55 @@ def q_run_stream(spark, sf):
         "type", "ord", "mc_id", "weight", "pts", "label", "purity", "radius")
 
 
+UPDATE_PARAMS = ClusterParams(num_dims=2, num_labels=EV_TYPES, lam=0.01, epsilon=0.21, mu=100, beta=0.2, tp=40,
+                              prune_fix=True)
+
+
+def _state_cols():
+    return ["kind", "ord", _r(F.col("weight"), "weight"), _r(F.col("cf1")[0], "c0"), _r(F.col("cf1")[1], "c1"),
+            _r(F.col("cf2")[0], "q0"), _r(F.col("cf2")[1], "q1"), "t0", "last_edit", "pts",
+            *[F.col("lbl_counts")[k].alias(f"l{k}") for k in range(EV_TYPES)]]
+
+
+def q_update_batch(spark, sf):
+    """The clusters that the first half of the events opens, then the
+    second half as one batch: assignment, deltas, admission, promotion, and
+    a pruning."""
+    from pyspark.sql import Window
+
+    from evoclust.operators.admit import admit_outliers
+    from evoclust.plans.model import ClusterModel
+    p = UPDATE_PARAMS
+    ev = events_points(spark, sf)
+    opened = admit_outliers(ev.filter(F.col("time") < SPLIT_HOUR), None, p)
+    by_kind = Window.partitionBy("kind").orderBy("first_time", "first_seq")  # rows are clusters
+    state = opened.withColumn("kind", F.when(cf.promotable("weight", p.beta, p.mu), "p").otherwise("o")).select(
+        "*", (F.row_number().over(by_kind) - 1).cast("long").alias("ord"))
+    state = cut(st.conform(state.withColumn("mc_id", F.concat_ws("-", "kind", "ord"))), "update-state")
+    n_p, n_o, clock = state.agg(F.count_if(F.col("kind") == "p"), F.count_if(F.col("kind") == "o"),
+                                F.max("last_edit")).first()
+    model = ClusterModel(spark, p)
+    model.set_state(state, st.ModelMeta(version=0, clock=int(clock or 0), period=p.prune_every, max_p_ord=n_p - 1,
+                                        max_o_ord=n_o - 1, n_p=n_p, n_o=n_o))
+    model.process_batch(ev.filter(F.col("time") >= SPLIT_HOUR), 1)
+    return model.state.select(*_state_cols())
+
+
+def q_stream_events(spark, sf):
+    """A Structured Streaming run over the events table from an
+    empty model, every micro-batch folded by ``process_batch``."""
+    from evoclust.plans.model import ClusterModel
+    from evoclust.streaming.stream import run_stream as start
+    path = os.path.join(sf, "events.parquet")
+    s0, _ = events_clock(spark, sf)
+    labels = cut(prep.label_map(_t(spark, sf, "events"), "event_type", order="alpha"), "labels")
+    # a stream reads folders or patterns, and the table may be one file
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(os.path.join(sf, "events*.parquet"))
+    model = ClusterModel(spark, STREAM_PARAMS)
+    start(events_points(spark, sf, s0, labels=labels, ev=raw), model, available_now=True)
+    return model.state.select(*_state_cols())
+
+
 def q_macro_reference(spark, sf):
     model = run_events_stream(spark, sf)
     return model.macro_clusters().select("seed_ord", "members", "weight", "pts", "label", "purity")
@@ -457,6 +506,8 @@ QUERIES = {
     "macro_paper": q_macro_paper,
     "init_clusters": q_init_clusters,
     "admit_outliers": q_admit_outliers,
+    "update_batch": q_update_batch,
+    "stream_events": q_stream_events,
     "run_stream": q_run_stream,
     "macro_reference": q_macro_reference,
 }

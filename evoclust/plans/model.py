@@ -23,6 +23,7 @@ import os
 import re
 import threading
 import time as _time
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ class ClusterModel:
         self.meta = st.ModelMeta()
         self.state = st.empty_state(spark)
         self.timings = {"update": 0.0, "detect": 0.0, "total": 0.0}
-        self.history: list[dict] = []
+        self.history: deque[dict] = deque(maxlen=1000)  # all batches: the progress table
         self.init_info: dict = {}
         self._versions_seen: set[int] = set()
         self._arrays = None  # (P, O) arrays of self.state when it is small
@@ -152,22 +153,33 @@ class ClusterModel:
         vs = [v for v in self._stored_versions() if below is None or v < below]
         return vs[-1] if vs else None
 
-    def _load(self, version: int) -> bool:
+    def _read_meta(self, version: int) -> dict | None:
         found = self._documents().get(version)
         if found is None:
-            return False
+            return None
         fs, root, jvm = self._fs()
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(root, found[1]))
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
         text = reader.readLine()
         reader.close()
-        r = json.loads(text)
-        self.meta = st.ModelMeta(**{k: int(r[k]) for k in st.ModelMeta().as_row()})
+        return json.loads(text)
+
+    def _load(self, version: int) -> bool:
+        r = self._read_meta(version)
+        if r is None:
+            return False
+        self.meta = st.ModelMeta(**{k: int(v) for k, v in r.items()})
         self.state = self._read_state(version)
         self._versions_seen.add(version)
         self._arrays = None
         return True
 
+    def stored(self, version: int) -> tuple[DataFrame, int] | None:
+        """State and points of a stored batch (None: no such version, as for
+        an empty batch); the model stays where it is."""
+        r = self._read_meta(version)
+        return None if r is None else (self._read_state(version), int(r.get("rows", 0)))
+
     # ------------------------------------------------------------- init
     def initialize(self, init_points: DataFrame) -> dict:
         state, info = init_clusters(init_points, self.params)
@@ -294,7 +306,8 @@ class ClusterModel:
             pruned = {"p": meta.n_p + n_prom - n_p, "o": meta.n_o + n_new - n_prom - n_o}
         newmeta = st.ModelMeta(
             version=batch_id, clock=clock, period=meta.period + 1,
-            max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o)
+            max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o,
+            rows=n)
         self._save(s2, newmeta)
         self._arrays = arrays
         _release(held)

@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries (same tables, same column names).
 
-Queries that replay sequential clustering (init scan, ordered admission,
-whole stream runs, macro replay) and the component labelling have no SQL
+Queries that replay sequential clustering (init scan, macro replay, the
+stream run that starts from them) and the component labelling have no SQL
 form here; they are checked against goldens and brute force in tests.
 """
 
@@ -63,6 +63,24 @@ m AS (SELECT p.user_id, mt.tmax, mt.t0,
 LT = """lt AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS label
         FROM (SELECT DISTINCT l_returnflag FROM lineitem) x)"""
 
+LABEL_SUMS = ", ".join(f"CAST(sum(CASE WHEN label = {k} THEN 1 ELSE 0 END) AS BIGINT) AS l{k}" for k in range(5))
+
+
+def opened_cells(name: str, points: str, side: float, lam: float) -> str:
+    """The clusters that cells of ``side`` open over a table of points."""
+    return f"""{name}_k AS (SELECT *, floor(f0 / CAST({side} AS DOUBLE)) AS k0, floor(f1 / CAST({side} AS DOUBLE)) AS k1
+  FROM {points}),
+{name}_t AS (SELECT *, max(time) OVER (PARTITION BY k0, k1) AS tmax FROM {name}_k),
+{name}_w AS (SELECT *, pow(2.0, -{lam} * (tmax - time)) AS g FROM {name}_t),
+{name} AS (SELECT min(time) AS ft, min(event_id) AS fs, max(time) AS le, count(*) AS n, sum(g) AS w, sum(g * f0) AS c0,
+  sum(g * f1) AS c1, sum(g * f0 * f0) AS q0, sum(g * f1 * f1) AS q1, {LABEL_SUMS} FROM {name}_w GROUP BY k0, k1)"""
+
+
+def state_row(weight: str, last_edit: str) -> str:
+    return (f"round({weight}, 6) AS weight, round(c0, 6) AS c0, round(c1, 6) AS c1, round(q0, 6) AS q0, "
+            f"round(q1, 6) AS q1, ft AS t0, {last_edit} AS last_edit")
+
+
 SQL = {
     "decode_points": f"""WITH {EVP}
 SELECT event_id, time, round(f0, 6) AS f0, round(f1, 6) AS f1, label FROM evp""",
@@ -178,21 +196,60 @@ SELECT user_id, round(dn, 6) AS weight, dn >= CAST(2.0 AS DOUBLE) AS promotable,
   round(thr_ref, 6) AS thr_ref, round(thr_fix, 6) AS thr_fix,
   wc >= thr_ref AS keep_o_ref, wc >= thr_fix AS keep_o_fix FROM x""",
 
-    "admit_outliers": f"""WITH {EVP},
-c AS (SELECT *, floor(f0 / CAST(0.4 AS DOUBLE)) AS k0, floor(f1 / CAST(0.4 AS DOUBLE)) AS k1 FROM evp),
-t AS (SELECT k0, k1, max(time) AS tmax FROM c GROUP BY k0, k1),
-p AS (SELECT c.*, t.tmax, pow(2.0, -0.25 * (t.tmax - c.time)) AS w
-      FROM c JOIN t ON c.k0 = t.k0 AND c.k1 = t.k1)
-SELECT min(time) AS first_time, min(event_id) AS first_seq, round(sum(w), 6) AS weight,
-  round(sum(w * f0), 6) AS c0, round(sum(w * f1), 6) AS c1,
-  round(sum(w * f0 * f0), 6) AS q0, round(sum(w * f1 * f1), 6) AS q1, max(time) AS last_edit,
-  count(*) AS pts,
-  CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS l0,
-  CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS l1,
-  CAST(sum(CASE WHEN label = 2 THEN 1 ELSE 0 END) AS BIGINT) AS l2,
-  CAST(sum(CASE WHEN label = 3 THEN 1 ELSE 0 END) AS BIGINT) AS l3,
-  CAST(sum(CASE WHEN label = 4 THEN 1 ELSE 0 END) AS BIGINT) AS l4
-FROM p GROUP BY k0, k1""",
+    "admit_outliers": f"""WITH {EVP}, {opened_cells('s', 'evp', 0.4, 0.25)}
+SELECT ft AS first_time, fs AS first_seq, round(w, 6) AS weight, round(c0, 6) AS c0, round(c1, 6) AS c1,
+  round(q0, 6) AS q0, round(q1, 6) AS q1, le AS last_edit, n AS pts, l0, l1, l2, l3, l4 FROM s""",
+
+    "stream_events": f"""WITH {EVP}, {opened_cells('s', 'evp', 0.4, 0.25)},
+x AS (SELECT *, row_number() OVER (ORDER BY ft, fs) - 1 AS o, w >= 2 AS up FROM s)
+SELECT CASE WHEN up THEN 'p' ELSE 'o' END AS kind,
+  CAST(CASE WHEN up THEN row_number() OVER (PARTITION BY up ORDER BY o DESC) - 1 ELSE o END AS BIGINT) AS ord,
+  {state_row('w', 'le')}, CAST(n AS BIGINT) AS pts, l0, l1, l2, l3, l4 FROM x""",
+
+    "update_batch": f"""WITH {EVP},
+e1 AS (SELECT * FROM evp WHERE time < 360), e2 AS (SELECT * FROM evp WHERE time >= 360),
+{opened_cells('s0', 'e1', 0.42, 0.01)},
+sk AS (SELECT *, CASE WHEN w >= 20 THEN 'p' ELSE 'o' END AS kind FROM s0),
+s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ft, fs) - 1 AS ord FROM sk),
+mx AS (SELECT coalesce(max(CASE WHEN kind = 'p' THEN ord END), -1) AS mp,
+              coalesce(max(CASE WHEN kind = 'o' THEN ord END), -1) AS mo FROM s),
+cand AS (SELECT e2.event_id, e2.time, e2.f0, e2.f1, s.kind, s.ord,
+           sqrt((e2.f0 - s.c0 / s.w) * (e2.f0 - s.c0 / s.w) + (e2.f1 - s.c1 / s.w) * (e2.f1 - s.c1 / s.w)) AS dist,
+           pow(2.0, -0.01 * (e2.time - s.le)) AS f, s.w, s.c0, s.c1, s.q0, s.q1 FROM e2 CROSS JOIN s),
+near AS (SELECT *, w * f + 1.0 AS w2, c0 * f + f0 AS a0, c1 * f + f1 AS a1, q0 * f + f0 * f0 AS b0,
+           q1 * f + f1 * f1 AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY event_id, kind ORDER BY dist, ord) AS rn
+           FROM cand) z WHERE rn = 1),
+fit AS (SELECT event_id, max(CASE WHEN kind = 'p' THEN ord END) AS po, max(CASE WHEN kind = 'o' THEN ord END) AS oo
+        FROM near WHERE w2 > 1 AND sqrt(greatest(abs(b0) / w2 - abs(a0 * a0) / (w2 * w2),
+          abs(b1) / w2 - abs(a1 * a1) / (w2 * w2), 0.0)) <= CAST(0.21 AS DOUBLE) GROUP BY event_id),
+a AS (SELECT e2.*, CASE WHEN po IS NOT NULL THEN 'p' WHEN oo IS NOT NULL THEN 'o' END AS kind, coalesce(po, oo) AS ord
+      FROM e2 LEFT JOIN fit ON e2.event_id = fit.event_id),
+ta AS (SELECT kind, ord, max(time) AS tmax FROM a WHERE kind IS NOT NULL GROUP BY kind, ord),
+da AS (SELECT a.*, ta.tmax, pow(2.0, -0.01 * (ta.tmax - a.time)) AS g
+       FROM a JOIN ta ON a.kind = ta.kind AND a.ord = ta.ord),
+d AS (SELECT kind, ord, tmax, sum(g) AS dw, sum(g * f0) AS d0, sum(g * f1) AS d1, sum(g * f0 * f0) AS e0,
+        sum(g * f1 * f1) AS e1, count(*) AS dn, {LABEL_SUMS} FROM da GROUP BY kind, ord, tmax),
+u AS (SELECT s.kind, s.ord, s.ft, d.dn IS NOT NULL AS hit, coalesce(d.tmax, s.le) AS le, coalesce(d.dn, 0) AS n,
+        coalesce(pow(2.0, -0.01 * (d.tmax - s.le)), 1.0) AS f, coalesce(dw, 0) AS dw, coalesce(d0, 0) AS d0,
+        coalesce(d1, 0) AS d1, coalesce(e0, 0) AS e0, coalesce(e1, 0) AS e1, s.w, s.c0, s.c1, s.q0, s.q1,
+        coalesce(d.l0, s.l0) AS l0, coalesce(d.l1, s.l1) AS l1, coalesce(d.l2, s.l2) AS l2,
+        coalesce(d.l3, s.l3) AS l3, coalesce(d.l4, s.l4) AS l4
+      FROM s LEFT JOIN d ON s.kind = d.kind AND s.ord = d.ord),
+rest AS (SELECT * FROM a WHERE kind IS NULL), {opened_cells('fresh', 'rest', 0.42, 0.01)},
+b AS (SELECT kind, ord, ft, le, n, w * f + dw AS w, c0 * f + d0 AS c0, c1 * f + d1 AS c1, q0 * f + e0 AS q0,
+        q1 * f + e1 AS q1, l0, l1, l2, l3, l4, hit AND kind = 'o' AND w * f + dw >= 20 AS up FROM u
+      UNION ALL
+      SELECT 'o', mo + row_number() OVER (ORDER BY ft, fs), ft, le, n, w, c0, c1, q0, q1, l0, l1, l2, l3, l4, w >= 20
+      FROM fresh CROSS JOIN mx),
+x AS (SELECT * REPLACE (CASE WHEN up THEN 'p' ELSE kind END AS kind,
+        CASE WHEN up THEN mp + row_number() OVER (PARTITION BY up ORDER BY ord DESC) ELSE ord END AS ord)
+      FROM b CROSS JOIN mx),
+clk AS (SELECT max(time) AS clock FROM evp),
+z AS (SELECT kind, ord, ft, n, clock, pow(2.0, -0.01 * (clock - le)) AS f, w, c0, c1, q0, q1, l0, l1, l2, l3, l4,
+        (pow(2.0, -0.01 * (clock - ft + 40)) - 1.0) / (pow(2.0, -0.01 * 40) - 1.0) AS thr FROM x CROSS JOIN clk),
+y AS (SELECT * REPLACE (w * f AS w, c0 * f AS c0, c1 * f AS c1, q0 * f AS q0, q1 * f AS q1) FROM z)
+SELECT kind, CAST(ord AS BIGINT) AS ord, {state_row('w', 'clock')}, CAST(n AS BIGINT) AS pts, l0, l1, l2, l3, l4
+FROM y WHERE w >= CASE WHEN kind = 'p' THEN 20 ELSE thr END""",
 
     "points_per_batch": f"""WITH {EVP},
 b AS (SELECT CAST(time // 24 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS pts FROM evp GROUP BY 1)

@@ -74,7 +74,7 @@ def main(argv=None) -> None:
     else:
         raw = read_point_stream(spark, "text", {}, path=args.streamPath)
     timeout = args.timeout or default_timeout(args.trainingDataAmount, args.speedRate, args.batchTime)
-    run_stream(decode_stream(raw, args.numDimensions), model, available_now=args.availableNow,
+    run_stream(decode_stream(raw, args.numDimensions, marked=True), model, available_now=args.availableNow,
                timeout=None if args.availableNow else timeout, results=writer, checkpoint=args.checkpoint)
     details = run_details(spark, params, args.appName, args.dataset, args.streamPath, args.initialDataPath,
                           args.trainingDataAmount, args.initialDataAmount)

@@ -75,6 +75,12 @@ def decode_points(df: DataFrame, num_dims: int, value_col: str = "value",
     return _decode(df, num_dims, value_col, seq_col, keep).filter(F.col("_ok")).drop("_ok")
 
 
+def decode_marked(df: DataFrame, num_dims: int, value_col: str = "value",
+                  seq_col: str | None = None) -> DataFrame:
+    """Every record with its raw value and ``_ok``, whether it is a point."""
+    return _decode(df, num_dims, value_col, seq_col, [value_col])
+
+
 def decode_rejects(df: DataFrame, num_dims: int, value_col: str = "value") -> DataFrame:
     """The records ``decode_points`` rejects, with their raw value."""
     return _decode(df, num_dims, value_col, None, [value_col]).filter(~F.col("_ok")).select(value_col)

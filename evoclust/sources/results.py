@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from evoclust.operators import state as st
 from evoclust.params import ClusterParams
 
-TABLES = ("details", "micro_clusters", "micro_metrics", "macro_clusters", "macro_metrics")
+TABLES = ("details", "micro_clusters", "micro_metrics", "macro_clusters", "macro_metrics", "rejects", "progress")
+PROGRESS = ("batch_id long, rows long, to_p long, to_o long, unassigned long, opened long, promoted long, p_pruned long, "
+            "o_pruned long, n_p long, n_o long, sum_w_p double, sum_w_o double, clock long")
 
 
 def run_details(spark: SparkSession, params: ClusterParams, app: str = "evoclust", dataset: str = "",
@@ -57,6 +59,15 @@ class ResultWriter:
                        F.lit("PURITY(avg)").alias("name"), "value"))
         self._write_batch(met, "micro_metrics")
 
+    def write_rejects(self, rejects: DataFrame, batch_id: int) -> None:
+        """Raw values of a batch's records that are no points."""
+        self._write_batch(rejects.withColumn("batch_id", F.lit(batch_id).cast("long")), "rejects")
+
+    def write_progress(self, rec: dict, batch_id: int) -> None:
+        """One row of counts a batch."""
+        names = [c.split()[0] for c in PROGRESS.split(", ")]
+        self._write_batch(self.spark.createDataFrame([tuple(rec[c] for c in names)], PROGRESS), "progress")
+
     def write_final(self, details: DataFrame, macros: DataFrame) -> None:
         details.write.mode("overwrite").parquet(self._path("details"))
         macros.write.mode("overwrite").parquet(self._path("macro_clusters"))
@@ -64,18 +75,12 @@ class ResultWriter:
          .write.mode("overwrite").parquet(self._path("macro_metrics")))
 
 
-def write_results(tables: dict, root: str) -> None:
-    """Write a dict of DataFrames as Parquet tables under ``root``."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(os.path.join(root, name))
-
-
 def read_results(spark: SparkSession, root: str) -> dict:
     """The result tables present under ``root``."""
     out = {}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in TABLES:
-        try:
-            out[name] = spark.read.parquet(os.path.join(root, name))
-        except Exception:  # table not written by this run
-            continue
+        path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, name))
+        if path.getFileSystem(conf).exists(path):  # else not written by this run
+            out[name] = spark.read.parquet(path.toString())
     return out

@@ -18,16 +18,18 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from evoclust.plans.model import ClusterModel
 from evoclust.session import scratch_path
-from evoclust.sources.points import decode_points
+from evoclust.sources.points import decode_marked, decode_points
 
 
-def decode_stream(raw: DataFrame, num_dims: int) -> DataFrame:
-    """Envelope records -> points; Kafka offsets give the arrival order."""
+def decode_stream(raw: DataFrame, num_dims: int, marked: bool = False) -> DataFrame:
+    """Envelope records -> points; Kafka offsets give the arrival order.
+    ``marked`` keeps records that are no points, for the rejects table."""
+    decode = decode_marked if marked else decode_points
     if "offset" in raw.columns and "partition" in raw.columns:
         raw = raw.withColumn("_seq", F.shiftleft(F.col("partition").cast("long"), 40) + F.col("offset"))
-        return decode_points(raw, num_dims, seq_col="_seq")
+        return decode(raw, num_dims, seq_col="_seq")
     # arrival position is assigned per micro-batch (file order of the batch)
-    return decode_points(raw, num_dims, seq_col="none")
+    return decode(raw, num_dims, seq_col="none")
 
 
 def run_stream(points: DataFrame, model: ClusterModel, *, trigger_seconds: int | None = None,
@@ -37,16 +39,28 @@ def run_stream(points: DataFrame, model: ClusterModel, *, trigger_seconds: int |
 
     ``available_now`` drains what is there and stops; otherwise the query
     fires every ``trigger_seconds`` (default: the model's batch seconds) and
-    is stopped after ``timeout`` seconds when given.
+    is stopped after ``timeout`` seconds when given.  ``results`` gets the
+    snapshot, progress and (of a marked stream) rejects of every batch; a
+    replayed batch writes its stored snapshot again, in case the run ended
+    between state and results.
     """
     params = model.params
 
     def fold(df: DataFrame, batch_id: int) -> None:
         if "seq" not in df.columns:
             df = df.withColumn("seq", F.monotonically_increasing_id())
+        if "_ok" in df.columns:
+            if results is not None:
+                results.write_rejects(df.filter(~F.col("_ok")).select(F.col("value").cast("string")), batch_id)
+            df = df.filter(F.col("_ok")).select("time", "features", "label", "seq")
         rec = model.process_batch(df, batch_id)
         if results is not None and rec is not None:
             results.write_batch(model.state, batch_id, rec["rows"], params)
+            results.write_progress(rec, batch_id)
+        elif results is not None:
+            stored = model.stored(batch_id)
+            if stored is not None:
+                results.write_batch(stored[0], batch_id, stored[1], params)
         if on_batch is not None:
             on_batch(batch_id, rec)
 
