@@ -1,69 +1,76 @@
 """Structured Streaming run: file source, one file per micro-batch,
-``availableNow``; the T2 trace of the goldens; restart without refolding."""
+``availableNow``, against the plain sequential model; restart without
+refolding; a crash between state and results; records that are no points."""
 
 import os
+import shutil
 import tempfile
 
-import pytest
-
 from evoclust.params import ClusterParams
 from evoclust.plans.model import ClusterModel
 from evoclust.sources.points import read_points_csv
 from evoclust.sources.results import ResultWriter, read_results
 from evoclust.streaming.stream import decode_stream, run_stream
-from tests.conftest import ref_file
-
-T2_W = [107.111041, 79.601492, 73.251052, 71.012674, 62.349764, 73.262234, 74.860699, 77.356997,
-        58.775315, 63.438816]
+from tests.sequential import Sequential, assert_same, drifting_blobs, state_rows
 
 
-def _write_batches(folder, rows, per_batch, rate, first, last):
-    for b in range(first, last):
+def _write_batches(folder, batches, first):
+    for b, rows in enumerate(batches, first):
         path = os.path.join(folder, f"batch-{b:04d}.txt")
         with open(path, "w") as f:
-            for k in range(b * per_batch, (b + 1) * per_batch):
-                x, y, lab = rows[k]
-                f.write(f"{k // rate}/{x},{y},{lab}\n")
+            f.writelines(f"{t}/{x!r},{y!r},{lab}\n" for t, x, y, lab in rows)
+            if b == 1:
+                f.write("3/1.0,nonsense,1\n")
         os.utime(path, (1_700_000_000 + b, 1_700_000_000 + b))
 
 
-def _rows(rel):
-    out = []
-    with open(ref_file(rel)) as f:
-        for line in f:
-            a = line.strip().split(",")
-            out.append((a[0], a[1], a[2]))
-    return out
-
-
-def test_stream_trace_and_restart(spark):
-    rows = _rows("datasets/init_ultimate.csv")
-    src = tempfile.mkdtemp(prefix="evoclust-src-")
-    ckpt = tempfile.mkdtemp(prefix="evoclust-ckpt-")
-    root = tempfile.mkdtemp(prefix="evoclust-model-")
-    res = tempfile.mkdtemp(prefix="evoclust-res-")
-    p = ClusterParams(num_dims=2, num_labels=3, beta=0.2)
-    init = read_points_csv(spark, ref_file("datasets/init_noisy_circles.csv"), 2)
+def test_stream_restart_and_crash(spark, tmp_path):
+    src, ckpt, root, res = (tempfile.mkdtemp(dir=tmp_path) for _ in range(4))
+    start = drifting_blobs(150, 5)
+    init = os.path.join(tmp_path, "init.csv")
+    with open(init, "w") as f:
+        f.writelines(f"{x!r},{y!r},{lab}\n" for x, y, lab in start)
+    pts = drifting_blobs(240, 6, shift=1.5)
+    batches = [[((b * 40 + i) // 10, *r) for i, r in enumerate(pts[b * 40:(b + 1) * 40])] for b in range(6)]
+    p = ClusterParams(num_dims=2, num_labels=3, beta=0.2, prune_fix=True)
+    seq = Sequential(p)
+    seq.init(start)
     model = ClusterModel(spark, p, root=root)
-    model.initialize(init)
+    model.initialize(read_points_csv(spark, init, 2))
     writer = ResultWriter(spark, res)
 
     def stream():
         raw = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
-        return decode_stream(raw, 2)
+        return decode_stream(raw, 2, marked=True)
 
-    _write_batches(src, rows, 50, 10, 0, 5)
+    _write_batches(src, batches[:3], 0)
     run_stream(stream(), model, available_now=True, checkpoint=ckpt, results=writer)
-    assert [round(r["sum_w_p"], 6) for r in model.history] == T2_W[:5]
+    for rows in batches[:3]:
+        seq.batch(rows)
+    assert_same(state_rows(model.state), seq.rows())
 
-    # restart: a new model object on the same folders picks up the stored state
+    # the run ended after the state of batch 2, before its results and commit
+    shutil.rmtree(os.path.join(res, "micro_clusters", "batch_id=2"))
+    for name in ("2", ".2.crc"):
+        path = os.path.join(ckpt, "commits", name)
+        if os.path.exists(path):
+            os.remove(path)
     model2 = ClusterModel(spark, p, root=root)
-    assert model2.meta.version == 4
-    _write_batches(src, rows, 50, 10, 5, 10)
+    assert model2.resumed and model2.meta.version == 2
+    before = state_rows(model2.state)
+    _write_batches(src, batches[3:], 3)
     run_stream(stream(), model2, available_now=True, checkpoint=ckpt, results=writer)
-    assert [round(r["sum_w_p"], 6) for r in model2.history] == T2_W[5:]
-    # replaying a stored batch id changes nothing
-    assert model2.process_batch(spark.createDataFrame([], "time long, features array<double>, label int, seq long"), 3) is None
-    tables = read_results(spark, res)
-    assert tables["micro_clusters"].select("batch_id").distinct().count() == 10
-    assert tables["micro_metrics"].count() == 10
+    for rows in batches[3:]:
+        seq.batch(rows)
+    assert_same(state_rows(model2.state), seq.rows())
+
+    # replaying an old batch changes neither version nor state
+    assert before != state_rows(model2.state)
+    empty = spark.createDataFrame([], "time long, features array<double>, label int, seq long")
+    assert model2.process_batch(empty, 1) is None and model2.meta.version == 5
+    assert_same(state_rows(model2.state), seq.rows())
+    t = read_results(spark, res)
+    assert sorted(r[0] for r in t["micro_clusters"].select("batch_id").distinct().collect()) == list(range(6))
+    assert t["micro_metrics"].count() == 6
+    assert [(r.batch_id, r.value) for r in t["rejects"].collect()] == [(1, "3/1.0,nonsense,1")]
+    assert sorted((r.batch_id, r.rows) for r in t["progress"].collect()) == [(b, 40) for b in range(6)]
