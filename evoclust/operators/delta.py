@@ -74,7 +74,7 @@ def decayed_delta(assigned: DataFrame, lam: float, num_dims: int, num_labels: in
         *keys,
         F.array(*[F.col(f"_a{k}") for k in range(num_dims)]).alias("dcf1"),
         F.array(*[F.col(f"_b{k}") for k in range(num_dims)]).alias("dcf2"),
-        F.col("_n").alias("dn"),
+        F.round("_n", 12).alias("dn"),  # two points of one time weigh 2, not 2 - 2e-16, in the promotion test
         F.greatest(F.col("_t"), F.lit(0)).cast("long").alias("tmax"),
         F.col("_c").alias("dpts"),
         F.array(*[F.col(n) for n in labels]).alias("lbl_counts"),
