@@ -214,6 +214,14 @@ def predict(points: DataFrame, clusters: DataFrame, params: ClusterParams) -> Da
     return points.mapInArrow(_predict_batches(bc, d), schema)
 
 
+def predict_macro(points: DataFrame, clusters: DataFrame, members: DataFrame, params: ClusterParams) -> DataFrame:
+    """J6 with the macro map ``ord, comp``: the nearest cluster of each point
+    and its macro-cluster (null where the map leaves the cluster out)."""
+    small = members.count() * 16 <= params.max_broadcast_bytes
+    names = members.select("ord", F.col("comp").alias("macro_id"))
+    return predict(points, clusters, params).join(F.broadcast(names) if small else names, "ord", "left")
+
+
 def _nearest_chunked(points, state, params):
     """J6 over a cluster table above the broadcast budget: chunk by chunk,
     keeping the running nearest (ties to the lower ord)."""

@@ -87,6 +87,26 @@ def macro_clusters(p_state: DataFrame, params: ClusterParams, mu: float | None =
         cf.purity("lbl_counts").alias("purity"))
 
 
+def macro_members(mcs: DataFrame, eps: float, d: int) -> DataFrame:
+    """The macro map ``ord, comp`` of micro-clusters ``ord, centroid, core``:
+    cores closer than 2*eps share a macro-cluster, a border goes to its
+    nearest core."""
+    cores = mcs.filter("core")
+    ce = cut(mc_edges(cores, eps, d).select("src", "dst"), "macro-core-edges")
+    comps = connected_components(ce, unique=True)
+    core_c = (cores.select("ord").join(comps.withColumnRenamed("id", "ord"), "ord", "left")
+              .select("ord", F.coalesce("comp", "ord").alias("comp")))
+    kinds = mcs.select("ord", "core")
+    e = (mc_edges(mcs, eps, d)
+         .join(kinds.select(F.col("ord").alias("src"), F.col("core").alias("src_core")), "src")
+         .join(kinds.select(F.col("ord").alias("dst"), F.col("core").alias("dst_core")), "dst")
+         .filter(~F.col("src_core") & F.col("dst_core")))
+    nearest = e.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("core_ord"))
+    border_c = (nearest.join(core_c.select(F.col("ord").alias("core_ord"), "comp"), "core_ord")
+                .select(F.col("src").alias("ord"), "comp"))
+    return core_c.unionByName(border_c)
+
+
 def macro_paper(p_state: DataFrame, params: ClusterParams, mu: float | None = None,
                 eps: float | None = None, clock: int | None = None) -> DataFrame:
     """C6 in the paper's reading: core p-MCs (weight >= mu) are connected
@@ -104,20 +124,7 @@ def macro_paper(p_state: DataFrame, params: ClusterParams, mu: float | None = No
         "ord", "cf1", "cf2", "weight", "pts", "lbl_counts",
         cf.centroid("cf1", "weight").alias("centroid"),
         (F.col("weight") >= F.lit(float(mu))).alias("core")), "macro-mcs")
-    cores = mcs.filter("core")
-    ce = cut(mc_edges(cores, eps, d).select("src", "dst"), "macro-core-edges")
-    comps = connected_components(ce, unique=True)
-    core_c = (cores.select("ord").join(comps.withColumnRenamed("id", "ord"), "ord", "left")
-              .select("ord", F.coalesce("comp", "ord").alias("comp")))
-    kinds = mcs.select("ord", "core")
-    e = (mc_edges(mcs, eps, d)
-         .join(kinds.select(F.col("ord").alias("src"), F.col("core").alias("src_core")), "src")
-         .join(kinds.select(F.col("ord").alias("dst"), F.col("core").alias("dst_core")), "dst")
-         .filter(~F.col("src_core") & F.col("dst_core")))
-    nearest = e.groupBy("src").agg(F.min_by("dst", F.struct("dist", "dst")).alias("core_ord"))
-    border_c = (nearest.join(core_c.select(F.col("ord").alias("core_ord"), "comp"), "core_ord")
-                .select(F.col("src").alias("ord"), "comp"))
-    members = core_c.unionByName(border_c).join(mcs, "ord")
+    members = macro_members(mcs, eps, d).join(mcs, "ord")
     aggs = [F.sum(F.col("cf1")[k]).alias(f"_a{k}") for k in range(d)]
     aggs += [F.sum(F.col("cf2")[k]).alias(f"_b{k}") for k in range(d)]
     aggs += [F.sum(F.col("lbl_counts")[k]).cast("long").alias(f"_l{k}") for k in range(L)]

@@ -150,9 +150,14 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
     return df.orderBy(_hash_key(id_col, seed), id_col).limit(n)
 
 
+def shuffle_order(seed: int, id_col: str) -> list:
+    """Sort keys of O6."""
+    return [_hash_key(id_col, seed), F.col(id_col)]
+
+
 def shuffle_rows(df: DataFrame, seed: int, id_col: str) -> DataFrame:
     """A seeded random row order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)))
+    return df.orderBy(*shuffle_order(seed, id_col))
 
 
 def merge_datasets(dfs: list[DataFrame], offsets: list[int], col: str = "label") -> DataFrame:

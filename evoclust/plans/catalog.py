@@ -25,7 +25,7 @@ from evoclust.operators import prep
 from evoclust.operators import state as st
 from evoclust.operators.assign import predict
 from evoclust.operators.delta import decayed_delta
-from evoclust.operators.graph import connected_components, eps_edges
+from evoclust.operators.graph import eps_edges
 from evoclust.params import ClusterParams
 from evoclust.session import cut, ship_package
 from evoclust.sources import points as S
@@ -255,9 +255,10 @@ def q_eps_pairs(spark, sf):
 
 
 def q_components(spark, sf):
-    ev = events_points(spark, sf)
-    e = eps_edges(ev, 0.05, 2, id_col="event_id", both=False)
-    return connected_components(e, once=True).select(F.col("id").alias("event_id"), "comp")
+    """The components of all events that have another within 0.05."""
+    from evoclust.operators.density import density_labels
+    return density_labels(events_points(spark, sf), 0.05, 2, id_col="event_id").select(
+        F.col("id").alias("event_id"), "comp")
 
 
 def q_admissible_points(spark, sf):
@@ -369,24 +370,16 @@ def q_macro_paper(spark, sf):
 # the original's fixed offline values (epsilon 0.4, mu 10)
 STREAM_PARAMS = ClusterParams(num_dims=2, num_labels=EV_TYPES, lam=LAM, epsilon=0.2, init_epsilon=0.2,
                               mu=10, beta=0.2, offline_epsilon=0.4, offline_mu=10)
-INIT_SHARE = 20  # the init sample holds 1/20 of the events, stratified by type
 BATCH_HOURS = 72  # one micro-batch per three days of the whole table
 
 
-def init_sample(spark, sf, ev=None):
-    """The initialisation sample: a seeded stratified sample (O4) of the
-    events, 1/INIT_SHARE of the rows split evenly over the event types."""
-    ev = ev if ev is not None else events_points(spark, sf)
-    n = ev.count()
-    per_type = max(20, n // (INIT_SHARE * EV_TYPES))
-    return prep.stratified_sample(ev, "label", per_type, 42, "event_id")
-
-
 def q_init_clusters(spark, sf):
-    from evoclust.operators.seeding import init_clusters
-    ship_package(spark)
-    state, _ = init_clusters(init_sample(spark, sf), STREAM_PARAMS)
-    return state.select("ord", "mc_id", "weight", "pts", "lbl_counts")
+    """C1 over every event: the density clusters, without point pairs."""
+    from evoclust.operators.density import init_density
+    state, _ = init_density(events_points(spark, sf), STREAM_PARAMS)
+    return state.select("ord", _r(F.col("weight"), "weight"), _r(F.col("cf1")[0], "c0"), _r(F.col("cf1")[1], "c1"),
+                        _r(F.col("cf2")[0], "q0"), _r(F.col("cf2")[1], "q1"), "pts",
+                        *[F.col("lbl_counts")[k].alias(f"l{k}") for k in range(EV_TYPES)])
 
 
 def q_admit_outliers(spark, sf):
@@ -399,17 +392,18 @@ def q_admit_outliers(spark, sf):
 
 
 def run_events_stream(spark, sf, params: ClusterParams = STREAM_PARAMS):
-    """The whole online phase over the events table: init on the stratified
-    sample, then every event, one micro-batch per ``BATCH_HOURS``."""
+    """The whole online phase over the events table: init on all events of
+    the first ``BATCH_HOURS``, then the others, one micro-batch per
+    ``BATCH_HOURS``."""
     from evoclust.plans.model import ClusterModel
     s0, s1 = events_clock(spark, sf)
     labels = prep.label_map(_t(spark, sf, "events"), "event_type", order="alpha")
     labels = labels.cache()  # one row per event type
-    model = ClusterModel(spark, params)
-    model.initialize(init_sample(spark, sf, events_points(spark, sf, s0, labels=labels)))
+    model = ClusterModel(spark, params.with_(init_mode="cells"))
+    model.initialize(events_points(spark, sf, s0, (0, BATCH_HOURS), labels))
     last = (s1 - s0) // 3600
     b = 0
-    for start in range(0, int(last) + 1, BATCH_HOURS):
+    for start in range(BATCH_HOURS, int(last) + 1, BATCH_HOURS):
         # each micro-batch reads only its own time slice of the table
         batch = events_points(spark, sf, s0, (start, start + BATCH_HOURS), labels)
         model.process_batch(batch, b)
@@ -434,14 +428,12 @@ def _state_cols():
             *[F.col("lbl_counts")[k].alias(f"l{k}") for k in range(EV_TYPES)]]
 
 
-def q_update_batch(spark, sf):
-    """The clusters that the first half of the events opens, then the
-    second half as one batch: assignment, deltas, admission, promotion, and
-    a pruning."""
+def half_state(spark, sf):
+    """The events, the clusters that their first half opens (p-MCs where the
+    weight allows), the numbers of p- and o-MCs, and the clock."""
     from pyspark.sql import Window
 
     from evoclust.operators.admit import admit_outliers
-    from evoclust.plans.model import ClusterModel
     p = UPDATE_PARAMS
     ev = events_points(spark, sf)
     opened = admit_outliers(ev.filter(F.col("time") < SPLIT_HOUR), None, p)
@@ -451,8 +443,18 @@ def q_update_batch(spark, sf):
     state = cut(st.conform(state.withColumn("mc_id", F.concat_ws("-", "kind", "ord"))), "update-state")
     n_p, n_o, clock = state.agg(F.count_if(F.col("kind") == "p"), F.count_if(F.col("kind") == "o"),
                                 F.max("last_edit")).first()
+    return ev, state, n_p, n_o, int(clock or 0)
+
+
+def q_update_batch(spark, sf):
+    """The clusters that the first half of the events opens, then the
+    second half as one batch: assignment, deltas, admission, promotion, and
+    a pruning."""
+    from evoclust.plans.model import ClusterModel
+    p = UPDATE_PARAMS
+    ev, state, n_p, n_o, clock = half_state(spark, sf)
     model = ClusterModel(spark, p)
-    model.set_state(state, st.ModelMeta(version=0, clock=int(clock or 0), period=p.prune_every, max_p_ord=n_p - 1,
+    model.set_state(state, st.ModelMeta(version=0, clock=clock, period=p.prune_every, max_p_ord=n_p - 1,
                                         max_o_ord=n_o - 1, n_p=n_p, n_o=n_o))
     model.process_batch(ev.filter(F.col("time") >= SPLIT_HOUR), 1)
     return model.state.select(*_state_cols())

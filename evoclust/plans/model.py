@@ -34,6 +34,7 @@ from evoclust.operators import state as st
 from evoclust.operators.assign import assign_points
 from evoclust.operators.delta import decayed_delta
 from evoclust.operators.macro import macro_clusters
+from evoclust.operators.density import init_density
 from evoclust.operators.seeding import init_clusters
 from evoclust.params import ClusterParams
 from evoclust.session import scratch_path, ship_package
@@ -182,7 +183,8 @@ class ClusterModel:
 
     # ------------------------------------------------------------- init
     def initialize(self, init_points: DataFrame) -> dict:
-        state, info = init_clusters(init_points, self.params)
+        init = {"scan": init_clusters, "cells": init_density}[self.params.init_mode]
+        state, info = init(init_points, self.params)
         agg = state.agg(F.max("ord"), F.count(F.lit(1))).collect()[0]
         meta = st.ModelMeta(version=-1, clock=0, period=0,
                             max_p_ord=int(agg[0]) if agg[0] is not None else -1,

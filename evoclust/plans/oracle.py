@@ -81,6 +81,41 @@ def state_row(weight: str, last_edit: str) -> str:
             f"round(q1, 6) AS q1, ft AS t0, {last_edit} AS last_edit")
 
 
+# the first half of the events as clusters, and the second half assigned to them
+ASSIGNED = f"""WITH {EVP},
+e1 AS (SELECT * FROM evp WHERE time < 360), e2 AS (SELECT * FROM evp WHERE time >= 360),
+{opened_cells('s0', 'e1', 0.42, 0.01)},
+sk AS (SELECT *, CASE WHEN w >= 20 THEN 'p' ELSE 'o' END AS kind FROM s0),
+s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ft, fs) - 1 AS ord FROM sk),
+mx AS (SELECT coalesce(max(CASE WHEN kind = 'p' THEN ord END), -1) AS mp,
+              coalesce(max(CASE WHEN kind = 'o' THEN ord END), -1) AS mo FROM s),
+cand AS (SELECT e2.event_id, e2.time, e2.f0, e2.f1, s.kind, s.ord,
+           sqrt((e2.f0 - s.c0 / s.w) * (e2.f0 - s.c0 / s.w) + (e2.f1 - s.c1 / s.w) * (e2.f1 - s.c1 / s.w)) AS dist,
+           pow(2.0, -0.01 * (e2.time - s.le)) AS f, s.w, s.c0, s.c1, s.q0, s.q1 FROM e2 CROSS JOIN s),
+near AS (SELECT *, w * f + 1.0 AS w2, c0 * f + f0 AS a0, c1 * f + f1 AS a1, q0 * f + f0 * f0 AS b0,
+           q1 * f + f1 * f1 AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY event_id, kind ORDER BY dist, ord) AS rn
+           FROM cand) z WHERE rn = 1),
+fit AS (SELECT event_id, max(CASE WHEN kind = 'p' THEN ord END) AS po, max(CASE WHEN kind = 'o' THEN ord END) AS oo
+        FROM near WHERE w2 > 1 AND sqrt(greatest(abs(b0) / w2 - abs(a0 * a0) / (w2 * w2),
+          abs(b1) / w2 - abs(a1 * a1) / (w2 * w2), 0.0)) <= CAST(0.21 AS DOUBLE) GROUP BY event_id),
+a AS (SELECT e2.*, CASE WHEN po IS NOT NULL THEN 'p' WHEN oo IS NOT NULL THEN 'o' END AS kind, coalesce(po, oo) AS ord
+      FROM e2 LEFT JOIN fit ON e2.event_id = fit.event_id)"""
+
+# density clusters of all events: more than 10 neighbours within 0.2
+DENSITY = f"""WITH RECURSIVE {EVP},
+e AS (SELECT src, dst, dist FROM (SELECT a.event_id AS src, b.event_id AS dst,
+        sqrt((a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1)) AS dist
+      FROM evp a JOIN evp b ON a.event_id <> b.event_id AND abs(a.f1 - b.f1) < 0.21 AND abs(a.f0 - b.f0) < 0.21) x
+      WHERE dist < CAST(0.2 AS DOUBLE)),
+core AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) > 10),
+ce AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM core UNION
+  SELECT ce.dst, min(cc.comp) FROM cc JOIN ce ON cc.id = ce.src JOIN recurring.cc AS r ON r.id = ce.dst
+  WHERE cc.comp < r.comp GROUP BY ce.dst),
+bd AS (SELECT e.src AS id, arg_min(cc.comp, {{'d': e.dist, 'o': e.dst}}) AS comp FROM e JOIN cc ON e.dst = cc.id
+       WHERE e.src NOT IN (SELECT id FROM core) GROUP BY e.src),
+mem AS (SELECT id, comp FROM cc UNION ALL SELECT id, comp FROM bd)"""
+
 SQL = {
     "decode_points": f"""WITH {EVP}
 SELECT event_id, time, round(f0, 6) AS f0, round(f1, 6) AS f1, label FROM evp""",
@@ -143,6 +178,20 @@ SELECT a.event_id AS src, b.event_id AS dst,
 FROM evp a JOIN evp b ON a.event_id <> b.event_id
 WHERE sqrt((a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1)) < CAST(0.2 AS DOUBLE)""",
 
+    # events of one hour have the same first coordinate, and hours lie 1/6
+    # apart: components are the runs of the second one without a gap of 0.05
+    "components": f"""WITH {EVP},
+g AS (SELECT event_id, f0, f1, f1 - lag(f1) OVER (PARTITION BY f0 ORDER BY f1, event_id) AS gap FROM evp),
+i AS (SELECT event_id, f0, sum(CASE WHEN gap < CAST(0.05 AS DOUBLE) THEN 0 ELSE 1 END)
+        OVER (PARTITION BY f0 ORDER BY f1, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+c AS (SELECT event_id, min(event_id) OVER (PARTITION BY f0, run) AS comp, count(*) OVER (PARTITION BY f0, run) AS n FROM i)
+SELECT event_id, comp FROM c WHERE n > 1""",
+
+    "init_clusters": f"""{DENSITY}
+SELECT CAST(comp AS BIGINT) AS ord, CAST(count(*) AS DOUBLE) AS weight, round(sum(f0), 6) AS c0, round(sum(f1), 6) AS c1,
+  round(sum(f0 * f0), 6) AS q0, round(sum(f1 * f1), 6) AS q1, CAST(0 AS BIGINT) AS pts, {LABEL_SUMS}
+FROM mem JOIN evp ON mem.id = evp.event_id GROUP BY comp""",
+
     "admissible_points": f"""WITH {EVP},
 mt AS (SELECT label, max(time) AS tmax FROM evp GROUP BY label),
 mc AS (SELECT p.label, mt.tmax,
@@ -206,24 +255,7 @@ SELECT CASE WHEN up THEN 'p' ELSE 'o' END AS kind,
   CAST(CASE WHEN up THEN row_number() OVER (PARTITION BY up ORDER BY o DESC) - 1 ELSE o END AS BIGINT) AS ord,
   {state_row('w', 'le')}, CAST(n AS BIGINT) AS pts, l0, l1, l2, l3, l4 FROM x""",
 
-    "update_batch": f"""WITH {EVP},
-e1 AS (SELECT * FROM evp WHERE time < 360), e2 AS (SELECT * FROM evp WHERE time >= 360),
-{opened_cells('s0', 'e1', 0.42, 0.01)},
-sk AS (SELECT *, CASE WHEN w >= 20 THEN 'p' ELSE 'o' END AS kind FROM s0),
-s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ft, fs) - 1 AS ord FROM sk),
-mx AS (SELECT coalesce(max(CASE WHEN kind = 'p' THEN ord END), -1) AS mp,
-              coalesce(max(CASE WHEN kind = 'o' THEN ord END), -1) AS mo FROM s),
-cand AS (SELECT e2.event_id, e2.time, e2.f0, e2.f1, s.kind, s.ord,
-           sqrt((e2.f0 - s.c0 / s.w) * (e2.f0 - s.c0 / s.w) + (e2.f1 - s.c1 / s.w) * (e2.f1 - s.c1 / s.w)) AS dist,
-           pow(2.0, -0.01 * (e2.time - s.le)) AS f, s.w, s.c0, s.c1, s.q0, s.q1 FROM e2 CROSS JOIN s),
-near AS (SELECT *, w * f + 1.0 AS w2, c0 * f + f0 AS a0, c1 * f + f1 AS a1, q0 * f + f0 * f0 AS b0,
-           q1 * f + f1 * f1 AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY event_id, kind ORDER BY dist, ord) AS rn
-           FROM cand) z WHERE rn = 1),
-fit AS (SELECT event_id, max(CASE WHEN kind = 'p' THEN ord END) AS po, max(CASE WHEN kind = 'o' THEN ord END) AS oo
-        FROM near WHERE w2 > 1 AND sqrt(greatest(abs(b0) / w2 - abs(a0 * a0) / (w2 * w2),
-          abs(b1) / w2 - abs(a1 * a1) / (w2 * w2), 0.0)) <= CAST(0.21 AS DOUBLE) GROUP BY event_id),
-a AS (SELECT e2.*, CASE WHEN po IS NOT NULL THEN 'p' WHEN oo IS NOT NULL THEN 'o' END AS kind, coalesce(po, oo) AS ord
-      FROM e2 LEFT JOIN fit ON e2.event_id = fit.event_id),
+    "update_batch": f"""{ASSIGNED},
 ta AS (SELECT kind, ord, max(time) AS tmax FROM a WHERE kind IS NOT NULL GROUP BY kind, ord),
 da AS (SELECT a.*, ta.tmax, pow(2.0, -0.01 * (ta.tmax - a.time)) AS g
        FROM a JOIN ta ON a.kind = ta.kind AND a.ord = ta.ord),
