@@ -39,7 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    # the domain model is trained before any stage took documents out: hardly a toxic one is left
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), train_docs=table(spark, sf_dir, "documents"))
 
 
 STAGES = [("toxicity", toxicity), ("simhash_dedup", simhash_dedup), ("decontamination", decontamination),

@@ -29,6 +29,7 @@ table gives an empty result; without labels posteriors are uniform.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -39,6 +40,7 @@ from evoclust.llm.common import WORD_SEP, smallest_hashes, text_col
 from evoclust.session import cut
 
 BUCKETS = 4096
+MISSED = 1e-3  # share of the budget by which a domain may miss its target
 
 
 def label_domain() -> Column:
@@ -61,7 +63,10 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column
     """Log prior of each domain, and log weight of each bucket per domain."""
     lab = (labels.select(F.col(id_col).alias("__id"), domain.alias("__d"))
            .filter(F.col("__id").isNotNull() & F.col("__d").isin(domains)))
-    lab = smallest_hashes(lab.groupBy("__id").agg(F.min("__d").alias("__d")), "__id", max_rows)
+    # only ids that have a document count towards max_rows
+    ids = docs.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct()
+    lab = cut(lab.groupBy("__id").agg(F.min("__d").alias("__d")).join(ids, "__id", "left_semi"), "mix-labels")
+    lab = smallest_hashes(lab, "__id", max_rows)
     # at most max_rows rows of two short columns
     rows = (docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(lab), "__id"))
     # at most domains x buckets numbers
@@ -150,10 +155,17 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, every: int
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None,
-        id_col: str = "doc_id", max_rows: int = 4_000, **params) -> DataFrame:
-    """``id_col, n_tokens, p_<domain> ..., rate`` for every row."""
+        id_col: str = "doc_id", max_rows: int = 4_000, train_docs: DataFrame | None = None, **params) -> DataFrame:
+    """``id_col, n_tokens, p_<domain> ..., rate`` for every row.  The model is
+    trained on ``train_docs`` (``docs`` if not given): rows that a filter has
+    taken out of ``docs`` still say what their domain looks like.  Warns of
+    targets that are not reached."""
     targets = targets or TARGETS
     domains = list(targets)
-    model = train(docs, labels, domains, label_domain() if domain is None else domain, id_col, max_rows)
-    rows, _, _ = fit_rates(posteriors(docs, model, domains, id_col), list(targets.values()), **params)
+    model = train(docs if train_docs is None else train_docs, labels, domains,
+                  label_domain() if domain is None else domain, id_col, max_rows)
+    rows, got, goal = fit_rates(posteriors(docs, model, domains, id_col), list(targets.values()), **params)
+    missed = {d: (float(a), float(b)) for d, a, b in zip(domains, got, goal) if abs(a - b) > MISSED * goal.sum()}
+    if missed:
+        warnings.warn(f"mixing targets not reached (tokens, target): {missed}", stacklevel=2)
     return rows.select(F.col(id_col), "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate")

@@ -358,6 +358,32 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.mix(none, labels(spark)).count() == 0
 
 
+def test_mixing_label_sample_is_taken_from_the_documents(spark):
+    d, lab = _labelled(spark)
+    strangers = labels(spark, [(i, 1, 0, "x") for i in range(10_000, 14_000)])
+    of = (mixing.label_domain(), "doc_id", 50)
+    want = mixing.train(d, lab, list(mixing.TARGETS), *of)
+    got = mixing.train(d, lab.union(strangers), list(mixing.TARGETS), *of)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_mixing_stage_knows_domains_that_were_filtered(spark, tmp_path):
+    import corpus_pipeline as cp
+    d, lab = _labelled(spark)
+    odd = [(1000, "stinker stinkers stinkerly " * 4, "s", "f", 1), (1001, "okapi quagga zebu " * 4, "s", "f", 1)]
+    d = d.union(spark.createDataFrame(odd, SCHEMA))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.doc_id: r for r in cp.mixing_rates(spark, d.filter("doc_id % 4 != 0 or doc_id = 1000"), str(tmp_path)).collect()}
+    assert len(rows) == 182  # without labelled toxic rows
+    # a word table of smoothing alone takes every unusual word for toxic
+    assert rows[1000].p_toxic > 0.9 and rows[1000].p_toxic > rows[1001].p_toxic + 0.1
+    reached = sum(r.n_tokens * r.rate * r.p_toxic for r in rows.values())
+    assert abs(reached - 0.05 * sum(r.n_tokens for r in rows.values())) <= 1e-3 * sum(r.n_tokens for r in rows.values())
+    with pytest.warns(UserWarning, match="toxic"):  # no text, no tokens of any domain
+        mixing.mix(d.filter("doc_id = 1001"), lab, train_docs=d, budget=1e6, steps=0)
+
+
 # ------------------------------------------------------------------ op10
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
