@@ -7,6 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evoclust.session import cut
+
+ROW = "__row_number"
 WORD_SEP = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of its own for each row (column ``ROW``), written
+    to the shared folder so that every later read sees the same numbers."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def text_col(name: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -21,9 +21,9 @@ one is joined by shuffle.
 
 Tokens: lower-cased runs without ``[\\x20\\x09-\\x0D]``.  Null or short texts
 (under ``SPAN`` words) hold nothing; nor do items of under ``SPAN`` words.
-Rows with one id are one document; a null id is a document too.  Repeated
-items are reported under their smallest id; other columns are not read
-(``clean`` keeps them).  Empty tables give an empty result.
+Rows with one id are one document, a null id is a document too; ``clean``
+judges every row by itself.  Repeated items are reported under their smallest
+id; other columns are not read (``clean`` keeps them).  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoclust.llm.common import WORD_SEP, text_col
+from evoclust.llm.common import ROW, WORD_SEP, numbered, text_col
 from evoclust.session import cut
 
 MASKS = ("11101011", "11001111")
@@ -94,9 +94,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` whose document overlaps no benchmark item."""
-    bad = cut(overlaps(docs, benchmark, id_col, **params).select(F.col(id_col).alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` whose text overlaps no benchmark item, each judged
+    by itself (``id_col`` may repeat or be null)."""
+    rows = numbered(docs, "decontaminate-docs")
+    bad = cut(overlaps(rows, benchmark, ROW, **params).select(ROW).distinct(), "leaks")
+    return rows.join(bad, ROW, "left_anti").drop(ROW)
 
 
 def oracle(window: int = 13, similarity: float = 0.8) -> str:

@@ -18,8 +18,9 @@ variants are made, and texts get their class by one join on the fingerprint.
 
 Nulls and empty texts have fingerprint zero; a null id takes part and gets
 its class's smallest id (null if the class has none).  Repeated rows are
-kept as they are.  Other columns are not read by ``components`` and kept by
-``one_per_class``.  An empty table gives an empty result.
+kept as they are by ``components``.  Other columns are not read by it and kept
+by ``one_per_class``, which tells rows apart by a number of their own, so a
+repeated or null id takes no other row with it.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoclust.llm import textkit as tk
-from evoclust.llm.common import text_col
+from evoclust.llm.common import ROW, numbered, text_col
 from evoclust.operators.graph import connected_components
 from evoclust.session import cut
 
@@ -111,11 +112,10 @@ def hex16(fp: str = "fp") -> Column:
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3,
                   max_distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps the row with its
-    smallest id (rows with one id are one document; the first is kept)."""
-    got = components(docs, id_col, text, k, max_distance)
-    gone = cut(got.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone"))
-               .distinct(), "simhash-gone")
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    again = got.groupBy(id_col).count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if again else kept
+    """The rows of ``docs`` that stay when each class keeps one row: of those
+    with its smallest id (null only if the class has no other) the first."""
+    rows = numbered(docs, "simhash-docs")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    got = components(rows.select(place.alias("__place"), F.col(text)), "__place", text, k, max_distance)
+    gone = cut(got.filter("__place.row <> component_id.row").select(F.col("__place.row").alias(ROW)), "simhash-gone")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)

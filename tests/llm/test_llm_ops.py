@@ -194,6 +194,17 @@ def test_overlaps(spark, none):
     assert decontaminate.overlaps(none, b).count() == 0 and decontaminate.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_clean_drops_only_the_rows_that_leak(spark):
+    leak, fine = " ".join(f"w{i}" for i in range(20)), "nothing of the benchmark is held here at all"
+    rows = [(None, leak), (None, fine), (None, fine + " either"), (4, leak), (4, fine), (5, fine)]
+    d = spark.createDataFrame([(i, t, "s", "f", 1) for i, t in rows], SCHEMA)
+    b = spark.createDataFrame([(10, leak)], "item_id long, text string")
+    got = decontaminate.clean(d, b)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        ((i, t) for i, t in rows if t != leak), key=str)
+
+
 # ------------------------------------------------------------------- op4
 
 def test_rules_and_propagation(spark):
@@ -316,6 +327,21 @@ def test_simhash_components(spark, docs, none):
         simhash.ball_edges(docs.select(F.lit(1).cast("long").alias("fp")), 3)
 
 
+def test_one_per_class_with_null_and_repeated_ids(spark):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "sun moon tide sand sea"
+
+    def kept(*rows):
+        d = spark.createDataFrame([(i, t, "s", "f", 1) for i, t in rows], SCHEMA).repartition(3)
+        got = simhash.one_per_class(d)
+        assert got.columns == d.columns
+        return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+    assert kept((None, a), (7, a), (None, b)) == [(7, a), (None, b)]
+    assert kept((5, a), (9, a), (5, b), (3, b)) == [(3, b), (5, a)]
+    assert kept((None, a), (None, b), (None, c), (None, c)) == [(None, a), (None, b), (None, c)]
+    assert kept((1, a), (1, b), (1, b), (1, c)) == [(1, a), (1, b), (1, c)]
+
+
 def test_ball_links_every_close_pair(spark):
     rng = np.random.default_rng(8)
     fps = {int(x) for x in rng.integers(-2**62, 2**62, 60)}
