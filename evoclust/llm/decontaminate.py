@@ -1,10 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a mask over ``SPAN`` tokens; the hash of a place reads only the
-tokens where the mask has a 1, so substitutions at the other places don't
-change it.  With the two masks below, every window of 13 tokens with at most
-two substitutions has a place where at least one mask reads only equal
-tokens (a test tries all cases).
+A seed is a mask over some tokens; the hash of a place reads only the tokens
+where the mask has a 1, so substitutions at the other places don't change it.
+With the two masks of ``MASKS``, every window of 13 tokens with at most two
+substitutions has a place where at least one mask reads only equal tokens.
+An item under 13 words is one window as long as itself: ``SHORT`` has the
+masks of each length, which do the same for the substitutions that length
+allows (none under 5 words, where the mask is the whole item).  A test tries
+all cases of every length.  Texts are hashed with the masks of the lengths
+that the benchmark has.
 
 The hashes of every place of every text meet those of the benchmark in a
 join.  Around each hit the text and the item are laid on each other at the
@@ -19,16 +23,18 @@ around them, and are summed before the shuffle.  The benchmark's hash table
 is broadcast after its rows are counted (``max_broadcast_rows``); a larger
 one is joined by shuffle.
 
-Tokens: lower-cased runs without ``[\\x20\\x09-\\x0D]``.  Null or short texts
-(under ``SPAN`` words) hold nothing; nor do items of under ``SPAN`` words.
+Tokens: lower-cased runs without ``[\\x20\\x09-\\x0D]``.  Null and blank texts
+hold nothing, nor do blank items.
 Rows with one id are one document, a null id is a document too; ``clean``
 judges every row by itself.  Repeated items are reported under their smallest
-id; other columns are not read (``clean`` keeps them).  Empty tables give an empty result.
+id; other columns are not read (``clean`` keeps them).  Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,42 +44,69 @@ from evoclust.session import cut
 
 MASKS = ("11101011", "11001111")
 SPAN = 8
+#: by the words of a window under 13
+SHORT = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",),
+    5: ("111", "11011"), 6: ("1111", "11011"), 7: ("111011", "11111", "1101011"), 8: ("111011", "1101011"),
+    9: ("111011",), 10: ("1101011", "111011", "1110011"), 11: ("1101011", "101100111", "11001111"),
+    12: ("11101011", "101100111", "11001111")}
+#: every mask once; its place here is part of its hashes
+ALL = tuple(dict.fromkeys([*MASKS, *[m for masks in SHORT.values() for m in masks]]))
+
+
+def masks_for(n_words: int) -> tuple[str, ...]:
+    """Masks for a window of so many words."""
+    return SHORT.get(n_words, MASKS)
 
 
 def words(c: Column) -> Column:
     return F.split(F.btrim(F.lower(c), F.lit(" \t\n\x0b\f\r")), WORD_SEP)
 
 
-def _places(df: DataFrame) -> DataFrame:
-    """Every place and mask: ``x = place * masks + mask``, and its hash; the
-    table has a column ``w`` of words."""
-    m = len(MASKS)
-    n = F.size("w") - SPAN + 1
+def _places(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """Every place and mask: ``x = place * masks + mask``, its hash, and the
+    mask's length ``m``; the table has a column ``w`` of words."""
+    m, least = len(masks), min(map(len, masks))
+    n = F.size("w") - least + 1
     # outer: no filter that would split the texts a second time
     x = F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n * m - 1)))
     at = df.select("*", x.alias("x")).withColumn("i", F.floor(F.col("x") / m).cast("int"))
-    seeds = [F.xxhash64(F.lit(k), *[F.get("w", F.col("i") + j) for j in range(SPAN) if mask[j] == "1"])
-             for k, mask in enumerate(MASKS)]
-    pick = seeds[-1]
-    for k in range(m - 1):
-        pick = F.when(F.col("x") % m == k, seeds[k]).otherwise(pick)
-    return at.withColumn("h", F.when(F.col("x").isNotNull(), pick))
+
+    def seed(mask: str) -> Column:
+        h = F.xxhash64(F.lit(ALL.index(mask)), *[F.get("w", F.col("i") + j) for j, c in enumerate(mask) if c == "1"])
+        # the hash skips words beyond the end
+        return h if len(mask) == least else F.when(F.col("i") + len(mask) <= F.size("w"), h)
+
+    def of_mask(values: list[Column]) -> Column:
+        pick = values[-1]
+        for k in range(m - 1):
+            pick = F.when(F.col("x") % m == k, values[k]).otherwise(pick)
+        return pick
+
+    return (at.withColumn("h", F.when(F.col("x").isNotNull(), of_mask([seed(k) for k in masks])))
+            .withColumn("m", of_mask([F.lit(len(k)) for k in masks])))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
              window: int = 13, similarity: float = 0.8, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """``id_col, item_col, n_equal`` (most equal tokens of a window)."""
     items = cut(benchmark.select(words(text_col()).alias("iw"), F.col(item_col).alias("item"))
-                .groupBy("iw").agg(F.min("item").alias("item")).filter(F.size("iw") >= SPAN), "bench-items")
-    seeds = cut(_places(items.select("item", F.col("iw").alias("w"))).filter("h is not null")
-                .select("h", "item", F.col("i").alias("j"), F.col("w").alias("iw")), "bench-seeds")
+                .groupBy("iw").agg(F.min("item").alias("item")).filter(F.col("iw") != F.array(F.lit(""))), "bench-items")
+    # the words of an item's windows, those of all long items as one; at most 13 numbers
+    kind = F.least(F.size("iw"), F.lit(window), F.lit(max(SHORT) + 1))
+    kinds = sorted(r.kind for r in items.select(kind.alias("kind")).distinct().collect()) or [max(SHORT) + 1]
+    seeds = reduce(DataFrame.union, [
+        _places(items.filter(kind == k).select("item", F.col("iw").alias("w")), masks_for(k)).filter("h is not null")
+        .select("h", "item", F.col("i").alias("j"), "m", F.col("w").alias("iw")) for k in kinds])
+    seeds = cut(seeds, "bench-seeds")
+    masks = tuple(m for m in ALL if any(m in masks_for(k) for k in kinds))
     small = seeds.count() <= max_broadcast_rows
     near = window + SPAN
-    places = _places(docs.select(F.col(id_col).alias("__id"), words(text_col()).alias("w")))
+    places = _places(docs.select(F.col(id_col).alias("__id"), words(text_col()).alias("w")), masks).drop("m")
     # words i-near .. i+near+SPAN; "skip" of them lie before the text
     hits = (places.join(F.broadcast(seeds) if small else seeds, "h")
-            .select("__id", "item", "j", "iw", F.greatest(F.lit(0), F.col("i") - near).alias("from"), "i", "w")
-            .select("__id", "item", "j", "iw", (F.col("i") - F.col("from")).alias("at"),
+            .select("__id", "item", "j", "m", "iw", F.greatest(F.lit(0), F.col("i") - near).alias("from"), "i", "w")
+            .select("__id", "item", "j", "m", "iw", (F.col("i") - F.col("from")).alias("at"),
                     F.slice("w", F.col("from") + 1, F.lit(2 * near + SPAN)).alias("part")))
     span = F.least(F.lit(window), F.size("iw"))
     need = F.ceil(span * F.lit(similarity) - F.lit(1e-9))
@@ -81,10 +114,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item
         (F.get("iw", p) == F.when(p + F.col("at") - F.col("j") >= 0,
                                   F.get("part", p + F.col("at") - F.col("j")))).cast("int"), F.lit(0)))
     hits = hits.withColumn("same", same).withColumn("span", span).withColumn("need", need)
-    lo = F.greatest(F.lit(0), F.col("j") + SPAN - F.col("span"))
+    # no mask is longer than the window it is for, so lo <= hi
+    lo = F.greatest(F.lit(0), F.col("j") + F.col("m") - F.col("span"))
     hi = F.least(F.col("j"), F.size("same") - F.col("span"))
-    # an item of under 13 words may be held by no window with its whole seed
-    sums = F.transform(F.sequence(F.least(lo, hi), F.greatest(lo, hi)), lambda s: F.aggregate(
+    sums = F.transform(F.sequence(lo, hi), lambda s: F.aggregate(
         F.slice("same", s + 1, F.col("span")), F.lit(0), lambda a, b: a + b))
     # the test stands behind the aggregate: before it, it would be moved into
     # the join and take the whole pass out of generated code

@@ -178,6 +178,39 @@ def test_masks_find_two_substitutions_in_thirteen():
                    for m in decontaminate.MASKS for at in range(6)), gone
 
 
+def test_masks_find_the_substitutions_of_every_length():
+    for n in range(1, 14):
+        masks = decontaminate.masks_for(n)
+        assert all(m[0] == m[-1] == "1" and len(m) <= n for m in masks)
+        for gone in itertools.combinations(range(n), n - math.ceil(0.8 * n - 1e-9)):
+            assert any(all(at + j not in gone for j, c in enumerate(m) if c == "1")
+                       for m in masks for at in range(n - len(m) + 1)), (n, gone)
+
+
+def test_overlaps_of_short_items(spark):
+    """Items of 1 to 12 words under all substitutions allowed, and one more."""
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(1, 14)}
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(90, " "), (91, None)], "item_id long, text string")
+    rows, want, doc = [], {}, 0
+    for n, w in items.items():
+        need = math.ceil(0.8 * n - 1e-9)
+        for gone in itertools.chain(itertools.combinations(range(n), n - need), [range(n - need + 1)]):
+            text = ["z" if j in gone else x for j, x in enumerate(w)]
+            doc += 1
+            # at the start, at the end, or inside of a text
+            rows.append((doc, " ".join([["x"] * 3, [], ["y"]][doc % 3] + text + [["x"], ["y"] * 2, []][doc % 3])))
+            if len(gone) <= n - need:
+                want[doc, n] = need
+    rows += [(doc + 1, "  "), (doc + 2, None), (doc + 3, items[8][0])]
+    d = spark.createDataFrame([(i, t, "s", "f", 1) for i, t in rows], SCHEMA)
+    for limit in (1_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, b, max_broadcast_rows=limit).collect()}
+        assert got == want
+    few = spark.createDataFrame([(n, " ".join(items[n])) for n in (6, 9)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, few).collect()}
+    assert got == {k: n for k, n in want.items() if k[1] in (6, 9)}
+
+
 def test_overlaps(spark, none):
     item = [f"w{i}" for i in range(20)]
     edit = lambda *at: [("z" if i in at else w) for i, w in enumerate(item)]
