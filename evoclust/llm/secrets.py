@@ -7,9 +7,10 @@ text is split at a pattern's matches, and lengths of pieces and matches add
 up to starts.
 
 The method adds kind ``markov``: runs of ``[A-Za-z0-9+/_=-]`` of 16 or more
-characters that overlap no base span and whose log-likelihood ratio between
-two first-order character models, one of random strings and one of ordinary
-identifiers, is at least ``min_llr`` in all and ``min_rate`` a character.
+characters whose log-likelihood ratio between two first-order character
+models, one of random strings and one of ordinary identifiers, is at least
+``min_llr`` in all and ``min_rate`` a character.  Base spans are cut out of a
+run, and each piece that is left, of any length, is judged alone.
 The models are counted in Spark from samples that the base patterns label:
 values inside base spans are random, letter runs elsewhere are ordinary; the
 random model starts from ``prior`` uniform counts, the ordinary one from one.
@@ -68,8 +69,20 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_found(text, ASSIGN, 0, 2, 12), _found(text, ACCESS, 1), _found(text, HEX, 2)))
 
 
-def _apart(spans: Column, base: Column) -> Column:
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b.start < s.stop) & (s.start < b.stop)))
+def _pieces(spans: Column, base: Column) -> Column:
+    """``spans`` without what ``base`` (by start) covers: the pieces left."""
+    def piece(s: Column, start: Column, stop: Column) -> Column:
+        return F.struct(start.alias("start"), s.kind.alias("kind"), stop.alias("stop"),
+                        F.substring(s.value, start - s.start + 1, stop - start).alias("value"))
+
+    def cut_out(s: Column) -> Column:
+        return F.aggregate(
+            F.filter(base, lambda b: (b.start < s.stop) & (s.start < b.stop)),
+            F.struct(s.start.alias("at"), F.array().cast(_SPAN).alias("got")),
+            lambda a, b: F.struct(F.greatest(a.at, b.stop).alias("at"), F.when(
+                b.start > a.at, F.concat(a.got, F.array(piece(s, a.at, b.start)))).otherwise(a.got).alias("got")),
+            lambda a: F.when(a.at < s.stop, F.concat(a.got, F.array(piece(s, a.at, s.stop)))).otherwise(a.got))
+    return F.flatten(F.transform(spans, cut_out))
 
 
 def _pairs(values: DataFrame) -> dict[int, int]:
@@ -120,7 +133,7 @@ def _llr(value: Column, table: list[float]) -> Column:
 
 
 def markov_spans(text: Column, base: Column, table: list[float], min_llr: float = 12.0, min_rate: float = 0.8) -> Column:
-    found = _apart(_found(text, CANDIDATE, 3), base)
+    found = _pieces(_found(text, CANDIDATE, 3), base)
     return F.filter(found, lambda s: _llr(s.value, table) >= F.greatest(
         F.lit(min_llr), F.length(s.value) * F.lit(min_rate)))
 
