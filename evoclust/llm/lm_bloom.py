@@ -24,7 +24,8 @@ What a task gets is bounded: the parts are broadcast in segments of at most
 ``max_broadcast`` bytes; a text's score is a sum over its tokens, and every
 token belongs to one choice of segments (of its word, the word before, and
 the pair), so with several segments the texts are read once per choice and
-the partial sums added.
+the partial sums, written to the shared folder by each pass, are added.  The
+segments of one choice are all that is held at a time.
 
 Nulls, empty texts: only the end token is scored.  Repeated rows are scored
 alike; each counts for training.  An empty table gives an empty result, an
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoclust.llm import textkit as tk
-from evoclust.llm.common import text_col
+from evoclust.llm.common import ROW, numbered, text_col
 from evoclust.session import cut
 
 U64 = np.uint64
@@ -306,19 +307,29 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float =
             f.bytes = np.concatenate([f.bytes, np.zeros(8, np.uint8)])
         return sc.broadcast(f)
 
-    base_rows = docs.select(F.col(id_col), train_on.alias("__train"), text_col().alias("__text"),
-                            F.monotonically_increasing_id().alias("__row"))
-    passes = []
-    words, pairs = [uni_of(s) for s in unis], [bi_of(s) for s in bis]
-    for a in words:
-        for u in words:
-            for b in pairs:
-                udf = _scorer(a, u, b, n_tokens, n_types, mu, share, u is words[0] and b is pairs[0])
-                passes.append(base_rows.select("__row", id_col, "__train", udf("__text").alias("__s")))
-    got = passes[0]
-    if len(passes) > 1:
+    rows = docs.select(F.col(id_col), train_on.alias("__train"), text_col().alias("__text"))
+    if len(unis) == len(bis) == 1:
+        words = uni_of(unis[0])
+        udf = _scorer(words, words, bi_of(bis[0]), n_tokens, n_types, mu, share, True)
+        got = rows.select(id_col, "__train", udf("__text").alias("__s"))
+    else:
+        # a pass at a time: its sums are written and its broadcasts let go, so
+        # that three segments are held at once however many there are
+        rows, passes = numbered(rows, "bloom-docs"), []
+        for a in unis:
+            word = uni_of(a)
+            for u in unis:
+                before = word if u is a else uni_of(u)
+                for b in bis:
+                    pair = bi_of(b)
+                    udf = _scorer(word, before, pair, n_tokens, n_types, mu, share, u is unis[0] and b is bis[0])
+                    passes.append(cut(rows.select(ROW, id_col, "__train", udf("__text").alias("__s")), "bloom-pass"))
+                    pair.destroy()
+                if before is not word:
+                    before.destroy()
+            word.destroy()
         sums = [F.sum(f"__s.{c}").alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-        got = (reduce(DataFrame.unionByName, passes).groupBy("__row")
+        got = (reduce(DataFrame.unionByName, passes).groupBy(ROW)
                .agg(F.first(id_col).alias(id_col), F.first("__train").alias("__train"), F.struct(*sums).alias("__s")))
     return got.select(F.col(id_col), (~F.col("__train")).alias("held_out"), "__s.n_tokens", "__s.n_known",
                       F.lit(n_tokens).cast("long").alias("train_tokens"), "__s.base_score", "__s.score")

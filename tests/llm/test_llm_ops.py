@@ -80,6 +80,24 @@ def test_lm_base_matches_counts_and_segments_add_up(docs, none):
     assert lm_bloom.score(none, train).count() == 0
 
 
+def test_lm_holds_three_segments_at_once(spark, docs, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+    sc, make, end = spark.sparkContext, spark.sparkContext.broadcast, Broadcast.destroy
+    made, live, most = [], set(), 0
+
+    def broadcast(value):
+        nonlocal most
+        made.append(make(value))
+        live.add(id(made[-1]))
+        most = max(most, len(live))
+        return made[-1]
+
+    monkeypatch.setattr(sc, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (live.discard(id(self)), end(self, *a))[1])
+    lm_bloom.score(docs, fold_of("doc_id", 7) != 2, max_broadcast=1500)
+    assert len(made) > 3 and most <= 3 and not live
+
+
 def test_filter_levels():
     rng = np.random.default_rng(2)
     keys = tk.mix(np.arange(20_000, dtype=np.uint64))
