@@ -283,6 +283,9 @@ SPLIT_HOUR = 360  # fixed value: the two slices of the 30-day events table
 
 
 def q_apply_delta(spark, sf):
+    """The fold of the second slice's deltas into the clusters of the first,
+    and no more: a user first seen after ``SPLIT_HOUR`` has no cluster to fold
+    into and no row here nor in the SQL form."""
     ev = events_points(spark, sf).withColumn("kind", F.lit("p")).withColumn("ord", F.col("user_id"))
     first = decayed_delta(ev.filter(F.col("time") < SPLIT_HOUR), LAM, 2, EV_TYPES)
     state = st.conform(first.select(
