@@ -534,3 +534,54 @@ def test_pipeline_stages(spark):
         assert out.count() == 0
         if name != "mixing":
             assert out.columns == list(cp.COLUMNS)
+
+
+def test_pipeline_stages_keep_the_right_rows(spark, tmp_path):
+    """Planted documents, with repeated and null ids, against plain Python."""
+    import corpus_pipeline as cp
+    train, lab = _labelled(spark, 480)
+    item = " ".join(f"passage{i}" for i in range(20))
+    one, two, three = ("the sea keeps its own time and tide", "a moon over sand and shell tonight", "règle ÉTÉ über x#y a b")
+    secret = "password = hunter2hunter2hunter2"
+    long = "word shell tide " * 5000
+    plants = [(9000, one), (9001, one), (None, one), (None, two), (9000, two + " again and again"), (9000, three),
+              (9002, f"before {item} after"), (None, f"{item} too"), (None, None), (9003, ""), (9004, long),
+              (9005, f"my {secret} is here"), (None, f"another {secret} there")]
+    usual = "kano leri tulu most nida pano keri lulu nost mida " * 4
+    judged = [(9100, usual + "stinker stinkers stinkerly"), (9101, usual), (None, usual), (9102, None), (9103, " ")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in plants + judged],
+                              "doc_id long, text string, lang string, source string, n_chars long, __s int")
+    plain = train.select("doc_id", "text", F.lit("en").alias("lang"), "__s", F.lit("s").alias("source"),
+                         F.length("text").cast("long").alias("n_chars"))
+    plain.unionByName(d).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda rows: sorted(((r[0], r[1]) for r in rows), key=repr)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages, kept = dict(cp.STAGES), plants
+    ours = F.col("doc_id").isNull() | F.col("doc_id").between(9000, 9099)
+    stay = stages["toxicity"](spark, docs, str(tmp_path)).collect()
+    assert [x for x in judged if x in {(r.doc_id, r.text) for r in stay}] == judged[1:]
+    left = {r.doc_id for r in stay}
+    assert np.mean([(i in left) == (i % 4 != 0) for i in range(480)]) > 0.9
+    # the other plants' words are strange to that small model: from here on whatever it says of them
+    docs = docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") < 9100)).filter(~F.col("text").eqNullSafe(usual)).drop("__s")
+
+    def after(name, want):
+        nonlocal docs
+        stages[name](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == list(cp.COLUMNS)
+        assert key(docs.filter(ours).collect()) == key(want), name
+        return want
+
+    # one of a class: copies of one text, and the texts without words
+    kept = after("simhash_dedup", [x for x in kept if x not in [(9001, one), (None, one), (None, None)]])
+    kept = after("decontamination", [x for x in kept if "passage0" not in x[1]])
+    kept = after("secrets", [(i, t.replace(secret, "[SECRET]")) for i, t in kept])
+    assert all(r.n_chars == len(r.text) for r in docs.filter(ours).collect())
+    n = docs.count()
+    rows = stages["mixing"](spark, docs, str(tmp_path)).collect()
+    assert len(rows) == n and all(r.rate >= 0 for r in rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in rows if (r.doc_id or 0) >= 9000) == sorted(
+        (i, len(WORD.findall(t))) for i, t in kept if i is not None)
