@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoclust.llm import (chat_trie, decontaminate, fm_quality, gbt_quality, gru_toxicity, lm_bloom, mixing, secrets,
-                          simhash, url_graph)
+                          simhash, token_align, url_graph)
 from evoclust.llm.common import fold_of, table
 
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_lm_bloom(spark: SparkSession, sf: str) -> DataFrame:
     return lm_bloom.score(table(spark, sf, "documents"), fold_of("doc_id", 7) != 2)
@@ -56,9 +58,14 @@ def op10_markov_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(table(spark, sf, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf: str) -> DataFrame:
+    return token_align.digests(table(spark, sf, "documents"), f"{TOKENIZERS}/{token_align.A_FILE}",
+                               f"{TOKENIZERS}/{token_align.B_FILE}")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_bloom, op2_fm_quality, op3_spaced_seeds, op4_url_graph, op5_gbt_rules, op6_gru_toxicity, op7_chat_trie,
-    op8_simhash_ball, op9_soft_mixing, op10_markov_secrets)}
+    op8_simhash_ball, op9_soft_mixing, op10_markov_secrets, op11_token_align)}
 
 _CONV = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
