@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoclust.llm import (chat_trie, decontaminate, fm_quality, gbt_quality, gru_toxicity, lm_bloom, mixing, secrets,
+from evoclust.llm import (chat_trie, collocations, decontaminate, fm_quality, gbt_quality, gru_toxicity, lm_bloom, mixing, secrets,
                           simhash, token_align, url_graph)
 from evoclust.llm.common import fold_of, table
 
@@ -63,9 +63,13 @@ def op11_token_align(spark: SparkSession, sf: str) -> DataFrame:
                                f"{TOKENIZERS}/{token_align.B_FILE}")
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_bloom, op2_fm_quality, op3_spaced_seeds, op4_url_graph, op5_gbt_rules, op6_gru_toxicity, op7_chat_trie,
-    op8_simhash_ball, op9_soft_mixing, op10_markov_secrets, op11_token_align)}
+    op8_simhash_ball, op9_soft_mixing, op10_markov_secrets, op11_token_align, op13_collocations)}
 
 _CONV = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -80,4 +84,4 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(role) + length(t2) + 23) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
 
-SQL = {"op3_spaced_seeds": decontaminate.oracle(), "op7_chat_trie": _CONV}
+SQL = {"op3_spaced_seeds": decontaminate.oracle(), "op7_chat_trie": _CONV, "op13_collocations": collocations.oracle()}
