@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoclust.llm import (chat_trie, collocations, decontaminate, fm_quality, gbt_quality, gru_toxicity, lm_bloom, mixing, secrets,
-                          simhash, token_align, url_graph)
+from evoclust.llm import (chat_trie, collocations, decontaminate, fm_quality, gbt_quality, gru_toxicity, lang_centroids, lm_bloom, mixing,
+                          secrets, simhash, token_align, url_graph)
 from evoclust.llm.common import fold_of, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -63,13 +63,18 @@ def op11_token_align(spark: SparkSession, sf: str) -> DataFrame:
                                f"{TOKENIZERS}/{token_align.B_FILE}")
 
 
+def op12_lang_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return lang_centroids.by_fold(table(spark, sf, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_bloom, op2_fm_quality, op3_spaced_seeds, op4_url_graph, op5_gbt_rules, op6_gru_toxicity, op7_chat_trie,
-    op8_simhash_ball, op9_soft_mixing, op10_markov_secrets, op11_token_align, op13_collocations)}
+    op8_simhash_ball, op9_soft_mixing, op10_markov_secrets, op11_token_align, op12_lang_centroids,
+    op13_collocations)}
 
 _CONV = """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
