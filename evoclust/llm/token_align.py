@@ -30,6 +30,7 @@ whole; an Arrow batch is cut into chunks of ``CHUNK`` bytes of text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -86,19 +87,52 @@ class Pair:
             p = self.b.id_to_piece(i)
             m = hexed.fullmatch(p) if self.b.is_byte(i) else None
             self.b_bytes.append(bytes([int(m[1], 16)]) if m else p.replace("▁", " ").encode("utf-8"))
-        self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both for each text; None where the joined bytes differ."""
-        out = []
-        for t, ea, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False),
-                            self.b.encode(texts, num_threads=1), strict=True):
-            want, a = b" " + t.encode("utf-8", "replace"), ea.ids
-            same = (b"".join(map(self.a_bytes.__getitem__, a)) == want
-                    and b"".join(map(self.b_bytes.__getitem__, b)) == want)
-            out.append((a, b) if same and t else None)
-        return out
+        self.a_table, self.b_table = _table(self.a_bytes), _table(self.b_bytes)
+
+    def encode(self, texts: list[str]) -> tuple[Flat, Flat]:
+        """Ids of both for all texts; none for a text where the joined bytes
+        of either are not a space and the text."""
+        spaced = [" " + t for t in texts]
+        a = Flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
+        b = Flat(self.b.encode(texts, num_threads=1))
+        want = [t.encode("utf-8", "replace") for t in spaced]
+        size = np.array([len(w) for w in want], np.int64)
+        text = np.frombuffer(b"".join(want), np.uint8)
+        ok = a.spells(text, size, self.a_table) & b.spells(text, size, self.b_table) & (size > 1)
+        return a.only(ok), b.only(ok)
+
+
+class Flat:
+    """Token ids of several texts in one array."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.n = np.array([len(x) for x in lists], np.int64)
+        self.ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(self.n.sum()))
+
+    def spells(self, text: np.ndarray, size: np.ndarray, table) -> np.ndarray:
+        """Which texts (``size`` bytes each, one after another) the tokens'
+        bytes make up."""
+        start, length, flat = table
+        cum = np.concatenate([[0], np.cumsum(length[self.ids])])
+        at = np.concatenate([[0], np.cumsum(self.n)])
+        ok = cum[at[1:]] - cum[at[:-1]] == size
+        ids = self.ids[np.repeat(ok, self.n)]
+        n = length[ids]
+        got = flat[np.arange(n.sum()) + np.repeat(start[ids] - np.cumsum(n) + n, n)]
+        same = got == text[np.repeat(ok, size)]
+        ends = np.concatenate([[0], np.cumsum(size[ok])])
+        ok[ok] = np.diff(np.concatenate([[0], np.cumsum(~same)])[ends]) == 0
+        return ok
+
+    def only(self, ok: np.ndarray) -> Flat:
+        self.ids, self.n = self.ids[np.repeat(ok, self.n)], np.where(ok, self.n, 0)
+        return self
+
+
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and all bytes of the tokens, one after another."""
+    n = np.array([len(x) for x in tokens], np.int64)
+    return np.cumsum(n) - n, n, np.frombuffer(b"".join(tokens), np.uint8)
 
 
 # ------------------------------------------------------------------- merge
@@ -134,15 +168,10 @@ def lockstep(a_end: np.ndarray, b_end: np.ndarray, lanes: np.ndarray) -> tuple[n
 class Merged:
     """The alignment of a chunk of documents, all arrays flat."""
 
-    def __init__(self, pair: Pair, coded: list, lane_bytes: int):
-        n = len(coded)
-        a = [c[0] if c else [] for c in coded]
-        b = [c[1] if c else [] for c in coded]
-        self.n_a = np.array([len(x) for x in a], np.int64)
-        self.n_b = np.array([len(x) for x in b], np.int64)
-        self.a = np.array([i for x in a for i in x], np.int64)
-        self.b = np.array([i for x in b for i in x], np.int64)
-        a_end, b_end = np.cumsum(pair.a_len[self.a]), np.cumsum(pair.b_len[self.b])
+    def __init__(self, pair: Pair, texts: list[str], lane_bytes: int):
+        a, b = pair.encode(texts)
+        self.a, self.b, self.n_a, self.n_b = a.ids, b.ids, a.n, b.n
+        a_end, b_end = np.cumsum(pair.a_table[1][a.ids]), np.cumsum(pair.b_table[1][b.ids])
         self.a_off = np.concatenate([[0], np.cumsum(self.n_a)])
         self.b_off = np.concatenate([[0], np.cumsum(self.n_b)])
         base = np.concatenate([[0], a_end])[self.a_off]  # byte range of each document in the chunk
@@ -153,44 +182,43 @@ class Merged:
         self.n_groups = np.diff(self.cut_off)
         self.cut_byte = a_end[self.cut_a] - np.repeat(base[:-1], self.n_groups)
 
-    def digests(self, width: int, a_digits, b_digits) -> list[str]:
-        """SHA-256 of every document's ``a1,a2|b1;a3|b2`` ('' without tokens)."""
+    def digests(self, digits: np.ndarray, n_ids_a: int) -> list[str]:
+        """SHA-256 of every document's ``a1,a2|b1;a3|b2`` ('' without tokens);
+        ``digits``: those of the ids of A, then of B."""
         na, nb = len(self.a), len(self.b)
-        ta, tb = np.arange(na), np.arange(nb)
         before = np.concatenate([[0], self.cut_b + 1])  # B tokens in the groups before each group
         after = self.cut_a + 1                          # A tokens up to the end of each group
-        pos_a = ta + before[np.searchsorted(self.cut_a, ta)]
-        pos_b = tb + after[np.searchsorted(self.cut_b, tb)]
-        buf = np.zeros((na + nb, width + 1), np.uint8)
-        buf[pos_a, :width] = a_digits[self.a]
-        buf[pos_b, :width] = b_digits[self.b]
-        sep_a, sep_b = np.full(na, ord(","), np.uint8), np.full(nb, ord(","), np.uint8)
-        sep_a[self.cut_a] = ord("|")
-        sep_b[self.cut_b] = ord(";")
-        sep_b[self.b_off[1:][self.n_b > 0] - 1] = 0
-        buf[pos_a, width], buf[pos_b, width] = sep_a, sep_b
-        sizes = np.concatenate([[0], np.cumsum((buf != 0).sum(1))])
-        at = sizes[self.a_off + self.b_off]
-        flat = buf.ravel()
-        flat = memoryview(flat[flat != 0])
+        size_a = np.diff(self.cut_a, prepend=-1)
+        size_b = np.diff(self.cut_b, prepend=-1)
+        pos_a = np.arange(na) + np.repeat(before[:-1], size_a)
+        pos_b = np.arange(nb) + np.repeat(after, size_b)
+        row, sep = np.empty(na + nb, np.int64), np.full(na + nb, ord(","), np.uint8)
+        row[pos_a], row[pos_b] = self.a, self.b + n_ids_a
+        sep[pos_a[self.cut_a]] = ord("|")
+        sep[pos_b[self.cut_b]] = ord(";")
+        sep[pos_b[self.b_off[1:][self.n_b > 0] - 1]] = 0
+        buf = digits.take(row, 0)
+        buf[:, -1] = sep
+        kept = buf != 0
+        at = np.concatenate([[0], np.cumsum(np.count_nonzero(kept, 1))])[self.a_off + self.b_off]
+        flat = memoryview(buf[kept])
         return [hashlib.sha256(flat[lo:hi]).hexdigest() if hi > lo else "" for lo, hi in zip(at[:-1], at[1:])]
 
-    def pairs(self, n_ids_a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, n_ids_a: int, n_ids_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct links of each document: offsets, keys ``b * |A| + a``, times."""
+        n_keys = n_ids_a * n_ids_b
         doc = np.repeat(np.arange(len(self.n_groups)), self.n_groups)
-        key = self.b[self.cut_b] * n_ids_a + self.a[self.cut_a]
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(first)
+        key = np.sort(doc * n_keys + self.b[self.cut_b] * n_ids_a + self.a[self.cut_a])
+        at = np.flatnonzero(np.diff(key, prepend=-1))
         times = np.diff(np.append(at, len(key)))
-        return np.searchsorted(doc[at], np.arange(len(self.n_groups) + 1)), key[at], times
+        doc, key = np.divmod(key[at], n_keys)
+        return np.searchsorted(doc, np.arange(len(self.n_groups) + 1)), key, times
 
 
 def digit_table(n_ids: int, width: int) -> np.ndarray:
-    """Decimal digits of every id, left aligned, zero filled."""
-    return np.array([str(i) for i in range(n_ids)], f"S{width}").view(np.uint8).reshape(n_ids, width)
+    """Decimal digits of every id, left aligned, zero filled, and a column
+    for a separator."""
+    return np.array([str(i) for i in range(n_ids)], f"S{width + 1}").view(np.uint8).reshape(n_ids, width + 1)
 
 
 def _chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
@@ -244,7 +272,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for rb in batches:
             texts = _texts(rb.column(1))
             for lo, hi in _chunks(texts, CHUNK):
-                m = Merged(pair, pair.encode(texts[lo:hi]), lane_bytes)
+                m = Merged(pair, texts[lo:hi], lane_bytes)
                 ints = pa.int32()
                 yield pa.RecordBatch.from_arrays(
                     [rb.column(0).slice(lo, hi - lo), _lists(m.a_off, m.a, ints), _lists(m.b_off, m.b, ints),
@@ -272,15 +300,15 @@ def links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         pair = _pair(files.value)
         assert len(pair.a_bytes) == n_ids
         width = len(str(max(n_ids, len(pair.b_bytes)) - 1))
-        a_digits, b_digits = digit_table(n_ids, width), digit_table(len(pair.b_bytes), width)
+        digits = np.concatenate([digit_table(n_ids, width), digit_table(len(pair.b_bytes), width)])
         for rb in batches:
             texts = _texts(rb.column(1))
             for lo, hi in _chunks(texts, CHUNK):
-                m = Merged(pair, pair.encode(texts[lo:hi]), lane_bytes)
-                off, key, times = m.pairs(n_ids)
+                m = Merged(pair, texts[lo:hi], lane_bytes)
+                off, key, times = m.pairs(n_ids, len(pair.b_bytes))
                 yield pa.RecordBatch.from_arrays(
                     [rb.column(0).slice(lo, hi - lo), pa.array(m.n_a), pa.array(m.n_b), pa.array(m.n_groups),
-                     pa.array(m.digests(width, a_digits, b_digits), pa.string()),
+                     pa.array(m.digests(digits, n_ids), pa.string()),
                      _lists(off, key, pa.int64()), _lists(off, times, pa.int32())],
                     names=[id_col, "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
 
