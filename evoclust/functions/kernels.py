@@ -304,61 +304,3 @@ def replay_init(x, labels, src, dst, mu, num_labels, zero_local=-1,
                     stack.append([nxt, 0])
             out.append({"seed": i, "cf1": cf1, "cf2": cf2, "weight": w, "lbl": lbl})
     return out, int((~tag).sum())
-
-
-def replay_macro(weights, cf1, cf2, pts, lbl, src, dst, mu,
-                 weight_once=False, singleton=False):
-    """Offline DBSCAN over the micro-clusters of one component, in list
-    order.  Returns a list of (seed local id, member local ids, weight, cf1,
-    cf2, pts, lbl)."""
-    n = len(weights)
-    adj = _adjacency(n, np.asarray(src, np.int64), np.asarray(dst, np.int64))
-    tag = np.zeros(n, bool)
-    out = []
-    for i in range(n):
-        if tag[i]:
-            continue
-        tag[i] = True
-        if weights[i] < mu:
-            continue
-        first = adj[i][~tag[adj[i]]] if len(adj[i]) else adj[i]
-        if len(first) == 0 and not singleton:
-            continue
-        members = [i]
-        w = float(weights[i])
-        c1 = cf1[i].copy()
-        c2 = cf2[i].copy()
-        p = int(pts[i])
-        lb = lbl[i].copy()
-        k = 1.0 if weight_once else 2.0
-
-        def absorb(lst):
-            nonlocal w, c1, c2, p, lb
-            for j in lst:
-                j = int(j)
-                tag[j] = True
-                members.append(j)
-                c1 = c1 + cf1[j]
-                c2 = c2 + cf2[j]
-                w += k * float(weights[j])
-                lb = lb + lbl[j]
-                p += int(pts[j])
-
-        if len(first):
-            absorb(first)
-            stack = [[first, 0]]
-            while stack:
-                top = stack[-1]
-                lst, q = top
-                if q >= len(lst):
-                    stack.pop()
-                    continue
-                top[1] = q + 1
-                j = int(lst[q])
-                nxt = adj[j][~tag[adj[j]]] if len(adj[j]) else adj[j]
-                if len(nxt):
-                    absorb(nxt)
-                    stack.append([nxt, 0])
-        out.append((i, members, w, c1, c2, p, lb))
-    return out
-

@@ -1,4 +1,7 @@
-"""C1/C7 on points of up to three dimensions, without lists of point pairs.
+"""C1/C7 without lists of point pairs.
+
+More than ``GRID_DIMS`` dimensions: Voronoi cells of pivots, see ``pivots``.
+Up to these:
 
 Space is cut into cells of side ``eps / sqrt(d)``, so all points of a cell are
 neighbours.  A point with more than ``min_neighbours`` neighbours (distance
@@ -32,13 +35,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evoclust.operators import pivots
 from evoclust.operators.delta import label_histogram
 from evoclust.operators.graph import connected_components
 from evoclust.operators.state import conform
 from evoclust.params import ClusterParams
 from evoclust.session import cut
 
-MAX_DIMS = 3
+GRID_DIMS = 3  # neighbour cells grow as 3^d
 MAX_HALVINGS = 24  # further open boxes are compared point by point
 
 
@@ -116,8 +120,8 @@ def density_labels(points: DataFrame, eps: float, d: int, min_neighbours: float
     """``id, comp, core`` of every point that belongs to a cluster; ``comp`` is
     the smallest core id of the cluster.  With ``min_neighbours=0`` these are
     the connected components of the points that have a neighbour."""
-    if not 1 <= d <= MAX_DIMS:
-        raise ValueError(f"cells need 1 to {MAX_DIMS} dimensions, not {d}")
+    if d > GRID_DIMS:
+        return pivots.density_labels(points, eps, d, min_neighbours, id_col, feat_col)
     side = eps / math.sqrt(d) * (1 - 1e-9)
     keys, xs = [f"c{k}" for k in range(d)], [f"x{k}" for k in range(d)]
     f = F.col(feat_col)

@@ -36,9 +36,10 @@ class ClusterParams:
     prune_fix: bool | None = None  # Q8
     macro_weight_once: bool | None = None  # Q9
     prune_period_from_tp: bool | None = None  # Q13
-    # initialisation: "scan" (the original's order; a component a task, for
-    # small samples) or "cells" (density clusters in no order, any size)
-    init_mode: str = "scan"
+    # initialisation: "cells" (density clusters in no order, any size and
+    # number of dimensions) or "scan" (the original's order; a component a
+    # task, for small samples that must give the original's clusters)
+    init_mode: str = "cells"
     # admission of unassigned points: "cells" (one aggregation, any size) or
     # "ordered" (the original's sequential rule, one task; small runs only)
     admit_mode: str = "cells"

@@ -402,7 +402,7 @@ def run_events_stream(spark, sf, params: ClusterParams = STREAM_PARAMS):
     s0, s1 = events_clock(spark, sf)
     labels = prep.label_map(_t(spark, sf, "events"), "event_type", order="alpha")
     labels = labels.cache()  # one row per event type
-    model = ClusterModel(spark, params.with_(init_mode="cells"))
+    model = ClusterModel(spark, params)
     model.initialize(events_points(spark, sf, s0, (0, BATCH_HOURS), labels))
     last = (s1 - s0) // 3600
     b = 0
@@ -479,8 +479,14 @@ def q_stream_events(spark, sf):
 
 
 def q_macro_reference(spark, sf):
-    model = run_events_stream(spark, sf)
-    return model.macro_clusters().select("seed_ord", "members", "weight", "pts", "label", "purity")
+    """C6 in list order over the micro-clusters of all users."""
+    from evoclust.operators.macro import macro_clusters
+    s = _user_state(spark, sf).select(F.lit("p").alias("kind"), F.col("user_id").alias("ord"),
+                                      "cf1", "cf2", "weight", "pts", "lbl_counts")
+    m = macro_clusters(s, ClusterParams(num_dims=2, num_labels=EV_TYPES), mu=MACRO_MU, eps=MACRO_EPS)
+    return m.select("seed_ord", "n_members", _r(F.col("weight"), "weight"), _r(F.col("centroid")[0], "c0"),
+                    _r(F.col("centroid")[1], "c1"), "pts", F.col("correct_pts").cast("long").alias("correct_pts"),
+                    "label", _r(F.col("purity"), "purity"))
 
 
 QUERIES = {

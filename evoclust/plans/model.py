@@ -335,7 +335,7 @@ class ClusterModel:
         return st.micro_clusters(self.state)
 
     def macro_clusters(self, mu: float | None = None, eps: float | None = None) -> DataFrame:
-        """Reference semantics: ordered replay per component; paper semantics:
+        """Reference semantics: components in list order; paper semantics:
         cores connected by density, borders to their nearest core (Q9-Q12)."""
         if self.params.semantics == "paper":
             from evoclust.operators.macro import macro_paper

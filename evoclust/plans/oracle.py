@@ -362,4 +362,27 @@ SELECT CAST(comp AS BIGINT) AS macro_id, CAST(n AS BIGINT) AS n_members, round(w
     AS label,
   round(CAST(mx AS DOUBLE) / CAST(l0 + l1 + l2 + l3 + l4 AS DOUBLE), 6) AS purity
 FROM x""",
+
+    "macro_reference": f"""WITH RECURSIVE {USER_MC},
+mc AS (SELECT user_id AS ord, dn AS weight, d0, d1, dpts AS pts, l0, l1, l2, l3, l4,
+         CASE WHEN dn > 0 THEN d0 / dn ELSE d0 END AS x0, CASE WHEN dn > 0 THEN d1 / dn ELSE d1 END AS x1 FROM m),
+link AS (SELECT a.ord AS src, b.ord AS dst FROM mc a JOIN mc b ON a.ord <> b.ord
+       AND sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) < CAST(0.2 AS DOUBLE)),
+-- what a heavy cluster reaches among those from it on
+reach(a, b) AS (SELECT ord, ord FROM mc WHERE weight >= CAST(1.5 AS DOUBLE)
+                UNION SELECT r.a, link.dst FROM reach r JOIN link ON r.b = link.src AND link.dst >= r.a),
+seed AS (SELECT a FROM reach WHERE a NOT IN (SELECT b FROM reach WHERE a < b) GROUP BY a HAVING count(*) > 1),
+mem AS (SELECT reach.a AS comp, b AS ord FROM reach JOIN seed ON reach.a = seed.a),
+agg AS (SELECT mem.comp, count(*) AS n, sum(CASE WHEN mem.ord = mem.comp THEN mc.weight ELSE 2 * mc.weight END) AS w,
+          sum(mc.d0) AS s0, sum(mc.d1) AS s1,
+          sum(mc.pts) AS pts, sum(mc.l0) AS l0, sum(mc.l1) AS l1, sum(mc.l2) AS l2, sum(mc.l3) AS l3,
+          sum(mc.l4) AS l4 FROM mem JOIN mc ON mem.ord = mc.ord GROUP BY mem.comp),
+x AS (SELECT *, greatest(l0, l1, l2, l3, l4) AS mx FROM agg)
+SELECT CAST(comp AS BIGINT) AS seed_ord, CAST(n AS BIGINT) AS n_members, round(w, 6) AS weight,
+  round(CASE WHEN w > 0 THEN s0 / w ELSE s0 END, 6) AS c0, round(CASE WHEN w > 0 THEN s1 / w ELSE s1 END, 6) AS c1,
+  CAST(pts AS BIGINT) AS pts, CAST(mx AS BIGINT) AS correct_pts,
+  CAST(CASE WHEN l0 = mx THEN 0 WHEN l1 = mx THEN 1 WHEN l2 = mx THEN 2 WHEN l3 = mx THEN 3 ELSE 4 END AS INTEGER)
+    AS label,
+  round(CAST(mx AS DOUBLE) / CAST(l0 + l1 + l2 + l3 + l4 AS DOUBLE), 6) AS purity
+FROM x""",
 }

@@ -48,6 +48,7 @@ def parse_args(argv=None):
     a.add_argument("--availableNow", action="store_true")
     a.add_argument("--semantics", choices=("reference", "paper"), default="reference")
     a.add_argument("--admitMode", choices=("cells", "ordered"), default="cells")
+    a.add_argument("--initMode", choices=("cells", "scan"), default="cells")
     a.add_argument("--root", default=None, help="folder of the model's versions; give it again to resume")
     a.add_argument("--checkpoint", default=None, help="checkpoint folder of the stream; goes with --root")
     a.add_argument("--out", default=None, help="result folder (default: under spark.checkpoint.dir)")
@@ -62,7 +63,7 @@ def main(argv=None) -> None:
     params = ClusterParams(
         num_dims=args.numDimensions, num_labels=args.numLabels, lam=args.lmbda, epsilon=args.epsilon,
         init_epsilon=args.initialEpsilon, mu=args.mu, beta=args.beta, offline_epsilon=args.offlineEpsilon,
-        offline_mu=args.offlineMu, admit_mode=args.admitMode, batch_seconds=args.batchTime, rate=args.speedRate, semantics=args.semantics)
+        offline_mu=args.offlineMu, admit_mode=args.admitMode, init_mode=args.initMode, batch_seconds=args.batchTime, rate=args.speedRate, semantics=args.semantics)
     model = ClusterModel(spark, params, root=args.root)
     if not model.resumed:
         model.initialize(read_points_csv(spark, args.initialDataPath, args.numDimensions))

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from evoclust.operators import pivots
 from evoclust.operators.density import density_labels, init_density
 from evoclust.params import ClusterParams
 
@@ -57,8 +58,10 @@ def test_missing_coordinates_empty_table_and_width(spark):
     got = {r["id"]: r["comp"] for r in density_labels(df, 0.1, 2).collect()}
     assert got == {0: 0, 3: 0}
     assert density_labels(df.limit(0), 0.1, 2).count() == 0
-    with pytest.raises(ValueError):
-        density_labels(df, 0.1, 4)
+    rows = [(i, None if f is None else f + [0.0, 0.0]) for i, f in rows]
+    df = spark.createDataFrame(rows + [(9, [0.0] * 3)], "seq long, features array<double>")
+    assert {r["id"]: r["comp"] for r in density_labels(df, 0.1, 4).collect()} == got
+    assert density_labels(df.limit(0), 0.1, 4).count() == 0
 
 
 def test_init_density_sums(spark):
@@ -74,3 +77,28 @@ def test_init_density_sums(spark):
     for c, ids in groups.items():
         assert rows[c]["weight"] == len(ids) and sum(rows[c]["lbl_counts"]) == len(ids)
         assert np.allclose(rows[c]["cf1"], x[ids].sum(0)) and np.allclose(rows[c]["cf2"], (x[ids] ** 2).sum(0))
+
+
+@pytest.mark.parametrize("d,eps,need,cell,block", [(2, 0.25, 3, 20, 15), (6, 0.5, 2, 8, 40), (6, 3.0, 5, 10, 7),
+                                                   (64, 2.5, 0, 30, 30), (5, 0.3, 1, 10_000, 11)])
+def test_pivot_cells_equal_brute_force(spark, d, eps, need, cell, block):
+    x = _points(220, d, d + cell)
+    df = _frame(spark, x).repartition(5)
+    sizes = {"cell_rows": cell, "block_rows": block}
+    got = pivots.density_labels(df, eps, d, need, **sizes).collect()
+    assert len(got) == len({r["id"] for r in got})
+    assert {r["id"]: (r["comp"], r["core"]) for r in got} == _brute(x, eps, need)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) < eps
+    counts = pivots.neighbour_counts(df, eps, d, **sizes).collect()
+    assert {r["id"]: r["neighbours"] for r in counts} == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+
+
+def test_a_dense_ball_is_settled_by_bounds(spark):
+    """A third of the points within eps of each other visit few cells."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.001, (300, 8)), rng.uniform(-5, 5, (600, 8))])
+    cells = pivots.Partition(_frame(spark, x), 8, 0.5, "seq", "features", 30, 1000).cells
+    sure, some = cells.judge(x[:300], cells.of(x[:300])[0])
+    assert (some & ~sure).sum() < 30 and sure.sum() >= 300
+    got = pivots.density_labels(_frame(spark, x), 0.5, 8, 10, cell_rows=30).collect()
+    assert {r["id"]: (r["comp"], r["core"]) for r in got} == _brute(x, 0.5, 10)

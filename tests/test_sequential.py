@@ -12,7 +12,7 @@ def _frame(spark, rows, first=0):
 
 
 def test_init_and_ordered_batches(spark):
-    p = ClusterParams(num_dims=2, num_labels=3, beta=0.2, prune_fix=True, admit_mode="ordered")
+    p = ClusterParams(num_dims=2, num_labels=3, beta=0.2, prune_fix=True, admit_mode="ordered", init_mode="scan")
     seq, model = Sequential(p), ClusterModel(spark, p)
     start = drifting_blobs(150, 5)
     seq.init(start)

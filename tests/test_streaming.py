@@ -32,7 +32,7 @@ def test_stream_restart_and_crash(spark, tmp_path):
         f.writelines(f"{x!r},{y!r},{lab}\n" for x, y, lab in start)
     pts = drifting_blobs(240, 6, shift=1.5)
     batches = [[((b * 40 + i) // 10, *r) for i, r in enumerate(pts[b * 40:(b + 1) * 40])] for b in range(6)]
-    p = ClusterParams(num_dims=2, num_labels=3, beta=0.2, prune_fix=True)
+    p = ClusterParams(num_dims=2, num_labels=3, beta=0.2, prune_fix=True, init_mode="scan")
     seq = Sequential(p)
     seq.init(start)
     model = ClusterModel(spark, p, root=root)
