@@ -63,6 +63,18 @@ def insert_np(w, cf1, cf2, last_edit, x, t, lam, clamp_late=False):
 
 # ------------------------------------------------------ nearest + radius
 
+def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All squared distances by one product (see ``rounding``)."""
+    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(d, 0.0, out=d)
+
+
+def rounding(a: np.ndarray, b: np.ndarray) -> float:
+    """How far the root of a value of ``square_distances`` may be off."""
+    top = max(float((a * a).sum(1).max(initial=0.0)), float((b * b).sum(1).max(initial=0.0)))
+    return float(np.sqrt(1e-14 * (a.shape[1] + 8) * max(top, 1e-300)))
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray, block_elems: int = 1 << 22):
     """Index (first among ties) and distance of the nearest centroid per row."""
     n = len(x)
@@ -83,6 +95,66 @@ def nearest(x: np.ndarray, centroids: np.ndarray, block_elems: int = 1 << 22):
     return idx, dist
 
 
+class CentroidIndex:
+    """Nearest centroid with few distances: about sqrt(K) centroids are pivots,
+    every centroid lies in the cell of its nearest pivot, and a point looks at
+    the cells whose nearest possible centroid is not farther than its best so
+    far.  Gives the rows of :func:`nearest`, ties included; ``work`` counts the
+    distances taken."""
+
+    LEAST = 256  # fewer centroids are compared one by one
+
+    def __init__(self, centroids: np.ndarray):
+        k = len(centroids)
+        self.work, self.centroids, self.pivots = 0, centroids, None
+        if k < self.LEAST or not np.isfinite(centroids).all():
+            return
+        pick = np.sort(np.random.default_rng(0).choice(k, int(np.sqrt(k)), replace=False))
+        self.pivots = centroids[pick]
+        cell, far = np.empty(k, np.int64), np.empty(k)
+        step = max(1, (1 << 22) // len(pick))
+        for lo in range(0, k, step):
+            x = centroids[lo:lo + step]
+            cell[lo:lo + step] = square_distances(x, self.pivots).argmin(1)
+            diff = x - self.pivots[cell[lo:lo + step]]
+            far[lo:lo + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        self.order = np.argsort(cell, kind="stable")  # by place within a cell
+        self.bounds = np.searchsorted(cell[self.order], np.arange(len(pick) + 1))
+        self.centroids = centroids[self.order]
+        self.radius = np.full(len(pick), -np.inf)
+        np.maximum.at(self.radius, cell, far)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.pivots is None:
+            self.work += len(x) * len(self.centroids)
+            return nearest(x, self.centroids)
+        idx, dist = np.full(len(x), -1, np.int64), np.full(len(x), np.inf)
+        step = max(1, (1 << 22) // len(self.pivots))
+        for lo in range(0, len(x), step):
+            self._block(x[lo:lo + step], idx[lo:lo + step], dist[lo:lo + step])
+        return idx, dist
+
+    def _block(self, x, idx, dist):
+        least = np.sqrt(square_distances(x, self.pivots)) - rounding(x, self.pivots)
+        self.work += least.size
+        some = np.flatnonzero(self.bounds[1:] > self.bounds[:-1])
+        home = some[least[:, some].argmin(1)]
+        least -= self.radius
+        for c in np.unique(home):
+            self._look(c, np.flatnonzero(home == c), x, idx, dist)
+        least[np.arange(len(x)), home] = np.inf
+        for c in some[(least[:, some] <= dist[:, None]).any(0)]:
+            self._look(c, np.flatnonzero(least[:, c] <= dist), x, idx, dist)
+
+    def _look(self, c, rows, x, idx, dist):
+        a, b = self.bounds[c], self.bounds[c + 1]
+        self.work += len(rows) * (b - a)
+        j, d = nearest(x[rows], self.centroids[a:b])
+        j = self.order[a:b][j]
+        better = (d < dist[rows]) | ((d == dist[rows]) & (j < idx[rows]))
+        idx[rows[better]], dist[rows[better]] = j[better], d[better]
+
+
 def nearest_admissible(x, t, st: dict, lam, eps, radius_sum=False, clamp_late=False):
     """Nearest MC by undecayed centroid, kept only if the radius after a
     tentative insert stays <= eps.  Returns (idx or -1, distance, accepted)."""
@@ -90,7 +162,7 @@ def nearest_admissible(x, t, st: dict, lam, eps, radius_sum=False, clamp_late=Fa
     n = len(x)
     if k == 0 or n == 0:
         return np.full(n, -1, np.int64), np.full(n, np.inf), np.zeros(n, bool)
-    idx, dist = nearest(x, st["centroid"])
+    idx, dist = st["index"].nearest(x) if "index" in st else nearest(x, st["centroid"])
     w2, c1, c2 = insert_np(st["weight"][idx], st["cf1"][idx], st["cf2"][idx],
                            st["last_edit"][idx], x, t, lam, clamp_late)
     ok = radius_np(c1, c2, w2, radius_sum) <= eps
@@ -107,7 +179,7 @@ def state_arrays(rows, d: int) -> dict:
         cen = np.where((w > 0)[:, None], cf1 / np.where(w > 0, w, 1.0)[:, None], cf1)
     return {
         "ord": np.array([r["ord"] for r in rows], dtype=np.int64),
-        "cf1": cf1, "cf2": cf2, "weight": w, "centroid": cen,
+        "cf1": cf1, "cf2": cf2, "weight": w, "centroid": cen, "index": CentroidIndex(cen),
         "last_edit": np.array([r["last_edit"] for r in rows], dtype=np.float64),
     }
 

@@ -2,10 +2,9 @@
 
 The cluster state is small (K rows) and is shipped to the tasks as one
 broadcast after a size check; every point is matched map-side against it
-(no shuffle, no join).  A state larger than the broadcast budget is split
-into chunks that are matched one after the other, the running best being
-kept as columns and materialised between chunks, so no task ever holds
-more than one chunk.
+(no shuffle, no join), looking at few centroids by bounds
+(``kernels.CentroidIndex``).  A state larger than the broadcast budget is
+matched by a partitioned join under the same bounds (``nearest``).
 """
 
 from __future__ import annotations
@@ -17,14 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evoclust.functions import kernels as K
+from evoclust.operators.nearest import match_clusters
 from evoclust.params import ClusterParams
 from evoclust.session import cut
 
 _STATE_COLS = ["ord", "cf1", "cf2", "weight", "last_edit"]
 
 
-def _bytes_per_row(d: int) -> int:
-    return 16 * d + 40
+def state_row_bytes(d: int) -> int:
+    return 32 * d + 56  # cf1, cf2, centroid and its copy in the index
 
 
 def collect_state(state: DataFrame, kind: str, d: int, params: ClusterParams,
@@ -32,15 +32,13 @@ def collect_state(state: DataFrame, kind: str, d: int, params: ClusterParams,
     """Rows of one kind ordered by ``ord`` as arrays, or None when the kind
     is larger than the broadcast budget."""
     part = state.filter(F.col("kind") == kind)
-    n = part.count() if count is None else count
-    if n * _bytes_per_row(d) > params.max_broadcast_bytes:
+    most = params.max_broadcast_bytes // state_row_bytes(d)
+    if count is not None and count > most:
         return None
-    rows = part.select(*_STATE_COLS).orderBy("ord").collect()
-    return K.state_arrays(rows, d)
-
-
-def _empty(d):
-    return K.state_arrays([], d)
+    rows = part.select(*_STATE_COLS).limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    return K.state_arrays(sorted(rows, key=lambda r: r["ord"]), d)
 
 
 def _assign_batches(p_bc, o_bc, params: ClusterParams, d: int):
@@ -89,7 +87,7 @@ def assign_points(points: DataFrame, state: DataFrame, params: ClusterParams,
         # the caller already holds this (size-checked) state as arrays
         P, O = arrays
     elif "p" in counts and "o" in counts:
-        if (counts["p"] + counts["o"]) * _bytes_per_row(d) <= params.max_broadcast_bytes:
+        if (counts["p"] + counts["o"]) * state_row_bytes(d) <= params.max_broadcast_bytes:
             # both kinds in one small collect (size known from the model meta)
             rows = state.select("kind", *_STATE_COLS).orderBy("kind", "ord").collect()
             P = K.state_arrays([r for r in rows if r["kind"] == "p"], d)
@@ -105,73 +103,19 @@ def assign_points(points: DataFrame, state: DataFrame, params: ClusterParams,
         sc = spark.sparkContext
         p_bc, o_bc = sc.broadcast(P), sc.broadcast(O)
         return points.mapInArrow(_assign_batches(p_bc, o_bc, params, d), schema)
-    return _assign_chunked(points, state, params, schema)
+    return _assign_partitioned(points, state, params)
 
 
-# ------------------------------------------------------- chunked fallback
-
-def _best_pass(bc, params, d, prefix):
-    lam, eps = params.lam, params.epsilon
-    rs, cl = params.q_radius_sum, params.q_clamp_late
-
-    def fn(batches):
-        S = bc.value
-        for rb in batches:
-            x = K.list_to_matrix(rb.column("features"), d)
-            t = rb.column("time").to_numpy(zero_copy_only=False).astype(np.float64)
-            idx, dist, ok = K.nearest_admissible(x, t, S, lam, eps, rs, cl)
-            bd = rb.column(f"{prefix}_d").to_numpy(zero_copy_only=False).astype(np.float64)
-            bo = rb.column(f"{prefix}_o").to_numpy(zero_copy_only=False).astype(np.int64)
-            bk = rb.column(f"{prefix}_ok").to_numpy(zero_copy_only=False).astype(bool)
-            better = dist < bd  # strict: earlier chunks (lower ord) win ties
-            if len(S["weight"]):
-                bo = np.where(better, S["ord"][np.maximum(idx, 0)], bo)
-            bd = np.where(better, dist, bd)
-            bk = np.where(better, ok, bk)
-            names = rb.schema.names
-            cols = [rb.column(i) for i in range(rb.num_columns)]
-            cols[names.index(f"{prefix}_d")] = pa.array(bd, pa.float64())
-            cols[names.index(f"{prefix}_o")] = pa.array(bo, pa.int64())
-            cols[names.index(f"{prefix}_ok")] = pa.array(bk, pa.bool_())
-            yield pa.RecordBatch.from_arrays(cols, schema=rb.schema)
-    return fn
-
-
-def _assign_chunked(points, state, params, schema):
-    d = params.num_dims
-    spark = points.sparkSession
-    rows_per_chunk = max(1, params.max_broadcast_bytes // _bytes_per_row(d))
-    df = points
-    for prefix, kind in (("_p", "p"), ("_q", "o")):
-        df = (df.withColumn(f"{prefix}_d", F.lit(float("inf")))
-              .withColumn(f"{prefix}_o", F.lit(-1).cast("long"))
-              .withColumn(f"{prefix}_ok", F.lit(False)))
-        part = state.filter(F.col("kind") == kind).select(*_STATE_COLS)
-        n = part.count()
-        bounds = []
-        if n:
-            # ord boundaries of chunks of at most rows_per_chunk rows
-            from evoclust.sources.points import with_row_index
-            idx = with_row_index(part.select("ord"), ["ord"], "_i")
-            bounds = (idx.filter(F.col("_i") % rows_per_chunk == 0).orderBy("ord")
-                      .select("ord").collect())
-            bounds = [r["ord"] for r in bounds] + [None]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            cond = F.col("ord") >= lo
-            if hi is not None:
-                cond = cond & (F.col("ord") < hi)
-            rows = part.filter(cond).orderBy("ord").collect()
-            bc = spark.sparkContext.broadcast(K.state_arrays(rows, d))
-            df = df.mapInArrow(_best_pass(bc, params, d, prefix), df.schema)
-            df = cut(df, "assign-chunk")
-    p_ok = F.col("_p_ok")
-    o_ok = ~p_ok & F.col("_q_ok")
-    out = df.select(
-        *[F.col(f.name) for f in points.schema.fields],
-        F.when(p_ok, F.lit("p")).when(o_ok, F.lit("o")).alias("kind"),
-        F.when(p_ok, F.col("_p_o")).when(o_ok, F.col("_q_o")).alias("ord"),
-    )
-    return out
+def _assign_partitioned(points: DataFrame, state: DataFrame, params: ClusterParams) -> DataFrame:
+    pts = cut(points.withColumn("node", F.monotonically_increasing_id()), "assign-points")
+    p = match_clusters(pts, state.filter(F.col("kind") == "p"), params).select("node", F.col("ord").alias("_p"), F.col("ok").alias("_p_ok"))
+    p = cut(pts.select("node", "time", "features").join(p, "node", "left").withColumn("_p_ok", F.coalesce("_p_ok", F.lit(False))), "assign-p")
+    o = (match_clusters(p.filter(~F.col("_p_ok")), state.filter(F.col("kind") == "o"), params).filter("ok")
+         .select("node", F.col("ord").alias("_o")))
+    got = (p.select("node", "_p", "_p_ok").join(o, "node", "left")
+           .select("node", F.when(F.col("_p_ok"), "p").when(F.col("_o").isNotNull(), "o").alias("kind"),
+                   F.when(F.col("_p_ok"), F.col("_p")).otherwise(F.col("_o")).alias("ord")))
+    return pts.join(got, "node").select(*points.columns, "kind", "ord")
 
 
 def split_assigned(assigned: DataFrame):
@@ -187,7 +131,7 @@ def _predict_batches(bc, d):
         S = bc.value
         for rb in batches:
             x = K.list_to_matrix(rb.column("features"), d)
-            idx, dist = K.nearest(x, S["centroid"])
+            idx, dist = S["index"].nearest(x)
             has = idx >= 0
             o = np.where(has, S["ord"][np.maximum(idx, 0)] if len(S["ord"]) else -1, -1)
             yield (rb.append_column("ord", pa.array(o, pa.int64(), mask=~has))
@@ -202,12 +146,13 @@ def predict(points: DataFrame, clusters: DataFrame, params: ClusterParams) -> Da
     ``dist``.
     """
     d = params.num_dims
-    n = clusters.count()
-    if n * _bytes_per_row(d) > params.max_broadcast_bytes:
-        # chunked passes keep the running nearest as columns (see module doc)
-        state = clusters.select(F.lit("p").alias("kind"), *_STATE_COLS)
-        return _nearest_chunked(points, state, params)
-    rows = clusters.select(*_STATE_COLS).orderBy("ord").collect()
+    most = params.max_broadcast_bytes // state_row_bytes(d)
+    rows = clusters.select(*_STATE_COLS).limit(most + 1).collect()  # the clusters are evaluated once
+    if len(rows) > most:
+        pts = cut(points.withColumn("node", F.monotonically_increasing_id()), "predict-points")
+        got = match_clusters(pts.withColumn("time", F.lit(0)), clusters.select(*_STATE_COLS), params)
+        return pts.join(got.select("node", "ord", "dist"), "node", "left").drop("node")
+    rows.sort(key=lambda r: r["ord"])
     bc = points.sparkSession.sparkContext.broadcast(K.state_arrays(rows, d))
     schema = T.StructType(points.schema.fields + [
         T.StructField("ord", T.LongType()), T.StructField("dist", T.DoubleType())])
@@ -220,26 +165,3 @@ def predict_macro(points: DataFrame, clusters: DataFrame, members: DataFrame, pa
     small = members.count() * 16 <= params.max_broadcast_bytes
     names = members.select("ord", F.col("comp").alias("macro_id"))
     return predict(points, clusters, params).join(F.broadcast(names) if small else names, "ord", "left")
-
-
-def _nearest_chunked(points, state, params):
-    """J6 over a cluster table above the broadcast budget: chunk by chunk,
-    keeping the running nearest (ties to the lower ord)."""
-    d = params.num_dims
-    spark = points.sparkSession
-    rows_per_chunk = max(1, params.max_broadcast_bytes // _bytes_per_row(d))
-    df = (points.withColumn("_p_d", F.lit(float("inf"))).withColumn("_p_o", F.lit(-1).cast("long"))
-          .withColumn("_p_ok", F.lit(False)))
-    from evoclust.sources.points import with_row_index
-    idx = with_row_index(state.select("ord"), ["ord"], "_i")
-    bounds = [r["ord"] for r in idx.filter(F.col("_i") % rows_per_chunk == 0).orderBy("ord").collect()] + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.col("ord") >= lo
-        if hi is not None:
-            cond = cond & (F.col("ord") < hi)
-        rows = state.filter(cond).select(*_STATE_COLS).orderBy("ord").collect()
-        bc = spark.sparkContext.broadcast(K.state_arrays(rows, d))
-        df = cut(df.mapInArrow(_best_pass(bc, params, d, "_p"), df.schema), "nearest-chunk")
-    return df.select(*[F.col(f.name) for f in points.schema.fields],
-                     F.when(F.col("_p_o") >= 0, F.col("_p_o")).alias("ord"),
-                     F.when(F.col("_p_o") >= 0, F.col("_p_d")).alias("dist"))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoclust.functions.kernels import list_to_matrix, matrix_to_list
+from evoclust.functions.kernels import list_to_matrix, matrix_to_list, rounding, square_distances
 from evoclust.operators.graph import connected_components
 from evoclust.session import cut
 
@@ -52,20 +52,9 @@ OUT_ROWS = 4096
 RINGS = 3
 
 
-def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0, out=d)
-
-
-def _slack(a: np.ndarray, b: np.ndarray) -> float:
-    """Bound of the rounding error of ``_square_distances``."""
-    top = max(float((a * a).sum(1).max(initial=0.0)), float((b * b).sum(1).max(initial=0.0)))
-    return 1e-14 * (a.shape[1] + 8) * max(top, 1e-300)
-
-
 def near_matrix(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """``sqrt(sum((a_i - b_j)^2)) < eps`` for all i, j."""
-    sq, slack = _square_distances(a, b), _slack(a, b)
+    sq, slack = square_distances(a, b), rounding(a, b) ** 2
     near = sq < eps * eps
     i, j = np.nonzero(np.abs(sq - eps * eps) <= slack)
     for lo in range(0, len(i), 1 << 16):
@@ -89,7 +78,7 @@ class Cells:
 
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and distance from its pivot of each row."""
-        home = _square_distances(x, self.pivots).argmin(1)
+        home = square_distances(x, self.pivots).argmin(1)
         diff = x - self.pivots[home]
         dist = np.sqrt((diff * diff).sum(1))
         return home * RINGS + (dist >= self.eps / 4) + (dist >= self.eps), dist
@@ -97,8 +86,8 @@ class Cells:
     def judge(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row and cell: certainly all near, possibly some near."""
         eps, home = self.eps, cell // RINGS
-        sq, off = _square_distances(x, self.pivots), math.sqrt(_slack(x, self.pivots))
-        between = np.sqrt(_square_distances(self.pivots[home], self.pivots))
+        sq, off = square_distances(x, self.pivots), rounding(x, self.pivots)
+        between = np.sqrt(square_distances(self.pivots[home], self.pivots))
         here = sq[np.arange(len(x)), home][:, None]
         # the rounding of the squares over the distance of the pivots
         plane = (sq - here - 4 * off * off) / np.maximum(2 * (between + off), 1e-300)
@@ -159,25 +148,26 @@ class Partition:
         for r in rows.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.sum("w").alias("w")).collect():
             c.least[r.cell], c.most[r.cell], c.weight[r.cell] = r.lo, r.hi, r.w
 
-    def meet(self, visitors: DataFrame, residents: DataFrame, fn, schema: str, block_rows: int) -> DataFrame:
-        """Every visitor with every resident of its cell, block by block;
-        ``fn(visitors, residents)`` gets two tables and returns one."""
-        n = (visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
-             .join(residents.groupBy("cell").agg(F.count(F.lit(1)).alias("nr")), "cell")
-             .select("cell", *[F.ceil(F.col(c) / F.lit(block_rows)).cast("int").alias(c) for c in ("nv", "nr")]))
-        n = F.broadcast(n)  # at most RINGS rows a pivot
-        part = lambda c: F.pmod(F.xxhash64("node", "cell"), F.col(c)).cast("int")
-        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        v = visitors.join(n, "cell").withColumn("vb", part("nv")).withColumn("rb", every("nr")).drop("nv", "nr")
-        r = residents.join(n, "cell").withColumn("rb", part("nr")).withColumn("vb", every("nv")).drop("nv", "nr")
-        key = ["cell", "vb", "rb"]
 
-        def run(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return _schema_of(schema).empty_table()
-            return fn(a.combine_chunks(), b.combine_chunks())
+def meet(visitors: DataFrame, residents: DataFrame, fn, schema: str, block_rows: int) -> DataFrame:
+    """Every visitor with every resident of its cell, block by block;
+    ``fn(visitors, residents)`` gets two tables and returns one."""
+    n = (visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("nv"))
+         .join(residents.groupBy("cell").agg(F.count(F.lit(1)).alias("nr")), "cell")
+         .select("cell", *[F.ceil(F.col(c) / F.lit(block_rows)).cast("int").alias(c) for c in ("nv", "nr")]))
+    n = F.broadcast(n)  # at most RINGS rows a pivot
+    part = lambda c: F.pmod(F.xxhash64("node", "cell"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    v = visitors.join(n, "cell").withColumn("vb", part("nv")).withColumn("rb", every("nr")).drop("nv", "nr")
+    r = residents.join(n, "cell").withColumn("rb", part("nr")).withColumn("vb", every("nv")).drop("nv", "nr")
+    key = ["cell", "vb", "rb"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return _schema_of(schema).empty_table()
+        return fn(a.combine_chunks(), b.combine_chunks())
 
-        return v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(run, schema)
+    return v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(run, schema)
 
 
 def _schema_of(ddl: str) -> pa.Schema:
@@ -229,7 +219,7 @@ def _counts(p: Partition, enough: float, block_rows: int) -> DataFrame:
             n[lo:lo + step] = near_matrix(a[lo:lo + step], b, eps) @ w
         return pa.table({"node": v["node"], "n": pa.array(n)})
 
-    met = p.meet(seen.filter("cell IS NOT NULL").select("node", "cell", "x"), p.placed.select("node", "cell", "x", "w"),
+    met = meet(seen.filter("cell IS NOT NULL").select("node", "cell", "x"), p.placed.select("node", "cell", "x", "w"),
                  compare, "node long, n long", block_rows)
     return seen.filter("cell IS NULL").select("node", "n").unionByName(met).groupBy("node").agg(F.sum("n").alias("n"))
 
@@ -332,7 +322,7 @@ def _cluster_edges(p: Partition, marked: DataFrame, block_rows: int) -> DataFram
         cat = [np.concatenate(o) for o in (out_a, out_b, out_d, out_i)]
         return pa.table({"a": cat[0], "b": cat[1], "dist": cat[2], "id": cat[3]})
 
-    met = p.meet(seen.filter("not whole").select(F.col("a").alias("node"), F.col("b").alias("cell"), "core", "x"),
+    met = meet(seen.filter("not whole").select(F.col("a").alias("node"), F.col("b").alias("cell"), "core", "x"),
                  marked.filter("core").select("node", "id", "cell", "x"), compare, "a long, b long, dist double, id long", block_rows)
     none = [F.lit(float("nan")).alias("dist"), F.lit(0).cast("long").alias("id")]
     return links.unionByName(own).select("a", "b", *none).unionByName(met)

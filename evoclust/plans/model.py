@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from evoclust.functions import kernels as K
 from evoclust.operators import admit as admit_op
 from evoclust.operators import state as st
-from evoclust.operators.assign import assign_points
+from evoclust.operators.assign import assign_points, state_row_bytes
 from evoclust.operators.delta import decayed_delta
 from evoclust.operators.macro import macro_clusters
 from evoclust.operators.density import init_density
@@ -210,7 +210,7 @@ class ClusterModel:
         counts = {"p": meta.n_p, "o": meta.n_o}
         assigned = assign_points(pts, self.state, p, counts, arrays=self._arrays).cache()
         held.append(assigned)
-        small = (meta.n_p + meta.n_o) * (16 * p.num_dims + 40) <= p.max_broadcast_bytes
+        small = (meta.n_p + meta.n_o) * state_row_bytes(p.num_dims) <= p.max_broadcast_bytes
         # one aggregation gives the deltas and (kind "u") the unassigned rows
         keyed = assigned.select(F.coalesce("kind", F.lit("u")).alias("kind"),
                                 F.coalesce("ord", F.lit(-1).cast("long")).alias("ord"),
@@ -253,7 +253,7 @@ class ClusterModel:
             n_new = int(agg["f"])
             if n_new:
                 fresh = newmcs.filter(~F.col("is_o0"))
-                if n_new * (16 * p.num_dims + 40) <= p.max_broadcast_bytes:
+                if n_new * state_row_bytes(p.num_dims) <= p.max_broadcast_bytes:
                     # within the broadcast budget: a small global numbering
                     idx = fresh.withColumn("_k", (F.row_number().over(
                         Window.orderBy("first_time", "first_seq")) - 1).cast("long"))
@@ -270,7 +270,7 @@ class ClusterModel:
         s1 = s1.cache()
         held.append(s1)
         # the state may have grown by the opened clusters
-        small = small and (meta.n_p + meta.n_o + n_new) * (16 * p.num_dims + 40) <= p.max_broadcast_bytes
+        small = small and (meta.n_p + meta.n_o + n_new) * state_row_bytes(p.num_dims) <= p.max_broadcast_bytes
         s2 = st.promote(s1, meta.max_p_ord, small=small).cache()
         held.append(s2)
         t_update = _time.time() - t_start

@@ -124,32 +124,63 @@ def test_ordered_fold_equals_closed_form(spark):
         assert got[g]["tmax"] == dt
 
 
-def test_chunked_assignment_equals_broadcast(spark):
-    """A state above the broadcast budget is matched chunk by chunk with the
-    same result as the single-broadcast pass."""
+def test_partitioned_assignment_equals_broadcast(spark, monkeypatch):
+    """A state above the broadcast budget is matched by cells and bounds, with
+    the result of the broadcast pass; ties go to the lowest place."""
+    from evoclust.operators import assign, nearest
     from evoclust.operators import state as st
     from evoclust.operators.assign import assign_points, predict
     from evoclust.params import ClusterParams
     rng = np.random.default_rng(4)
     mcs = []
-    for i in range(40):
-        c = rng.normal(size=2) * 3
+    for i in range(90):
+        c = np.round(rng.normal(size=2) * 3, 0 if i % 2 else 2)
         w = float(rng.integers(2, 20))
         cf1 = (c * w).tolist()
         cf2 = ((c * c + 0.01) * w).tolist()
         mcs.append(("p" if i % 3 else "o", i * 2, str(i), cf1, cf2, w, 0, int(rng.integers(0, 5)), 0, [1, 0]))
     state = spark.createDataFrame(mcs, st.STATE_SCHEMA)
-    pts = spark.createDataFrame([(int(rng.integers(0, 6)), [float(v) for v in rng.normal(size=2) * 3], 0, k)
+    pts = spark.createDataFrame([(int(rng.integers(0, 6)), [float(v) for v in np.round(rng.normal(size=2) * 3, k % 3)], 0, k)
                                  for k in range(300)], "time long, features array<double>, label int, seq long")
     big = ClusterParams(num_dims=2, num_labels=2, epsilon=0.6)
-    tiny = big.with_(max_broadcast_bytes=200)  # about 2 MCs per chunk
+    tiny = big.with_(max_broadcast_bytes=200)
+    match = nearest.match_clusters
+    monkeypatch.setattr(assign, "match_clusters", lambda *a: match(*a, cell_rows=6, block_rows=17))
     a = {r["seq"]: (r["kind"], r["ord"]) for r in assign_points(pts, state, big).collect()}
     b = {r["seq"]: (r["kind"], r["ord"]) for r in assign_points(pts, state, tiny).collect()}
     assert a == b and any(k == "p" for k, _ in a.values()) and any(k is None for k, _ in a.values())
     cl = state.select("ord", "cf1", "cf2", "weight", "last_edit")
-    pa_ = {r["seq"]: r["ord"] for r in predict(pts, cl, big).collect()}
-    pb_ = {r["seq"]: r["ord"] for r in predict(pts, cl, tiny).collect()}
+    pa_ = {r["seq"]: (r["ord"], r["dist"]) for r in predict(pts, cl, big).collect()}
+    pb_ = {r["seq"]: (r["ord"], r["dist"]) for r in predict(pts, cl, tiny).collect()}
     assert pa_ == pb_
+    none = state.filter("ord < 0")
+    assert all(r["kind"] is None for r in assign_points(pts, none, tiny).collect())
+    assert assign_points(pts.limit(0), state, tiny).count() == 0
+
+
+@pytest.mark.parametrize("d,k", [(1, 700), (2, 3000), (3, 5000), (8, 1000), (2, 40)])
+def test_centroid_index_equals_all_distances(d, k):
+    from evoclust.functions import kernels as K
+    rng = np.random.default_rng(d)
+    cen = np.round(rng.normal(size=(k, d)), 2)
+    cen[k // 2:k // 2 + 20] = cen[:20]  # copies: the first one wins
+    x = np.concatenate([np.round(rng.normal(size=(400, d)) * 1.5, 1), cen[::7], np.full((1, d), 50.0)])
+    index = K.CentroidIndex(cen)
+    a, b = K.nearest(x, cen), index.nearest(x)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
+def test_centroid_index_looks_at_few():
+    from evoclust.functions import kernels as K
+    rng = np.random.default_rng(1)
+    blobs = rng.uniform(-20, 20, (60, 2))
+    cen = blobs[rng.integers(0, 60, 100_000)] + rng.normal(size=(100_000, 2))
+    x = blobs[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 2))
+    index = K.CentroidIndex(cen)
+    idx, dist = index.nearest(x)
+    assert index.work / len(x) < 0.05 * len(cen)
+    some = slice(0, 200)
+    assert (idx[some] == K.nearest(x[some], cen)[0]).all()
 
 
 def test_insert_point(spark):
