@@ -51,7 +51,8 @@ def plain(rows, min_count, cover, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("counting", [{}, {"burst": 2, "max_entries": 50}, {"burst": 10**9, "max_words": 5}])
+@pytest.mark.parametrize("counting", [{}, {"burst": 8, "max_entries": 90, "group_bytes": 5000},
+                                      {"burst": 10**9, "max_words": 5}])
 @pytest.mark.parametrize("limits", [(10, 50, 2000), (2, 80, 7)])
 def test_collocations_match_plain_counts(docs, counting, limits):
     got = co.collocations(docs, *limits, **counting)
@@ -60,10 +61,26 @@ def test_collocations_match_plain_counts(docs, counting, limits):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 15
 
 
-def test_all_counts(docs):
-    got = {(r.lang, r.prefix, r.rest): r.n for r in co.phrase_counts(docs, burst=3, max_entries=20).collect()}
-    assert got["en", "big big", "big"] == 118 + 3 and got["en", "big", None] == 120 + 9
-    assert got["en", "the sea", None] >= 3 and ("en", None, None) in got
+def test_all_counts(docs, monkeypatch):
+    monkeypatch.setattr(co, "MERGE", 100)
+    got = {(r.lang, r.phrase): r.n for r in co.phrase_counts(docs, burst=16, max_entries=200).collect()}
+    assert got["en", "big big big"] == 118 + 3 and got["en", "big big"] == 119 + 6 and got["en", "big"] == 120 + 9
+    assert got["en", "the sea"] >= 3 and ("en", "") in got
+
+
+def test_trie_keeps_every_count():
+    rng = np.random.default_rng(0)
+    trie, want = co.Node(0, 32), collections.Counter()
+    for _ in range(60):
+        w = rng.zipf(1.3, (400, 3)) % 300 + 1
+        w[rng.random(400) < 0.3, 2] = 0
+        w[rng.random(400) < 0.1, 1:] = 0
+        key = w[:, 0] << 42 | w[:, 1] << 21 | w[:, 2]
+        trie.add(*np.unique(key, return_counts=True))
+        want.update(key.tolist())
+    keys, n = (np.concatenate(x) for x in zip(*trie.all()))
+    assert dict(zip(keys.tolist(), n.tolist())) == want and len(keys) == trie.size()
+    assert trie.kids and any(k.kids for k in trie.kids.values())
 
 
 def test_scores_beyond_64_bits(spark):
