@@ -3,29 +3,33 @@
 Unigram and bigram counts of the training rows are quantised on a log scale
 (level ``j`` stands for counts from ``base^(j-1)`` up to ``base^j``), and a
 key of level ``L`` enters the filter once per level 1..L.  A reader probes
-level 1, 2, ... until a probe fails; the last hit gives the quantised
-count, so an unknown key is over-counted with a chance of about 2^-hashes.
+level 1, 2, ... until a probe fails; the last hit gives the quantised count.
 
 Probability of a token ``v`` after ``u`` (row start and row end are one
 symbol)::
 
-    p(v|u) = (c(u,v) + m * p0(v)) / (c(u) + m),  p0(v) = (c(v)+1) / (N+V+1)
-
-with the filter's counts ``c`` and ``m = mu + share * c(u)``, which leaves
-unseen followers of a frequent word their part.  ``score`` is the sum of log10 p over the
-words of a text and its end.  The base score uses exact unigram counts,
-kept beside the filter.
-
-Jobs: (1) every task hashes the words of its rows and pre-aggregates counts,
-dealt into buckets by the key's hash, so no word is a hot key; (2) one group
-a bucket merges them and builds that bucket's part of the filter, sized by
-its own keys, written to the shared folder; (3) texts are scored by probes.
-What a task gets is bounded: the parts are broadcast in segments of at most
-``max_broadcast`` bytes; a text's score is a sum over its tokens, and every
-token belongs to one choice of segments (of its word, the word before, and
-the pair), so with several segments the texts are read once per choice and
-the partial sums, written to the shared folder by each pass, are added.  The
-segments of one choice are all that is held at a time.
+    p(v|u) = (c(u,v) + m * p0(v)) / (D(u) + m),  p0(v) = (c(v) + 1) / (D + V + 1)
+
+with the filter's counts ``c``, and ``D(u)``, ``D`` their sums over the pairs
+of u and over the words, as the filter gives them back: a distribution over
+the vocabulary and one unknown word, but for false positives.  ``m = mu +
+share * D(u)`` leaves unseen followers of a frequent word their part.  A false
+positive on level 1 gives an unseen pair a count, and every word has about V
+unseen followers; so level 1 has as many hashes as it takes to keep the sum
+over all of them below ``TOLERANCE`` of the least denominator (further levels:
+``hashes``), and pairs with an unknown word are not probed.  ``score`` is the
+sum of log10 p over the words of a text and its end.  The base score uses
+exact unigram counts, kept beside the filter with ``D(u)``.
+
+Jobs: (1) words are counted: every task pre-aggregates, deals by hash into
+buckets, and one group a bucket merges and builds its part of the filter;
+(2) so are pairs, dealt by their first word, but by both words where the
+first one is hot (more tokens than a bucket has on average; there are fewer
+of these than buckets), so no word is one group, and D(u) is summed where
+the pairs are; (3) texts are scored by probes in one pass.  The parts are
+broadcast in segments of at most ``max_broadcast`` bytes; with several
+segments a task loads one after another for each chunk of text and never
+holds two; the driver fetches them one after another too.
 
 Nulls, empty texts: only the end token is scored.  Repeated rows are scored
 alike; each counts for training.  An empty table gives an empty result, an
@@ -36,7 +40,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +47,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoclust.llm import textkit as tk
-from evoclust.llm.common import ROW, numbered, text_col
+from evoclust.llm.common import text_col
 from evoclust.session import cut
 
 U64 = np.uint64
 END = U64(0x5BD1E995A7B3C1D9)  # row start and end
 FLUSH = 1_000_000              # tokens gathered before a pre-aggregation
+TOLERANCE = 0.01               # of a distribution that false positives may take
+TOP = 400                      # levels
 
 
 def _sequence(buf, offsets):
@@ -74,54 +79,86 @@ def _bucket(key: np.ndarray, nb: int) -> np.ndarray:
     return ((key >> U64(32)) % U64(nb)).astype(np.int64)
 
 
-def _deal(keys: np.ndarray, counts: np.ndarray, nb: int):
-    """Keys and counts sorted by bucket, with the bucket bounds."""
-    b = _bucket(keys, nb)
-    order = np.argsort(b, kind="stable")
-    return keys[order], counts[order], np.searchsorted(b[order], np.arange(nb + 1))
+def _member(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ``some``."""
+    if len(some) == 0:
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+def _pair_bucket(first: np.ndarray, pair: np.ndarray, hot: np.ndarray, nb: int) -> np.ndarray:
+    return np.where(_member(first, hot), _bucket(pair, nb), _bucket(first, nb))
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray):
-    if len(keys) == 0:
-        return keys, counts
-    order = np.argsort(keys)
+    """Different keys in order, the first place and the summed count of each."""
+    order = np.argsort(keys, kind="stable")
     k, c = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[at], np.add.reduceat(c, at)
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(k), 1), bool), k[1:] != k[:-1])))
+    return k[at], order[at], np.add.reduceat(c, at) if len(at) else c
+
 
+def _blobs(bucket: np.ndarray, nb: int, columns: list[tuple[np.ndarray, type]]) -> list[list]:
+    """Bucket numbers, and the bytes of each column's part, for sorted buckets."""
+    cuts = np.searchsorted(bucket, np.arange(nb + 1))
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    return [some.tolist(), *([v[cuts[b]:cuts[b + 1]].astype(kind).tobytes() for b in some] for v, kind in columns)]
 
-def _counter(nb: int):
+
+def _batch(columns: list, names: str) -> pa.RecordBatch:
+    kinds = [pa.int32()] + [pa.binary()] * (len(columns) - 1)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names.split())
+
+
+def _word_counter(nb: int):
     """mapInArrow: texts to pre-aggregated (bucket, keys, counts) blobs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni, bi, held = [], [], 0
+        held, size = [], 0
+
+        def flush():
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            b = _bucket(k, nb)
+            order = np.argsort(b, kind="stable")
+            return _batch(_blobs(b[order], nb, [(k[order], U64), (c[order], np.uint32)]), "b k c")
+
+        for rb in batches:
+            for _, _, buf, off in tk.chunks(rb.column("text")):
+                held.append(_sequence(buf, off)[0])
+                size += len(held[-1])
+                if size >= 2 * FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+    return run
+
+
+def _pair_counter(nb: int, hot: np.ndarray):
+    """mapInArrow: texts to blobs of (bucket; first words and how many pairs
+    each has; pair keys; counts)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def flush():
-            out = []
-            for parts in (uni, bi):
-                k, c = np.unique(np.concatenate(parts), return_counts=True)
-                out.append(_deal(k, c.astype(np.int64), nb))
-            (uk, uc, ub), (bk, bc, bb) = out
-            cols = [[], [], [], [], []]
-            for b in range(nb):
-                if ub[b] < ub[b + 1] or bb[b] < bb[b + 1]:
-                    cols[0].append(b)
-                    for col, v, kind in ((1, uk[ub[b]:ub[b + 1]], U64), (2, uc[ub[b]:ub[b + 1]], np.uint32),
-                                         (3, bk[bb[b]:bb[b + 1]], U64), (4, bc[bb[b]:bb[b + 1]], np.uint32)):
-                        cols[col].append(v.astype(kind).tobytes())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                names=["b", "uk", "uc", "bk", "bc"])
+            first, pair = (np.concatenate(x) for x in zip(*held))
+            k, at, c = _merge(pair, np.ones(len(pair), np.int64))
+            u = first[at]
+            b = _pair_bucket(u, k, hot, nb)
+            order = np.lexsort((u, b))
+            b, u, k, c = b[order], u[order], k[order], c[order]
+            new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (b[1:] != b[:-1]))))
+            words = _blobs(b[new], nb, [(u[new], U64), (np.diff(np.append(new, len(u))), np.uint32)])
+            return _batch([*words, *_blobs(b, nb, [(k, U64), (c, np.uint32)])[1:]], "b u n k c")
 
         for rb in batches:
             for _, _, buf, off in tk.chunks(rb.column("text")):
                 tok, prev, _ = _sequence(buf, off)
-                uni.append(tok)
-                bi.append(tk.pair_hash(prev, tok))
-                held += len(tok)
-                if held >= FLUSH:
+                held.append((prev, tk.pair_hash(prev, tok)))
+                size += len(tok)
+                if size >= FLUSH:
                     yield flush()
-                    uni, bi, held = [], [], 0
-        if held:
+                    held, size = [], 0
+        if size:
             yield flush()
     return run
 
@@ -131,205 +168,278 @@ def level(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(base) + 1e-9).astype(np.int64)
 
 
-def level_values(base: float, top: int = 400) -> np.ndarray:
+def level_values(base: float) -> np.ndarray:
     """Count that a level stands for: the mean of the whole numbers it
     covers (of its bounds, where it covers many)."""
-    out = np.zeros(top + 1)
-    for j in range(1, top + 1):
+    out = np.zeros(TOP + 1)
+    for j in range(1, TOP + 1):
         lo, hi = math.ceil(base ** (j - 1) - 1e-9), math.ceil(base ** j - 1e-9) - 1
         out[j] = (lo + hi) / 2 if hi >= lo else base ** (j - 1)
     return out
 
 
-def _positions(key: np.ndarray, lev, i: int, m) -> np.ndarray:
+def _positions(key: np.ndarray, lev: int, i: int, m) -> np.ndarray:
     with np.errstate(over="ignore"):
-        a = tk.mix(key + lev.astype(U64) * U64(0xD1B54A32D192ED03))
+        a = tk.mix(key + U64(lev) * U64(0xD1B54A32D192ED03))
         step = (a >> U64(33)) | U64(1)
-        return (a + U64(i) * step) % m
+        return (a + U64(i) * step + U64(i ** 3)) % m
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray, base: float, hashes: int) -> np.ndarray:
-    """Bits (as bytes) of one bucket's filter, sized by its insertions."""
+def build_filter(keys: np.ndarray, counts: np.ndarray, base: float, first: int, hashes: int) -> np.ndarray:
+    """Bits (as bytes) of one bucket's filter, sized by its insertions:
+    ``first`` hashes on level 1, ``hashes`` on the others."""
     lev = level(counts, base)
-    m = max(64, int(math.ceil(lev.sum() * hashes / math.log(2) / 64.0)) * 64)
-    bits = np.zeros(m, bool)
     top = int(lev.max()) if len(lev) else 0
+    if top > TOP:
+        raise ValueError(f"a count of {counts.max()} is beyond level {TOP} of base {base}: take a larger base")
+    bits_in = len(keys) * first + int((lev - 1).sum()) * hashes
+    m = max(64, int(math.ceil(bits_in / math.log(2) / 64.0)) * 64)
+    bits = np.zeros(m, bool)
     for j in range(1, top + 1):
         k = keys[lev >= j]
-        for i in range(hashes):
-            bits[_positions(k, np.full(1, j), i, U64(m))] = True
+        for i in range(first if j == 1 else hashes):
+            bits[_positions(k, j, i, U64(m))] = True
     return np.packbits(bits, bitorder="little")
 
 
-def _builder(base: float, hashes: int):
+def _columns(t: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(name)]) for name, kind in kinds.items()]
+
+
+def _table(b: int, **values) -> pa.Table:
+    kinds = {int: pa.int64(), float: pa.float64(), bytes: pa.binary()}
+    return pa.table({"b": pa.array([b], pa.int32()), **{k: pa.array([v], kinds[type(v)]) for k, v in values.items()}})
+
+
+def _word_builder(nb: int, base: float, hashes: int):
     def run(t: pa.Table) -> pa.Table:
-        col = lambda name, kind: np.concatenate(
-            [np.frombuffer(x.as_py(), kind) for x in t.column(name)])
-        uk, uc = _merge(col("uk", U64), col("uc", np.uint32).astype(np.int64))
-        bk, bc = _merge(col("bk", U64), col("bc", np.uint32).astype(np.int64))
-        fu, fb = build_filter(uk, uc, base, hashes), build_filter(bk, bc, base, hashes)
-        return pa.table({
-            "b": pa.array([t.column("b")[0].as_py()], pa.int32()),
-            "n_tokens": pa.array([int(uc.sum())], pa.int64()), "n_types": pa.array([len(uk)], pa.int64()),
-            "uni_bytes": pa.array([uk.nbytes * 2 + fu.nbytes], pa.int64()),
-            "bi_bytes": pa.array([fb.nbytes], pa.int64()),
-            "uk": pa.array([uk.tobytes()], pa.binary()), "uc": pa.array([uc.tobytes()], pa.binary()),
-            "fu": pa.array([fu.tobytes()], pa.binary()), "fb": pa.array([fb.tobytes()], pa.binary())})
+        k, c = _columns(t, k=U64, c=np.uint32)
+        k, _, c = _merge(k, c.astype(np.int64))
+        f, b = build_filter(k, c, base, hashes, hashes), t.column("b")[0].as_py()
+        back = Bits([(b, f.tobytes())], nb, hashes, hashes, base).counts(k, np.full(len(k), b))
+        return _table(b, n_tokens=int(c.sum()), n_types=len(k), total=float(back.sum()), size=24 * len(k) + f.nbytes,
+                      k=k.tobytes(), c=c.tobytes(), f=f.tobytes())
     return run
 
 
-_PART = ("b int, n_tokens long, n_types long, uni_bytes long, bi_bytes long, "
-         "uk binary, uc binary, fu binary, fb binary")
+def _pair_builder(nb: int, hot: np.ndarray, base: float, first: int, hashes: int):
+    def run(t: pa.Table) -> pa.Table:
+        u, n, k, c = _columns(t, u=U64, n=np.uint32, k=U64, c=np.uint32)
+        u = np.repeat(u, n)
+        k, at, c = _merge(k, c.astype(np.int64))
+        u = u[at]
+        f, b = build_filter(k, c, base, first, hashes), t.column("b")[0].as_py()
+        back = Bits([(b, f.tobytes())], nb, first, hashes, base).counts(k, np.full(len(k), b))
+        u, _, d = _merge(u, back)
+        h = _member(u, hot)
+        return _table(b, size=f.nbytes, f=f.tobytes(), u=u[~h].tobytes(), d=d[~h].tobytes(), hu=u[h].tobytes(), hd=d[h].tobytes())
+    return run
 
 
-def train(texts: DataFrame, base: float = 1.5, hashes: int = 5, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, int]:
-    """The filter's parts (one row a bucket, in the shared folder) and the
-    number of buckets, one for ``bucket_bytes`` of text."""
-    size = texts.agg(F.sum(F.octet_length(text_col()).cast("long"))).first()[0] or 0
-    nb = max(64, -(-size // bucket_bytes))
-    part = texts.select(text_col().alias("text")).mapInArrow(
-        _counter(nb), "b int, uk binary, uc binary, bk binary, bc binary")
-    return cut(part.groupBy("b").applyInArrow(_builder(base, hashes), _PART), "lm-filter"), nb
+_WORDS = "b int, n_tokens long, n_types long, total double, size long, k binary, c binary, f binary"
+_PAIRS = "b int, size long, f binary, u binary, d binary, hu binary, hd binary"
+
+
+class Trained:
+    """The filter's parts, one row a bucket, in the shared folder, and the
+    numbers that all of them share."""
+
+    def __init__(self, texts: DataFrame, mu: float, share: float, base: float, hashes: int, bucket_bytes: int):
+        self.mu, self.share, self.base, self.hashes = mu, share, base, hashes
+        texts = texts.select(text_col().alias("text"))
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        nb = self.nb = max(64, -(-size // bucket_bytes))
+        self.words = cut(texts.mapInArrow(_word_counter(nb), "b int, k binary, c binary").groupBy("b")
+                         .applyInArrow(_word_builder(nb, base, hashes), _WORDS), "lm-words")
+        n, v, d = self.words.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("total")).first()
+        self.n_tokens, self.n_types, self.total = n or 0, v or 0, d or 0.0
+        self.hot = self._hot(self.n_tokens / nb)
+        # false positives among V unseen followers of a word seen once, over its denominator
+        allowed = TOLERANCE * (1 + mu + share) / max(self.n_types, 1)
+        self.first = max(hashes, math.ceil(-math.log2(min(allowed, 0.5))))
+        pairs = texts.mapInArrow(_pair_counter(nb, self.hot), "b int, u binary, n binary, k binary, c binary")
+        self.pairs = cut(pairs.groupBy("b").applyInArrow(_pair_builder(nb, self.hot, base, self.first, hashes), _PAIRS), "lm-pairs")
+
+    def _hot(self, least: float) -> np.ndarray:
+        """Words with more than ``least`` tokens, of which there are fewer
+        than buckets."""
+        def run(batches):
+            for rb in batches:
+                for k, c in zip(rb.column("k"), rb.column("c")):
+                    k, c = np.frombuffer(k.as_py(), U64), np.frombuffer(c.as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[c > least].view(np.int64))], names=["u"])
+        got = self.words.select("k", "c").mapInArrow(run, "u long").toArrow()
+        return np.sort(got["u"].to_numpy().view(U64)) if got.num_rows else np.zeros(0, U64)
+
+    def hot_totals(self) -> np.ndarray:
+        def run(batches):
+            for rb in batches:
+                for u, d in zip(rb.column("hu"), rb.column("hd")):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(u.as_py(), np.int64)),
+                                                      pa.array(np.frombuffer(d.as_py(), float))], names=["u", "d"])
+        got = self.pairs.select("hu", "hd").mapInArrow(run, "u long, d double").groupBy("u").agg(F.sum("d").alias("d")).toArrow()
+        out = np.zeros(len(self.hot))
+        if got.num_rows:
+            out[np.searchsorted(self.hot, got["u"].to_numpy().view(U64))] = got["d"].to_numpy()
+        return out
+
+    def _parts(self, parts: DataFrame, seg: list[int], *cols: str) -> list[tuple]:
+        """Rows of the given buckets, a partition at a time."""
+        if not seg:
+            return []
+        rows = parts.filter(F.col("b").between(seg[0], seg[-1])).select("b", *cols).toLocalIterator()
+        return sorted((r.b, *[bytes(r[c]) for c in cols]) for r in rows)
+
+    def word_segments(self, limit: int) -> Iterator[Words]:
+        hot = self.hot_totals()
+        for seg in _segments(self.words, limit):
+            rows = self._parts(self.words, seg, "k", "c", "f")
+            k, c = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((1, U64), (2, np.int64)))
+            d = np.zeros(len(k))
+            order = np.argsort(k)
+            k, c = k[order], c[order]
+            for _, u, du in self._parts(self.pairs, seg, "u", "d"):  # the totals of a bucket's words are in its pairs
+                u = np.frombuffer(u, U64)
+                d[np.searchsorted(k, u)] = np.frombuffer(du, float)
+            mine = _member(self.hot, k)
+            d[np.searchsorted(k, self.hot[mine])] = hot[mine]
+            yield Words(k, c, d, Bits([(r[0], r[3]) for r in rows], self.nb, self.hashes, self.hashes, self.base))
+
+    def pair_segments(self, limit: int) -> Iterator[Bits]:
+        for seg in _segments(self.pairs, limit):
+            yield Bits(self._parts(self.pairs, seg, "f"), self.nb, self.first, self.hashes, self.base)
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.n_tokens, self.n_types, self.total, self.hot, self.mu, self.share)
 
 
 class Bits:
     """A segment's filters side by side: bytes, first bit and bits of every
     bucket; buckets outside the segment have none."""
 
-    def __init__(self, parts: list[tuple[int, bytes]], nb: int, hashes: int, base: float):
-        self.first, self.m = np.zeros(nb, U64), np.zeros(nb, U64)
-        self.hashes, self.values, self.nb = hashes, level_values(base), nb
+    def __init__(self, parts: list[tuple[int, bytes]], nb: int, first: int, hashes: int, base: float):
+        self.start, self.m = np.zeros(nb, U64), np.zeros(nb, U64)
+        self.first, self.hashes, self.values, self.nb = first, hashes, level_values(base), nb
         at = 0
         for b, f in parts:
-            self.first[b], self.m[b] = at, 8 * len(f)
+            self.start[b], self.m[b] = at, 8 * len(f)
             at += 8 * len(f)
         self.bytes = np.frombuffer(b"".join(f for _, f in parts), np.uint8)
 
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Quantised counts by membership probes, level after level."""
-        b = _bucket(key, self.nb)
+    def counts(self, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Quantised counts by membership probes, level after level; 0 in
+        buckets of another segment."""
         lev = np.zeros(len(key), np.int64)
-        live = np.flatnonzero(self.m[b] > 0)
-        j = 0
-        while len(live) and j + 1 < len(self.values):
-            j += 1
-            for i in range(self.hashes):
-                k, bb = key[live], b[live]
-                p = _positions(k, np.full(1, j), i, self.m[bb]) + self.first[bb]
+        live = np.flatnonzero(self.m[bucket] > 0)
+        for j in range(1, TOP + 1):
+            for i in range(self.first if j == 1 else self.hashes):
+                b = bucket[live]
+                p = _positions(key[live], j, i, self.m[b]) + self.start[b]
                 live = live[(self.bytes[(p >> U64(3)).astype(np.int64)] >> (p & U64(7)).astype(np.uint8)) & 1 == 1]
+            if not len(live):
+                break
             lev[live] = j
         return self.values[lev]
 
 
-def _segments(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
+class Words:
+    """A segment's words: exact counts, totals of their pairs, filter."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, bits: Bits):
+        self.keys, self.n, self.totals, self.bits = keys, counts, totals, bits
+
+
+def _segments(parts: DataFrame, limit: int) -> list[list[int]]:
+    """Runs of buckets of at most ``limit`` bytes (or of one bucket)."""
     out, room = [], 0
-    for b, size in sorted(sizes):
+    for b, size in sorted(parts.select("b", "size").collect()):  # two numbers a bucket
         if not out or size > room:
             out.append([])
             room = limit
         out[-1].append(b)
         room -= size
-    return out or [[]]
+    return out
 
 
-def _scorer(uni, before, bi, n_tokens: int, n_types: int, mu: float, share: float, first: bool):
-    """arrow_udf: partial sums over the tokens whose word, word before and
-    pair belong to the given segments; ``first`` adds the base columns."""
+class Scorer:
+    """Scores texts from segments that are opened one after another."""
+
+    def __init__(self, n_tokens: int, n_types: int, total: float, hot: np.ndarray, mu: float, share: float):
+        self.n_tokens, self.n_types, self.total, self.hot, self.mu, self.share = n_tokens, n_types, total, hot, mu, share
+
+    def words(self, kinds: np.ndarray, segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exact count, filter's count and total of the pairs of each word."""
+        n, c, d = np.zeros(len(kinds), np.int64), np.zeros(len(kinds)), np.zeros(len(kinds))
+        for w in segments:
+            here = np.flatnonzero(_member(kinds, w.keys))
+            at = np.searchsorted(w.keys, kinds[here])
+            n[here], d[here] = w.n[at], w.totals[at]
+            c[here] = w.bits.counts(kinds[here], _bucket(kinds[here], w.bits.nb))
+        return n, c, d
+
+    def probabilities(self, kinds, found, u: np.ndarray, v: np.ndarray, segments) -> np.ndarray:
+        """p(v|u) for places ``u, v`` in ``kinds``; ``found`` from ``words``."""
+        n, c, d = found
+        both = np.flatnonzero((n[u] > 0) & (n[v] > 0))
+        pairs, inv = np.unique(u[both] * len(kinds) + v[both], return_inverse=True)
+        first = kinds[pairs // max(len(kinds), 1)]
+        key = tk.pair_hash(first, kinds[pairs % max(len(kinds), 1)])
+        got, bucket = np.zeros(len(pairs)), None
+        for bits in segments:
+            bucket = _pair_bucket(first, key, self.hot, bits.nb) if bucket is None else bucket
+            got += bits.counts(key, bucket)
+        seen = np.zeros(len(u))
+        seen[both] = got[inv]
+        m = self.mu + self.share * d[u]
+        return (seen + m * (c[v] + 1.0) / (self.total + self.n_types + 1.0)) / (d[u] + m)
+
+    def score(self, buf: np.ndarray, off: np.ndarray, words, pairs) -> dict[str, np.ndarray]:
+        rows = len(off) - 1
+        tok, _, row = _sequence(buf, off)
+        kinds, v = np.unique(tok, return_inverse=True)
+        u = np.concatenate((np.searchsorted(kinds, [END]), v[:-1]))
+        found = self.words(kinds, words)
+        p = self.probabilities(kinds, found, u, v, pairs)
+        base = np.log10((found[0] + 1.0) / (self.n_tokens + self.n_types + 1.0))
+        add = lambda w=None: np.bincount(row, w, minlength=rows)[:rows]
+        return {"n_tokens": add(), "n_known": add(found[0][v] > 0).astype(np.int64), "base_score": add(base[v]), "score": add(np.log10(p))}
+
+
+def _opened(segments: list) -> Iterator:
+    """The values of broadcasts, one held at a time if there are several."""
+    for bc in segments:
+        path = getattr(bc, "_path", None)
+        yield bc.value if len(segments) == 1 or path is None else bc.load_from_path(path)
+
+
+def _score(scorer: Scorer, words: list, pairs: list):
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        (keys, counts, vfilter, v_in), (_, _, ufilter, u_in), bfilter = uni.value, before.value, bi.value
-        den = n_tokens + n_types + 1.0
+        # several segments are loaded again for each chunk, so chunks are larger
+        limit = 2 << 20 if len(words) + len(pairs) <= 2 else 8 << 20
         for col in it:
-            n = len(col)
-            out = {k: np.zeros(n, float if "score" in k else np.int64)
-                   for k in ("n_tokens", "n_known", "base_score", "score")}
-            for lo, hi, buf, off in tk.chunks(col, 1 << 21):
-                tok, prev, row = _sequence(buf, off)
-                kinds, inv = np.unique(tok, return_inverse=True)
-                b = _bucket(kinds, len(v_in))
-                v_here, u_here = v_in[b], u_in[b]
-                cv = vfilter.counts(kinds)
-                cu = cv if ufilter is vfilter else ufilter.counts(kinds)
-                at = np.searchsorted(kinds, prev)  # every previous token is a token of the chunk
-                pair = tk.pair_hash(prev, tok)
-                here = v_here[inv] & u_here[at] & (bfilter.m[_bucket(pair, bfilter.nb)] > 0)
-                m = mu + share * cu[at[here]]
-                p = (bfilter.counts(pair[here]) + m * (cv[inv[here]] + 1.0) / den) / (cu[at[here]] + m)
-                add = lambda r, w=None: np.bincount(r, w, minlength=hi - lo)[:hi - lo]  # noqa: E731, B023
-                out["score"][lo:hi] = add(row[here], np.log10(np.minimum(p, 1.0)))
-                if first:
-                    exact = np.zeros(len(kinds), np.int64)
-                    if len(keys):
-                        k = np.minimum(np.searchsorted(keys, kinds), len(keys) - 1)
-                        exact = np.where(keys[k] == kinds, counts[k], 0).astype(np.int64)
-                    mine = v_here[inv]
-                    out["base_score"][lo:hi] = add(row[mine], np.log10((exact + 1.0) / den)[inv[mine]])
-                    out["n_known"][lo:hi] = add(row[mine & (exact > 0)[inv]])
-                    out["n_tokens"][lo:hi] = add(row[mine])
-            yield pa.StructArray.from_arrays([pa.array(v) for v in out.values()], list(out))
+            out = {k: np.zeros(len(col), float if "score" in k else np.int64) for k in ("n_tokens", "n_known", "base_score", "score")}
+            for lo, hi, buf, off in tk.chunks(col, limit):
+                for k, x in scorer.score(buf, off, _opened(words), _opened(pairs)).items():
+                    out[k][lo:hi] = x
+            yield pa.StructArray.from_arrays([pa.array(x) for x in out.values()], list(out))
     return F.arrow_udf(run, "n_tokens long, n_known long, base_score double, score double")
 
 
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", mu: float = 4.0, share: float = 1.0, base: float = 1.5,
-          hashes: int = 5, max_broadcast: int = 64 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+def train(texts: DataFrame, mu: float = 4.0, share: float = 1.0, base: float = 1.5, hashes: int = 7,
+          bucket_bytes: int = 32 << 20) -> Trained:
+    """Learns from all rows; a bucket for ``bucket_bytes`` of text."""
+    return Trained(texts, mu, share, base, hashes, bucket_bytes)
+
+
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", max_broadcast: int = 64 << 20, **params) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for every row of ``docs``; the rows where ``train_on`` holds
     train the model."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    parts, nb = train(docs.filter(train_on), base, hashes, bucket_bytes)
-    info = parts.select("b", "n_tokens", "n_types", "uni_bytes", "bi_bytes").collect()  # a few numbers a bucket
-    n_tokens, n_types = sum(r.n_tokens for r in info), sum(r.n_types for r in info)
-    unis = _segments([(r.b, r.uni_bytes) for r in info], max_broadcast)
-    bis = _segments([(r.b, r.bi_bytes) for r in info], max_broadcast)
-
-    def fetch(seg, *cols):  # at most max_broadcast bytes, a partition at a time
-        rows = parts.filter(F.col("b").isin(seg)).select("b", *cols).toLocalIterator() if seg else []
-        return sorted(((r.b, *[bytes(r[c]) for c in cols]) for r in rows), key=lambda r: r[0])
-
-    def uni_of(seg):
-        rows = fetch(seg, "uk", "uc", "fu")
-        k = np.frombuffer(b"".join(r[1] for r in rows), U64)
-        c = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-        order = np.argsort(k)
-        inside = np.zeros(nb, bool)
-        # keys of buckets without a part are unknown; the first segment answers for them
-        inside[seg] = True
-        if seg == unis[0]:
-            inside |= ~np.isin(np.arange(nb), [r.b for r in info])
-        return sc.broadcast((k[order], c[order].astype(np.uint32) if n_tokens < 2**32 else c[order],
-                             Bits([(r[0], r[3]) for r in rows], nb, hashes, base), inside))
-
-    def bi_of(seg):
-        f = Bits(fetch(seg, "fb"), nb, hashes, base)
-        if seg == bis[0]:  # buckets without a part count as empty filters of the first segment
-            none = np.setdiff1d(np.arange(nb), [r.b for r in info])
-            f.first[none], f.m[none] = 8 * len(f.bytes), 64
-            f.bytes = np.concatenate([f.bytes, np.zeros(8, np.uint8)])
-        return sc.broadcast(f)
-
-    rows = docs.select(F.col(id_col), train_on.alias("__train"), text_col().alias("__text"))
-    if len(unis) == len(bis) == 1:
-        words = uni_of(unis[0])
-        udf = _scorer(words, words, bi_of(bis[0]), n_tokens, n_types, mu, share, True)
-        got = rows.select(id_col, "__train", udf("__text").alias("__s"))
-    else:
-        # a pass at a time: its sums are written and its broadcasts let go, so
-        # that three segments are held at once however many there are
-        rows, passes = numbered(rows, "bloom-docs"), []
-        for a in unis:
-            word = uni_of(a)
-            for u in unis:
-                before = word if u is a else uni_of(u)
-                for b in bis:
-                    pair = bi_of(b)
-                    udf = _scorer(word, before, pair, n_tokens, n_types, mu, share, u is unis[0] and b is bis[0])
-                    passes.append(cut(rows.select(ROW, id_col, "__train", udf("__text").alias("__s")), "bloom-pass"))
-                    pair.destroy()
-                if before is not word:
-                    before.destroy()
-            word.destroy()
-        sums = [F.sum(f"__s.{c}").alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-        got = (reduce(DataFrame.unionByName, passes).groupBy(ROW)
-               .agg(F.first(id_col).alias(id_col), F.first("__train").alias("__train"), F.struct(*sums).alias("__s")))
+    sc = docs.sparkSession.sparkContext
+    model = train(docs.filter(train_on), **params)
+    words = [sc.broadcast(w) for w in model.word_segments(max_broadcast)]
+    pairs = [sc.broadcast(b) for b in model.pair_segments(max_broadcast)]
+    udf = _score(model.scorer(), words, pairs)
+    got = docs.select(F.col(id_col), train_on.alias("__train"), udf(text_col()).alias("__s"))
     return got.select(F.col(id_col), (~F.col("__train")).alias("held_out"), "__s.n_tokens", "__s.n_known",
-                      F.lit(n_tokens).cast("long").alias("train_tokens"), "__s.base_score", "__s.score")
+                      F.lit(model.n_tokens).cast("long").alias("train_tokens"), "__s.base_score", "__s.score")
