@@ -38,33 +38,34 @@ def points_per_batch(df: DataFrame, batch_col: str = "batch_id", pts_col: str |
     )
 
 
-def homogeneity_completeness(df: DataFrame, cluster_col: str, label_col: str) -> DataFrame:
-    """A10: homogeneity, completeness and V-measure.
-
-    Everything comes from the contingency table (at most clusters x labels
-    rows after a partial aggregation); the three entropies are scalar
-    aggregates over it."""
-    ct = df.groupBy(cluster_col, label_col).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    ct = ct.cache()
-    mk = ct.groupBy(cluster_col).agg(F.sum("n").alias("nk"))
-    mc = ct.groupBy(label_col).agg(F.sum("n").alias("nc"))
-    n_tot = ct.agg(F.sum("n")).collect()[0][0] or 0.0
-    if n_tot == 0:
-        hom = com = v = 1.0
-    else:
-        N = F.lit(float(n_tot))
-        j = ct.join(mk, cluster_col).join(mc, label_col)
-        e = j.agg((-F.sum(F.col("n") / N * F.log(F.col("n") / F.col("nk")))).alias("h_c_k"),
-                  (-F.sum(F.col("n") / N * F.log(F.col("n") / F.col("nc")))).alias("h_k_c")).collect()[0]
-        h_c = mc.agg(-F.sum(F.col("nc") / N * F.log(F.col("nc") / N))).collect()[0][0]
-        h_k = mk.agg(-F.sum(F.col("nk") / N * F.log(F.col("nk") / N))).collect()[0][0]
-        hom = 1.0 if h_c == 0 else 1.0 - e["h_c_k"] / h_c
-        com = 1.0 if h_k == 0 else 1.0 - e["h_k_c"] / h_k
-        v = 0.0 if hom + com == 0 else 2 * hom * com / (hom + com)
-    ct.unpersist()
-    return df.sparkSession.createDataFrame(
-        [(float(hom), float(com), float(v))],
-        "homogeneity double, completeness double, v_measure double")
+def homogeneity_completeness(df: DataFrame, cluster_col: str, label_col: str, by: str | None = None,
+                             n_col: str | None = None) -> DataFrame:
+    """A10: homogeneity, completeness and V-measure, a row for each value of
+    ``by`` (or one row).
+
+    With N points, ``H(label | cluster)`` and the other entropies are sums of
+    ``n ln n`` over the contingency table, its rows, its columns and N; one
+    aggregation over these four grouping sets gives them all.  ``n_col``: how
+    many points a row stands for (a contingency table instead of points)."""
+    group = [by] if by else []
+    n = F.sum(n_col) if n_col else F.count(F.lit(1))
+    cells = df.groupBy(*group, F.col(cluster_col).alias("_k"), F.col(label_col).alias("_c")).agg(n.cast("double").alias("_n"))
+    cells = cells.filter("_n > 0")
+    sums = cells.groupingSets([[*group, "_k", "_c"], [*group, "_k"], [*group, "_c"], group], *group, "_k", "_c").agg(
+        F.sum("_n").alias("_n"), F.grouping("_k").alias("_gk"), F.grouping("_c").alias("_gc"))
+
+    def over(k: int, c: int, value):  # over the sets with or without cluster and label
+        return F.sum(F.when((F.col("_gk") == k) & (F.col("_gc") == c), value))
+
+    nln = F.col("_n") * F.ln("_n")
+    t = sums.groupBy(*group).agg(over(0, 0, nln).alias("kc"), over(0, 1, nln).alias("k"), over(1, 0, nln).alias("c"),
+                                 over(1, 1, nln).alias("t"), over(0, 1, F.lit(1)).alias("nk"), over(1, 0, F.lit(1)).alias("nc"))
+    one = F.lit(1.0)
+    # H(c|k) N = k - kc and H(c) N = t - c; a single class or cluster scores 1
+    t = t.select(*group, F.when(F.coalesce("nc", F.lit(0)) > 1, one - (F.col("k") - F.col("kc")) / (F.col("t") - F.col("c"))).otherwise(one).alias("homogeneity"),
+                 F.when(F.coalesce("nk", F.lit(0)) > 1, one - (F.col("c") - F.col("kc")) / (F.col("t") - F.col("k"))).otherwise(one).alias("completeness"))
+    both = F.col("homogeneity") + F.col("completeness")
+    return t.withColumn("v_measure", F.when(both == 0, 0.0).otherwise(2 * F.col("homogeneity") * F.col("completeness") / F.when(both != 0, both)))
 
 
 def cluster_counts(state: DataFrame) -> DataFrame:

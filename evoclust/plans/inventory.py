@@ -41,6 +41,18 @@ def q_csv_header(spark, sf):
     return back.select(*[_r(F.col("features")[k], f"f{k}") for k in range(2)], "label")
 
 
+def q_csv_order(spark, sf):
+    """The events as several data files, read in splits; ``seq`` is the
+    place in file order."""
+    ev = C.events_points(spark, sf)
+    path = scratch_path(spark, "order-csv")
+    parts = ev.select("event_id", *[F.col("features")[k].alias(f"f{k}") for k in range(2)], "label").repartitionByRange(
+        5, "event_id").sortWithinPartitions("event_id").drop("event_id")
+    parts.write.csv(path)
+    back = S.read_points_csv(spark, path, 2)
+    return back.select("seq", *[_r(F.col("features")[k], f"f{k}") for k in range(2)], "label")
+
+
 def q_replay_total(spark, sf):
     """The embeddings replayed twice and a bit, seven a time unit."""
     idx = S.with_row_index(_t(spark, sf, "embeddings").select("vec_id"), ["vec_id"], "seq")
@@ -189,7 +201,7 @@ def q_run_details(spark, sf):
 
 
 QUERIES = {f.__name__[2:]: f for f in (
-    q_csv_points, q_csv_header, q_replay_total, q_row_time, q_map_labels, q_clean_label, q_describe, q_standardised,
+    q_csv_points, q_csv_header, q_csv_order, q_replay_total, q_row_time, q_map_labels, q_clean_label, q_describe, q_standardised,
     q_distinct_labels, q_shuffled, q_assign_points, q_predict_macro, q_primary_clusters, q_init_counts, q_insert_point,
     q_merge_clusters, q_result_tables, q_run_details)}
 
@@ -210,6 +222,8 @@ SQL = {
 SELECT round(l.l_quantity / CAST(50.0 AS DOUBLE), 6) AS f0, round(l.l_discount * CAST(10.0 AS DOUBLE), 6) AS f1,
   round(l.l_tax * CAST(10.0 AS DOUBLE), 6) AS f2, lt.label FROM lineitem l JOIN lt ON l.l_returnflag = lt.l_returnflag""",
     "csv_header": f"WITH {O.EVP} SELECT round(f0, 6) AS f0, round(f1, 6) AS f1, event_type AS label FROM evp",
+    "csv_order": f"""WITH {O.EVP}
+SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS seq, round(f0, 6) AS f0, round(f1, 6) AS f1, label FROM evp""",
     "replay_total": """WITH n AS (SELECT count(*) AS n, (2 * count(*) + 5) // 7 * 7 AS sent FROM embeddings),
 i AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings),
 c AS (SELECT vec_id, k + n * cycle AS seq, sent FROM i, n, range(0, 100) AS t(cycle) WHERE k + n * cycle < sent)

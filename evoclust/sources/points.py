@@ -125,23 +125,29 @@ def read_points_csv(spark: SparkSession, path: str, num_dims: int, header: bool
                     label_col: str | None = None, index: bool = True) -> DataFrame:
     """Headerless numeric CSV, d feature columns then an int label.
 
-    Rows with another width are rejected by the schema (FAILFAST)."""
+    Rows with another width are rejected by the schema (FAILFAST).  ``seq``
+    is the position in file order: files by name, blocks of a file by their
+    first byte, rows of a block as the scan reads them, whatever way the scan
+    deals files and blocks to tasks.  With a header the file must have
+    ``num_dims`` columns besides the label."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+             F.monotonically_increasing_id().alias("_row")] if index else []
     if header:
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
         cols = raw.columns
         lab = label_col or cols[-1]
         feats = [c for c in cols if c != lab]
-        df = raw.select(F.array(*[F.col(f"`{c}`").cast("double") for c in feats]).alias("features"),
+        if len(feats) != num_dims or lab not in cols:
+            raise ValueError(f"{num_dims} feature columns and {lab!r} wanted, the header has {cols}")
+        df = raw.select(*place, F.array(*[F.col(f"`{c}`").cast("double") for c in feats]).alias("features"),
                         F.col(f"`{lab}`").alias("label"))
     else:
         schema = T.StructType([T.StructField(f"f{i}", T.DoubleType()) for i in range(num_dims)]
                               + [T.StructField("label", T.IntegerType())])
         raw = spark.read.schema(schema).option("mode", "FAILFAST").csv(path)
-        df = raw.select(F.array(*[F.col(f"f{i}") for i in range(num_dims)]).alias("features"),
+        df = raw.select(*place, F.array(*[F.col(f"f{i}") for i in range(num_dims)]).alias("features"),
                         F.col("label"))
-    if index:
-        df = with_row_index(df, None, "seq")
-    return df
+    return with_row_index(df, ["_file", "_block", "_row"], "seq").drop("_file", "_block", "_row") if index else df
 
 
 def write_dataset_csv(df: DataFrame, path: str, feature_cols: list, label_col: str = "label") -> None:
@@ -190,8 +196,12 @@ def with_logical_time(df: DataFrame, rate: int, total: int | None = None,
     return df.withColumn("time", (F.floor(F.col(seq_col) / F.lit(rate)) + F.lit(offset)).cast("long"))
 
 
-def with_row_time(df: DataFrame, seq_col: str = "seq") -> DataFrame:
-    """One row per time step, ``time = position + 1``."""
+def with_row_time(df: DataFrame, seq_col: str = "seq", value_col: str | None = None) -> DataFrame:
+    """One row per time step, ``time = position + 1``; blank lines of a
+    raw ``value_col`` are no rows and take no step."""
+    if value_col:
+        df = with_row_index(df.filter(F.trim(F.coalesce(F.col(value_col), F.lit(""))) != ""), [seq_col], "_step")
+        return df.withColumn("time", (F.col("_step") + 1).cast("long")).drop("_step")
     return df.withColumn("time", (F.col(seq_col) + 1).cast("long"))
 
 
