@@ -42,34 +42,37 @@ def decayed_delta(assigned: DataFrame, lam: float, num_dims: int, num_labels: in
     ``time >= 0``.  ``first`` names a column whose smallest value per key is
     returned under the same name."""
     keys = list(keys)
+    x = F.col("features")
     if lam > 0:
         span = max(1, int(_BUCKET_HALVINGS / lam))
         end = (F.floor(F.col("time") / F.lit(span)) + 1) * F.lit(span)
-    else:
-        end = F.lit(0)
-    pts = assigned.withColumn("_end", end.cast("long"))
-    w = cf.decay(lam, F.col("_end") - F.col("time"))
-    x = F.col("features")
+        pts = assigned.withColumn("_end", end.cast("long"))
+        w, per = cf.decay(lam, F.col("_end") - F.col("time")), [*keys, "_end"]
+    else:  # nothing decays: plain sums, one aggregation
+        pts, w, per = assigned, F.lit(1.0), keys
     sums = {"_n": w}
     for k in range(num_dims):
         sums[f"_a{k}"] = w * x[k]
         sums[f"_b{k}"] = w * x[k] * x[k]
     labels = [f"_l{k}" for k in range(num_labels)]
     least = [first] if first else []
-    part = pts.groupBy(*keys, "_end").agg(
+    part = pts.groupBy(*per).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[c.alias(n) for n, c in zip(labels, _label_counts(F.col("label"), num_labels))],
         F.max("time").alias("_hi"), F.min("time").alias("_lo"), F.count(F.lit(1)).alias("_c"),
         *[F.min(c).alias(c) for c in least])
-    # a cluster has one row per bucket here: the window and the sum share one
-    # shuffle by the cluster's key
-    tmax = F.max("_hi").over(Window.partitionBy(*keys))
-    moved = part.withColumn("_t", tmax).withColumn("_f", cf.decay(lam, F.col("_t") - F.col("_end")))
-    g = moved.groupBy(*keys).agg(
-        *[F.sum(F.col("_f") * F.col(n)).alias(n) for n in sums],
-        *[F.sum(n).alias(n) for n in labels],
-        F.max("_t").alias("_t"), F.min("_lo").alias("_lo"), F.sum("_c").alias("_c"),
-        *[F.min(c).alias(c) for c in least])
+    if lam > 0:
+        # a cluster has one row per bucket here: the window and the sum share
+        # one shuffle by the cluster's key
+        tmax = F.max("_hi").over(Window.partitionBy(*keys))
+        moved = part.withColumn("_t", tmax).withColumn("_f", cf.decay(lam, F.col("_t") - F.col("_end")))
+        g = moved.groupBy(*keys).agg(
+            *[F.sum(F.col("_f") * F.col(n)).alias(n) for n in sums],
+            *[F.sum(n).alias(n) for n in labels],
+            F.max("_t").alias("_t"), F.min("_lo").alias("_lo"), F.sum("_c").alias("_c"),
+            *[F.min(c).alias(c) for c in least])
+    else:
+        g = part.withColumnRenamed("_hi", "_t")
     return g.select(
         *keys,
         F.array(*[F.col(f"_a{k}") for k in range(num_dims)]).alias("dcf1"),

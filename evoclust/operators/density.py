@@ -40,7 +40,7 @@ from evoclust.operators.delta import label_histogram
 from evoclust.operators.graph import connected_components
 from evoclust.operators.state import conform
 from evoclust.params import ClusterParams
-from evoclust.session import cut
+from evoclust.session import cut, tidy
 
 GRID_DIMS = 3  # neighbour cells grow as 3^d
 MAX_HALVINGS = 24  # further open boxes are compared point by point
@@ -115,6 +115,7 @@ def cell_links(cores: DataFrame, eps: float, side: float, d: int, direct: int =
     return reduce(DataFrame.unionByName, found).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+@tidy
 def density_labels(points: DataFrame, eps: float, d: int, min_neighbours: float = 0, id_col: str = "seq",
                    feat_col: str = "features", direct: int = 64) -> DataFrame:
     """``id, comp, core`` of every point that belongs to a cluster; ``comp`` is

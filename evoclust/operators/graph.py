@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoclust.session import cut
+from evoclust.session import cut, tidy
 
 
 def distance_expr(a: str, b: str, d: int) -> Column:
@@ -106,6 +106,7 @@ def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
     return eps_edges(mcs, 2.0 * eps, d, id_col="ord", feat_col="centroid")
 
 
+@tidy
 def connected_components(edges: DataFrame, unique: bool = False, jumps: int = 3,
                          once: bool = False) -> DataFrame:
     """``id, comp`` (comp = smallest id of the component) for every node

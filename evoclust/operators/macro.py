@@ -23,9 +23,10 @@ from evoclust.functions import cf
 from evoclust.operators import pivots
 from evoclust.operators.density import density_labels
 from evoclust.params import ClusterParams
-from evoclust.session import cut
+from evoclust.session import cut, tidy
 
 
+@tidy
 def macro_map(mcs: DataFrame, mu: float, radius: float, d: int, singleton: bool = False) -> DataFrame:
     """``ord, seed_ord`` of the micro-clusters ``ord, centroid, weight`` that a
     macro-cluster holds, ``seed_ord`` the one that opened it.  MCs closer than

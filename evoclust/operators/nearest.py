@@ -25,11 +25,12 @@ from evoclust.functions import cf
 from evoclust.functions import kernels as K
 from evoclust.operators.pivots import CELLS, OUT_ROWS, PIVOT_BYTES, meet
 from evoclust.params import ClusterParams
-from evoclust.session import cut
+from evoclust.session import cut, tidy
 
 _MET = "node long, dist double, ord long, ok boolean"
 
 
+@tidy
 def match_clusters(points: DataFrame, clusters: DataFrame, params: ClusterParams, cell_rows: int = 2048,
                    block_rows: int = 4096, max_pivots: int = 1 << 16) -> DataFrame:
     """``node, dist, ord, ok`` for points ``node, time, features`` and clusters

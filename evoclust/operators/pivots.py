@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from evoclust.functions.kernels import list_to_matrix, matrix_to_list, rounding, square_distances
 from evoclust.operators.graph import connected_components
-from evoclust.session import cut
+from evoclust.session import cut, tidy
 
 PIVOT_BYTES = 64 << 20
 CELLS = 1 << 22  # entries of a matrix of distances held at once
@@ -224,6 +224,7 @@ def _counts(p: Partition, enough: float, block_rows: int) -> DataFrame:
     return seen.filter("cell IS NULL").select("node", "n").unionByName(met).groupBy("node").agg(F.sum("n").alias("n"))
 
 
+@tidy
 def neighbour_counts(points: DataFrame, eps: float, d: int, id_col: str = "seq", feat_col: str = "features",
                      cell_rows: int = 2048, block_rows: int = 2048, max_pivots: int = 1 << 16) -> DataFrame:
     """``id, neighbours`` of every point: how many others are closer than
@@ -341,6 +342,7 @@ def _edge_batch(a, b, names) -> pa.RecordBatch:
                                        pa.nulls(len(a), pa.list_(pa.float64()))], names=names)
 
 
+@tidy
 def density_labels(points: DataFrame, eps: float, d: int, min_neighbours: float = 0, id_col: str = "seq",
                    feat_col: str = "features", cell_rows: int = 2048, block_rows: int = 2048,
                    max_pivots: int = 1 << 16) -> DataFrame:
@@ -352,6 +354,7 @@ def density_labels(points: DataFrame, eps: float, d: int, min_neighbours: float
     return p.rows.select("id", "x").join(_named(marked, _cluster_edges(p, marked, block_rows)), "x").select("id", "comp", "core")
 
 
+@tidy
 def core_clusters(points: DataFrame, eps: float, d: int, core_col: str = "core", id_col: str = "seq",
                   feat_col: str = "features", cell_rows: int = 2048, block_rows: int = 2048,
                   max_pivots: int = 1 << 16) -> DataFrame:

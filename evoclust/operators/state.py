@@ -45,6 +45,7 @@ class ModelMeta:
     n_p: int = 0
     n_o: int = 0
     rows: int = 0  # points in the batch of this version
+    base: int = -1  # version whose folder holds a whole state; later ones hold changes
 
     def as_row(self) -> dict:
         return asdict(self)

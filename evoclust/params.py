@@ -43,6 +43,11 @@ class ClusterParams:
     # admission of unassigned points: "cells" (one aggregation, any size) or
     # "ordered" (the original's sequential rule, one task; small runs only)
     admit_mode: str = "cells"
+    # the model's versions: of a state over this size a batch writes the changed
+    # clusters only, and a whole state again after compact_every such batches
+    log_over_bytes: int = 64 << 20
+    compact_every: int = 20
+    keep_versions: int = 3  # older versions that no kept one builds on are deleted
     # largest state (bytes of cf1+cf2) shipped to tasks as one broadcast
     max_broadcast_bytes: int = 64 << 20
 

@@ -24,6 +24,7 @@ import re
 import threading
 import time as _time
 from collections import deque
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from evoclust.operators.macro import macro_clusters
 from evoclust.operators.density import init_density
 from evoclust.operators.seeding import init_clusters
 from evoclust.params import ClusterParams
-from evoclust.session import scratch_path, ship_package
+from evoclust.session import cuts_removed, remove, scratch_path, ship_package
 from evoclust.sources.points import with_row_index
 
 _UPD = ("cf1", "cf2", "weight", "last_edit", "pts", "lbl_counts")
@@ -98,10 +99,21 @@ class ClusterModel:
     def _version_path(self, version: int) -> str:
         return os.path.join(self._state_path(), f"v={version}")
 
-    def _save(self, state: DataFrame, meta: st.ModelMeta) -> None:
+    def _save(self, state: DataFrame, meta: st.ModelMeta, whole: bool = True) -> None:
+        """Writes version ``meta.version``.  ``whole``: all clusters have
+        changed.  Else a large state gives the clusters that the batch
+        touched (their ``pts`` is not 0) on top of the version before."""
         out = state.select(*st.STATE_COLS)
-        if (meta.n_p + meta.n_o) * (16 * self.params.num_dims + 40) <= self.params.max_broadcast_bytes:
-            out = out.coalesce(1)  # a broadcast-sized state: one file per version
+        size = (meta.n_p + meta.n_o) * state_row_bytes(self.params.num_dims)
+        stored = self._stored_versions()
+        logged = [v for v in stored if self.meta.base < v <= self.meta.version]
+        if whole or self.meta.base not in stored or size <= self.params.log_over_bytes or len(logged) + 1 >= self.params.compact_every:
+            meta.base = meta.version
+            if size <= self.params.max_broadcast_bytes:
+                out = out.coalesce(1)  # a broadcast-sized state: one file per version
+        else:
+            meta.base = self.meta.base
+            out = out.filter(F.col("pts") > 0)
         # each version in its own folder: reading one never lists the others
         out.write.mode("overwrite").parquet(self._version_path(meta.version))
         self._write_meta(meta)
@@ -109,9 +121,45 @@ class ClusterModel:
         self.state = self._read_state(meta.version)
         self._versions_seen.add(meta.version)
         self._arrays = None
+        self._retain()
+
+    def _retain(self) -> None:
+        """Deletes versions that none of the newest ``keep_versions`` needs."""
+        docs = self._documents()
+        newest = sorted(docs)[-self.params.keep_versions:]
+        need = min(int(self._read_meta(v).get("base", v)) for v in newest)
+        fs, root, jvm = self._fs()
+        for v, (k, _) in docs.items():
+            if v < need:
+                # the document first: a version without one does not count
+                for i in range(k + 1):
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"v{v}-{i}.json"), False)
+                for folder in (self._version_path(v), self._contingency_path(v)):
+                    remove(self.spark, folder)
 
     def _read_state(self, version: int) -> DataFrame:
-        return self.spark.read.schema(st.STATE_SCHEMA).parquet(self._version_path(version))
+        base = int((self._read_meta(version) or {}).get("base", version))
+        logs = [v for v in self._stored_versions() if base < v <= version]
+        read = lambda v: self.spark.read.schema(st.STATE_SCHEMA).parquet(self._version_path(v))
+        if not logs:
+            return read(version)
+        rows = reduce(DataFrame.unionByName, [read(v).withColumn("_v", F.lit(v)) for v in [base, *logs]])
+        last = rows.groupBy("mc_id").agg(F.max_by(F.struct(*st.STATE_COLS, "_v"), "_v").alias("r")).select("r.*")
+        # points of another batch than this one's are no points of this batch
+        return last.withColumn("pts", F.when(F.col("_v") == version, F.col("pts")).otherwise(F.lit(0)).cast("long")).drop("_v")
+
+    # ---------------------------------------------- clusters against labels
+    def _contingency_path(self, version: int) -> str:
+        return os.path.join(self.root, "contingency", f"v={version}")
+
+    def contingency(self, versions: list[int] | None = None) -> DataFrame:
+        """A10: ``batch_id, mc_id, label, n`` of the kept batches: how many
+        points of a label each cluster took.  Batches add up."""
+        kept = [v for v in self._stored_versions() if v >= 0 and (versions is None or v in versions)]
+        schema = "batch_id long, mc_id string, label int, n long"
+        if not kept:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._contingency_path(v) for v in kept])
 
     # model scalars: one small JSON document per version, written through
     # the Hadoop file system of the run folder (shared storage on a cluster)
@@ -198,6 +246,11 @@ class ClusterModel:
 
     # ------------------------------------------------------- one batch
     def process_batch(self, batch: DataFrame, batch_id: int) -> dict | None:
+        """Folds one micro-batch; None for a replayed or an empty one."""
+        with cuts_removed(self.spark):
+            return self._fold(batch, batch_id)
+
+    def _fold(self, batch: DataFrame, batch_id: int) -> dict | None:
         p = self.params
         t_start = _time.time()
         if batch_id <= self.meta.version:
@@ -310,7 +363,9 @@ class ClusterModel:
             version=batch_id, clock=clock, period=meta.period + 1,
             max_p_ord=meta.max_p_ord + n_prom, max_o_ord=max_o, n_p=n_p, n_o=n_o,
             rows=n)
-        self._save(s2, newmeta)
+        self._write_contingency(deltas.join(self.state.select("kind", "ord", "mc_id"), ["kind", "ord"]),
+                                new_rows if n_new else None, batch_id)
+        self._save(s2, newmeta, whole=prune_now)
         self._arrays = arrays
         _release(held)
         self.timings["update"] += t_update
@@ -326,10 +381,19 @@ class ClusterModel:
             "sum_pts": int(sum((r["pts"] or 0) for r in kept.values())),
             "avg_purity": float(kept["p"]["pur"]) if "p" in kept else None,
             "admit_mode": mode, "clock": clock,
+            "update_s": t_update, "detect_s": t_detect, "total_s": _time.time() - t_start,
         }
         self.history.append(rec)
         return rec
 
+    def _write_contingency(self, old: DataFrame, new: DataFrame | None, batch_id: int) -> None:
+        took = old.select("mc_id", "lbl_counts")
+        if new is not None:
+            took = took.unionByName(new.select("mc_id", "lbl_counts"))
+        took.select("mc_id", F.posexplode("lbl_counts").alias("label", "n")).filter("n > 0").select(
+            F.lit(batch_id).cast("long").alias("batch_id"), "mc_id", "label", "n").write.mode("overwrite").parquet(
+            self._contingency_path(batch_id))
+
     # ---------------------------------------------------------- offline
     def micro_clusters(self) -> DataFrame:
         return st.micro_clusters(self.state)

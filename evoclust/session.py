@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,9 +69,48 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if getattr(_SCOPES, "open", None):
+        _SCOPES.open[-1].append(path)
     return spark.read.parquet(path)
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def cuts_removed(spark: SparkSession):
+    """Removes, at its end, the folders that ``cut`` wrote inside it."""
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tidy(fn):
+    """A function whose DataFrame is written at once, so that the folders it
+    cut on the way can go."""
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **kw) -> DataFrame:
+        spark = df.sparkSession
+        path = scratch_path(spark, fn.__name__)
+        with cuts_removed(spark):
+            fn(df, *args, **kw).write.mode("overwrite").parquet(path)
+        if getattr(_SCOPES, "open", None):
+            _SCOPES.open[-1].append(path)
+        return spark.read.parquet(path)
+    return run
+
+
 _SHIPPED: set = set()
 
 

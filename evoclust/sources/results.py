@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoclust.operators import state as st
+from evoclust.operators.metrics import homogeneity_completeness
 from evoclust.params import ClusterParams
 
-TABLES = ("details", "micro_clusters", "micro_metrics", "macro_clusters", "macro_metrics", "rejects", "progress")
+TABLES = ("details", "micro_clusters", "micro_metrics", "macro_clusters", "macro_metrics", "rejects", "progress",
+          "listener")
 PROGRESS = ("batch_id long, rows long, to_p long, to_o long, unassigned long, opened long, promoted long, p_pruned long, "
-            "o_pruned long, n_p long, n_o long, sum_w_p double, sum_w_o double, clock long")
+            "o_pruned long, n_p long, n_o long, sum_w_p double, sum_w_o double, clock long, "
+            "update_s double, detect_s double, total_s double")
+
+
+LISTENER = "event string, run_id string, batch_id long, rows long, trigger_ms long, durations string, at double"
 
 
 def run_details(spark: SparkSession, params: ClusterParams, app: str = "evoclust", dataset: str = "",
@@ -48,8 +54,10 @@ class ResultWriter:
          .partitionBy("batch_id").parquet(self._path(name)))
 
     def write_batch(self, state: DataFrame, batch_id: int, points_in_batch: int,
-                    params: ClusterParams) -> None:
-        """A11 snapshot of every MC plus the average p-MC purity (A5)."""
+                    params: ClusterParams, contingency: DataFrame | None = None) -> None:
+        """A11 snapshot of every MC, the average p-MC purity (A5), and of a
+        ``contingency`` (``mc_id, label, n``) homogeneity and completeness of
+        the batch (A10)."""
         snap = st.snapshot(state, batch_id, points_in_batch, params)
         self._write_batch(snap, "micro_clusters")
         met = (state.filter(F.col("kind") == "p")
@@ -57,6 +65,11 @@ class ResultWriter:
                    "lbl_counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("value"))
                .select(F.lit(batch_id).cast("long").alias("batch_id"),
                        F.lit("PURITY(avg)").alias("name"), "value"))
+        if contingency is not None:
+            scores = homogeneity_completeness(contingency, "mc_id", "label", n_col="n")
+            met = met.unionByName(scores.select(
+                F.lit(batch_id).cast("long").alias("batch_id"),
+                F.explode(F.create_map(F.lit("HOMOGENEITY"), "homogeneity", F.lit("COMPLETENESS"), "completeness")).alias("name", "value")))
         self._write_batch(met, "micro_metrics")
 
     def write_rejects(self, rejects: DataFrame, batch_id: int) -> None:
@@ -83,6 +96,9 @@ def read_results(spark: SparkSession, root: str) -> dict:
         path = jvm.org.apache.hadoop.fs.Path(os.path.join(root, name))
         if path.getFileSystem(conf).exists(path):  # else not written by this run
             # a run without a reject leaves a folder without files
+            if name == "listener":
+                out[name] = spark.read.schema(LISTENER).json(path.toString())
+                continue
             read = spark.read.schema("value string, batch_id long") if name == "rejects" else spark.read
             out[name] = read.parquet(path.toString())
     return out

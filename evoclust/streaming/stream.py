@@ -10,6 +10,8 @@ that batch's stored result instead of folding it twice.
 from __future__ import annotations
 
 import json
+import os
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +57,12 @@ def run_stream(points: DataFrame, model: ClusterModel, *, trigger_seconds: int |
             df = df.filter(F.col("_ok")).select("time", "features", "label", "seq")
         rec = model.process_batch(df, batch_id)
         if results is not None and rec is not None:
-            results.write_batch(model.state, batch_id, rec["rows"], params)
+            results.write_batch(model.state, batch_id, rec["rows"], params, model.contingency([batch_id]))
             results.write_progress(rec, batch_id)
         elif results is not None:
             stored = model.stored(batch_id)
             if stored is not None:
-                results.write_batch(stored[0], batch_id, stored[1], params)
+                results.write_batch(stored[0], batch_id, stored[1], params, model.contingency([batch_id]))
         if on_batch is not None:
             on_batch(batch_id, rec)
 
@@ -70,12 +72,21 @@ def run_stream(points: DataFrame, model: ClusterModel, *, trigger_seconds: int |
         w = w.trigger(availableNow=True)
     else:
         w = w.trigger(processingTime=f"{trigger_seconds or params.batch_seconds} seconds")
+    log = ProgressTable(model.spark, results.root) if results is not None else None
+    if log is not None:
+        model.spark.streams.addListener(log)
     q = w.start()
-    if available_now:
-        q.awaitTermination()
-    elif timeout is not None:
-        q.awaitTermination(timeout)
-        q.stop()
+    if available_now or timeout is not None:
+        try:
+            if available_now:
+                q.awaitTermination()
+            else:
+                q.awaitTermination(timeout)
+                q.stop()
+        finally:
+            if log is not None:  # events come after the query's end
+                log.ended.wait(30)
+                model.spark.streams.removeListener(log)
     return q
 
 
@@ -93,28 +104,31 @@ def default_timeout(total_rows: int, rate: int, batch_seconds: int) -> float:
     return 10 + (total_rows / (batch_seconds * rate)) * batch_seconds
 
 
-class ProgressLog(StreamingQueryListener):
-    """Keeps the progress of every micro-batch (JSON rows)."""
+class ProgressTable(StreamingQueryListener):
+    """Every event of a query as a JSON document of the ``listener``
+    folder, written where it happens; nothing is kept on the driver."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.sc, self.folder, self.ended = spark.sparkContext, os.path.join(root, "listener"), threading.Event()
 
-    def __init__(self):
-        self.rows: list[dict] = []
+    def _write(self, name: str, **row) -> None:
+        jvm = self.sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder, f"{name}.json")
+        out = path.getFileSystem(self.sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray((json.dumps({**row, "at": time.time()}) + "\n").encode()))
+        out.close()
 
     def onQueryStarted(self, event):
-        self.rows.append({"event": "started", "id": str(event.id), "at": time.time()})
+        self._write(f"{event.runId}-started", event="started", run_id=str(event.runId))
 
     def onQueryProgress(self, event):
-        p = json.loads(event.progress.json)
-        self.rows.append({"event": "progress", "batch_id": p.get("batchId"),
-                          "rows": p.get("numInputRows"), "durations": json.dumps(p.get("durationMs", {})),
-                          "at": time.time()})
+        p = event.progress
+        self._write(f"{p.runId}-{p.batchId}-{p.numInputRows > 0}", event="progress", run_id=str(p.runId), batch_id=p.batchId,
+                    rows=p.numInputRows, trigger_ms=p.durationMs.get("triggerExecution"), durations=json.dumps(dict(p.durationMs)))
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        self.rows.append({"event": "terminated", "id": str(event.id), "at": time.time()})
-
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        cols = ["event", "batch_id", "rows", "durations", "at"]
-        return spark.createDataFrame([{c: r.get(c) for c in cols} for r in self.rows],
-                                     "event string, batch_id long, rows long, durations string, at double")
+        self._write(f"{event.runId}-terminated", event="terminated", run_id=str(event.runId))
+        self.ended.set()
