@@ -202,6 +202,7 @@ class PhraseCounter:
         words = Words(self.ids)
         for lang, items in out.items():
             yield from words.run(lang, items, self.parts)
+        pa.default_memory_pool().release_unused()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         words = Words(self.ids)
@@ -277,7 +278,7 @@ def _phrases(block: bytes, size: int) -> pa.Array:
 
 
 def phrase_counts(docs: DataFrame, at_least: int = 1, lang_col: str = "lang", text_col: str = "text", burst: int = 8192,
-                  max_entries: int = 2 << 20, max_words: int = 1 << 20, group_bytes: int = 12 << 20) -> DataFrame:
+                  max_entries: int = 1 << 20, max_words: int = 1 << 20, group_bytes: int = 8 << 20) -> DataFrame:
     """``lang, phrase, n``: exact counts of the phrases of one to three words
     found at least ``at_least`` times; the empty phrase counts the
     language's words."""
@@ -313,6 +314,7 @@ def phrase_counts(docs: DataFrame, at_least: int = 1, lang_col: str = "lang", te
                 phrases, n = merged()
                 held, known = 0, len(n[0])
         (phrases,), (n,) = merged()
+        pa.default_memory_pool().release_unused()
         some = (n >= at_least) | (pc.binary_length(phrases).to_numpy() == 0)
         return pa.table({"lang": pa.array([group["lang"][0].as_py()] * int(some.sum()), pa.string()),
                          "phrase": phrases.filter(pa.array(some)).cast(pa.string()), "n": pa.array(n[some])})
