@@ -205,6 +205,23 @@ def with_row_time(df: DataFrame, seq_col: str = "seq", value_col: str | None = N
     return df.withColumn("time", (F.col(seq_col) + 1).cast("long"))
 
 
+def write_replay(points: DataFrame, path: str, units: int, first: int, until: int, order_by: list | None = None,
+                 files: int = 1) -> None:
+    """S7 into S8: envelopes of the points with ``first <= time // units <
+    until``, a slice at a time, so that a file source that takes ``files``
+    files a trigger sees one slice a micro-batch.  Slices without points leave
+    no file.  ``order_by`` is the order of a slice over its files."""
+    for k in range(first, until):
+        part = encode_points(points.filter((F.col("time") >= k * units) & (F.col("time") < (k + 1) * units)))
+        if order_by and files > 1:
+            part = part.repartitionByRange(files, *order_by)
+        else:
+            part = part.repartition(files)
+        if order_by:
+            part = part.sortWithinPartitions(*order_by)
+        part.select("value").write.mode("append").text(path)
+
+
 # ---------------------------------------------------------------------- S1
 
 def read_point_stream(spark: SparkSession, source: str = "kafka", options: dict | None = None,

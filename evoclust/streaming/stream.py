@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from evoclust.plans.model import ClusterModel
-from evoclust.session import scratch_path
+from evoclust.session import remove, scratch_path
 from evoclust.sources.points import decode_marked, decode_points
 
 
@@ -90,6 +90,13 @@ def run_stream(points: DataFrame, model: ClusterModel, *, trigger_seconds: int |
     return q
 
 
+def forget_commit(spark: SparkSession, checkpoint: str, batch_id: int) -> None:
+    """Takes back the commit of a batch, as if the run had ended before it: a
+    query over this checkpoint runs the batch again."""
+    for name in (str(batch_id), f".{batch_id}.crc"):
+        remove(spark, os.path.join(checkpoint, "commits", name))
+
+
 def preview_stream(points: DataFrame, sink: str = "console", name: str = "points_preview",
                    trigger_seconds: int = 5) -> StreamingQuery:
     """Print (``console``) or keep in memory (``memory``) the parsed rows."""
