@@ -15,10 +15,14 @@ The models are counted in Spark from samples that the base patterns label:
 values inside base spans are random, letter runs elsewhere are ordinary; the
 random model starts from ``prior`` uniform counts, the ordinary one from one.
 The sample is about ``max_rows`` rows for ordinary words and eight times as
-many for base spans, chosen by the hash of their id (a documented bound on
+many for base spans, chosen by the hash of id and text (a documented bound on
 what is fitted); every text is scanned whole.
 
-Everything is one pass of SQL expressions a row: no shuffle, no Python.
+Everything is one pass of SQL expressions a row: no shuffle, no Python.  Base
+spans are marked in a copy of the text, one mark for each character, so what
+they leave of a run, and what is redacted, are found by patterns over that
+copy; the work is linear in the text and its matches but for the root of their
+number (positions are summed in blocks).
 
 Null and empty texts have no span.  Repeated rows are scanned alike.  Other
 columns are kept by ``redact`` and not read by ``scan``.  An empty table
@@ -38,24 +42,48 @@ ASSIGN = ("((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
           "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = "AKIA[A-Z0-9]{14,}"   # a run is taken whole, so the length can stand in the pattern
 HEX = "[0-9a-f]{16,}"
-CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each match starts, from the lengths ``p`` of the text before it
+    and ``m`` of itself.  Sums are taken in blocks of the root of their number,
+    so that no array grows step by step over all of them."""
+    none = F.array().cast("array<int>")
+
+    def running(xs: Column, start, step) -> Column:
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("starts")), lambda a, x: F.struct(
+            (a.at + step(x)).alias("at"), F.concat(a.starts, F.array(a.at + start(x))).alias("starts")))
+
+    def in_blocks(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")),
+                             lambda b: running(F.slice(xs, b * size + 1, size), lambda x: x.p, lambda x: x.p + x.m))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(
+            bs, running(bs, lambda _: F.lit(0), lambda x: x.at).starts, lambda x, o: F.transform(x.starts, lambda v: v + o))))
+    return _let(sizes, lambda xs: F.when(F.size(xs) == 0, none).otherwise(in_blocks(xs)))
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> tuple[Column, Column, Column]:
+    """The text between matches, the matches, and their ``group``."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    return F.split(text, pattern, -1), whole, value
+
+
 def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of a pattern, in order; matches whose ``group`` is shorter than
     ``least`` are dropped after matching."""
-    pieces = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    pieces, whole, value = _matches(text, pattern, group)
     sizes = F.zip_with(pieces, whole, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
-    starts = F.aggregate(
-        F.filter(sizes, lambda s: s.m.isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, s: F.struct((a.at + s.p + s.m).alias("at"), F.concat(a.starts, F.array(a.at + s.p)).alias("starts")),
-        lambda a: a.starts)
-    spans = F.zip_with(starts, F.arrays_zip(whole.alias("w"), value.alias("v")),
+    spans = F.zip_with(_starts(F.filter(sizes, lambda s: s.m.isNotNull())), F.arrays_zip(whole.alias("w"), value.alias("v")),
                        lambda s, x: F.struct(s.alias("start"), F.lit(kind).alias("kind"),
                                              (s + F.length(x.w)).alias("stop"), x.v.alias("value")))
     if least:
@@ -64,25 +92,51 @@ def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans by start, then kind."""
-    return F.array_sort(F.concat(_found(text, ASSIGN, 0, 2, 12), _found(text, ACCESS, 1), _found(text, HEX, 2)))
+def _replaced(text: Column, pattern: str, new, group: int = 0) -> Column:
+    """The text with ``new(match, group)`` for each match."""
+    pieces, whole, value = _matches(text, pattern, group)
+    parts = F.zip_with(pieces, F.arrays_zip(whole.alias("w"), value.alias("v")),
+                       lambda p, m: F.concat(p, F.when(m.isNull(), F.lit("")).otherwise(new(m.w, m.v))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
-def _pieces(spans: Column, base: Column) -> Column:
-    """``spans`` without what ``base`` (by start) covers: the pieces left."""
-    def piece(s: Column, start: Column, stop: Column) -> Column:
-        return F.struct(start.alias("start"), s.kind.alias("kind"), stop.alias("stop"),
-                        F.substring(s.value, start - s.start + 1, stop - start).alias("value"))
+# Marks, one for one in the place of a span's characters: the first one and
+# the others, where a candidate could hold them; and where none could.
+FIRST, INNER, FIRST_NOT, INNER_NOT, QUIET = "\x01", "\x02", "\x03", "\x04", "\x05"
+LETTER = "[A-Za-z0-9+/_=-]"
+RUN = f"[A-Za-z0-9+/_={FIRST}{INNER}-]{{16,}}"
 
-    def cut_out(s: Column) -> Column:
-        return F.aggregate(
-            F.filter(base, lambda b: (b.start < s.stop) & (s.start < b.stop)),
-            F.struct(s.start.alias("at"), F.array().cast(_SPAN).alias("got")),
-            lambda a, b: F.struct(F.greatest(a.at, b.stop).alias("at"), F.when(
-                b.start > a.at, F.concat(a.got, F.array(piece(s, a.at, b.start)))).otherwise(a.got).alias("got")),
-            lambda a: F.when(a.at < s.stop, F.concat(a.got, F.array(piece(s, a.at, s.stop)))).otherwise(a.got))
-    return F.flatten(F.transform(spans, cut_out))
+
+def _marked(span: Column) -> Column:
+    head, tail = F.substring(span, 1, 1), F.substring(span, 2, 2**31 - 1)
+    tail = F.regexp_replace(F.regexp_replace(tail, LETTER, INNER), f"[^{INNER}]", INNER_NOT)
+    return F.concat(F.when(head.rlike(LETTER), FIRST).otherwise(FIRST_NOT), tail)
+
+
+def _overlaid(a: Column, b: Column) -> Column:
+    """Two markings of one text as one, a character at a time: inside a span
+    of either it is inside, so overlapping spans are one."""
+    letters = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    return F.array_join(F.zip_with(letters(a), letters(b), lambda x, y: F.when(x.isin(INNER, INNER_NOT), x).when(
+        y.isin(INNER, INNER_NOT), y).when(x.isin(FIRST, FIRST_NOT), x).otherwise(y)), "")
+
+
+def _with_marks(rows: DataFrame, quiet: str, out: str) -> DataFrame:
+    """``rows`` with the text ``quiet``, which holds no mark, with all base
+    spans marked as ``out``."""
+    for k, (pattern, group, least) in enumerate(((ASSIGN, 2, 12), (ACCESS, 0, 0), (HEX, 0, 0))):
+        kept = lambda w, v, n=least: F.when(F.length(v) >= n, _marked(w)).otherwise(w)
+        rows = rows.withColumn(f"__m{k}", _replaced(F.col(quiet), pattern, kept, group))
+    plain = F.col(quiet)
+    for k in (1, 2):  # texts with one kind of span are not taken apart
+        a, b = F.col(f"__m{k - 1}"), F.col(f"__m{k}")
+        rows = rows.withColumn(f"__m{k}", F.when(a == plain, b).when(b == plain, a).otherwise(_overlaid(a, b)))
+    return rows.withColumn(out, F.col("__m2")).drop("__m0", "__m1", "__m2")
+
+
+def base_spans(text: Column) -> Column:
+    """All base spans by start, then kind."""
+    return F.array_sort(F.concat(_found(text, ASSIGN, 0, 2, 12), _found(text, ACCESS, 1), _found(text, HEX, 2)))
 
 
 def _pairs(values: DataFrame) -> dict[int, int]:
@@ -99,9 +153,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", max_rows: int = 4_000, prior:
     text = text_col()
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("t"))
     # chosen by a hash limit, and only counted: no task gets the sample whole
-    random = (rows.filter(hash_share(rows, "__id", 8 * max_rows)).select(F.explode(base_spans(F.col("t"))).alias("s"))
+    random = (rows.filter(hash_share(rows, ["__id", "t"], 8 * max_rows)).select(F.explode(base_spans(F.col("t"))).alias("s"))
               .select(F.col("s.value").alias("value")))
-    plain = (rows.filter(hash_share(rows, "__id", max_rows))
+    plain = (rows.filter(hash_share(rows, ["__id", "t"], max_rows))
              .select(F.explode(F.regexp_extract_all("t", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{6,}(?![A-Za-z0-9+/_=-])"),
                                                     F.lit(0))).alias("value")))
     n = len(ALPHABET)
@@ -132,17 +186,26 @@ def _llr(value: Column, table: list[float]) -> Column:
         lambda s: s.sum)
 
 
-def markov_spans(text: Column, base: Column, table: list[float], min_llr: float = 12.0, min_rate: float = 0.8) -> Column:
-    found = _pieces(_found(text, CANDIDATE, 3), base)
-    return F.filter(found, lambda s: _llr(s.value, table) >= F.greatest(
-        F.lit(min_llr), F.length(s.value) * F.lit(min_rate)))
+def _secret(value: Column, table: list[float], min_llr: float = 12.0, min_rate: float = 0.8) -> Column:
+    return _llr(value, table) >= F.greatest(F.lit(min_llr), F.length(value) * F.lit(min_rate))
+
+
+def markov_spans(marked: Column, table: list[float], **params) -> Column:
+    """The pieces of candidate runs that no base span covers and the models
+    take for random."""
+    def pieces(run: Column) -> Column:
+        return F.transform(_found(run.value, LETTER + "+", 3), lambda s: F.struct(
+            (run.start + s.start).alias("start"), s.kind.alias("kind"), (run.start + s.stop).alias("stop"), s.value.alias("value")))
+    return F.filter(F.flatten(F.transform(_found(marked, RUN, 3), pieces)), lambda s: _secret(s.value, table, **params))
 
 
 def spans(docs: DataFrame, table: list[float], text: str = "text", **params) -> DataFrame:
     """``docs`` with ``__base`` and ``__spans`` (all spans by start, kind)."""
+    marks = FIRST + INNER + FIRST_NOT + INNER_NOT
     out = docs.withColumn("__t", text_col(text)).withColumn("__base", base_spans(F.col("__t")))
+    out = _with_marks(out.withColumn("__q", F.translate("__t", marks, QUIET * 4)), "__q", "__m")
     return out.withColumn("__spans", F.array_sort(F.concat(
-        F.col("__base"), markov_spans(F.col("__t"), F.col("__base"), table, **params)))).drop("__t")
+        F.col("__base"), markov_spans(F.col("__m"), table, **params)))).drop("__t", "__q", "__m")
 
 
 def _listed(c: str) -> Column:
@@ -160,16 +223,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
                        _listed("__spans").alias("spans"), n(3))
 
 
+#: marks in a text itself stand aside while its spans are marked
+_ASIDE = [(QUIET, QUIET + "\x10"), (FIRST, QUIET + "\x06"), (INNER, QUIET + "\x07"), (FIRST_NOT, QUIET + "\x0e"), (INNER_NOT, QUIET + "\x0f")]
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", mark: str = "[SECRET]", **params) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by
     ``mark``; texts without spans are left as they are."""
-    out = spans(docs, train(docs, id_col), **params)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"))
-    body = F.aggregate(
-        "__spans", state,
-        lambda a, s: F.when(s.stop <= a.at, a).otherwise(F.struct(
-            s.stop.alias("at"),
-            F.when(s.start < a.at, a.s).otherwise(F.concat(
-                a.s, F.substring(F.col("text"), a.at + 1, s.start - a.at), F.lit(mark))).alias("s"))),
-        lambda a: F.concat(a.s, F.substring(F.col("text"), a.at + 1, F.lit(2**31 - 1))))
-    return out.withColumn("text", F.when(F.size("__spans") > 0, body).otherwise(F.col("text"))).drop("__base", "__spans")
+    table = train(docs, id_col)
+    aside, back = F.col("text"), F.col("__m")
+    for c, stand in _ASIDE:
+        aside = F.replace(aside, F.lit(c), F.lit(stand))
+    for c, stand in reversed(_ASIDE):
+        back = F.replace(back, F.lit(stand), F.lit(c))
+
+    def judged(run: Column, _) -> Column:
+        return _replaced(run, LETTER + "+", lambda w, _: F.when(_secret(w, table, **params), _marked(w)).otherwise(w))
+
+    has = F.col("text").rlike(f"[{FIRST}-{QUIET}]")
+    out = _with_marks(docs.withColumn("__q", F.when(has, aside).otherwise(F.col("text"))), "__q", "__b")
+    out = out.withColumn("__n", _replaced(F.col("__b"), RUN, judged))
+    hidden = F.regexp_replace("__n", f"[{FIRST}{FIRST_NOT}][{INNER}{INNER_NOT}]*", mark.replace("\\", "\\\\").replace("$", "\\$"))
+    out = out.withColumn("__m", hidden)
+    new = F.when(F.col("__n") == F.col("__q"), F.col("text")).when(F.col("text").rlike(f"[{FIRST}-{QUIET}]"), back).otherwise(F.col("__m"))
+    return out.withColumn("text", new).drop("__q", "__b", "__n", "__m")
