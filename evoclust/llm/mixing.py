@@ -100,10 +100,13 @@ def posteriors(docs: DataFrame, model, domains: list[str], id_col: str = "doc_id
     return got.select("__row", id_col, "n_tokens", *[(F.col(f"e{k}") / total).alias(f"p{k}") for k in range(len(domains))])
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, every: int = 8, tolerance: float = 1e-5,
+def fit_rates(rows: DataFrame, targets: list[float], every: int = 8, tolerance: float = 1e-5, patience: int = 40,
               budget: float | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """``rows`` (``n_tokens, p0..``) with a column ``rate``; the domains'
-    expected tokens under the rates, and the targets."""
+    expected tokens under the rates, and the targets.  Steps go on until every
+    domain is within ``tolerance`` of the budget of its target, or, where the
+    targets can't be met, until ``patience`` steps have not brought the
+    weighted squares down by a thousandth."""
     k = len(targets)
     p = [F.col(f"p{d}") for d in range(k)]
     rows = cut(rows.withColumns({"rate": F.lit(1.0), "__last": F.lit(1.0)}), "mix-rows")
@@ -136,15 +139,17 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, every: int
         x = ahead(F.col("__s.r"), F.col("__s.q"), F.lit(beta))
         return np.array([v or 0.0 for v in now.agg(*[F.sum(F.col("n_tokens") * x * c) for c in p]).first()], float)
 
-    t, got = 1.0, np.zeros(k)
-    for step in range(steps + 1):
+    t, got, least, since = 1.0, np.zeros(k), math.inf, 0
+    while True:
         nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        beta = (t - 1) / nxt if step else 0.0
+        beta = (t - 1) / nxt if least < math.inf else 0.0
         t = nxt
         rho = totals(beta) - goal
-        if np.abs(rho).max() <= tolerance * max(total, 1.0) or step == steps:
+        off = float((w * rho * rho).sum())
+        least, since = (off, 0) if off < 0.999 * least else (least, since + 1)
+        if np.abs(rho).max() <= tolerance * max(total, 1.0) or since >= patience:
             got = totals(0.0)  # of the rates, which the place ahead of them only approaches
-            if np.abs(got - goal).max() <= 2 * tolerance * max(total, 1.0) or step == steps:
+            if np.abs(got - goal).max() <= 2 * tolerance * max(total, 1.0) or since >= patience:
                 break
         taken.append([beta, *(eta * w * rho)])
         if len(taken) == every:
