@@ -71,25 +71,31 @@ def host_edges(pages: DataFrame, hosts: DataFrame, structural: float = 1.0) -> D
             .groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 12, every: int = 4) -> DataFrame:
-    """``host, rank``: personalised PageRank from ``seeds(host, mass)``,
-    ``steps`` terms of ``(1 - d) sum_k (d P')^k s``; mass that reaches a host
-    without links ends there."""
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, every: int = 6) -> DataFrame:
+    """``host, rank``: personalised PageRank from ``seeds(host, mass)``, the
+    series ``(1 - d) sum_k (d P')^k s`` up to where less than ``tolerance`` of
+    the seeds' mass is still to come; mass that reaches a host without links
+    ends there."""
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
     start = seeds.select("host", (F.col("mass") * F.lit((1 - damping) / total)).alias("x"))
     out = edges.groupBy("src").agg(F.sum("w").alias("t"))
     step = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-edges")
-    rank = start.withColumnRenamed("x", "rank")
-    for k in range(1, steps + 1):
-        moved = (rank.join(step, rank.host == step.src)
-                 .select(F.col("dst").alias("host"), (F.col("rank") * F.col("p") * F.lit(damping)).alias("x")))
-        # one sum a host: what came along edges, and its part of the seeds
-        rank = moved.union(start).groupBy("host").agg(F.sum("x").alias("rank"))
-        if k % every == 0 or k == steps:
-            rank = cut(rank, "rank")
-    return rank
+    rank, sums = start.withColumnRenamed("x", "rank"), 1 - damping
+    while True:
+        for _ in range(every):
+            moved = (rank.join(step, rank.host == step.src)
+                     .select(F.col("dst").alias("host"), (F.col("rank") * F.col("p") * F.lit(damping)).alias("x")))
+            # one sum a host: what came along edges, and its part of the seeds
+            rank = moved.union(start).groupBy("host").agg(F.sum("x").alias("rank"))
+        rank = cut(rank, "rank")
+        now = rank.agg(F.sum("rank")).first()[0]
+        # each term is at most ``damping`` times the one before it
+        far = damping ** every
+        if (now - sums) * far / (1 - far) < tolerance:
+            return rank
+        sums = now
 
 
 def host_verdicts(pages: DataFrame, rules=RULES, ratio: float = 1.0, structural: float = 1.0, **params) -> DataFrame:
