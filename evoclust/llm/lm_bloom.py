@@ -17,7 +17,8 @@ share * D(u)`` leaves unseen followers of a frequent word their part.  A false
 positive on level 1 gives an unseen pair a count, and every word has about V
 unseen followers; so level 1 has as many hashes as it takes to keep the sum
 over all of them below ``TOLERANCE`` of the least denominator (further levels:
-``hashes``), and pairs with an unknown word are not probed.  ``score`` is the
+``hashes``), and pairs with an unknown word are not probed.  A hash sets, and
+a probe reads, several bits of one 64-bit word.  ``score`` is the
 sum of log10 p over the words of a text and its end.  The base score uses
 exact unigram counts, kept beside the filter with ``D(u)``.
 
@@ -55,6 +56,8 @@ END = U64(0x5BD1E995A7B3C1D9)  # row start and end
 FLUSH = 1_000_000              # tokens gathered before a pre-aggregation
 TOLERANCE = 0.01               # of a distribution that false positives may take
 TOP = 400                      # levels
+PROBE_BITS = 5.4               # a probe of 6 bits lets one key in 2 ** this through: words are not filled evenly
+LOW = U64(0xFFFFFFFF)
 
 
 def _sequence(buf, offsets):
@@ -178,28 +181,64 @@ def level_values(base: float) -> np.ndarray:
     return out
 
 
-def _positions(key: np.ndarray, lev: int, i: int, m) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        a = tk.mix(key + U64(lev) * U64(0xD1B54A32D192ED03))
-        step = (a >> U64(33)) | U64(1)
-        return (a + U64(i) * step + U64(i ** 3)) % m
+def _bit_sets(k: int) -> np.ndarray:
+    """4096 different choices of ``k`` of 64 bits, the same everywhere."""
+    order = np.random.Generator(np.random.PCG64(k)).random((4096, 64)).argsort(1)
+    return np.sort(order[:, :k], 1)
+
+
+SETS = {k: _bit_sets(k) for k in (4, 6)}
+MASKS = {k: (U64(1) << v.astype(U64)).sum(1, dtype=U64) for k, v in SETS.items()}
+
+
+class Probes:
+    """Where a level's bits of a key are, probe after probe: a word of the
+    filter, and which of 4096 sets of its 64 bits."""
+
+    def __init__(self, key: np.ndarray, lev: int, words):
+        with np.errstate(over="ignore"):
+            a = tk.mix(key + U64(lev) * U64(0xD1B54A32D192ED03))
+            self.b = tk.mix(a + U64(0x2545F4914F6CDD1D))
+        self.at, self.step, self.words = a >> U64(32), a & LOW | U64(1), words
+
+    def next(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.at * self.words >> U64(32), self.b & U64(4095)
+        self.at = self.at + self.step & LOW
+        self.b = self.b >> U64(12)  # five times 12 bits, then they come again
+        self.b |= (out[1] ^ self.step & U64(4095)) << U64(52)
+        return out
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.at, self.step, self.b = self.at[rows], self.step[rows], self.b[rows]
+        if np.ndim(self.words):
+            self.words = self.words[rows]
+
+
+def _probes(lev: int, first: int, hashes: int) -> tuple[int, int]:
+    """Probes on a level, and bits of each."""
+    return (first, 6) if lev == 1 else (hashes, 4)
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, base: float, first: int, hashes: int) -> np.ndarray:
-    """Bits (as bytes) of one bucket's filter, sized by its insertions:
-    ``first`` hashes on level 1, ``hashes`` on the others."""
+    """Words of one bucket's filter, about half of its bits set: ``first``
+    probes of 6 bits on level 1, ``hashes`` of 4 bits on the others."""
     lev = level(counts, base)
     top = int(lev.max()) if len(lev) else 0
     if top > TOP:
         raise ValueError(f"a count of {counts.max()} is beyond level {TOP} of base {base}: take a larger base")
-    bits_in = len(keys) * first + int((lev - 1).sum()) * hashes
-    m = max(64, int(math.ceil(bits_in / math.log(2) / 64.0)) * 64)
-    bits = np.zeros(m, bool)
+    bits_in = 6 * len(keys) * first + 4 * int((lev - 1).sum()) * hashes
+    words = max(1, math.ceil(bits_in / math.log(2) / 64.0))
+    if words >= 1 << 32:
+        raise ValueError("a bucket's filter has 2^32 words or more: take smaller buckets")
+    bits = np.zeros(words * 64, bool)
     for j in range(1, top + 1):
-        k = keys[lev >= j]
-        for i in range(first if j == 1 else hashes):
-            bits[_positions(k, j, i, U64(m))] = True
-    return np.packbits(bits, bitorder="little")
+        probes, (times, k) = Probes(keys[lev >= j], j, U64(words)), _probes(j, first, hashes)
+        for _ in range(times):
+            at, which = probes.next()
+            at = (at << U64(6)).astype(np.int64)
+            for i in range(k):
+                bits[at + SETS[k][which, i]] = True
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
 def _columns(t: pa.Table, **kinds) -> list[np.ndarray]:
@@ -217,7 +256,7 @@ def _word_builder(nb: int, base: float, hashes: int):
         k, _, c = _merge(k, c.astype(np.int64))
         f, b = build_filter(k, c, base, hashes, hashes), t.column("b")[0].as_py()
         back = Bits([(b, f.tobytes())], nb, hashes, hashes, base).counts(k, np.full(len(k), b))
-        return _table(b, n_tokens=int(c.sum()), n_types=len(k), total=float(back.sum()), size=24 * len(k) + f.nbytes,
+        return _table(b, n_tokens=int(c.sum()), n_types=len(k), total=float(back.sum()), size=16 * len(k) + f.nbytes,
                       k=k.tobytes(), c=c.tobytes(), f=f.tobytes())
     return run
 
@@ -256,7 +295,7 @@ class Trained:
         self.hot = self._hot(self.n_tokens / nb)
         # false positives among V unseen followers of a word seen once, over its denominator
         allowed = TOLERANCE * (1 + mu + share) / max(self.n_types, 1)
-        self.first = max(hashes, math.ceil(-math.log2(min(allowed, 0.5))))
+        self.first = max(hashes, math.ceil(-math.log2(min(allowed, 0.5)) / PROBE_BITS))
         pairs = texts.mapInArrow(_pair_counter(nb, self.hot), "b int, u binary, n binary, k binary, c binary")
         self.pairs = cut(pairs.groupBy("b").applyInArrow(_pair_builder(nb, self.hot, base, self.first, hashes), _PAIRS), "lm-pairs")
 
@@ -284,10 +323,11 @@ class Trained:
         return out
 
     def _parts(self, parts: DataFrame, seg: list[int], *cols: str) -> list[tuple]:
-        """Rows of the given buckets, a partition at a time."""
+        """Rows of the given buckets."""
         if not seg:
             return []
-        rows = parts.filter(F.col("b").between(seg[0], seg[-1])).select("b", *cols).toLocalIterator()
+        # a bucket a partition: small results, fetched one after another
+        rows = parts.filter(F.col("b").between(seg[0], seg[-1])).select("b", *cols).repartition(len(seg), "b").toLocalIterator()
         return sorted((r.b, *[bytes(r[c]) for c in cols]) for r in rows)
 
     def word_segments(self, limit: int) -> Iterator[Words]:
@@ -303,7 +343,7 @@ class Trained:
                 d[np.searchsorted(k, u)] = np.frombuffer(du, float)
             mine = _member(self.hot, k)
             d[np.searchsorted(k, self.hot[mine])] = hot[mine]
-            yield Words(k, c, d, Bits([(r[0], r[3]) for r in rows], self.nb, self.hashes, self.hashes, self.base))
+            yield Words(k, c.astype(np.uint32) if self.n_tokens < 2**32 else c, d.astype(np.float32), Bits([(r[0], r[3]) for r in rows], self.nb, self.hashes, self.hashes, self.base))
 
     def pair_segments(self, limit: int) -> Iterator[Bits]:
         for seg in _segments(self.pairs, limit):
@@ -314,17 +354,17 @@ class Trained:
 
 
 class Bits:
-    """A segment's filters side by side: bytes, first bit and bits of every
-    bucket; buckets outside the segment have none."""
+    """A segment's filters side by side: words, and the first word and number
+    of words of every bucket; buckets outside the segment have none."""
 
     def __init__(self, parts: list[tuple[int, bytes]], nb: int, first: int, hashes: int, base: float):
         self.start, self.m = np.zeros(nb, U64), np.zeros(nb, U64)
         self.first, self.hashes, self.values, self.nb = first, hashes, level_values(base), nb
         at = 0
         for b, f in parts:
-            self.start[b], self.m[b] = at, 8 * len(f)
-            at += 8 * len(f)
-        self.bytes = np.frombuffer(b"".join(f for _, f in parts), np.uint8)
+            self.start[b], self.m[b] = at, len(f) // 8
+            at += len(f) // 8
+        self.words = np.frombuffer(b"".join(f for _, f in parts), U64)
 
     def counts(self, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Quantised counts by membership probes, level after level; 0 in
@@ -332,10 +372,15 @@ class Bits:
         lev = np.zeros(len(key), np.int64)
         live = np.flatnonzero(self.m[bucket] > 0)
         for j in range(1, TOP + 1):
-            for i in range(self.first if j == 1 else self.hashes):
-                b = bucket[live]
-                p = _positions(key[live], j, i, self.m[b]) + self.start[b]
-                live = live[(self.bytes[(p >> U64(3)).astype(np.int64)] >> (p & U64(7)).astype(np.uint8)) & 1 == 1]
+            b = bucket[live]
+            probes, start, (times, k) = Probes(key[live], j, self.m[b]), self.start[b], _probes(j, self.first, self.hashes)
+            for _ in range(times):
+                at, which = probes.next()
+                mask = MASKS[k][which]
+                hit = self.words[at + start] & mask == mask
+                if not hit.all():
+                    live, start = live[hit], start[hit]
+                    probes.keep(hit)
             if not len(live):
                 break
             lev[live] = j
@@ -415,7 +460,7 @@ def _opened(segments: list) -> Iterator:
 def _score(scorer: Scorer, words: list, pairs: list):
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # several segments are loaded again for each chunk, so chunks are larger
-        limit = 2 << 20 if len(words) + len(pairs) <= 2 else 8 << 20
+        limit = 2 << 20 if len(words) + len(pairs) <= 2 else 4 << 20
         for col in it:
             out = {k: np.zeros(len(col), float if "score" in k else np.int64) for k in ("n_tokens", "n_known", "base_score", "score")}
             for lo, hi, buf, off in tk.chunks(col, limit):
@@ -425,13 +470,13 @@ def _score(scorer: Scorer, words: list, pairs: list):
     return F.arrow_udf(run, "n_tokens long, n_known long, base_score double, score double")
 
 
-def train(texts: DataFrame, mu: float = 4.0, share: float = 1.0, base: float = 1.5, hashes: int = 7,
-          bucket_bytes: int = 32 << 20) -> Trained:
+def train(texts: DataFrame, mu: float = 4.0, share: float = 1.0, base: float = 1.5, hashes: int = 2,
+          bucket_bytes: int = 8 << 20) -> Trained:
     """Learns from all rows; a bucket for ``bucket_bytes`` of text."""
     return Trained(texts, mu, share, base, hashes, bucket_bytes)
 
 
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", max_broadcast: int = 64 << 20, **params) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", max_broadcast: int = 16 << 20, **params) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for every row of ``docs``; the rows where ``train_on`` holds
     train the model."""

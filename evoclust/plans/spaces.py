@@ -34,13 +34,67 @@ def q_init_embeddings(spark, sf):
                         _r(F.col("cf2")[63], "q63"), "pts", *[F.col("lbl_counts")[k].alias(f"l{k}") for k in range(C.EMB_LABELS)])
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_neighbour_counts, q_init_embeddings)}
+TRACK_HOURS = (240, 480, 720)  # fixed values: the ends of three maps of the 30-day events table
+
+
+def q_macro_track(spark, sf):
+    """The macro-clusters of the users' micro-clusters at three times, each
+    followed to the next: stable id, maps it was in, members and weight."""
+    from evoclust.functions import cf
+    from evoclust.operators.delta import decayed_delta
+    from evoclust.operators.macro import macro_members
+    from evoclust.operators.track import follow
+    from evoclust.session import cut
+    ship_package(spark)
+    ev, earlier, out = C.events_points(spark, sf), None, None
+    for b, hours in enumerate(TRACK_HOURS):
+        m = cut(decayed_delta(ev.filter(F.col("time") < hours), C.LAM, 2, C.EV_TYPES, keys=("user_id",)).select(
+            F.col("user_id").alias("ord"), F.col("dn").alias("weight"), cf.centroid("dcf1", "dn").alias("centroid"),
+            (F.col("dn") >= C.MACRO_MU).alias("core")), "track-mcs")
+        now = macro_members(m, C.MACRO_EPS, 2).join(m.select("ord", "weight"), "ord").withColumnRenamed("ord", "mc_id")
+        earlier = cut(follow(now, earlier, b), "track-map")
+        rows = earlier.join(m.select(F.col("ord").alias("mc_id"), "weight"), "mc_id").groupBy("macro_id", "total_batches").agg(
+            F.count(F.lit(1)).alias("members"), F.sum("weight").alias("weight"))
+        rows = rows.select(F.lit(b).cast("long").alias("batch_id"), "macro_id", F.col("total_batches").cast("long").alias("total_batches"),
+                           "members", _r(F.col("weight"), "weight"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_neighbour_counts, q_init_embeddings, q_macro_track)}
 
 _NEAR = f"""v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 e AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.x, b.x) AS dist
       FROM v a JOIN v b ON a.vec_id <> b.vec_id) z WHERE dist < CAST({EMB_EPS} AS DOUBLE))"""
 
+def _map(b: int, hours: int) -> str:
+    """The macro map at a time, and its macro-clusters followed from the one before."""
+    first = f"f{b} AS (SELECT DISTINCT comp, '0-' || comp AS macro_id, 1 AS tb FROM mem0)"
+    later = f"""sh{b} AS (SELECT n.comp, e.macro_id, sum(n.w) AS w, max(e.tb) AS tb FROM mem{b} n
+  JOIN (SELECT m.ord, f.macro_id, f.tb FROM mem{b - 1} m JOIN f{b - 1} f USING (comp)) e USING (ord) GROUP BY n.comp, e.macro_id),
+pa{b} AS (SELECT * FROM sh{b} QUALIFY row_number() OVER (PARTITION BY comp ORDER BY w DESC, macro_id) = 1),
+he{b} AS (SELECT * FROM pa{b} QUALIFY row_number() OVER (PARTITION BY macro_id ORDER BY w DESC, comp) = 1),
+f{b} AS (SELECT c.comp, coalesce(he{b}.macro_id, '{b}-' || c.comp) AS macro_id, coalesce(he{b}.tb + 1, 1) AS tb
+  FROM (SELECT DISTINCT comp FROM mem{b}) c LEFT JOIN he{b} USING (comp))"""
+    return f"""
+t{b} AS (SELECT *, max(time) OVER (PARTITION BY user_id) AS tmax FROM evp WHERE time < {hours}),
+mc{b} AS MATERIALIZED (SELECT user_id AS ord, sum(g) AS w, sum(g * f0) / sum(g) AS x0, sum(g * f1) / sum(g) AS x1
+  FROM (SELECT *, pow(2.0, -0.25 * (tmax - time)) AS g FROM t{b}) z GROUP BY user_id),
+ln{b} AS MATERIALIZED (SELECT * FROM (SELECT a.ord AS src, c.ord AS dst, a.w >= 1.5 AS core,
+    sqrt((a.x0 - c.x0) * (a.x0 - c.x0) + (a.x1 - c.x1) * (a.x1 - c.x1)) AS dist FROM mc{b} a JOIN mc{b} c ON a.ord <> c.ord AND c.w >= 1.5) z
+  WHERE dist < CAST({2 * C.MACRO_EPS} AS DOUBLE)),
+rc{b}(o, r) AS (SELECT ord, ord FROM mc{b} WHERE w >= 1.5 UNION SELECT rc{b}.o, ln{b}.dst FROM rc{b} JOIN ln{b} ON rc{b}.r = ln{b}.src AND core),
+cc{b} AS (SELECT o AS ord, min(r) AS comp FROM rc{b} GROUP BY o),
+mem{b} AS MATERIALIZED (SELECT z.ord, z.comp, m.w FROM (SELECT ord, comp FROM cc{b} UNION ALL
+  SELECT n.ord, cc{b}.comp FROM (SELECT src AS ord, arg_min(dst, {{'d': dist, 'o': dst}}) AS c FROM ln{b} WHERE NOT core GROUP BY src) n
+  JOIN cc{b} ON cc{b}.ord = n.c) z JOIN mc{b} m USING (ord)),
+{later if b else first}"""
+
+
 SQL = {
+    "macro_track": f"WITH RECURSIVE {O.EVP}," + ",".join(_map(b, h) for b, h in enumerate(TRACK_HOURS)) + " UNION ALL".join(f"""
+SELECT CAST({b} AS BIGINT) AS batch_id, macro_id, CAST(tb AS BIGINT) AS total_batches, count(*) AS members, round(sum(w), 6) AS weight
+FROM mem{b} JOIN f{b} USING (comp) GROUP BY macro_id, tb""" for b in range(len(TRACK_HOURS))),
     "neighbour_counts": f"""WITH {_NEAR}
 SELECT v.vec_id, count(e.src) AS neighbours FROM v LEFT JOIN e ON v.vec_id = e.src GROUP BY v.vec_id""",
     "init_embeddings": f"""WITH RECURSIVE {_NEAR},
