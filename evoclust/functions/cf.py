@@ -37,16 +37,6 @@ def add(a, b) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x + y)
 
 
-def square(arr) -> Column:
-    return F.transform(_c(arr), lambda x: x * x)
-
-
-def axpy(a, f, b) -> Column:
-    """a * f + b, element-wise (decay a CF and add a delta)."""
-    f = _c(f)
-    return F.zip_with(_c(a), _c(b), lambda x, y: x * f + y)
-
-
 def centroid(cf1, weight) -> Column:
     """cf1 / weight when weight > 0, else cf1."""
     w = _c(weight)

@@ -107,8 +107,7 @@ def mc_edges(mcs: DataFrame, eps: float, d: int) -> DataFrame:
 
 
 @tidy
-def connected_components(edges: DataFrame, unique: bool = False, jumps: int = 3,
-                         once: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, unique: bool = False, jumps: int = 3) -> DataFrame:
     """``id, comp`` (comp = smallest id of the component) for every node
     that has an edge.
 
@@ -122,16 +121,13 @@ def connected_components(edges: DataFrame, unique: bool = False, jumps: int = 3,
     lineage, restartable), until no edge is left: each round at least halves
     the nodes of every component that still has edges.
 
-    ``once``: the input lists every undirected edge once (any orientation);
-    ``unique``: it lists every directed edge once (both orientations, as
-    ``eps_edges`` gives).  Either saves a de-duplication shuffle.
+    ``unique``: the input lists every directed edge once (both orientations, as
+    ``eps_edges`` gives), which saves a de-duplication shuffle.
     """
     lo = F.least("src", "dst").alias("src")
     hi = F.greatest("src", "dst").alias("dst")
     e = edges.filter(F.col("src") != F.col("dst"))
-    if once:
-        e = e.select(lo, hi)
-    elif unique:
+    if unique:
         e = e.filter(F.col("src") < F.col("dst")).select("src", "dst")
     else:
         e = e.select(lo, hi).distinct()

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoclust.session import cut
+
 MAX_LABELS = 100_000  # label maps above this are joined without broadcast
 
 
@@ -65,6 +67,7 @@ def label_map(df: DataFrame, col: str, order: str = "first", order_col: str | No
     else:
         first = df.select(col).distinct()
         keys = [col]
+    first = cut(first, "labels")  # one pass over the rows, read by the steps below
     if first.count() <= MAX_LABELS:
         # one row per label: a small global window
         w = Window.orderBy(*keys)

@@ -54,8 +54,8 @@ def with_row_index(df: DataFrame, order_by: list | None = None, name: str = "seq
 # ---------------------------------------------------------------- S2, S3
 
 def kafka_text(df: DataFrame) -> DataFrame:
-    """CAST(key AS STRING), CAST(value AS STRING), timestamp."""
-    return df.selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value", "timestamp")
+    """CAST(key AS STRING), CAST(value AS STRING); other columns stay."""
+    return df.withColumns({"key": F.col("key").cast("string"), "value": F.col("value").cast("string")})
 
 
 def _parts(value: Column, num_dims: int):
@@ -239,8 +239,7 @@ def read_point_stream(spark: SparkSession, source: str = "kafka", options: dict
             reader = reader.option(k, v)
         raw = reader.load()
         # (partition, offset) orders records inside a topic partition
-        return raw.selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value",
-                              "timestamp", "partition", "offset")
+        return kafka_text(raw).select("key", "value", "timestamp", "partition", "offset")
     reader = spark.readStream.format(source)
     for k, v in options.items():
         reader = reader.option(k, v)

@@ -81,11 +81,11 @@ def test_components_distributed_path(spark):
 
 
 def test_components_of_eps_graph_once(spark):
-    """eps_edges(both=False) + once=True equals the two-direction path."""
+    """Edges listed once give the components of edges listed both ways."""
     rng = np.random.default_rng(13)
     x = rng.random((400, 2)) * 4
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))],
                                "seq long, features array<double>")
     a = {r["id"]: r["comp"] for r in connected_components(eps_edges(df, 0.15, 2), unique=True).collect()}
-    b = {r["id"]: r["comp"] for r in connected_components(eps_edges(df, 0.15, 2, both=False), once=True).collect()}
+    b = {r["id"]: r["comp"] for r in connected_components(eps_edges(df, 0.15, 2, both=False)).collect()}
     assert a == b

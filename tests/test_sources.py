@@ -72,3 +72,13 @@ def test_scores_by_batch_from_one_aggregation(spark):
         assert got[b].v_measure == pytest.approx(2 * hom * com / (hom + com) if hom + com else 0, abs=1e-9)
     none = homogeneity_completeness(df.limit(0), "k", "c").collect()
     assert [tuple(r) for r in none] == [(1.0, 1.0, 1.0)]
+
+
+def test_kafka_records_as_text(spark):
+    from evoclust.operators.prep import describe_schema
+    from evoclust.sources.points import decode_points, kafka_text
+    raw = spark.createDataFrame([(None, bytearray(b"3/1.5,2.5,1"), 7)], "key binary, value binary, offset long")
+    got = kafka_text(raw)
+    assert dict(describe_schema(got)) == {"key": "string", "value": "string", "offset": "bigint"}
+    (r,) = decode_points(got, 2, seq_col="offset").collect()
+    assert (r.time, r.features, r.label, r.seq) == (3, [1.5, 2.5], 1, 7)
