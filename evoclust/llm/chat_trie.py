@@ -67,10 +67,11 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def build(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes``: the emitted stream (``rank, k``: depth-first order;
-    ``pack, start, stop``: its interval in the pack; ``piece``; ``position``:
-    id of its first token; ``learn``: under the loss mask).  ``paths``: a row a turn of each conversation,
-    with the interval (``pack, start, stop``) where it was emitted, which is
-    what later turns of the conversation attend to."""
+    ``pack, node``: its place in the pack; ``start, stop``: its interval
+    there; ``piece``; ``position``: id of its first token; ``learn``: under the
+    loss mask).  ``paths``: a row a turn of each conversation, with the place
+    and interval where it was emitted, which is what later turns of the
+    conversation attend to."""
     turns = cut(turns_of(conversations), "chat-turns")
     # 8 bytes a turn; the sort key of a conversation
     seqs = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "h1"))),
@@ -84,46 +85,53 @@ def build(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
                  .select("conv_id", "rank", "k", "role", "piece", "n", "position", "owner",
                          F.shiftright("owner", 33).alias("pack")), "chat-placed")
     own = placed.filter("rank = owner")
-    stop = F.sum("n").over(Window.partitionBy("pack").orderBy("rank", "k"))
-    nodes = cut(own.withColumn("stop", stop).select(
-        "rank", "k", "pack", (F.col("stop") - F.col("n")).alias("start"), "stop", "position", "piece",
+    stream = Window.partitionBy("pack").orderBy("rank", "k")
+    nodes = cut(own.withColumn("stop", F.sum("n").over(stream)).withColumn("node", F.row_number().over(stream)).select(
+        "rank", "k", "pack", "node", (F.col("stop") - F.col("n")).alias("start"), "stop", "position", "piece",
         (F.col("role") == "assistant").alias("learn")), "chat-nodes")
     paths = placed.select("conv_id", "k", "owner", F.col("position")).join(
-        nodes.select(F.col("rank").alias("owner"), "k", "pack", "start", "stop"), ["owner", "k"])
+        nodes.select(F.col("rank").alias("owner"), "k", "pack", "node", "start", "stop"), ["owner", "k"])
     return nodes, paths
 
 
 def intervals(paths: DataFrame) -> DataFrame:
     """Ancestor attention of every conversation: its emitted intervals in
     order, neighbours in the stream joined (``conv_id, pack, start, stop,
-    position``: the token at ``start + i`` has position id ``position + i``)."""
+    position``: the token at ``start + i`` has position id ``position + i``;
+    ``first, last``: the nodes that the interval holds)."""
     w = Window.partitionBy("conv_id").orderBy("k")
     new = (~(F.lag("stop").over(w).eqNullSafe(F.col("start")) & F.lag("pack").over(w).eqNullSafe(F.col("pack"))))
     runs = paths.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("conv_id", "run", "pack").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                                                      F.min("position").alias("position"))
-
-
-def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """``conv_id, k, role, text, learn, n_chars`` of every turn, parsed from
-    the emitted stream."""
-    got = paths.select("conv_id", "k", F.col("owner").alias("rank")).join(
-        nodes.select("rank", "k", "piece", "learn"), ["rank", "k"])
+    return runs.groupBy("conv_id", "run", "pack").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("position").alias("position"),
+        F.min("node").alias("first"), F.max("node").alias("last"))
+
+
+def read_back(nodes: DataFrame, attended: DataFrame) -> DataFrame:
+    """``conv_id, position, role, text, learn, n_chars`` of every turn, parsed
+    from what the conversation's intervals hold of the emitted stream; the
+    position ids give the order."""
+    # a row a node of an interval, as a table: the join's shuffle of a very common node can be split
+    held = cut(attended.select("conv_id", "pack", "start", "position", F.explode(F.sequence("first", "last")).alias("node")), "chat-held")
+    got = held.join(nodes.select("pack", "node", F.col("start").alias("at"), "piece", "learn"), ["pack", "node"])
     part = lambda i: unescape(F.regexp_extract("piece", "(?s)^<\\|role\\|>(.*?)<\\|text\\|>(.*)<\\|end\\|>$", i))
-    return got.select("conv_id", "k", part(1).alias("role"), part(2).alias("text"), "learn",
-                      F.length("piece").alias("n_chars"))
+    return got.select("conv_id", (F.col("position") + F.col("at") - F.col("start")).alias("position"), part(1).alias("role"),
+                      part(2).alias("text"), "learn", F.length("piece").alias("n_chars"))
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Per conversation, from the output: ``n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, n_intervals``."""
+    """Per conversation, read back through its attention intervals and
+    position ids: ``n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars``, and ``positions_sha256`` of the position ids of its
+    turns' first tokens, comma-joined."""
     nodes, paths = build(conversations)
-    turns = read_back(nodes, paths)
+    turns = read_back(nodes, intervals(paths))
     text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x.s), "")
-    whole = F.struct("k", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"))
-    loss = F.when(F.col("learn"), F.struct("k", F.col("text").alias("s")))
+    whole = F.struct("position", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"))
+    loss = F.when(F.col("learn"), F.struct("position", F.col("text").alias("s")))
     per = turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.sha2(text(whole), 256).alias("turns_sha256"),
         F.sum(F.when(F.col("learn"), F.length("text")).otherwise(0)).cast("long").alias("loss_chars"),
-        F.sha2(text(loss), 256).alias("loss_sha256"), F.sum("n_chars").cast("long").alias("formatted_chars"))
+        F.sha2(text(loss), 256).alias("loss_sha256"), F.sum("n_chars").cast("long").alias("formatted_chars"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list("position")).cast("array<string>"), ","), 256).alias("positions_sha256"))
     return per

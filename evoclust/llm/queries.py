@@ -81,12 +81,14 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, role = 'assistant' AS learn,
         regexp_replace(replace(text, '\\', '\\\\'), '<(\\||/?s>|<)', '<\\\\\\1', 'g') AS t1 FROM c),
-f AS (SELECT *, regexp_replace(t1, '\\[(/?INST\\])', '[\\\\\\1', 'g') AS t2 FROM e)
+f AS (SELECT *, regexp_replace(t1, '\\[(/?INST\\])', '[\\\\\\1', 'g') AS t2 FROM e),
+g AS (SELECT *, length(role) + length(t2) + 23 AS chars FROM f),
+h AS (SELECT *, CAST(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - chars AS BIGINT) AS beg FROM g)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN learn THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN learn THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(t2) + 23) AS BIGINT) AS formatted_chars
-FROM f GROUP BY conv_id"""
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, sha256(string_agg(CAST(beg AS VARCHAR), ',' ORDER BY beg)) AS positions_sha256
+FROM h GROUP BY conv_id"""
 
 SQL = {"op3_spaced_seeds": decontaminate.oracle(), "op7_chat_trie": _CONV, "op13_collocations": collocations.oracle()}
