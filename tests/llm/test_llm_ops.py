@@ -62,7 +62,7 @@ def by_id(rows):
 
 # ------------------------------------------------------------------- op1
 
-def test_lm_base_matches_counts_and_segments_add_up(docs, none):
+def test_lm_base_matches_counts_and_files_add_up(docs, none, many_files):
     train = fold_of("doc_id", 7) != 2
     got = by_id(lm_bloom.score(docs, train).collect())
     rows = by_id(docs.select("doc_id", "text").collect())
@@ -74,7 +74,7 @@ def test_lm_base_matches_counts_and_segments_add_up(docs, none):
         assert (g["held_out"], g["n_tokens"], g["train_tokens"]) == (h, len(t), n)
         assert g["n_known"] == sum(w in c for w in t)
         assert math.isclose(g["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs_tol=1e-6)
-    many = by_id(lm_bloom.score(docs, train, max_broadcast=1500).collect())  # several segments of either kind
+    many = by_id(lm_bloom.score(docs, train, max_held=0).collect())  # files read one after another
     for a, b in zip(got, many):
         assert {k: x for k, x in a.items() if "score" not in k} == {k: x for k, x in b.items() if "score" not in k}
         assert math.isclose(a["score"], b["score"], abs_tol=1e-6)
@@ -99,31 +99,44 @@ def _hash(words):
     return np.array(out, np.uint64)
 
 
-def test_lm_probabilities_sum_to_one_for_words_of_every_frequency(spark):
+@pytest.fixture
+def many_files(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, old)
+
+
+def test_lm_probabilities_sum_to_one_for_words_of_every_frequency(spark, many_files):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     model = lm_bloom.train(docs.select("text"))
     c, pairs = _lm_counts(r.text for r in docs.select("text").collect())
-    assert (model.n_tokens, model.n_types) == (sum(c.values()), len(c)) and len(c) > 20_000 and model.first >= 4
-    words, segments, scorer = list(model.word_segments(1 << 20)), list(model.pair_segments(1 << 20)), model.scorer()
-    assert len(words) > 1 and len(segments) > 1 and len(model.hot) >= 2
+    assert (model.n_tokens, model.n_types) == (sum(c.values()), len(c)) and len(c) > 20_000 and list(model.probes([1, 10**6])) == [7, 2]
+    scorer = model.scorer(0)
+    assert len(scorer.files.names["w"]) > 1 and len(scorer.files.names["p"]) > 1 and len(model.hot) >= 2 and not scorer.files.hold
     vocab = sorted(c, key=lambda w: (-c[w], w or ""))
     kinds, place = np.unique(_hash(vocab), return_inverse=True)
-    found = scorer.words(kinds, words)
+    n, c_ = scorer.words(kinds)
+    totals_ = np.concatenate([model.hot_totals(), *(p.totals for p in scorer.files.pairs())])
+    words_ = np.concatenate([model.hot, *(p.keys for p in scorer.files.pairs())])
+    total_of = dict(zip(words_.tolist(), totals_.tolist()))
+    assert len(total_of) == len(words_) == len(kinds)
     every = np.arange(len(kinds))
     value = lm_bloom.level_values(1.5)
     order = {w: i for i, w in enumerate(vocab)}
     totals = collections.Counter()
-    for (u, _), n in pairs.items():
-        totals[u] += value[lm_bloom.level(np.array([n]), 1.5)[0]]
+    for (u, _), k in pairs.items():
+        totals[u] += value[lm_bloom.level(np.array([k]), 1.5)[0]]
     for rank in [0, 1, 2, 5, 20, 100, 500, 2000, 5000, 15_000, len(vocab) - 1]:
-        p = scorer.probabilities(kinds, found, np.full(len(kinds), place[rank]), every, segments)
+        p = scorer.probabilities(kinds, n, c_, np.full(len(kinds), place[rank]), every)
         assert 0 < p.min() and p.max() < 1 and abs(p.sum() - 1) < 0.02, (rank, p.sum())
         # against exact counts, but for what the quantised ones are off
         u = vocab[rank]
-        assert abs(found[2][place[rank]] - totals[u]) <= 0.03 * totals[u] + 1
+        assert abs(total_of[int(kinds[place[rank]])] - totals[u]) <= 0.05 * totals[u] + 1  # one probe decides the higher levels
         exact = {v: n for (a, v), n in pairs.items() if a == u}
         at = np.array([place[order[v]] for v in list(exact)[:20]])
-        want = np.array([(n + (4 + c[u]) * (c[v] + 1) / (model.n_tokens + len(c) + 1)) / (4 + 2 * c[u]) for v, n in list(exact.items())[:20]])
+        want = np.array([(k + (4 + c[u]) * (c[v] + 1) / (model.n_tokens + len(c) + 1)) / (4 + 2 * c[u]) for v, k in list(exact.items())[:20]])
         off = np.abs(np.log10(p[at] / want))  # a false positive on a higher level: one step of 1.5, or of 1 to 2
         assert (off < 0.2).mean() >= 0.9 and off.max() < 0.5
 
@@ -145,15 +158,16 @@ def test_filter_levels():
     rng = np.random.default_rng(2)
     keys = tk.mix(np.arange(20_000, dtype=np.uint64))
     counts = np.where(rng.random(20_000) < 0.8, 1, rng.integers(1, 1000, 20_000))
-    f = lm_bloom.build_filter(keys, counts, 1.5, 4, 2)
-    bits = lm_bloom.Bits([(0, f.tobytes())], 1, 4, 2, 1.5)
+    four = np.where(keys % 2 == 0, 5, 6)
+    f = lm_bloom.build_filter(keys, counts, 1.5, four, 2)
+    bits = lm_bloom.Bits([(0, f.tobytes())], 1, 2, 1.5)
     want = lm_bloom.level_values(1.5)[lm_bloom.level(counts, 1.5)]
     zero = np.zeros(20_000, int)
-    got = bits.counts(keys, zero)
-    assert (got >= want).all() and (got == want).mean() > 0.98  # never under, seldom over
-    assert (bits.counts(tk.mix(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64)), zero) > 0).sum() <= 2
+    got = bits.counts(keys, zero, four)
+    assert (got >= want).all() and (got == want).mean() > 0.97  # never under, seldom over
+    assert (bits.counts(tk.mix(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64)), zero, four) > 0).sum() <= 2
     with pytest.raises(ValueError, match="larger base"):
-        lm_bloom.build_filter(keys[:1], np.array([10**9]), 1.01, 2, 2)
+        lm_bloom.build_filter(keys[:1], np.array([10**9]), 1.01, four[:1], 1)
 
 
 # -------------------------------------------------------------- op2, op6
@@ -431,6 +445,10 @@ def test_trees_learn_and_stay_monotone():
 
 # ------------------------------------------------------------------- op7
 
+def _escaped(t):
+    return re.sub(r"(<|\[)(?=\||/?s>|<|/?INST\])", r"\1\\", t.replace("\\", "\\\\"))
+
+
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "<|end|> \\ <\\|text|> [[/INST]", "", None, "plain\nünï", "a<", "<"]
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", said[(t + (c > 6) * c) % 7]) for c in range(12) for t in range(c % 5 + 1)]
@@ -448,6 +466,20 @@ def test_chat_round_trip(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     nodes, paths = chat_trie.build(df)
+    for c, turns in convs.items():
+        at = list(itertools.accumulate([0, *(len(_escaped(r)) + len(_escaped(x)) + 23 for _, r, x in turns[:-1])]))
+        assert got[c].positions_sha256 == hashlib.sha256(",".join(map(str, at)).encode()).hexdigest()
+    # the emitted stream, a pack at a time, against a plain tree; every token through the intervals
+    stream = {}
+    for r in nodes.orderBy("pack", "node").collect():
+        stream[r.pack] = stream.get(r.pack, "") + r.piece
+        assert len(stream[r.pack]) == r.stop and r.stop - r.start == len(r.piece)
+    seen = collections.defaultdict(list)
+    for r in chat_trie.intervals(paths).collect():
+        seen[r.conv_id] += [(r.position + i, ch) for i, ch in enumerate(stream[r.pack][r.start:r.stop])]
+    for c, turns in convs.items():
+        want = "".join(f"<|role|>{_escaped(r)}<|text|>{_escaped(x)}<|end|>" for _, r, x in turns)
+        assert sorted(seen[c]) == list(enumerate(want))
     prefixes = {tuple(t[1:] for t in sorted(convs[c])[:k + 1]) for c in convs for k in range(len(convs[c]))}
     assert nodes.count() == len(prefixes)  # every node once
     runs = chat_trie.intervals(paths).groupBy("conv_id").agg(F.sum(F.col("stop") - F.col("start")).alias("n")).collect()
