@@ -1,10 +1,10 @@
 """Epsilon-neighbour edges and connected components.
 
-The range self-join ``dist(a, b) < eps`` is rewritten as an equi-join on
-grid cells of side eps over the first g <= 3 dimensions: two points closer
-than eps differ by at most one cell in each of those dimensions, so joining
-each cell with its 3^g neighbour cells and filtering on the exact distance
-gives exactly the pairs of the nested-loop join.
+Up to three dimensions the range self-join ``dist(a, b) < eps`` is an
+equi-join on grid cells of side eps: two points closer than eps differ by at
+most one cell in each dimension, so joining each cell with its 3^d neighbour
+cells and filtering on the exact distance gives exactly the pairs of the
+nested-loop join.  Beyond, points meet by the cells of pivots (``pivots``).
 """
 
 from __future__ import annotations
@@ -46,7 +46,11 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
     the rows meeting them are replicated to every sub-group, so one dense
     cell becomes many tasks while each pair is still examined once.
     """
-    g = min(d, 3)
+    if d > 3:
+        from evoclust.operators import pivots  # which labels components by this module
+        pairs = pivots.eps_pairs(points, eps, d, id_col, feat_col, strict)
+        return _directed(pairs) if both else pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist")
+    g = d
     keys = [f"c{k}" for k in range(g)]
     cells = [F.floor(F.col(feat_col)[k] / F.lit(eps)).cast("long").alias(f"c{k}") for k in range(g)]
     # small d: coordinates as scalar columns (no array access in the join)
@@ -92,8 +96,12 @@ def eps_edges(points: DataFrame, eps: float, d: int, id_col: str = "seq",
              .filter(F.col("dist") < F.lit(eps) if strict else F.col("dist") <= F.lit(eps)))
     if not both:  # every undirected pair once, as (smaller, larger)
         return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "dist")
-    # both directions from one match: a literal two-element explode and a
-    # swap stay in generated code (no per-row structs)
+    return _directed(pairs)
+
+
+def _directed(pairs: DataFrame) -> DataFrame:
+    """Both directions from one match: a literal two-element explode and a
+    swap stay in generated code (no per-row structs)."""
     flip = F.explode(F.array(F.lit(False), F.lit(True))).alias("_flip")
     return pairs.select("a", "b", "dist", flip).select(
         F.when(F.col("_flip"), F.col("b")).otherwise(F.col("a")).alias("src"),

@@ -234,6 +234,46 @@ def neighbour_counts(points: DataFrame, eps: float, d: int, id_col: str = "seq",
     return p.rows.join(n, "x").select("id", "neighbours")
 
 
+@tidy
+def eps_pairs(points: DataFrame, eps: float, d: int, id_col: str = "seq", feat_col: str = "features", strict: bool = True,
+              cell_rows: int = 2048, block_rows: int = 2048, max_pivots: int = 1 << 16) -> DataFrame:
+    """J3/J4 as edges: ``a, b, dist`` for every pair of points closer than
+    ``eps`` (not ``strict``: or at it), once, ``a < b``.  The list is as long
+    as there are pairs; copies of a point are pairs at distance 0."""
+    reach = eps if strict else math.nextafter(eps, math.inf)
+    p = Partition(points, d, reach, id_col, feat_col, cell_rows, max_pivots)
+    held = p.spark.sparkContext.broadcast(p.cells)
+
+    def visits(batches):
+        cells = held.value
+        for rb in batches:
+            x, node, home = list_to_matrix(rb.column("x"), d), rb.column("node").to_numpy(), rb.column("cell").to_numpy()
+            step = cells.rows_at_once()
+            for lo in range(0, len(x), step):
+                xs, ns, hs = x[lo:lo + step], node[lo:lo + step], home[lo:lo + step]
+                some = cells.judge(xs, hs)[1] & (np.arange(len(cells.weight))[None, :] >= hs[:, None])
+                for r, c in _slices(*np.nonzero(some)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ns[r]), pa.array(c), pa.array(hs[r] == c), matrix_to_list(xs[r])],
+                                                     names=["node", "cell", "own", "x"])
+
+    def compare(v: pa.Table, r: pa.Table) -> pa.Table:
+        a, b = _matrix(v, d), _matrix(r, d)
+        vn, rn, own = v["node"].to_numpy(), r["node"].to_numpy(), v["own"].to_numpy()
+        i, j = np.nonzero(np.concatenate([near_matrix(a[lo:lo + 1024], b, reach) for lo in range(0, len(a), 1024)]))
+        once = ~own[i] | (vn[i] < rn[j])  # two points of one cell meet twice, and themselves
+        i, j = i[once], j[once]
+        diff = a[i] - b[j]
+        return pa.table({"n1": vn[i], "n2": rn[j], "dist": np.sqrt((diff * diff).sum(1))})
+
+    seen = cut(p.placed.select("node", "cell", "x").mapInArrow(visits, "node long, cell long, own boolean, x array<double>"), "pivot-visits")
+    met = meet(seen, p.placed.select("node", "cell", "x"), compare, "n1 long, n2 long, dist double", block_rows)
+    ids = cut(p.rows.select("id", "x").join(p.distinct.select("x", "node"), "x").select("id", "node"), "pivot-ids")
+    far = (met.join(ids.toDF("a", "n1"), "n1").join(ids.toDF("b", "n2"), "n2").select("a", "b", "dist"))
+    copies = (ids.toDF("a", "node").join(ids.toDF("b", "node"), "node").filter("a < b")
+              .select("a", "b", F.lit(0.0).alias("dist")).filter(F.lit(reach > 0)))
+    return far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist").unionByName(copies)
+
+
 # ---------------------------------------------------------------- clusters
 
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

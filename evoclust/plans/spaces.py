@@ -34,6 +34,19 @@ def q_init_embeddings(spark, sf):
                         _r(F.col("cf2")[63], "q63"), "pts", *[F.col("lbl_counts")[k].alias(f"l{k}") for k in range(C.EMB_LABELS)])
 
 
+def q_nearest_user(spark, sf):
+    """J1 without a broadcast: every event with the nearest of all users'
+    clusters, by cells and bounds, and whether that one may take it."""
+    from evoclust.operators.nearest import match_clusters
+    ship_package(spark)
+    ev = C.events_points(spark, sf)
+    users = C._user_mcs(spark, sf, ev).select(F.col("user_id").alias("ord"), F.col("dcf1").alias("cf1"), F.col("dcf2").alias("cf2"),
+                                              F.col("dn").alias("weight"), F.col("tmax").alias("last_edit"))
+    got = match_clusters(ev.select(F.col("event_id").alias("node"), "time", "features"), users,
+                         ClusterParams(num_dims=2, num_labels=C.EV_TYPES, lam=C.LAM, epsilon=0.8, clamp_late=True), cell_rows=16)
+    return got.select(F.col("node").alias("event_id"), F.col("ord").alias("user_id"), _r(F.col("dist"), "dist"), "ok")
+
+
 TRACK_HOURS = (240, 480, 720)  # fixed values: the ends of three maps of the 30-day events table
 
 
@@ -61,7 +74,7 @@ def q_macro_track(spark, sf):
     return out
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_neighbour_counts, q_init_embeddings, q_macro_track)}
+QUERIES = {f.__name__[2:]: f for f in (q_neighbour_counts, q_init_embeddings, q_nearest_user, q_macro_track)}
 
 _NEAR = f"""v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 e AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.x, b.x) AS dist
@@ -92,6 +105,14 @@ mem{b} AS MATERIALIZED (SELECT z.ord, z.comp, m.w FROM (SELECT ord, comp FROM cc
 
 
 SQL = {
+    "nearest_user": f"""WITH {O.USER_MC},
+c AS (SELECT p.event_id, p.time, p.f0, p.f1, m.*, sqrt((p.f0 - d0 / dn) * (p.f0 - d0 / dn) + (p.f1 - d1 / dn) * (p.f1 - d1 / dn)) AS dist,
+  pow(2.0, -0.25 * greatest(p.time - m.tmax, 0)) AS f, pow(2.0, -0.25 * greatest(m.tmax - p.time, 0)) AS g
+  FROM evp p CROSS JOIN (SELECT user_id AS u, tmax, dn, d0, d1, q0, q1 FROM m) m),
+n AS (SELECT *, dn * f + g AS w, d0 * f + f0 * g AS a0, d1 * f + f1 * g AS a1, q0 * f + f0 * f0 * g AS b0, q1 * f + f1 * f1 * g AS b1
+  FROM c QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY dist, u) = 1)
+SELECT event_id, u AS user_id, round(dist, 6) AS dist, w > 1 AND sqrt(greatest(abs(b0) / w - abs(a0 * a0) / (w * w),
+  abs(b1) / w - abs(a1 * a1) / (w * w), 0.0)) <= CAST(0.8 AS DOUBLE) AS ok FROM n""",
     "macro_track": f"WITH RECURSIVE {O.EVP}," + ",".join(_map(b, h) for b, h in enumerate(TRACK_HOURS)) + " UNION ALL".join(f"""
 SELECT CAST({b} AS BIGINT) AS batch_id, macro_id, CAST(tb AS BIGINT) AS total_batches, count(*) AS members, round(sum(w), 6) AS weight
 FROM mem{b} JOIN f{b} USING (comp) GROUP BY macro_id, tb""" for b in range(len(TRACK_HOURS))),

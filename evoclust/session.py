@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import os
 import tempfile
 import threading
@@ -97,13 +96,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove the files of shuffles that nothing refers to any more:
-    it does so when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tidy(fn):
     """A function whose DataFrame is written at once, so that the folders it
     cut on the way can go."""

@@ -93,6 +93,18 @@ def test_pivot_cells_equal_brute_force(spark, d, eps, need, cell, block):
     assert {r["id"]: r["neighbours"] for r in counts} == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_pairs_in_five_dimensions(spark, strict):
+    from evoclust.operators.graph import eps_edges
+    x = np.round(_points(150, 5, 3), 0)  # a grid: many copies, and distances equal to eps
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {(i, j) for i, j in zip(*np.nonzero(near < 2 if strict else near <= 2)) if i != j}
+    got = [(r.src, r.dst) for r in eps_edges(_frame(spark, x), 2.0, 5, strict=strict).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    pairs = pivots.eps_pairs(_frame(spark, x), 2.0, 5, strict=strict, cell_rows=9, block_rows=13).collect()
+    assert {(r.a, r.b): r.dist for r in pairs} == {(i, j): near[i, j] for i, j in want if i < j} and len(pairs) == len(want) // 2
+
+
 def test_a_dense_ball_is_settled_by_bounds(spark):
     """A third of the points within eps of each other visit few cells."""
     rng = np.random.default_rng(0)
