@@ -19,9 +19,16 @@ with such an overlap.
 
 Plan: words, places, hash, join, neighbourhood of the hit in one pass over
 the texts, all in generated code; only hits leave it, cut to the words
-around them, and are summed before the shuffle.  The benchmark's hash table
-is broadcast after its rows are counted (``max_broadcast_rows``); a larger
-one is joined by shuffle.
+around them, meet their item's words and are summed before the shuffle.  The
+benchmark's hash table (a few numbers a place) and its items are broadcast
+while both together are at most ``max_broadcast_bytes``.  Beyond that hashes
+meet by shuffle, without words: a place is a hash, a row and a number; the
+words of the few rows and items with hits are joined afterwards.  Very long
+texts and items are hashed and compared whole; either plan is linear in them.
+
+The masks are proven when they are used: ``window`` and ``similarity`` under
+which some allowed substitutions would leave a window without a seed raise
+ValueError.
 
 Tokens: lower-cased runs without ``[\\x20\\x09-\\x0D]``.  Null and blank texts
 hold nothing, nor do blank items.
@@ -33,6 +40,8 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from functools import reduce
 
@@ -59,6 +68,18 @@ def masks_for(n_words: int) -> tuple[str, ...]:
     return SHORT.get(n_words, MASKS)
 
 
+@functools.cache
+def proven(window: int, similarity: float) -> None:
+    """Raises ValueError if any window with the substitutions that
+    ``similarity`` allows could hide from all its masks."""
+    for n in range(1, window + 1):
+        masks = [[j for j, c in enumerate(m) if c == "1"] for m in masks_for(n)]
+        places = [{i + j for j in ones} for ones, m in zip(masks, masks_for(n)) for i in range(n - len(m) + 1)]
+        off = n - math.ceil(n * similarity - 1e-9)
+        if math.comb(n, off) > 200_000 or any(all(p & set(x) for p in places) for x in itertools.combinations(range(n), off)):
+            raise ValueError(f"the masks do not find every window of {n} words with {off} substitutions")
+
+
 def words(c: Column) -> Column:
     return F.split(F.btrim(F.lower(c), F.lit(" \t\n\x0b\f\r")), WORD_SEP)
 
@@ -88,26 +109,38 @@ def _places(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
-             window: int = 13, similarity: float = 0.8, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+             window: int = 13, similarity: float = 0.8, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``id_col, item_col, n_equal`` (most equal tokens of a window)."""
+    proven(window, similarity)
     items = cut(benchmark.select(words(text_col()).alias("iw"), F.col(item_col).alias("item"))
-                .groupBy("iw").agg(F.min("item").alias("item")).filter(F.col("iw") != F.array(F.lit(""))), "bench-items")
+                .groupBy("iw").agg(F.min("item").alias("item")).filter(F.col("iw") != F.array(F.lit("")))
+                .withColumn("no", F.monotonically_increasing_id()), "bench-items")
     # the words of an item's windows, those of all long items as one; at most 13 numbers
     kind = F.least(F.size("iw"), F.lit(window), F.lit(max(SHORT) + 1))
     kinds = sorted(r.kind for r in items.select(kind.alias("kind")).distinct().collect()) or [max(SHORT) + 1]
     seeds = reduce(DataFrame.union, [
-        _places(items.filter(kind == k).select("item", F.col("iw").alias("w")), masks_for(k)).filter("h is not null")
-        .select("h", "item", F.col("i").alias("j"), "m", F.col("w").alias("iw")) for k in kinds])
+        _places(items.filter(kind == k).select("no", F.col("iw").alias("w")), masks_for(k)).filter("h is not null")
+        .select("h", "no", F.col("i").alias("j"), "m") for k in kinds])
     seeds = cut(seeds, "bench-seeds")
     masks = tuple(m for m in ALL if any(m in masks_for(k) for k in kinds))
-    small = seeds.count() <= max_broadcast_rows
+    held = items.agg(F.sum(F.aggregate("iw", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
+    small = 24 * seeds.count() + held <= max_broadcast_bytes
     near = window + SPAN
-    places = _places(docs.select(F.col(id_col).alias("__id"), words(text_col()).alias("w")), masks).drop("m")
-    # words i-near .. i+near+SPAN; "skip" of them lie before the text
-    hits = (places.join(F.broadcast(seeds) if small else seeds, "h")
-            .select("__id", "item", "j", "m", "iw", F.greatest(F.lit(0), F.col("i") - near).alias("from"), "i", "w")
-            .select("__id", "item", "j", "m", "iw", (F.col("i") - F.col("from")).alias("at"),
-                    F.slice("w", F.col("from") + 1, F.lit(2 * near + SPAN)).alias("part")))
+    # words i-near .. i+near+SPAN; the hit is the word "at" of them
+    first = F.greatest(F.lit(0), F.col("i") - near)
+    part = F.slice("w", F.col("from") + 1, F.lit(2 * near + SPAN)).alias("part")
+    texts = docs.select(F.col(id_col).alias("__id"), words(text_col()).alias("w"))
+    if small:
+        hits = (_places(texts, masks).drop("m").join(F.broadcast(seeds), "h")
+                .select("__id", "no", "j", "m", first.alias("from"), "i", "w")
+                .select("__id", "no", "j", "m", (F.col("i") - F.col("from")).alias("at"), part)
+                .join(F.broadcast(items), "no"))
+    else:
+        rows = numbered(docs.select(F.col(id_col).alias("__id"), text_col().alias("text")), "decontaminate-rows")
+        texts = rows.select(ROW, "__id", words(F.col("text")).alias("w"))
+        found = cut(_places(texts, masks).select("h", ROW, "i").filter("h is not null").join(seeds, "h").drop("h"), "bench-hits")
+        hits = (found.join(texts, ROW).select("__id", "no", "j", "m", first.alias("from"), "i", "w")
+                .select("__id", "no", "j", "m", (F.col("i") - F.col("from")).alias("at"), part).join(items, "no"))
     span = F.least(F.lit(window), F.size("iw"))
     need = F.ceil(span * F.lit(similarity) - F.lit(1e-9))
     same = F.transform(F.sequence(F.lit(0), F.size("iw") - 1), lambda p: F.coalesce(
