@@ -283,9 +283,8 @@ SPLIT_HOUR = 360  # fixed value: the two slices of the 30-day events table
 
 
 def q_apply_delta(spark, sf):
-    """The fold of the second slice's deltas into the clusters of the first,
-    and no more: a user first seen after ``SPLIT_HOUR`` has no cluster to fold
-    into and no row here nor in the SQL form."""
+    """The fold of the second slice's deltas into the clusters of the first; a
+    delta of a user first seen after ``SPLIT_HOUR`` is a cluster of its own."""
     ev = events_points(spark, sf).withColumn("kind", F.lit("p")).withColumn("ord", F.col("user_id"))
     first = decayed_delta(ev.filter(F.col("time") < SPLIT_HOUR), LAM, 2, EV_TYPES)
     state = st.conform(first.select(
@@ -294,6 +293,9 @@ def q_apply_delta(spark, sf):
         F.col("tmax").alias("last_edit"), F.col("dpts").alias("pts"), "lbl_counts"))
     deltas = decayed_delta(ev.filter(F.col("time") >= SPLIT_HOUR), LAM, 2, EV_TYPES)
     out = st.apply_deltas(state, deltas, ClusterParams(num_dims=2, num_labels=EV_TYPES))
+    late = deltas.join(state, ["kind", "ord"], "left_anti").select(
+        "kind", "ord", F.col("dcf1").alias("cf1"), F.col("dn").alias("weight"), F.col("tmax").alias("last_edit"), F.col("dpts").alias("pts"))
+    out = out.select(*late.columns).unionByName(late)
     return out.select(F.col("ord").alias("user_id"), _r(F.col("weight"), "weight"),
                       _r(F.col("cf1")[0], "c0"), _r(F.col("cf1")[1], "c1"), "last_edit", "pts")
 

@@ -166,12 +166,15 @@ def q_insert_point(spark, sf):
 
 
 def q_merge_clusters(spark, sf):
-    """every user's clusters of the two halves merged."""
+    """every user's clusters of the two halves merged; a user of one
+    half keeps that half's."""
     ev = C.events_points(spark, sf)
     halves = [decayed_delta(ev.filter(c), 0.0, 2, C.EV_TYPES, keys=("user_id",)).select(
         "user_id", *[F.col(n).alias(n + x) for n in ("dcf1", "dcf2", "dn")])
         for x, c in (("_a", F.col("time") < C.SPLIT_HOUR), ("_b", F.col("time") >= C.SPLIT_HOUR))]
-    j = halves[0].join(halves[1], "user_id")
+    none = F.array(F.lit(0.0), F.lit(0.0))
+    j = halves[0].join(halves[1], "user_id", "full").select("user_id", *[F.coalesce(n + x, F.lit(0.0) if n == "dn" else none).alias(n + x)
+                                                                         for n in ("dcf1", "dcf2", "dn") for x in ("_a", "_b")])
     s1, s2 = cf.merge_cf("dcf1_a", "dcf1_b"), cf.merge_cf("dcf2_a", "dcf2_b")
     return j.select("user_id", _r(s1[0], "c0"), _r(s1[1], "c1"), _r(s2[0], "q0"), _r(s2[1], "q1"),
                     _r(cf.add_weight("dn_a", "dn_b"), "weight"))
@@ -275,7 +278,7 @@ FROM evp p JOIN f ON p.label = f.label""",
     "merge_clusters": f"""WITH {O.EVP}
 SELECT user_id, round(sum(f0), 6) AS c0, round(sum(f1), 6) AS c1, round(sum(f0 * f0), 6) AS q0,
   round(sum(f1 * f1), 6) AS q1, CAST(count(*) AS DOUBLE) AS weight
-FROM evp GROUP BY user_id HAVING min(time) < 360 AND max(time) >= 360""",
+FROM evp GROUP BY user_id""",
     "result_tables": f"""WITH {O.USER_MC}
 SELECT 'micro_clusters' AS "table", CASE WHEN dn >= CAST(2.0 AS DOUBLE) THEN 'primary' ELSE 'outlier' END AS name,
   CAST(count(*) AS DOUBLE) AS value FROM m GROUP BY 2

@@ -226,13 +226,11 @@ b AS (SELECT user_id, max(time) AS tmax FROM evp WHERE time >= 360 GROUP BY user
 d AS (SELECT p.user_id, b.tmax, sum(pow(2.0, -0.25 * (b.tmax - p.time))) AS dn,
    sum(pow(2.0, -0.25 * (b.tmax - p.time)) * p.f0) AS d0, sum(pow(2.0, -0.25 * (b.tmax - p.time)) * p.f1) AS d1,
    count(*) AS dpts FROM evp p JOIN b ON p.user_id = b.user_id WHERE p.time >= 360 GROUP BY p.user_id, b.tmax)
-SELECT s.user_id,
-  round(CASE WHEN d.user_id IS NULL THEN s.w ELSE s.w * pow(2.0, -0.25 * (d.tmax - s.le)) + d.dn END, 6) AS weight,
-  round(CASE WHEN d.user_id IS NULL THEN s.c0 ELSE s.c0 * pow(2.0, -0.25 * (d.tmax - s.le)) + d.d0 END, 6) AS c0,
-  round(CASE WHEN d.user_id IS NULL THEN s.c1 ELSE s.c1 * pow(2.0, -0.25 * (d.tmax - s.le)) + d.d1 END, 6) AS c1,
-  CAST(CASE WHEN d.user_id IS NULL THEN s.le ELSE d.tmax END AS BIGINT) AS last_edit,
+SELECT user_id, round(coalesce(s.w * f, 0) + coalesce(d.dn, 0), 6) AS weight, round(coalesce(s.c0 * f, 0) + coalesce(d.d0, 0), 6) AS c0,
+  round(coalesce(s.c1 * f, 0) + coalesce(d.d1, 0), 6) AS c1, CAST(coalesce(d.tmax, s.le) AS BIGINT) AS last_edit,
   CAST(coalesce(d.dpts, 0) AS BIGINT) AS pts
-FROM s LEFT JOIN d ON s.user_id = d.user_id""",
+FROM (SELECT s.*, coalesce(pow(2.0, -0.25 * (d.tmax - s.le)), 1.0) AS f FROM s LEFT JOIN d USING (user_id)) s
+FULL JOIN d USING (user_id)""",
 
     "promote_prune": f"""WITH {USER_MC},
 clk AS (SELECT max(time) AS clock FROM evp),

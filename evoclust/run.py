@@ -48,6 +48,7 @@ def parse_args(argv=None):
     a.add_argument("--availableNow", action="store_true")
     a.add_argument("--semantics", choices=("reference", "paper"), default="reference")
     a.add_argument("--admitMode", choices=("cells", "ordered"), default="cells")
+    a.add_argument("--save", action=argparse.BooleanOptionalAction, default=True, help="write the result tables")
     a.add_argument("--initMode", choices=("cells", "scan"), default="cells")
     a.add_argument("--root", default=None, help="folder of the model's versions; give it again to resume")
     a.add_argument("--checkpoint", default=None, help="checkpoint folder of the stream; goes with --root")
@@ -68,7 +69,7 @@ def main(argv=None) -> None:
     if not model.resumed:
         model.initialize(read_points_csv(spark, args.initialDataPath, args.numDimensions))
     out = args.out or scratch_path(spark, f"results-{args.dataset or 'run'}_{args.speedRate}")
-    writer = ResultWriter(spark, out)
+    writer = ResultWriter(spark, out) if args.save else None
     if args.source == "kafka":
         raw = read_point_stream(spark, "kafka", {"kafka.bootstrap.servers": args.bootstrap,
                                                  "subscribe": args.topic})
@@ -77,6 +78,8 @@ def main(argv=None) -> None:
     timeout = args.timeout or default_timeout(args.trainingDataAmount, args.speedRate, args.batchTime)
     run_stream(decode_stream(raw, args.numDimensions, marked=True), model, available_now=args.availableNow,
                timeout=None if args.availableNow else timeout, results=writer, checkpoint=args.checkpoint)
+    if writer is None:
+        return
     details = run_details(spark, params, args.appName, args.dataset, args.streamPath, args.initialDataPath,
                           args.trainingDataAmount, args.initialDataAmount)
     writer.write_final(details, model.macro_clusters())
