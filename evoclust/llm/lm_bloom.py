@@ -15,10 +15,11 @@ of u and over the words, as the filter gives them back: a distribution over
 the vocabulary and one unknown word, but for false positives.  ``m = mu +
 share * D(u)`` leaves unseen followers of a frequent word their part.  A false
 positive on level 1 gives an unseen pair a count, and every word has about V
-unseen followers; so level 1 has as many hashes as it takes to keep the sum
-over all of them below ``TOLERANCE`` of the least denominator (further levels:
-``hashes``), and pairs with an unknown word are not probed.  A hash sets, and
-a probe reads, several bits of one 64-bit word.  ``score`` is the
+unseen followers; so level 1 takes as many probes as keep the sum over all of
+them below ``TOLERANCE`` of u's denominator, which is more for rare words than
+for frequent ones (further levels: ``hashes``), and pairs with an unknown word
+are not probed.  A key sets, and a probe reads, ``BITS`` bits of one 64-bit
+word.  ``score`` is the
 sum of log10 p over the words of a text and its end.  The base score uses
 exact unigram counts, kept beside the filter with ``D(u)``.
 
@@ -27,10 +28,15 @@ buckets, and one group a bucket merges and builds its part of the filter;
 (2) so are pairs, dealt by their first word, but by both words where the
 first one is hot (more tokens than a bucket has on average; there are fewer
 of these than buckets), so no word is one group, and D(u) is summed where
-the pairs are; (3) texts are scored by probes in one pass.  The parts are
-broadcast in segments of at most ``max_broadcast`` bytes; with several
-segments a task loads one after another for each chunk of text and never
-holds two; the driver fetches them one after another too.
+the pairs are; (3) texts are scored by probes in one pass.
+
+The parts are broadcast as files of the shared folder, so they never pass
+through the driver's memory: where the folder is a mounted one the tasks open
+them there, else (HDFS, object stores) they are announced with ``addFile`` and
+every executor fetches its copies from the store.  A task reads one file after
+another for each chunk of text and never holds two (a model of at most
+``max_held`` bytes is read once).  The model takes about 5 bytes a distinct
+pair and 20 a distinct word.
 
 Nulls, empty texts: only the end token is scored.  Repeated rows are scored
 alike; each counts for training.  An empty table gives an empty result, an
@@ -39,11 +45,17 @@ empty training set N = V = 0.  Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 from collections.abc import Iterator
+from typing import NamedTuple
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +66,11 @@ from evoclust.session import cut
 U64 = np.uint64
 END = U64(0x5BD1E995A7B3C1D9)  # row start and end
 FLUSH = 1_000_000              # tokens gathered before a pre-aggregation
-TOLERANCE = 0.01               # of a distribution that false positives may take
+TOLERANCE = 0.003              # of a distribution that false positives may take
 TOP = 400                      # levels
-PROBE_BITS = 5.4               # a probe of 6 bits lets one key in 2 ** this through: words are not filled evenly
+BITS = 4                       # of a word that a probe reads
+WORD_PROBES = 2                # on level 1 of a single word's count
+PROBE_BITS = 3.6               # one key in 2 ** this passes a probe: words are not filled evenly
 LOW = U64(0xFFFFFFFF)
 
 
@@ -181,14 +195,14 @@ def level_values(base: float) -> np.ndarray:
     return out
 
 
-def _bit_sets(k: int) -> np.ndarray:
-    """4096 different choices of ``k`` of 64 bits, the same everywhere."""
-    order = np.random.Generator(np.random.PCG64(k)).random((4096, 64)).argsort(1)
-    return np.sort(order[:, :k], 1)
+def _bit_sets() -> np.ndarray:
+    """4096 different choices of ``BITS`` of 64 bits, the same everywhere."""
+    order = np.random.Generator(np.random.PCG64(6)).random((4096, 64)).argsort(1)
+    return np.sort(order[:, :BITS], 1)
 
 
-SETS = {k: _bit_sets(k) for k in (4, 6)}
-MASKS = {k: (U64(1) << v.astype(U64)).sum(1, dtype=U64) for k, v in SETS.items()}
+SETS = _bit_sets()
+MASKS = (U64(1) << SETS.astype(U64)).sum(1, dtype=U64)
 
 
 class Probes:
@@ -214,30 +228,32 @@ class Probes:
             self.words = self.words[rows]
 
 
-def _probes(lev: int, first: int, hashes: int) -> tuple[int, int]:
-    """Probes on a level, and bits of each."""
-    return (first, 6) if lev == 1 else (hashes, 4)
+def probes_for(n: np.ndarray, n_types: int, mu: float, share: float) -> np.ndarray:
+    """Probes on level 1 for the pairs of words with ``n`` tokens: what keeps
+    false positives among ``n_types`` followers small in their denominator."""
+    allowed = TOLERANCE * (mu + (1 + share) * np.asarray(n, float)) / max(n_types, 1)
+    return np.maximum(1, np.ceil(-np.log2(np.minimum(allowed, 0.5)) / PROBE_BITS)).astype(np.int64)
 
 
-def build_filter(keys: np.ndarray, counts: np.ndarray, base: float, first: int, hashes: int) -> np.ndarray:
+def build_filter(keys: np.ndarray, counts: np.ndarray, base: float, first: np.ndarray, hashes: int) -> np.ndarray:
     """Words of one bucket's filter, about half of its bits set: ``first``
-    probes of 6 bits on level 1, ``hashes`` of 4 bits on the others."""
+    probes for each key on level 1, ``hashes`` on the others."""
     lev = level(counts, base)
     top = int(lev.max()) if len(lev) else 0
     if top > TOP:
         raise ValueError(f"a count of {counts.max()} is beyond level {TOP} of base {base}: take a larger base")
-    bits_in = 6 * len(keys) * first + 4 * int((lev - 1).sum()) * hashes
-    words = max(1, math.ceil(bits_in / math.log(2) / 64.0))
+    words = max(1, math.ceil(BITS * (int(first.sum()) + int((lev - 1).sum()) * hashes) / math.log(2) / 64.0))
     if words >= 1 << 32:
         raise ValueError("a bucket's filter has 2^32 words or more: take smaller buckets")
     bits = np.zeros(words * 64, bool)
     for j in range(1, top + 1):
-        probes, (times, k) = Probes(keys[lev >= j], j, U64(words)), _probes(j, first, hashes)
-        for _ in range(times):
-            at, which = probes.next()
+        some = lev >= j
+        probes, times = Probes(keys[some], j, U64(words)), first if j == 1 else np.full(int(some.sum()), hashes)
+        for i in range(int(times.max(initial=0))):
+            at, which = (x[times > i] for x in probes.next())
             at = (at << U64(6)).astype(np.int64)
-            for i in range(k):
-                bits[at + SETS[k][which, i]] = True
+            for k in range(BITS):
+                bits[at + SETS[which, k]] = True
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
@@ -254,23 +270,30 @@ def _word_builder(nb: int, base: float, hashes: int):
     def run(t: pa.Table) -> pa.Table:
         k, c = _columns(t, k=U64, c=np.uint32)
         k, _, c = _merge(k, c.astype(np.int64))
-        f, b = build_filter(k, c, base, hashes, hashes), t.column("b")[0].as_py()
-        back = Bits([(b, f.tobytes())], nb, hashes, hashes, base).counts(k, np.full(len(k), b))
+        two = np.full(len(k), WORD_PROBES)
+        f, b = build_filter(k, c, base, two, hashes), t.column("b")[0].as_py()
+        back = Bits([(b, f.tobytes())], nb, hashes, base).counts(k, np.full(len(k), b), two)
         return _table(b, n_tokens=int(c.sum()), n_types=len(k), total=float(back.sum()), size=16 * len(k) + f.nbytes,
                       k=k.tobytes(), c=c.tobytes(), f=f.tobytes())
     return run
 
 
-def _pair_builder(nb: int, hot: np.ndarray, base: float, first: int, hashes: int):
+def _pair_builder(nb: int, hot: np.ndarray, hot_n: np.ndarray, base: float, probes, hashes: int):
+    """``probes`` of a word's tokens: of a hot word all over the table, of
+    another one in its bucket."""
     def run(t: pa.Table) -> pa.Table:
         u, n, k, c = _columns(t, u=U64, n=np.uint32, k=U64, c=np.uint32)
         u = np.repeat(u, n)
         k, at, c = _merge(k, c.astype(np.int64))
         u = u[at]
+        every, at = np.unique(u, return_inverse=True)
+        n = np.bincount(at, c, len(every))
+        h = _member(every, hot)
+        n[h] = hot_n[np.searchsorted(hot, every[h])]
+        first = probes(n)[at]
         f, b = build_filter(k, c, base, first, hashes), t.column("b")[0].as_py()
-        back = Bits([(b, f.tobytes())], nb, first, hashes, base).counts(k, np.full(len(k), b))
+        back = Bits([(b, f.tobytes())], nb, hashes, base).counts(k, np.full(len(k), b), first)
         u, _, d = _merge(u, back)
-        h = _member(u, hot)
         return _table(b, size=f.nbytes, f=f.tobytes(), u=u[~h].tobytes(), d=d[~h].tobytes(), hu=u[h].tobytes(), hd=d[h].tobytes())
     return run
 
@@ -292,23 +315,22 @@ class Trained:
                          .applyInArrow(_word_builder(nb, base, hashes), _WORDS), "lm-words")
         n, v, d = self.words.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("total")).first()
         self.n_tokens, self.n_types, self.total = n or 0, v or 0, d or 0.0
-        self.hot = self._hot(self.n_tokens / nb)
-        # false positives among V unseen followers of a word seen once, over its denominator
-        allowed = TOLERANCE * (1 + mu + share) / max(self.n_types, 1)
-        self.first = max(hashes, math.ceil(-math.log2(min(allowed, 0.5)) / PROBE_BITS))
+        self.hot, hot_n = self._hot(self.n_tokens / nb)
+        probes = self.probes = functools.partial(probes_for, n_types=self.n_types, mu=mu, share=share)
         pairs = texts.mapInArrow(_pair_counter(nb, self.hot), "b int, u binary, n binary, k binary, c binary")
-        self.pairs = cut(pairs.groupBy("b").applyInArrow(_pair_builder(nb, self.hot, base, self.first, hashes), _PAIRS), "lm-pairs")
+        self.pairs = cut(pairs.groupBy("b").applyInArrow(_pair_builder(nb, self.hot, hot_n, base, probes, hashes), _PAIRS), "lm-pairs")
 
-    def _hot(self, least: float) -> np.ndarray:
+    def _hot(self, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Words with more than ``least`` tokens, of which there are fewer
-        than buckets."""
+        than buckets, and their tokens."""
         def run(batches):
             for rb in batches:
                 for k, c in zip(rb.column("k"), rb.column("c")):
-                    k, c = np.frombuffer(k.as_py(), U64), np.frombuffer(c.as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k[c > least].view(np.int64))], names=["u"])
-        got = self.words.select("k", "c").mapInArrow(run, "u long").toArrow()
-        return np.sort(got["u"].to_numpy().view(U64)) if got.num_rows else np.zeros(0, U64)
+                    k, c = np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k[c > least]), pa.array(c[c > least])], names=["u", "n"])
+        got = self.words.select("k", "c").mapInArrow(run, "u long, n long").toArrow()
+        u = got["u"].to_numpy().view(U64) if got.num_rows else np.zeros(0, U64)
+        return np.sort(u), got["n"].to_numpy()[np.argsort(u)] if got.num_rows else np.zeros(0, np.int64)
 
     def hot_totals(self) -> np.ndarray:
         def run(batches):
@@ -322,64 +344,100 @@ class Trained:
             out[np.searchsorted(self.hot, got["u"].to_numpy().view(U64))] = got["d"].to_numpy()
         return out
 
-    def _parts(self, parts: DataFrame, seg: list[int], *cols: str) -> list[tuple]:
-        """Rows of the given buckets."""
-        if not seg:
-            return []
-        # a bucket a partition: small results, fetched one after another
-        rows = parts.filter(F.col("b").between(seg[0], seg[-1])).select("b", *cols).repartition(len(seg), "b").toLocalIterator()
-        return sorted((r.b, *[bytes(r[c]) for c in cols]) for r in rows)
-
-    def word_segments(self, limit: int) -> Iterator[Words]:
-        hot = self.hot_totals()
-        for seg in _segments(self.words, limit):
-            rows = self._parts(self.words, seg, "k", "c", "f")
-            k, c = (np.frombuffer(b"".join(r[i] for r in rows), kind) for i, kind in ((1, U64), (2, np.int64)))
-            d = np.zeros(len(k))
+    def scorer(self, max_held: int = 64 << 20) -> Scorer:
+        """Where the workers find the filter's files."""
+        sc = self.words.sparkSession.sparkContext
+        size = sum(df.agg(F.sum("size")).first()[0] or 0 for df in (self.words, self.pairs))
+        files = []
+        for df in (self.words, self.pairs):
+            files.append([])
+            for uri in sorted(df.inputFiles()):
+                where = urlparse(uri)
+                if where.scheme not in ("", "file"):
+                    sc.addFile(uri)
+                files[-1].append(unquote(where.path) if where.scheme in ("", "file") else os.path.basename(where.path))
+        return Scorer(self.n_tokens, self.n_types, self.total, self.hot, self.hot_totals(), self.probes, self.mu, self.share,
+                      Files(*files, self.nb, self.hashes, self.base, size <= max_held))
+
+
+class Words(NamedTuple):
+    """A file's words: sorted keys, exact counts, filter."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    bits: Bits
+
+
+class Pairs(NamedTuple):
+    """A file's pairs: sorted first words, the totals of their pairs, filter."""
+
+    keys: np.ndarray
+    totals: np.ndarray
+    bits: Bits
+
+
+class Files:
+    """The filter's files on a worker, read one after another."""
+
+    def __init__(self, words: list[str], pairs: list[str], nb: int, hashes: int, base: float, hold: bool):
+        self.names, self.nb, self.hashes, self.base, self.hold, self.held = {"w": words, "p": pairs}, nb, hashes, base, hold, {}
+
+    def _read(self, kind: str) -> Iterator:
+        key, value, dtype = ("k", "c", np.int64) if kind == "w" else ("u", "d", float)
+        for name in self.names[kind]:
+            path = name if os.path.isabs(name) else SparkFiles.get(name)
+            t = pq.ParquetFile(path).read(columns=["b", key, value, "f"])
+            col = lambda c, d: np.concatenate([np.frombuffer(x.as_buffer(), d) for x in t.column(c)] or [np.zeros(0, d)])  # noqa: E731, B023
+            k, v = col(key, U64), col(value, dtype)
             order = np.argsort(k)
-            k, c = k[order], c[order]
-            for _, u, du in self._parts(self.pairs, seg, "u", "d"):  # the totals of a bucket's words are in its pairs
-                u = np.frombuffer(u, U64)
-                d[np.searchsorted(k, u)] = np.frombuffer(du, float)
-            mine = _member(self.hot, k)
-            d[np.searchsorted(k, self.hot[mine])] = hot[mine]
-            yield Words(k, c.astype(np.uint32) if self.n_tokens < 2**32 else c, d.astype(np.float32), Bits([(r[0], r[3]) for r in rows], self.nb, self.hashes, self.hashes, self.base))
+            bits = Bits([(b.as_py(), f.as_buffer()) for b, f in zip(t.column("b"), t.column("f"))], self.nb, self.hashes, self.base)
+            yield (Words if kind == "w" else Pairs)(k[order], v[order], bits)
 
-    def pair_segments(self, limit: int) -> Iterator[Bits]:
-        for seg in _segments(self.pairs, limit):
-            yield Bits(self._parts(self.pairs, seg, "f"), self.nb, self.first, self.hashes, self.base)
+    def _each(self, kind: str) -> Iterator:
+        if not self.hold:
+            return self._read(kind)
+        if kind not in self.held:
+            self.held[kind] = list(self._read(kind))
+        return iter(self.held[kind])
 
-    def scorer(self) -> Scorer:
-        return Scorer(self.n_tokens, self.n_types, self.total, self.hot, self.mu, self.share)
+    def words(self) -> Iterator[Words]:
+        return self._each("w")
+
+    def pairs(self) -> Iterator[Pairs]:
+        return self._each("p")
 
 
 class Bits:
     """A segment's filters side by side: words, and the first word and number
     of words of every bucket; buckets outside the segment have none."""
 
-    def __init__(self, parts: list[tuple[int, bytes]], nb: int, first: int, hashes: int, base: float):
+    def __init__(self, parts: list[tuple[int, bytes]], nb: int, hashes: int, base: float):
         self.start, self.m = np.zeros(nb, U64), np.zeros(nb, U64)
-        self.first, self.hashes, self.values, self.nb = first, hashes, level_values(base), nb
+        self.hashes, self.values, self.nb = hashes, level_values(base), nb
         at = 0
         for b, f in parts:
             self.start[b], self.m[b] = at, len(f) // 8
             at += len(f) // 8
-        self.words = np.frombuffer(b"".join(f for _, f in parts), U64)
+        self.words = np.frombuffer(b"".join(memoryview(f) for _, f in parts), U64)
 
-    def counts(self, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Quantised counts by membership probes, level after level; 0 in
-        buckets of another segment."""
+    def counts(self, key: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Quantised counts by membership probes, level after level, ``first``
+        of them on level 1; 0 in buckets of another segment."""
         lev = np.zeros(len(key), np.int64)
         live = np.flatnonzero(self.m[bucket] > 0)
         for j in range(1, TOP + 1):
             b = bucket[live]
-            probes, start, (times, k) = Probes(key[live], j, self.m[b]), self.start[b], _probes(j, self.first, self.hashes)
-            for _ in range(times):
+            probes, start = Probes(key[live], j, self.m[b]), self.start[b]
+            times = first[live] if j == 1 else None
+            for i in range(self.hashes if times is None else int(times.max(initial=0))):
                 at, which = probes.next()
-                mask = MASKS[k][which]
+                mask = MASKS[which]
                 hit = self.words[at + start] & mask == mask
+                if times is not None:
+                    hit |= times <= i
                 if not hit.all():
                     live, start = live[hit], start[hit]
+                    times = None if times is None else times[hit]
                     probes.keep(hit)
             if not len(live):
                 break
@@ -387,84 +445,64 @@ class Bits:
         return self.values[lev]
 
 
-class Words:
-    """A segment's words: exact counts, totals of their pairs, filter."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, bits: Bits):
-        self.keys, self.n, self.totals, self.bits = keys, counts, totals, bits
-
-
-def _segments(parts: DataFrame, limit: int) -> list[list[int]]:
-    """Runs of buckets of at most ``limit`` bytes (or of one bucket)."""
-    out, room = [], 0
-    for b, size in sorted(parts.select("b", "size").collect()):  # two numbers a bucket
-        if not out or size > room:
-            out.append([])
-            room = limit
-        out[-1].append(b)
-        room -= size
-    return out
-
-
 class Scorer:
-    """Scores texts from segments that are opened one after another."""
+    """Scores texts from the filter's files."""
 
-    def __init__(self, n_tokens: int, n_types: int, total: float, hot: np.ndarray, mu: float, share: float):
-        self.n_tokens, self.n_types, self.total, self.hot, self.mu, self.share = n_tokens, n_types, total, hot, mu, share
+    def __init__(self, n_tokens: int, n_types: int, total: float, hot: np.ndarray, hot_totals: np.ndarray, probes, mu: float,
+                 share: float, files: Files):
+        self.n_tokens, self.n_types, self.total, self.hot, self.hot_totals = n_tokens, n_types, total, hot, hot_totals
+        self.probes, self.mu, self.share, self.files = probes, mu, share, files
 
-    def words(self, kinds: np.ndarray, segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exact count, filter's count and total of the pairs of each word."""
-        n, c, d = np.zeros(len(kinds), np.int64), np.zeros(len(kinds)), np.zeros(len(kinds))
-        for w in segments:
+    def words(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact count and filter's count of each word."""
+        n, c, bucket = np.zeros(len(kinds), np.int64), np.zeros(len(kinds)), None
+        for w in self.files.words():
             here = np.flatnonzero(_member(kinds, w.keys))
-            at = np.searchsorted(w.keys, kinds[here])
-            n[here], d[here] = w.n[at], w.totals[at]
-            c[here] = w.bits.counts(kinds[here], _bucket(kinds[here], w.bits.nb))
-        return n, c, d
-
-    def probabilities(self, kinds, found, u: np.ndarray, v: np.ndarray, segments) -> np.ndarray:
-        """p(v|u) for places ``u, v`` in ``kinds``; ``found`` from ``words``."""
-        n, c, d = found
+            n[here] = w.n[np.searchsorted(w.keys, kinds[here])]
+            bucket = _bucket(kinds, w.bits.nb) if bucket is None else bucket
+            c[here] = w.bits.counts(kinds[here], bucket[here], np.full(len(here), WORD_PROBES))
+        return n, c
+
+    def probabilities(self, kinds, n, c, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """p(v|u) for places ``u, v`` in ``kinds``; ``n, c`` from ``words``."""
         both = np.flatnonzero((n[u] > 0) & (n[v] > 0))
         pairs, inv = np.unique(u[both] * len(kinds) + v[both], return_inverse=True)
-        first = kinds[pairs // max(len(kinds), 1)]
+        at = pairs // max(len(kinds), 1)
+        first, times = kinds[at], self.probes(n)[at]
         key = tk.pair_hash(first, kinds[pairs % max(len(kinds), 1)])
-        got, bucket = np.zeros(len(pairs)), None
-        for bits in segments:
-            bucket = _pair_bucket(first, key, self.hot, bits.nb) if bucket is None else bucket
-            got += bits.counts(key, bucket)
+        got, d, bucket = np.zeros(len(pairs)), np.zeros(len(kinds)), None
+        for p in self.files.pairs():
+            bucket = _pair_bucket(first, key, self.hot, p.bits.nb) if bucket is None else bucket
+            got += p.bits.counts(key, bucket, times)
+            here = np.flatnonzero(_member(kinds, p.keys))
+            d[here] = p.totals[np.searchsorted(p.keys, kinds[here])]
+        hot = np.flatnonzero(_member(kinds, self.hot))
+        d[hot] = self.hot_totals[np.searchsorted(self.hot, kinds[hot])]
         seen = np.zeros(len(u))
         seen[both] = got[inv]
         m = self.mu + self.share * d[u]
         return (seen + m * (c[v] + 1.0) / (self.total + self.n_types + 1.0)) / (d[u] + m)
 
-    def score(self, buf: np.ndarray, off: np.ndarray, words, pairs) -> dict[str, np.ndarray]:
+    def score(self, buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         rows = len(off) - 1
         tok, _, row = _sequence(buf, off)
         kinds, v = np.unique(tok, return_inverse=True)
         u = np.concatenate((np.searchsorted(kinds, [END]), v[:-1]))
-        found = self.words(kinds, words)
-        p = self.probabilities(kinds, found, u, v, pairs)
-        base = np.log10((found[0] + 1.0) / (self.n_tokens + self.n_types + 1.0))
+        n, c = self.words(kinds)
+        p = self.probabilities(kinds, n, c, u, v)
+        base = np.log10((n + 1.0) / (self.n_tokens + self.n_types + 1.0))
         add = lambda w=None: np.bincount(row, w, minlength=rows)[:rows]
-        return {"n_tokens": add(), "n_known": add(found[0][v] > 0).astype(np.int64), "base_score": add(base[v]), "score": add(np.log10(p))}
-
-
-def _opened(segments: list) -> Iterator:
-    """The values of broadcasts, one held at a time if there are several."""
-    for bc in segments:
-        path = getattr(bc, "_path", None)
-        yield bc.value if len(segments) == 1 or path is None else bc.load_from_path(path)
+        return {"n_tokens": add(), "n_known": add(n[v] > 0).astype(np.int64), "base_score": add(base[v]), "score": add(np.log10(p))}
 
 
-def _score(scorer: Scorer, words: list, pairs: list):
+def _score(scorer: Scorer):
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        # several segments are loaded again for each chunk, so chunks are larger
-        limit = 2 << 20 if len(words) + len(pairs) <= 2 else 4 << 20
+        # files that are read again for each chunk ask for larger ones
+        limit = 2 << 20 if scorer.files.hold else 8 << 20
         for col in it:
             out = {k: np.zeros(len(col), float if "score" in k else np.int64) for k in ("n_tokens", "n_known", "base_score", "score")}
             for lo, hi, buf, off in tk.chunks(col, limit):
-                for k, x in scorer.score(buf, off, _opened(words), _opened(pairs)).items():
+                for k, x in scorer.score(buf, off).items():
                     out[k][lo:hi] = x
             yield pa.StructArray.from_arrays([pa.array(x) for x in out.values()], list(out))
     return F.arrow_udf(run, "n_tokens long, n_known long, base_score double, score double")
@@ -476,15 +514,11 @@ def train(texts: DataFrame, mu: float = 4.0, share: float = 1.0, base: float = 1
     return Trained(texts, mu, share, base, hashes, bucket_bytes)
 
 
-def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", max_broadcast: int = 16 << 20, **params) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", max_held: int = 64 << 20, **params) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for every row of ``docs``; the rows where ``train_on`` holds
     train the model."""
-    sc = docs.sparkSession.sparkContext
     model = train(docs.filter(train_on), **params)
-    words = [sc.broadcast(w) for w in model.word_segments(max_broadcast)]
-    pairs = [sc.broadcast(b) for b in model.pair_segments(max_broadcast)]
-    udf = _score(model.scorer(), words, pairs)
-    got = docs.select(F.col(id_col), train_on.alias("__train"), udf(text_col()).alias("__s"))
+    got = docs.select(F.col(id_col), train_on.alias("__train"), _score(model.scorer(max_held))(text_col()).alias("__s"))
     return got.select(F.col(id_col), (~F.col("__train")).alias("held_out"), "__s.n_tokens", "__s.n_known",
                       F.lit(model.n_tokens).cast("long").alias("train_tokens"), "__s.base_score", "__s.score")

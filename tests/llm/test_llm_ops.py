@@ -141,6 +141,21 @@ def test_lm_probabilities_sum_to_one_for_words_of_every_frequency(spark, many_fi
         assert (off < 0.2).mean() >= 0.9 and off.max() < 0.5
 
 
+def test_lm_files_of_a_store_that_is_not_mounted(spark, docs):
+    model = lm_bloom.train(docs.select("text"))
+    here = model.scorer(0)
+    sc = spark.sparkContext
+    names = {}
+    for kind, paths in here.files.names.items():  # as for a store: announced, fetched by the executors
+        for path in paths:
+            sc.addFile(path)
+        names[kind] = [path.rsplit("/", 1)[1] for path in paths]
+    there = model.scorer(0)
+    there.files.names = names
+    a, b = (sorted((r.doc_id or -1, r.s.score) for r in docs.select("doc_id", lm_bloom._score(x)("text").alias("s")).collect()) for x in (here, there))
+    assert a == b
+
+
 def test_lm_score_against_exact_counts(docs):
     train = fold_of("doc_id", 7) != 2
     got = by_id(lm_bloom.score(docs, train, base=1.02, hashes=5).collect())  # levels as fine as the counts
@@ -265,6 +280,14 @@ def test_masks_find_the_substitutions_of_every_length():
                        for m in masks for at in range(n - len(m) + 1)), (n, gone)
 
 
+def test_masks_that_prove_too_little_are_refused(spark):
+    decontaminate.proven(13, 0.8)
+    decontaminate.proven(14, 0.85)
+    for window, similarity in ((13, 0.7), (20, 0.8), (12, 0.75)):
+        with pytest.raises(ValueError, match="substitutions"):
+            decontaminate.proven(window, similarity)
+
+
 def test_overlaps_of_short_items(spark):
     """Items of 1 to 12 words under all substitutions allowed, and one more."""
     items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(1, 14)}
@@ -282,7 +305,7 @@ def test_overlaps_of_short_items(spark):
     rows += [(doc + 1, "  "), (doc + 2, None), (doc + 3, items[8][0])]
     d = spark.createDataFrame([(i, t, "s", "f", 1) for i, t in rows], SCHEMA)
     for limit in (1_000_000, 0):
-        got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, b, max_broadcast_rows=limit).collect()}
+        got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, b, max_broadcast_bytes=limit).collect()}
         assert got == want
     few = spark.createDataFrame([(n, " ".join(items[n])) for n in (6, 9)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, few).collect()}
@@ -299,7 +322,7 @@ def test_overlaps(spark, none):
                               "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, b).collect()}
     assert got == {(1, 10): 13, (2, 10): 11, (5, 10): 13, (6, 10): 13, (None, 10): 13}
-    wide = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, b, max_broadcast_rows=0).collect()}
+    wide = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.overlaps(d, b, max_broadcast_bytes=0).collect()}
     assert wide == got
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == [3, 4, 7, 8]
     assert decontaminate.overlaps(none, b).count() == 0 and decontaminate.overlaps(d, b.limit(0)).count() == 0
