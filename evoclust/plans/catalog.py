@@ -420,7 +420,7 @@ def run_events_stream(spark, sf, params: ClusterParams = STREAM_PARAMS):
 def q_run_stream(spark, sf):
     model = run_events_stream(spark, sf)
     return st.snapshot(model.state, model.meta.version, 0, model.params).select(
-        "type", "ord", "mc_id", "weight", "pts", "label", "purity", "radius")
+        "type", "ord", "mc_id", _r(F.col("weight"), "weight"), "pts", "label", _r(F.col("purity"), "purity"), _r(F.col("radius"), "radius"))
 
 
 UPDATE_PARAMS = ClusterParams(num_dims=2, num_labels=EV_TYPES, lam=0.01, epsilon=0.21, mu=100, beta=0.2, tp=40,

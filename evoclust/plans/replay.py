@@ -75,22 +75,22 @@ QUERIES = {f.__name__[2:]: f for f in (q_stream_replay, q_stream_scores, q_strea
 # --------------------------------------------------------------------- SQL
 
 _L = ", ".join(f"l{k}" for k in range(5))
-_V = "ft, le, n, w, c0, c1, q0, q1, " + _L
+_V = "ft, le, n, w, c0, c1, q0, q1, mc, " + _L
 
 
-def _step(i: int) -> str:
-    """One micro-batch: state ``s<i>`` to ``s<i+1>``, scalars ``m<i>`` to
-    ``m<i+1>``; ``took<i>`` is what every cluster took."""
-    p, j = PARAMS, i + 1
+def _step(i: int, p=PARAMS, first: int = 0) -> str:
+    """One micro-batch, slice ``first + i``: state ``s<i>`` to ``s<i+1>``,
+    scalars ``m<i>`` to ``m<i+1>``."""
+    j = i + 1
     lam, eps, up = p.lam, p.epsilon, p.beta * p.mu
     fit = "sqrt(greatest(abs(b0) / w2 - abs(a0 * a0) / (w2 * w2), abs(b1) / w2 - abs(a1 * a1) / (w2 * w2), 0.0))"
     prune = i and i % 4 == 0
-    thr = f"((pow(2.0, -{lam} * (clock - ft + {p.tp})) - 1.0) / (pow(2.0, -{lam} * {p.tp}) - 1.0))"
-    last = f"""SELECT kind, ord, ft, clock AS le, n, w * f AS w, c0 * f AS c0, c1 * f AS c1, q0 * f AS q0, q1 * f AS q1, {_L}
+    thr = f"((pow(2.0, -{lam} * (clock - ft + {p.tp})) - {1.0 if p.q_prune_fix else 0.0}) / (pow(2.0, -{lam} * {p.tp}) - 1.0))"
+    last = f"""SELECT kind, ord, ft, clock AS le, n, w * f AS w, c0 * f AS c0, c1 * f AS c1, q0 * f AS q0, q1 * f AS q1, mc, {_L}
   FROM (SELECT x{i}.*, clock, pow(2.0, -{lam} * (clock - le)) AS f FROM x{i} CROSS JOIN clk{i}) z
   WHERE w * f >= CASE WHEN kind = 'p' THEN {up} ELSE {thr} END""" if prune else f"SELECT kind, ord, {_V} FROM x{i}"
     return f"""
-e{i} AS MATERIALIZED (SELECT * FROM evp WHERE time >= {i * SLICE_HOURS} AND time < {j * SLICE_HOURS}),
+e{i} AS MATERIALIZED (SELECT * FROM evp WHERE time >= {(first + i) * SLICE_HOURS} AND time < {(first + j) * SLICE_HOURS}),
 clk{i} AS (SELECT max(time) AS clock FROM e{i}),
 near{i} AS (SELECT *, w * f + 1.0 AS w2, c0 * f + f0 AS a0, c1 * f + f1 AS a1, q0 * f + f0 * f0 AS b0, q1 * f + f1 * f1 AS b1
   FROM (SELECT *, row_number() OVER (PARTITION BY event_id, kind ORDER BY dist, ord) AS rn
@@ -107,12 +107,13 @@ d{i} AS MATERIALIZED (SELECT kind, ord, tmax, sum(g) AS dw, sum(g * f0) AS d0, s
         FROM a{i} WHERE kind IS NOT NULL) y) z GROUP BY kind, ord, tmax),
 u{i} AS (SELECT s.kind, s.ord, s.ft, d.dn IS NOT NULL AS hit, coalesce(d.tmax, s.le) AS le, coalesce(d.dn, 0) AS n,
     s.w * f + coalesce(dw, 0) AS w, s.c0 * f + coalesce(d0, 0) AS c0, s.c1 * f + coalesce(d1, 0) AS c1,
-    s.q0 * f + coalesce(e0, 0) AS q0, s.q1 * f + coalesce(e1, 0) AS q1, {', '.join(f'coalesce(d.l{k}, s.l{k}) AS l{k}' for k in range(5))}
+    s.q0 * f + coalesce(e0, 0) AS q0, s.q1 * f + coalesce(e1, 0) AS q1, s.mc, {', '.join(f'coalesce(d.l{k}, s.l{k}) AS l{k}' for k in range(5))}
   FROM (SELECT s.*, coalesce(pow(2.0, -{lam} * (d.tmax - s.le)), 1.0) AS f FROM s{i} s LEFT JOIN d{i} d USING (kind, ord)) s
   LEFT JOIN d{i} d USING (kind, ord)),
 rest{i} AS (SELECT * FROM a{i} WHERE kind IS NULL), {O.opened_cells(f'fresh{i}', f'rest{i}', 2 * eps, lam)},
 b{i} AS MATERIALIZED (SELECT kind, ord, {_V}, hit AND kind = 'o' AND w >= {up} AS up FROM u{i}
-  UNION ALL SELECT 'o', mo + row_number() OVER (ORDER BY ft, fs), {_V}, w >= {up} FROM fresh{i} CROSS JOIN m{i}),
+  UNION ALL SELECT 'o', mo + row_number() OVER (ORDER BY ft, fs), {_V}, w >= {up}
+  FROM (SELECT *, '{i}-' || (row_number() OVER (ORDER BY ft, fs) - 1) AS mc FROM fresh{i}) f CROSS JOIN m{i}),
 x{i} AS MATERIALIZED (SELECT CASE WHEN up THEN 'p' ELSE kind END AS kind,
     CASE WHEN up THEN mp + row_number() OVER (PARTITION BY up ORDER BY ord DESC) ELSE ord END AS ord, {_V}, up FROM b{i} CROSS JOIN m{i}),
 m{j} AS MATERIALIZED (SELECT mp + (SELECT count(*) FROM x{i} WHERE up) AS mp, mo + (SELECT count(*) FROM fresh{i}) AS mo FROM m{i}),
@@ -122,7 +123,7 @@ s{j} AS MATERIALIZED ({last})"""
 _EMPTY = ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in ("w", "c0", "c1", "q0", "q1"))
 RUN = f"""WITH {O.EVP},
 m0 AS (SELECT CAST(-1 AS BIGINT) AS mp, CAST(-1 AS BIGINT) AS mo),
-s0 AS (SELECT 'p' AS kind, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS ft, CAST(0 AS BIGINT) AS le, CAST(0 AS BIGINT) AS n, {_EMPTY},
+s0 AS (SELECT 'p' AS kind, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS ft, CAST(0 AS BIGINT) AS le, CAST(0 AS BIGINT) AS n, {_EMPTY}, '' AS mc,
   {', '.join(f'CAST(0 AS BIGINT) AS l{k}' for k in range(5))} WHERE false),""" + ",".join(_step(i) for i in range(SLICES))
 
 #: what every cluster took in a batch: old ones by kind and place, new ones
@@ -155,7 +156,24 @@ def _progress(i: int) -> str:
             f"""{of(f"s{j}", "kind = 'o'")} AS n_o, CAST({2 if j == STOP_AFTER else 1} AS BIGINT) AS seen""")
 
 
+# the run of catalog.run_events_stream: density clusters of the first slice, the others as micro-batches
+_INIT = O.DENSITY.replace("evp a JOIN evp b", "ev0 a JOIN ev0 b").replace(
+    "e AS (SELECT src", f"ev0 AS (SELECT * FROM evp WHERE time < {SLICE_HOURS}),\ne AS (SELECT src", 1)
+_STREAM = f"""{_INIT},
+s0 AS MATERIALIZED (SELECT 'p' AS kind, CAST(comp AS BIGINT) AS ord, CAST(0 AS BIGINT) AS ft, CAST(0 AS BIGINT) AS le, CAST(0 AS BIGINT) AS n,
+  CAST(count(*) AS DOUBLE) AS w, sum(f0) AS c0, sum(f1) AS c1, sum(f0 * f0) AS q0, sum(f1 * f1) AS q1, 'init-' || comp AS mc, {O.LABEL_SUMS}
+  FROM mem JOIN evp ON mem.id = evp.event_id GROUP BY comp),
+m0 AS (SELECT coalesce(max(ord), -1) AS mp, CAST(-1 AS BIGINT) AS mo FROM s0),""" + ",".join(
+    _step(i, C.STREAM_PARAMS, 1) for i in range(SLICES - 1))
+
+
 SQL = {
+    "run_stream": f"""{_STREAM},
+x AS (SELECT *, greatest({_L}) AS mx FROM s{SLICES - 1})
+SELECT CASE WHEN kind = 'p' THEN 'primary' ELSE 'outlier' END AS type, CAST(ord AS BIGINT) AS ord, mc AS mc_id, round(w, 6) AS weight,
+  CAST(n AS BIGINT) AS pts, CAST(CASE WHEN l0 = mx THEN 0 WHEN l1 = mx THEN 1 WHEN l2 = mx THEN 2 WHEN l3 = mx THEN 3 ELSE 4 END AS INTEGER) AS label,
+  round(mx / CAST({_L.replace(', ', ' + ')} AS DOUBLE), 6) AS purity, round(CASE WHEN w > 1 THEN sqrt(greatest(
+    abs(q0) / w - abs(c0 * c0) / (w * w), abs(q1) / w - abs(c1 * c1) / (w * w), 0.0)) ELSE CAST('inf' AS DOUBLE) END, 6) AS radius FROM x""",
     "stream_replay": f"""{RUN}
 SELECT kind, CAST(ord AS BIGINT) AS ord, {O.state_row('w', 'le')}, CAST(n AS BIGINT) AS pts, {_L} FROM s{SLICES}""",
     "stream_scores": f"""{RUN},
