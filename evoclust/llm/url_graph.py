@@ -72,28 +72,30 @@ def host_edges(pages: DataFrame, hosts: DataFrame, structural: float = 1.0) -> D
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, every: int = 6) -> DataFrame:
-    """``host, rank``: personalised PageRank from ``seeds(host, mass)``, the
-    series ``(1 - d) sum_k (d P')^k s`` up to where less than ``tolerance`` of
-    the seeds' mass is still to come; mass that reaches a host without links
-    ends there."""
-    total = seeds.agg(F.sum("mass")).first()[0]
+    """``kind, host, rank``: personalised PageRank from ``seeds(kind, host,
+    mass)`` over ``edges(kind, src, dst, w)``, a graph of its own for each
+    ``kind``, all in one series ``(1 - d) sum_k (d P')^k s`` up to where less
+    than ``tolerance`` of a kind's seed mass is still to come; mass that
+    reaches a host without links ends there."""
+    total = {r.kind: r.m for r in seeds.groupBy("kind").agg(F.sum("mass").alias("m")).collect() if r.m}  # a row a kind
     if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = seeds.select("host", (F.col("mass") * F.lit((1 - damping) / total)).alias("x"))
-    out = edges.groupBy("src").agg(F.sum("w").alias("t"))
-    step = cut(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-edges")
-    rank, sums = start.withColumnRenamed("x", "rank"), 1 - damping
+        return seeds.select("kind", "host", F.lit(0.0).alias("rank")).limit(0)
+    share = F.create_map(*[F.lit(x) for k, m in total.items() for x in (k, (1 - damping) / m)])
+    start = seeds.select("kind", "host", (F.col("mass") * share[F.col("kind")]).alias("x")).filter("x is not null")
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("t"))
+    step = cut(edges.join(out, ["kind", "src"]).select(F.col("kind").alias("of"), "src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-edges")
+    rank, sums = start.withColumnRenamed("x", "rank"), dict.fromkeys(total, 1 - damping)
     while True:
         for _ in range(every):
-            moved = (rank.join(step, rank.host == step.src)
-                     .select(F.col("dst").alias("host"), (F.col("rank") * F.col("p") * F.lit(damping)).alias("x")))
+            moved = (rank.join(step, (rank.kind == step.of) & (rank.host == step.src))
+                     .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * F.lit(damping)).alias("x")))
             # one sum a host: what came along edges, and its part of the seeds
-            rank = moved.union(start).groupBy("host").agg(F.sum("x").alias("rank"))
+            rank = moved.union(start).groupBy("kind", "host").agg(F.sum("x").alias("rank"))
         rank = cut(rank, "rank")
-        now = rank.agg(F.sum("rank")).first()[0]
+        now = {r.kind: r.s for r in rank.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
         # each term is at most ``damping`` times the one before it
         far = damping ** every
-        if (now - sums) * far / (1 - far) < tolerance:
+        if all((now[k] - sums[k]) * far / (1 - far) < tolerance for k in total):
             return rank
         sums = now
 
@@ -109,11 +111,13 @@ def host_verdicts(pages: DataFrame, rules=RULES, ratio: float = 1.0, structural:
                      F.count(F.when(F.col("v") == "block", 1)).alias("bad")), "hosts")
     share = lambda c: (F.col(c) / (F.col("good") + F.col("bad"))).alias("mass")
     edges = cut(host_edges(pages, hosts, structural), "host-edges")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    trust = pagerank(edges, hosts.filter("good > 0").select("host", share("good")), **params)
-    doubt = pagerank(back, hosts.filter("bad > 0").select("host", share("bad")), **params)
-    return (trust.withColumnRenamed("rank", "trust").join(doubt.withColumnRenamed("rank", "distrust"), "host", "full")
-            .na.fill(0.0, ["trust", "distrust"])
+    # trust along the links, distrust against them
+    both = edges.withColumn("kind", F.lit(0)).unionByName(
+        edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    seeds = (hosts.filter("good > 0").select(F.lit(0).alias("kind"), "host", share("good"))
+             .unionByName(hosts.filter("bad > 0").select(F.lit(1).alias("kind"), "host", share("bad"))))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
+    return (pagerank(both, seeds, **params).groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
             .withColumn("blocked", F.col("distrust") > F.lit(ratio) * F.col("trust")))
 
 

@@ -361,9 +361,12 @@ def test_rules_and_propagation(spark):
 def test_pagerank_series(spark):
     rng = np.random.default_rng(5)
     e = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40))}
-    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in e.items()], "src string, dst string, w double")
-    seeds = spark.createDataFrame([("h1", 1.0), ("h2", 3.0)], "host string, mass double")
-    got = {r.host: r["rank"] for r in url_graph.pagerank(edges, seeds, tolerance=1e-6, every=4).collect()}
+    edges = spark.createDataFrame([(7, f"h{a}", f"h{b}", w) for (a, b), w in e.items()] + [(8, "h1", "h2", 1.0)],
+                                  "kind int, src string, dst string, w double")
+    seeds = spark.createDataFrame([(7, "h1", 1.0), (7, "h2", 3.0), (8, "h1", 2.0), (9, "h1", 0.0)], "kind int, host string, mass double")
+    rows = url_graph.pagerank(edges, seeds, tolerance=1e-6, every=4).collect()
+    got = {r.host: r["rank"] for r in rows if r.kind == 7}
+    assert {(r.host, round(r["rank"], 9)) for r in rows if r.kind != 7} == {("h1", 0.15), ("h2", 0.1275)}
     p = np.zeros((12, 12))
     for (a, b), w in e.items():
         p[a, b] += w
