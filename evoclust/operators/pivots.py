@@ -13,20 +13,25 @@ between ``r`` and ``R`` from p
   ``(d(x,p)^2 - d(x,h)^2) / (2 d(p,h)) >= eps``;
 * everything is near if ``d(x,p) + R < eps``: then the cell's size is added (or
   it is linked as a whole) and no point of it is looked at;
-* else x visits it.  Visitors and residents of a cell meet in blocks of at most
-  about ``block_rows`` each, so no cell, however dense, is one task, and a
-  block's matrix of distances stays in its task: no pair leaves it.
-
-Clusters: a block links its core points by a forest (at most one edge a point),
+* else x visits it.  Cells that follow each other are packed into blocks of at
+  most ``block_rows`` points (a larger cell is cut into several), and x is sent
+  to a block once, however many of its cells it visits; the block's task judges
+  its cells again.  Visitors and residents of a block meet in groups of at most
+  about ``block_rows`` each, so no cell, however dense, is one task, and the
+  distances stay in their task: no pair leaves it.
+
+Clusters: a group links its core points by a forest (at most one edge a point),
 cells that lie wholly within ``eps`` of a core point are one node, and the
 connected components of those edges are the clusters, merged through the core
 points that several cells share.
 
 Bounds: pivots are at most ``max_pivots`` and at most ``PIVOT_BYTES`` of
-coordinates, whatever the table; with more rows the cells grow and are cut into
-more blocks.  In data without structure (many dimensions, distances all alike)
-no bound decides anything, every point visits every cell, and the work is that
-of all pairs: the price of an exact answer there.
+coordinates, whatever the table; with more rows the cells grow.  Blocks are as
+many as give every core some groups, and hold at most ``BLOCK_ROWS`` points and
+``BLOCK_BYTES`` of coordinates.  In data without structure (many dimensions,
+distances all alike) no bound decides anything and the work is that of all
+pairs, the price of an exact answer there; a point is then sent to every block,
+so what moves grows with the rows as long as the blocks may grow.
 
 Distances near ``eps`` are taken again from the differences, so the result is
 that of ``sqrt(sum((a - b)^2)) < eps``.  Points that are null, hold a null or
@@ -48,8 +53,12 @@ from evoclust.session import cut, tidy
 
 PIVOT_BYTES = 64 << 20
 CELLS = 1 << 22  # entries of a matrix of distances held at once
+TILE = 1 << 18  # the same where every entry is used at once: fits a core's cache
 OUT_ROWS = 4096
 RINGS = 3
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 32 << 20  # points of a block, at most
+GROUPS_A_CORE = 6
+EDGES = 1 << 20  # edges of a group held before they are contracted
 
 
 def near_matrix(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
@@ -71,7 +80,8 @@ class Cells:
     def __init__(self, pivots: np.ndarray, eps: float):
         self.pivots, self.eps = pivots, eps
         n = len(pivots) * RINGS
-        self.least, self.most, self.weight = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        self.least, self.most, self.weight, self.rows = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.starts, self.parts = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def rows_at_once(self) -> int:
         return max(1, CELLS // max(1, len(self.weight)))
@@ -83,18 +93,83 @@ class Cells:
         dist = np.sqrt((diff * diff).sum(1))
         return home * RINGS + (dist >= self.eps / 4) + (dist >= self.eps), dist
 
-    def judge(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row and cell: certainly all near, possibly some near."""
-        eps, home = self.eps, cell // RINGS
-        sq, off = square_distances(x, self.pivots), rounding(x, self.pivots)
-        between = np.sqrt(square_distances(self.pivots[home], self.pivots))
-        here = sq[np.arange(len(x)), home][:, None]
+    def judge(self, x: np.ndarray, cell: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each row and cell (from ``lo`` to ``hi``): certainly all near,
+        possibly some near."""
+        eps, home, hi = self.eps, cell // RINGS, len(self.weight) if hi is None else hi
+        first, last = lo // RINGS, -(-hi // RINGS)
+        pivots, own = self.pivots[first:last], self.pivots[home]
+        sq, off = square_distances(x, pivots), rounding(x, self.pivots)
+        between = np.sqrt(square_distances(own, pivots))
+        here = ((x - own) ** 2).sum(1)[:, None]
         # the rounding of the squares over the distance of the pivots
         plane = (sq - here - 4 * off * off) / np.maximum(2 * (between + off), 1e-300)
-        near_side = np.repeat((plane < eps + off) | (between <= off), RINGS, 1)
-        dist = np.repeat(np.sqrt(sq), RINGS, 1)
-        some = near_side & (self.weight > 0) & (dist - self.most < eps + 2 * off) & (self.least - dist < eps + 2 * off)
-        return (dist + self.most < eps - 2 * off) & some, some
+        at = slice(lo - first * RINGS, hi - first * RINGS)
+        near_side = np.repeat((plane < eps + off) | (between <= off), RINGS, 1)[:, at]
+        dist = np.repeat(np.sqrt(sq), RINGS, 1)[:, at]
+        least, most, weight = self.least[lo:hi], self.most[lo:hi], self.weight[lo:hi]
+        some = near_side & (weight > 0) & (dist - most < eps + 2 * off) & (least - dist < eps + 2 * off)
+        return (dist + most < eps - 2 * off) & some, some
+
+    def pack(self, block_rows: int) -> None:
+        """Blocks: ``starts`` (their first cells) and ``parts`` (more than one
+        for a cell of more than ``block_rows`` points, alone in its block)."""
+        starts, parts, held = [], [], block_rows
+        for c in np.flatnonzero(self.rows):
+            n = int(self.rows[c])
+            if held + n > block_rows:
+                starts.append(c)
+                parts.append(-(-n // block_rows))
+                held = 0
+            held += n
+        self.starts, self.parts = np.array(starts or [0], np.int64), np.array(parts or [1], np.int64)
+
+    def visited(self, open_: np.ndarray) -> np.ndarray:
+        """Rows and blocks with an open cell, of rows and cells."""
+        return np.logical_or.reduceat(open_, self.starts, 1)
+
+    def meetings(self, block: int, x: np.ndarray, home: np.ndarray, cell: np.ndarray, later: np.ndarray | None = None):
+        """``i, j, sure``: visitors ``x`` of a block that may be near (or surely
+        are near) the residents ``j`` of one of its cells; where ``later`` says
+        so, only cells from the visitor's own on."""
+        lo = int(self.starts[block])
+        hi = int(self.starts[block + 1]) if block + 1 < len(self.starts) else len(self.weight)
+        order = np.argsort(cell, kind="stable")
+        here, first = np.unique(cell[order], return_index=True)
+        residents = np.split(order, first[1:])
+        step = max(1, CELLS // (hi - lo + RINGS))
+        for at in range(0, len(x), step):
+            sure, some = self.judge(x[at:at + step], home[at:at + step], lo, hi)
+            if later is not None:
+                some &= ~later[at:at + step, None] | (np.arange(lo, hi)[None, :] >= home[at:at + step, None])
+            for c, j in zip(here - lo, residents):
+                for i, certain in ((some[:, c] & ~sure[:, c], False), (some[:, c] & sure[:, c], True)):
+                    i = at + np.flatnonzero(i)
+                    if len(i):
+                        yield i, j, certain
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """An order of points in which near ones mostly follow each other: halves
+    along the line to a far point, and their halves."""
+    parts, out = [np.arange(len(x))], []
+    while parts:
+        at = parts.pop()
+        if len(at) > 2:
+            far = ((x[at] - x[at[0]]) ** 2).sum(1).argmax()
+            at = at[np.argsort(x[at] @ (x[at[far]] - x[at[0]]), kind="stable")]
+            parts += [at[len(at) // 2:], at[:len(at) // 2]]
+        else:
+            out.append(at)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def tiles(i: np.ndarray, j: np.ndarray):
+    """The pairs of two index lists, ``TILE`` of them at a time."""
+    for b in range(0, len(j), 4096):
+        step = max(1, TILE // min(len(j), 4096))
+        for a in range(0, len(i), step):
+            yield i[a:a + step], j[b:b + 4096]
 
 
 # ------------------------------------------------------------- base tables
@@ -103,7 +178,7 @@ class Partition:
     """A table's distinct points in the cells of its pivots."""
 
     def __init__(self, points: DataFrame, d: int, eps: float, id_col: str, feat_col: str, cell_rows: int, max_pivots: int,
-                 core_col: str | None = None):
+                 core_col: str | None = None, block_rows: int | None = None):
         spark = points.sparkSession
         self.d, self.spark = d, spark
         f = F.col(feat_col)
@@ -120,7 +195,13 @@ class Partition:
         share = min(1.0, (m + 6 * math.sqrt(m) + 50) / max(self.n, 1))
         h = F.pmod(F.xxhash64("x"), F.lit(1 << 32))
         some = self.distinct.filter(h < F.lit(int(share * (1 << 32)))).orderBy(h, "node").limit(m).select("x").collect()
-        self.cells = Cells(np.array([r.x for r in some], np.float64).reshape(len(some), d), eps)
+        pivots = np.array([r.x for r in some], np.float64).reshape(len(some), d)
+        self.cells = Cells(pivots[in_order(pivots)], eps)
+        groups = math.ceil(math.sqrt(GROUPS_A_CORE * spark.sparkContext.defaultParallelism))
+        self.block_rows = block_rows or max(2048, min(-(-self.n // groups), BLOCK_ROWS, BLOCK_BYTES // (8 * d)))
+        # coordinates that are floats go to the blocks as such, half as long
+        exact = F.bool_and(F.forall("x", lambda v: v.cast("float").cast("double") == v))
+        self.moved = "array<float>" if self.distinct.agg(exact).first()[0] else "array<double>"
         self.placed = cut(self._place(), "pivot-cells")
         self._measure(self.placed)
 
@@ -141,12 +222,42 @@ class Partition:
             run, "node long, id long, w long, core boolean, x array<double>, cell long, dist double")
 
     def _measure(self, rows: DataFrame) -> None:
-        """Distances and weight of every cell over ``rows`` (at most ``RINGS``
-        rows a pivot reach the driver)."""
+        """Distances, weight and points of every cell over ``rows`` (at most
+        ``RINGS`` rows a pivot reach the driver), and their blocks."""
         c = self.cells
-        c.weight[:] = 0
-        for r in rows.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.sum("w").alias("w")).collect():
-            c.least[r.cell], c.most[r.cell], c.weight[r.cell] = r.lo, r.hi, r.w
+        c.weight[:] = c.rows[:] = 0
+        for r in rows.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.sum("w").alias("w"),
+                                          F.count(F.lit(1)).alias("n")).collect():
+            c.least[r.cell], c.most[r.cell], c.weight[r.cell], c.rows[r.cell] = r.lo, r.hi, r.w, r.n
+        c.pack(self.block_rows)
+
+    def meet(self, visitors: DataFrame, residents: DataFrame, fn, schema: str) -> DataFrame:
+        """Every visitor with every resident of its ``blocks``, group by group;
+        ``fn(block, visitors, residents)`` gets two tables and returns one."""
+        c, size = self.cells, self.block_rows
+        n = {r.block: r.n for r in visitors.select(F.explode("blocks").alias("block")).groupBy("block").agg(
+            F.count(F.lit(1)).alias("n")).collect()}  # blocks
+        full = np.flatnonzero(c.rows)
+        at = np.searchsorted(c.starts, full, "right") - 1
+        blocks = F.broadcast(self.spark.createDataFrame(
+            [(b, int(c.parts[b]), -(-k // size)) for b, k in n.items()], "block int, parts int, nv int"))
+        homes = F.broadcast(self.spark.createDataFrame(  # at most RINGS rows a pivot
+            [(int(k), int(b)) for k, b in zip(full, at)], "cell long, block int"))
+        part = lambda k: F.pmod(F.xxhash64("node", "block"), F.col(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        x = F.col("x").cast(self.moved)
+        v = (visitors.withColumn("block", F.explode("blocks")).join(blocks, "block").withColumns({"vb": part("nv"), "x": x})
+             .withColumn("rb", every("parts")).drop("blocks", "parts", "nv"))
+        r = (residents.join(homes, "cell").join(blocks, "block").withColumns({"rb": part("parts"), "x": x})
+             .withColumn("vb", every("nv")).drop("parts", "nv"))
+        key = ["block", "vb", "rb"]
+
+        def run(k, a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return _schema_of(schema).empty_table()
+            return fn(k[0].as_py(), a.combine_chunks(), b.combine_chunks())
+
+        return v.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(run, schema)
 
 
 def meet(visitors: DataFrame, residents: DataFrame, fn, schema: str, block_rows: int) -> DataFrame:
@@ -179,14 +290,15 @@ def _matrix(t: pa.Table, d: int) -> np.ndarray:
     return list_to_matrix(t["x"], d)
 
 
-def _slices(rows: np.ndarray, cells: np.ndarray):
-    for lo in range(0, len(rows), OUT_ROWS):
-        yield rows[lo:lo + OUT_ROWS], cells[lo:lo + OUT_ROWS]
+def _lists(go: np.ndarray) -> pa.Array:
+    """The columns that are true in each row."""
+    ends = np.concatenate([[0], np.cumsum(go.sum(1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(go)[1], pa.int32()))
 
 
 # ------------------------------------------------------------------ counts
 
-def _counts(p: Partition, enough: float, block_rows: int) -> DataFrame:
+def _counts(p: Partition, enough: float) -> DataFrame:
     """``node, n``: points (with copies, itself included) closer than ``eps``.
     Once bounds alone give more than ``enough`` the count stops there."""
     held, d, eps = p.spark.sparkContext.broadcast(p.cells), p.d, p.cells.eps
@@ -194,43 +306,44 @@ def _counts(p: Partition, enough: float, block_rows: int) -> DataFrame:
     def visits(batches):
         cells = held.value
         for rb in batches:
-            x, node = list_to_matrix(rb.column("x"), d), rb.column("node").to_numpy()
-            home = rb.column("cell").to_numpy()
+            x, home = list_to_matrix(rb.column("x"), d), rb.column("cell").to_numpy()
             step = cells.rows_at_once()
             for lo in range(0, len(x), step):
-                xs, ns = x[lo:lo + step], node[lo:lo + step]
-                sure, some = cells.judge(xs, home[lo:lo + step])
-                n = sure @ cells.weight
-                yield pa.RecordBatch.from_arrays([pa.array(ns), pa.nulls(len(ns), pa.int64()), pa.array(n),
-                                                  pa.nulls(len(ns), pa.list_(pa.float64()))], names=["node", "cell", "n", "x"])
-                rows, at = np.nonzero(some & ~sure & (n <= enough)[:, None])
-                for r, c in _slices(rows, at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ns[r]), pa.array(c), pa.array(np.zeros(len(r), np.int64)), matrix_to_list(xs[r])],
-                        names=["node", "cell", "n", "x"])
-
-    seen = cut(p.placed.select("node", "cell", "x").mapInArrow(visits, "node long, cell long, n long, x array<double>"), "pivot-visits")
-
-    def compare(v: pa.Table, r: pa.Table) -> pa.Table:
+                sure, some = cells.judge(x[lo:lo + step], home[lo:lo + step])
+                n = np.add.reduceat(np.where(sure, cells.weight, 0), cells.starts, 1)
+                go = cells.visited(some & ~sure) & (n.sum(1) <= enough)[:, None]
+                n[go] = 0  # counted in the block
+                out = rb.slice(lo, step)
+                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("node", "cell", "x")), pa.array(n.sum(1)), _lists(go)],
+                                                 names=["node", "cell", "x", "n", "blocks"])
+
+    seen = cut(p.placed.select("node", "cell", "x").mapInArrow(
+        visits, "node long, cell long, x array<double>, n long, blocks array<int>"), "pivot-visits")
+
+    def compare(block: int, v: pa.Table, r: pa.Table) -> pa.Table:
         a, b, w = _matrix(v, d), _matrix(r, d), r["w"].to_numpy()
         n = np.zeros(len(a), np.int64)
-        step = max(1, CELLS // len(b))
-        for lo in range(0, len(a), step):
-            n[lo:lo + step] = near_matrix(a[lo:lo + step], b, eps) @ w
+        for i, j, sure in held.value.meetings(block, a, v["cell"].to_numpy(), r["cell"].to_numpy()):
+            if sure:
+                n[i] += w[j].sum()
+                continue
+            ones = (w[j] == 1).all()
+            for k, m in tiles(i, j):
+                near = near_matrix(a[k], b[m], eps)
+                n[k] += np.count_nonzero(near, 1) if ones else near @ w[m]
         return pa.table({"node": v["node"], "n": pa.array(n)})
 
-    met = meet(seen.filter("cell IS NOT NULL").select("node", "cell", "x"), p.placed.select("node", "cell", "x", "w"),
-                 compare, "node long, n long", block_rows)
-    return seen.filter("cell IS NULL").select("node", "n").unionByName(met).groupBy("node").agg(F.sum("n").alias("n"))
+    met = p.meet(seen.select("node", "cell", "x", "blocks"), p.placed.select("node", "cell", "x", "w"), compare, "node long, n long")
+    return seen.select("node", "n").unionByName(met).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 @tidy
 def neighbour_counts(points: DataFrame, eps: float, d: int, id_col: str = "seq", feat_col: str = "features",
-                     cell_rows: int = 2048, block_rows: int = 2048, max_pivots: int = 1 << 16) -> DataFrame:
+                     cell_rows: int = 2048, block_rows: int | None = None, max_pivots: int = 1 << 16) -> DataFrame:
     """``id, neighbours`` of every point: how many others are closer than
     ``eps`` (copies of the point are among them)."""
-    p = Partition(points, d, eps, id_col, feat_col, cell_rows, max_pivots)
-    n = p.distinct.join(_counts(p, math.inf, block_rows), "node").select("x", (F.col("n") - 1).alias("neighbours"))
+    p = Partition(points, d, eps, id_col, feat_col, cell_rows, max_pivots, block_rows=block_rows)
+    n = p.distinct.join(_counts(p, math.inf), "node").select("x", (F.col("n") - 1).alias("neighbours"))
     return p.rows.join(n, "x").select("id", "neighbours")
 
 
@@ -241,32 +354,39 @@ def eps_pairs(points: DataFrame, eps: float, d: int, id_col: str = "seq", feat_c
     ``eps`` (not ``strict``: or at it), once, ``a < b``.  The list is as long
     as there are pairs; copies of a point are pairs at distance 0."""
     reach = eps if strict else math.nextafter(eps, math.inf)
-    p = Partition(points, d, reach, id_col, feat_col, cell_rows, max_pivots)
+    p = Partition(points, d, reach, id_col, feat_col, cell_rows, max_pivots, block_rows=block_rows)
     held = p.spark.sparkContext.broadcast(p.cells)
 
     def visits(batches):
         cells = held.value
         for rb in batches:
-            x, node, home = list_to_matrix(rb.column("x"), d), rb.column("node").to_numpy(), rb.column("cell").to_numpy()
+            x, home = list_to_matrix(rb.column("x"), d), rb.column("cell").to_numpy()
             step = cells.rows_at_once()
             for lo in range(0, len(x), step):
-                xs, ns, hs = x[lo:lo + step], node[lo:lo + step], home[lo:lo + step]
-                some = cells.judge(xs, hs)[1] & (np.arange(len(cells.weight))[None, :] >= hs[:, None])
-                for r, c in _slices(*np.nonzero(some)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ns[r]), pa.array(c), pa.array(hs[r] == c), matrix_to_list(xs[r])],
-                                                     names=["node", "cell", "own", "x"])
-
-    def compare(v: pa.Table, r: pa.Table) -> pa.Table:
-        a, b = _matrix(v, d), _matrix(r, d)
-        vn, rn, own = v["node"].to_numpy(), r["node"].to_numpy(), v["own"].to_numpy()
-        i, j = np.nonzero(np.concatenate([near_matrix(a[lo:lo + 1024], b, reach) for lo in range(0, len(a), 1024)]))
-        once = ~own[i] | (vn[i] < rn[j])  # two points of one cell meet twice, and themselves
-        i, j = i[once], j[once]
-        diff = a[i] - b[j]
-        return pa.table({"n1": vn[i], "n2": rn[j], "dist": np.sqrt((diff * diff).sum(1))})
-
-    seen = cut(p.placed.select("node", "cell", "x").mapInArrow(visits, "node long, cell long, own boolean, x array<double>"), "pivot-visits")
-    met = meet(seen, p.placed.select("node", "cell", "x"), compare, "n1 long, n2 long, dist double", block_rows)
+                hs = home[lo:lo + step]
+                some = cells.judge(x[lo:lo + step], hs)[1] & (np.arange(len(cells.weight))[None, :] >= hs[:, None])
+                out = rb.slice(lo, step)
+                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("node", "cell", "x")), _lists(cells.visited(some))],
+                                                 names=["node", "cell", "x", "blocks"])
+
+    def compare(block: int, v: pa.Table, r: pa.Table) -> pa.Table:
+        a, b, home, cell = _matrix(v, d), _matrix(r, d), v["cell"].to_numpy(), r["cell"].to_numpy()
+        vn, rn = v["node"].to_numpy(), r["node"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j, _ in held.value.meetings(block, a, home, cell, np.ones(len(a), bool)):
+            for k, m in tiles(i, j):
+                at, to = np.nonzero(near_matrix(a[k], b[m], reach))
+                at, to = k[at], m[to]
+                once = (home[at] != cell[to]) | (vn[at] < rn[to])  # two points of one cell meet twice, and themselves
+                at, to = at[once], to[once]
+                diff = a[at] - b[to]
+                found.append((vn[at], rn[to], np.sqrt((diff * diff).sum(1))))
+        n1, n2, dist = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"n1": n1, "n2": n2, "dist": dist})
+
+    seen = cut(p.placed.select("node", "cell", "x").mapInArrow(
+        visits, "node long, cell long, x array<double>, blocks array<int>"), "pivot-visits")
+    met = p.meet(seen, p.placed.select("node", "cell", "x"), compare, "n1 long, n2 long, dist double")
     ids = cut(p.rows.select("id", "x").join(p.distinct.select("x", "node"), "x").select("id", "node"), "pivot-ids")
     far = (met.join(ids.toDF("a", "n1"), "n1").join(ids.toDF("b", "n2"), "n2").select("a", "b", "dist"))
     copies = (ids.toDF("a", "node").join(ids.toDF("b", "node"), "node").filter("a < b")
@@ -293,13 +413,25 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def _cluster_edges(p: Partition, marked: DataFrame, block_rows: int) -> DataFrame:
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of the component of each of ``n`` nodes, by edges."""
+    up = np.arange(n)
+    while len(a):
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    return up
+
+
+def _cluster_edges(p: Partition, marked: DataFrame) -> DataFrame:
     """``a, b, dist, id``: core nodes that share a cluster (``dist`` null; a
     cell that lies near one core node as a whole is the node ``-1 - cell``),
     and core nodes ``b`` (with ``id``) near a node ``a`` that is no core."""
     p._measure(marked.filter("core"))
     held, d, eps = p.spark.sparkContext.broadcast(p.cells), p.d, p.cells.eps
-    names = ["a", "b", "whole", "core", "x"]
+    names = ["a", "b", "cell", "core", "x", "blocks"]
 
     def visits(batches):
         cells = held.value
@@ -325,46 +457,69 @@ def _cluster_edges(p: Partition, marked: DataFrame, block_rows: int) -> DataFram
                 yield _edge_batch(ns[hit], -1 - first[hit], names)
                 # two core points meet once: in the later of their cells
                 some &= ~sure & (~cs[:, None] | (np.arange(len(up))[None, :] >= hs[:, None]))
-                rows, at = np.nonzero(some)
-                for r, c in _slices(rows, at):
-                    yield pa.RecordBatch.from_arrays([pa.array(ns[r]), pa.array(c), pa.array(np.zeros(len(r), bool)),
-                                                      pa.array(cs[r]), matrix_to_list(xs[r])], names=names)
+                go = cells.visited(some)
+                r = np.flatnonzero(go.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array(ns[r]), pa.nulls(len(r), pa.int64()), pa.array(hs[r]), pa.array(cs[r]),
+                                                  matrix_to_list(xs[r]), _lists(go[r])], names=names)
         got = np.flatnonzero(whole)
         yield _edge_batch(-1 - got, -1 - _roots(up, got), names)
 
     seen = cut(marked.select("node", "cell", "core", "x").mapInArrow(
-        visits, "a long, b long, whole boolean, core boolean, x array<double>"), "pivot-links")
-    links = seen.filter("whole").select("a", "b")
+        visits, "a long, b long, cell long, core boolean, x array<double>, blocks array<int>"), "pivot-links")
+    links = seen.filter("b IS NOT NULL").select("a", "b")
     cells = links.filter("a < 0").select((-1 - F.col("a")).alias("cell")).distinct()  # at most RINGS rows a pivot
     own = marked.filter("core").join(F.broadcast(cells), "cell").select(F.col("node").alias("a"), (-1 - F.col("cell")).alias("b"))
 
-    def compare(v: pa.Table, r: pa.Table) -> pa.Table:
+    def compare(block: int, v: pa.Table, r: pa.Table) -> pa.Table:
         a, b = _matrix(v, d), _matrix(r, d)
-        core = v["core"].to_numpy()
+        core = v["core"].to_numpy(zero_copy_only=False)
         vn, rn, rid = v["node"].to_numpy(), r["node"].to_numpy(), r["id"].to_numpy()
-        out_a, out_b, out_d, out_i = [], [], [], []
-        near = np.concatenate([near_matrix(a[lo:lo + 1024], b, eps) for lo in range(0, len(a), 1024)])
-        left, right = forest(near[core])
-        vc = vn[core]
-        some_l, some_r = np.flatnonzero(left >= 0), np.flatnonzero(right >= 0)
-        out_a += [vc[some_l], rn[some_r]]
-        out_b += [vc[left[some_l]], vc[right[some_r]]]
-        out_d.append(np.full(len(some_l) + len(some_r), np.nan))
-        out_i.append(np.zeros(len(some_l) + len(some_r), np.int64))
-        for k in np.flatnonzero(~core & near.any(1)):  # few: it has not enough neighbours
-            js = np.flatnonzero(near[k])
-            diff = b[js] - a[k]
-            dist = np.sqrt((diff * diff).sum(1))
-            j = js[np.lexsort((rid[js], dist))[0]]
-            out_a.append(vn[[k]])
-            out_b.append(rn[[j]])
-            out_d.append(dist[js == j])
-            out_i.append(rid[[j]])
-        cat = [np.concatenate(o) for o in (out_a, out_b, out_d, out_i)]
-        return pa.table({"a": cat[0], "b": cat[1], "dist": cat[2], "id": cat[3]})
-
-    met = meet(seen.filter("not whole").select(F.col("a").alias("node"), F.col("b").alias("cell"), "core", "x"),
-                 marked.filter("core").select("node", "id", "cell", "x"), compare, "a long, b long, dist double, id long", block_rows)
+        none, total = np.zeros(0, np.int64), len(a) + len(b)
+        links, held_edges, border = [(none, none)], 0, [(none, none, np.zeros(0))]
+
+        def contracted() -> list:
+            up = joined(total, *(np.concatenate(c) for c in zip(*links)))
+            some = np.flatnonzero(up != np.arange(total))
+            return [(some, up[some])]
+
+        for i, j, sure in held.value.meetings(block, a, v["cell"].to_numpy(), r["cell"].to_numpy(), core):
+            within, other = i[core[i]], i[~core[i]]
+            if sure and len(within):  # all of the cell is near every one of them
+                links.append((np.concatenate([within, len(a) + j]), np.full(len(within) + len(j), len(a) + j[0])))
+                held_edges += len(links[-1][0])
+            elif len(within):
+                for k, m in tiles(within, j):
+                    near = near_matrix(a[k], b[m], eps)
+                    if np.count_nonzero(near) <= 4 * (len(k) + len(m)):
+                        left, right = np.nonzero(near)
+                        links.append((k[left], len(a) + m[right]))
+                    else:
+                        left, right = forest(near)
+                        rows, cols = np.flatnonzero(left >= 0), np.flatnonzero(right >= 0)
+                        links.append((np.concatenate([k[rows], len(a) + m[cols]]), np.concatenate([k[left[rows]], k[right[cols]]])))
+                    held_edges += len(links[-1][0])
+                    if held_edges > EDGES + total:
+                        links = contracted()
+                        held_edges = len(links[0][0])
+            for k, m in tiles(other, j):
+                near = near_matrix(a[k], b[m], eps)
+                for at in np.flatnonzero(near.any(1)):
+                    js = m[np.flatnonzero(near[at])]
+                    diff = b[js] - a[k[at]]
+                    dist = np.sqrt((diff * diff).sum(1))
+                    best = np.lexsort((rid[js], dist))[0]
+                    border.append((k[[at]], js[[best]], dist[[best]]))
+        (x, root), = contracted()
+        name = np.concatenate([vn, rn])
+        k, m, dist = (np.concatenate(c) for c in zip(*border))
+        first = np.lexsort((rid[m], dist, k))  # a visitor's nearest of the group
+        first = first[np.diff(k[first], prepend=-1) != 0]
+        return pa.table({"a": np.concatenate([name[x], vn[k[first]]]), "b": np.concatenate([name[root], rn[m[first]]]),
+                         "dist": np.concatenate([np.full(len(x), np.nan), dist[first]]),
+                         "id": np.concatenate([np.zeros(len(x), np.int64), rid[m[first]]])})
+
+    met = p.meet(seen.filter("b IS NULL").select(F.col("a").alias("node"), "cell", "core", "x", "blocks"),
+                 marked.filter("core").select("node", "id", "cell", "x"), compare, "a long, b long, dist double, id long")
     none = [F.lit(float("nan")).alias("dist"), F.lit(0).cast("long").alias("id")]
     return links.unionByName(own).select("a", "b", *none).unionByName(met)
 
@@ -377,33 +532,33 @@ def _roots(up: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _edge_batch(a, b, names) -> pa.RecordBatch:
-    yes = pa.array(np.ones(len(a), bool))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), yes, yes,
-                                       pa.nulls(len(a), pa.list_(pa.float64()))], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()),
+                                       pa.nulls(len(a), pa.bool_()), pa.nulls(len(a), pa.list_(pa.float64())),
+                                       pa.nulls(len(a), pa.list_(pa.int32()))], names=names)
 
 
 @tidy
 def density_labels(points: DataFrame, eps: float, d: int, min_neighbours: float = 0, id_col: str = "seq",
-                   feat_col: str = "features", cell_rows: int = 2048, block_rows: int = 2048,
+                   feat_col: str = "features", cell_rows: int = 2048, block_rows: int | None = None,
                    max_pivots: int = 1 << 16) -> DataFrame:
     """``id, comp, core`` as ``density.density_labels`` gives, in any number
     of dimensions."""
-    p = Partition(points, d, eps, id_col, feat_col, cell_rows, max_pivots)
-    n = _counts(p, min_neighbours + 1, block_rows)
+    p = Partition(points, d, eps, id_col, feat_col, cell_rows, max_pivots, block_rows=block_rows)
+    n = _counts(p, min_neighbours + 1)
     marked = cut(p.placed.drop("core").join(n, "node").withColumn("core", F.col("n") - 1 > F.lit(min_neighbours)), "pivot-cores")
-    return p.rows.select("id", "x").join(_named(marked, _cluster_edges(p, marked, block_rows)), "x").select("id", "comp", "core")
+    return p.rows.select("id", "x").join(_named(marked, _cluster_edges(p, marked)), "x").select("id", "comp", "core")
 
 
 @tidy
 def core_clusters(points: DataFrame, eps: float, d: int, core_col: str = "core", id_col: str = "seq",
-                  feat_col: str = "features", cell_rows: int = 2048, block_rows: int = 2048,
+                  feat_col: str = "features", cell_rows: int = 2048, block_rows: int | None = None,
                   max_pivots: int = 1 << 16) -> DataFrame:
     """``id, comp`` where ``core_col`` says which points are core points:
     cores closer than ``eps`` share a cluster (``comp``: its lowest core id),
     another point belongs to that of its nearest core within ``eps`` (ties to
     the lower id), if there is one."""
-    p = Partition(points, d, eps, id_col, feat_col, cell_rows, max_pivots, core_col)
-    return p.rows.select("id", "x").join(_named(p.placed, _cluster_edges(p, p.placed, block_rows)), "x").select("id", "comp")
+    p = Partition(points, d, eps, id_col, feat_col, cell_rows, max_pivots, core_col, block_rows)
+    return p.rows.select("id", "x").join(_named(p.placed, _cluster_edges(p, p.placed)), "x").select("id", "comp")
 
 
 def _named(marked: DataFrame, edges: DataFrame) -> DataFrame:

@@ -114,3 +114,43 @@ def test_a_dense_ball_is_settled_by_bounds(spark):
     assert (some & ~sure).sum() < 30 and sure.sum() >= 300
     got = pivots.density_labels(_frame(spark, x), 0.5, 8, 10, cell_rows=30).collect()
     assert {r["id"]: (r["comp"], r["core"]) for r in got} == _brute(x, 0.5, 10)
+
+
+def _sphere(n, d, seed):
+    """Points without structure (single precision), a dense ball and copies."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x[: n // 5] = x[0] + rng.normal(size=(n // 5, d)) * 0.05
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    return np.concatenate([x, x[: n // 10]]).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("block", [None, 60])
+def test_a_point_is_written_once_and_sent_once_a_block(spark, monkeypatch, block):
+    """However many cells it visits: the visits grew with rows times cells."""
+    x, rows, sent, keep = _sphere(300, 24, 1), {}, [], pivots.cut
+
+    def counted(df, name="cut"):
+        out = keep(df, name)
+        if name in ("pivot-visits", "pivot-links"):
+            rows[name] = out.count()
+            sent.extend(len(r.blocks) for r in out.filter("blocks IS NOT NULL").collect() if "blocks" in out.columns)
+        return out
+
+    monkeypatch.setattr(pivots, "cut", counted)
+    sizes = {"cell_rows": 5, "block_rows": block}
+    got = pivots.neighbour_counts(_frame(spark, x), 1.2, 24, **sizes).collect()
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) < 1.2
+    assert {r["id"]: r["neighbours"] for r in got} == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
+    assert rows["pivot-visits"] == 300  # the copies are one point
+    assert max(sent) <= (1 if block is None else 2 * 300 // block + 1)
+
+
+def test_blocks_hold_whole_cells_or_a_part_of_a_large_one(spark):
+    p = pivots.Partition(_frame(spark, _sphere(300, 24, 2)), 24, 1.2, "seq", "features", 5, 1000, block_rows=40)
+    c = p.cells
+    sizes = np.add.reduceat(c.rows, c.starts)
+    assert c.rows.sum() == p.n == 300 and (sizes <= 40 * c.parts).all() and len(c.starts) <= 2 * 300 // 40 + 1
+    assert (np.add.reduceat(c.rows > 0, c.starts)[c.parts > 1] == 1).all()
+    assert sorted(pivots.in_order(c.pivots)) == list(range(len(c.pivots)))
+    assert p.moved == "array<float>"
