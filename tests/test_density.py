@@ -154,3 +154,34 @@ def test_blocks_hold_whole_cells_or_a_part_of_a_large_one(spark):
     assert (np.add.reduceat(c.rows > 0, c.starts)[c.parts > 1] == 1).all()
     assert sorted(pivots.in_order(c.pivots)) == list(range(len(c.pivots)))
     assert p.moved == "array<float>"
+
+
+@pytest.mark.parametrize("eps,need", [(0.9, 3), (1.2, 1)])
+def test_links_grow_with_rows_and_blocks(spark, monkeypatch, eps, need):
+    """A point is written once, and a group of blocks gives at most one edge a
+    point: both grew with rows times cells."""
+    x, rows, keep = _sphere(300, 24, 3), {}, pivots.cut
+
+    def counted(df, name="cut"):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(pivots, "cut", counted)
+    got = pivots.density_labels(_frame(spark, x), eps, 24, need, cell_rows=5).collect()
+    assert {r["id"]: (r["comp"], r["core"]) for r in got} == _brute(x, eps, need)
+    cells = 300 // 5 * pivots.RINGS
+    assert rows["pivot-visits"] == 300 and rows["pivot-links"] <= 2 * 300 + cells  # points, and cells linked as wholes
+    assert rows["pivot-edges"] <= 4 * 300 + cells
+
+
+def test_joined_names_the_smallest_node():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 400, 250), rng.integers(0, 400, 250)
+    want = np.arange(400)
+    for _ in range(400):
+        low = np.minimum(want[a], want[b])
+        np.minimum.at(want, a, low)
+        np.minimum.at(want, b, low)
+    assert (pivots.joined(400, a, b) == want).all()
+    assert (pivots.joined(3, np.zeros(0, int), np.zeros(0, int)) == np.arange(3)).all()
