@@ -65,6 +65,38 @@ def test_eps_edges_salted_hot_cell(spark):
     assert set(got) == _brute(x, 0.5)
 
 
+def test_rows_moved_grow_with_the_points(spark, monkeypatch):
+    """All points in one cell: four times the points sent sixteen times the
+    rows to the join, one copy of each for every ``cell_rows`` points."""
+    x = np.random.default_rng(17).random((1200, 2)) * 0.9
+    moved = {}
+    for n in (300, 1200):
+        df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "seq long, features array<double>")
+        with monkeypatch.context() as m:
+            alias = type(df).alias
+            m.setattr(type(df), "alias", lambda self, name: moved.__setitem__((n, name), self.count()) or alias(self, name))
+            edges = eps_edges(df, 1.0, 2, cell_rows=8)
+        if n == 300:
+            got = [(r["src"], r["dst"]) for r in edges.collect()]
+            assert len(got) == len(set(got)) and set(got) == _brute(x[:n], 1.0)
+    assert moved[1200, "l"] + moved[1200, "r"] < 5 * (moved[300, "l"] + moved[300, "r"])
+
+
+def test_eps_edges_cut_on_both_sides(spark, monkeypatch):
+    """Few points in a cell that many meet, copies, repeated ids, nulls; groups of a bounded size."""
+    from evoclust.operators import graph
+    monkeypatch.setattr(graph, "GROUP_ROWS", 40)
+    rng = np.random.default_rng(19)
+    x = np.concatenate([rng.random((5, 2)) * 0.1 + 0.4, rng.random((150, 2)) * 0.3 + [0.5, 0.3], rng.random((30, 2)) * 3])
+    x = np.concatenate([x, x[:60]])
+    ids = [*range(len(x) - 3), 0, 1, 70]
+    rows = [(i, [float(v) for v in p]) for i, p in zip(ids, x)]
+    df = spark.createDataFrame([*rows, (900, [None, 0.5]), (901, None), (None, [0.5, 0.4])], "seq long, features array<double>")
+    want = sorted((ids[i], ids[j]) for i, j in _brute(x, 0.5) if ids[i] != ids[j])
+    for cell_rows in (7, 4096):
+        assert sorted((r["src"], r["dst"]) for r in eps_edges(df, 0.5, 2, cell_rows=cell_rows).collect()) == want
+
+
 def test_components_distributed_path(spark):
     """The contraction path (forced by local_edges=0) equals the one-task path."""
     rng = np.random.default_rng(9)
