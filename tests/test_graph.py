@@ -97,6 +97,42 @@ def test_eps_edges_cut_on_both_sides(spark, monkeypatch):
         assert sorted((r["src"], r["dst"]) for r in eps_edges(df, 0.5, 2, cell_rows=cell_rows).collect()) == want
 
 
+def test_a_point_goes_only_to_cells_within_eps(spark, monkeypatch):
+    """Evenly spread points are sent to the join fewer than five times (six
+    times before, 15 in three dimensions), cut dense cells included."""
+    rng = np.random.default_rng(23)
+    moved = {}
+    alias = type(spark.range(0)).alias
+    for d, most in ((2, 5), (3, 9)):
+        x = rng.random((2000, d)) * 4 - 2
+        x[:600, 1:] = x[:600, 1:] * 0.05
+        df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "seq long, features array<double>")
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) < 0.2
+        want = {(i, j) for i, j in zip(*np.nonzero(near)) if i != j}
+        for cell_rows in (8, 4096):
+            with monkeypatch.context() as m:
+                m.setattr(type(df), "alias", lambda self, name: moved.__setitem__(name, self.count()) or alias(self, name))
+                edges = eps_edges(df, 0.2, d, cell_rows=cell_rows)
+            assert moved["l"] + moved["r"] < most * len(x)
+            got = [(r["src"], r["dst"]) for r in edges.collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_across_the_edges_of_cells(spark):
+    """Points on and beside multiples of eps and of the cells' side, far from
+    zero and below it; distances equal to eps."""
+    for eps, at in ((0.2, 0.0), (0.25, -1e6), (0.1, 1e9)):
+        v = sorted({at + k * f * eps + s * eps * 1e-12 for k in range(-4, 5) for f in (1.0, 1.5) for s in (-1, 0, 1)})
+        for d in (1, 2):
+            x = np.array([[a] for a in v]) if d == 1 else np.array([[a, b] for a in v[::3] for b in v[1::4]])
+            df = spark.createDataFrame([(i, [float(c) for c in p]) for i, p in enumerate(x)], "seq long, features array<double>")
+            dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+            for strict in (True, False):
+                want = {(i, j) for i, j in zip(*np.nonzero(dist < eps if strict else dist <= eps)) if i != j}
+                got = [(r["src"], r["dst"]) for r in eps_edges(df, eps, d, strict=strict, cell_rows=20).collect()]
+                assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_distributed_path(spark):
     """The contraction path (forced by local_edges=0) equals the one-task path."""
     rng = np.random.default_rng(9)
